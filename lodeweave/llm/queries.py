@@ -3,18 +3,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, secretscan, sharding
+from . import decontam, gifmedia, jaccard, lmscore, mixing, quality, secretscan, sharding, tokencount, toxicity
 from ._common import table
 
 
+def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.scored(table(spark, sf_dir, "documents"))
+
+
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.counted(table(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.secrets(table(spark, sf_dir, "documents"))
 
 
+def op7_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gifmedia.media_columns(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_listing(table(spark, sf_dir, "documents"))
 
@@ -23,8 +47,14 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_mix, op6_secrets, op9_shards, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_lattice_lm, op2_jaccard, op3_quality, op4_mix, op5_token_counts, op6_secrets, op7_gif, op8_toxicity, op9_shards, op10_decontaminate, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
