@@ -1 +1,2 @@
 """Registered queries, one module for each part of the operator inventory."""
+from . import filters, relational, search  # noqa: F401
