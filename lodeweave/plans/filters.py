@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import register
 from ..functions import documents as D
 from ..functions import text as X
-from ..sources.tables import MEMORIES_SQL, REQUESTS_SQL, load, memories, requests
+from ..sources.tables import MEMORIES_SQL, REQUESTS_SQL, load, memories, names, requests
 
 
 def now_of(events):
@@ -21,11 +21,11 @@ def f1(spark, sf):
     return load(spark, sf, "events").where(D.json_contains(F.col("props"), {"k": 87})).select("event_id", "ts").orderBy(F.col("ts").desc_nulls_first(), "event_id").limit(20)
 
 
-@register("f2_object_array_containment", "SELECT doc_id FROM documents WHERE list_contains(regexp_extract_all(text, '\\b([A-Z][a-z]{3,})\\b', 1), 'Tion') OR list_contains(regexp_extract_all(text, '\\b([A-Z][a-z]{3,})\\b', 1), 'Reason') OR list_contains(regexp_extract_all(text, '\\b([A-Z][a-z]{3,})\\b', 1), 'Hand')")
+@register("f2_object_array_containment", "SELECT doc_id FROM documents WHERE list_contains(list_filter(regexp_extract_all(text, '\\p{L}+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{3,}')), 'Tion') OR list_contains(list_filter(regexp_extract_all(text, '\\p{L}+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{3,}')), 'Reason') OR list_contains(list_filter(regexp_extract_all(text, '\\p{L}+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{3,}')), 'Hand')")
 def f2(spark, sf):
-    names = F.transform(F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]{3,})\b"), F.lit(1)), lambda n: F.struct(n.alias("name")))
+    found = F.transform(names("text", 3), lambda n: F.struct(n.alias("name")))
     wanted = ["Tion", "Reason", "Hand"]
-    return load(spark, sf, "documents").where(F.exists(names, lambda e: e["name"].isin(*wanted))).select("doc_id")
+    return load(spark, sf, "documents").where(F.exists(found, lambda e: e["name"].isin(*wanted))).select("doc_id")
 
 
 @register("f3_time_range", "SELECT event_id FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-01 02:00:00' AND TIMESTAMP '2024-01-01 20:00:00'")

@@ -17,7 +17,7 @@ from ..functions import documents as D
 from ..functions import text as X
 from ..functions import vector as V
 from ..operators import search as S
-from ..sources.tables import MEMORIES_SQL, load, memories
+from ..sources.tables import MEMORIES_SQL, load, memories, names
 
 QUERY = "That and onesen erblest it hein ti inenan"
 
@@ -149,9 +149,9 @@ def q13(spark, sf):
 _M = lambda sql: f"WITH {MEMORIES_SQL} {sql}"
 
 
-@register("q14_entity_search", _M("SELECT id, 1.0::DOUBLE AS score FROM memories WHERE list_contains(regexp_extract_all(content, '\\b([A-Z][a-z]{3,})\\b', 1), 'Hand') AND deleted_at IS NULL ORDER BY created_at DESC, id LIMIT 20"))
+@register("q14_entity_search", _M("SELECT id, 1.0::DOUBLE AS score FROM memories WHERE list_contains(list_filter(regexp_extract_all(content, '\\p{L}+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{3,}')), 'Hand') AND deleted_at IS NULL ORDER BY created_at DESC, id LIMIT 20"))
 def q14(spark, sf):
-    m = memories(spark, sf).where(F.array_contains(F.regexp_extract_all("content", F.lit(r"\b([A-Z][a-z]{3,})\b"), F.lit(1)), "Hand") & F.col("deleted_at").isNull())
+    m = memories(spark, sf).where(F.array_contains(names("content", 3), "Hand") & F.col("deleted_at").isNull())
     return m.orderBy(F.col("created_at").desc(), "id").limit(20).select("id", F.lit(1.0).alias("score"))
 
 
@@ -245,7 +245,7 @@ def hybrid_pool(spark, sf, weights=(0.4, 0.6), k=60, pool=30) -> DataFrame:
     return S.bm25(top.join(load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), "id"), "id", F.left("text", F.lit(1000)), _TOKENS)
 
 
-@register("q24_hybrid_code", f"WITH {_HYBRID} SELECT id, sources, round(rrf_score, 10) AS rrf_score, round(rerank_score, 8) AS rerank_score, row_number() OVER (ORDER BY round(rerank_score, 12) DESC, rank) AS rank FROM scored QUALIFY rank <= 10")
+@register("q24_hybrid_code", f"WITH {_HYBRID} SELECT * FROM (SELECT id, sources, round(rrf_score, 10) AS rrf_score, round(rerank_score, 8) AS rerank_score, row_number() OVER (ORDER BY round(rerank_score, 12) DESC, rank) AS rank FROM scored) WHERE rank <= 10")
 def q24(spark, sf):
     """Lexical and vector lists, weighted fusion, BM25 over the first 30, first 10."""
     x = hybrid_pool(spark, sf)
@@ -255,18 +255,18 @@ def q24(spark, sf):
 
 _MEM_LISTS = f"""{QV}, {LEX}, {VEC}, mlex AS (SELECT id, score, rank FROM lex WHERE rank <= 50), mvec AS (SELECT id, rank FROM vec WHERE rank <= 50),
 mtag AS (SELECT id, row_number() OVER (ORDER BY created_at DESC, id) AS rank FROM memories WHERE list_contains(tags, 'x:candidate') QUALIFY rank <= 50),
-ment AS (SELECT id, row_number() OVER (ORDER BY created_at DESC, id) AS rank FROM memories WHERE list_contains(regexp_extract_all(content, '\\b([A-Z][a-z]{{3,}})\\b', 1), 'Hand') QUALIFY rank <= 50)"""
+ment AS (SELECT id, row_number() OVER (ORDER BY created_at DESC, id) AS rank FROM memories WHERE list_contains(list_filter(regexp_extract_all(content, '\\p{{L}}+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{{3,}}')), 'Hand') QUALIFY rank <= 50)"""
 
 
 @register("q25_hybrid_memory", f"""WITH {MEMORIES_SQL}, {_MEM_LISTS}, {_rrf_sql([('mlex', None), ('mvec', None), ('ment', None), ('mtag', None)])},
 aged AS (SELECT f.*, m.created_at, rrf_score * exp(-0.01 * (epoch_us((SELECT max(created_at) FROM memories)) - epoch_us(m.created_at)) / 86400000000.0) AS score FROM (SELECT *, {_FUSED_RANK} AS rank FROM fused QUALIFY rank <= 30) f JOIN memories m ON m.id = f.id)
-SELECT id, sources, round(score, 10) AS score, row_number() OVER (ORDER BY round(score, 13) DESC, rank) AS rank FROM aged QUALIFY rank <= 10""")
+SELECT * FROM (SELECT id, sources, round(score, 10) AS score, row_number() OVER (ORDER BY round(score, 13) DESC, rank) AS rank FROM aged) WHERE rank <= 10""")
 def q25(spark, sf):
     """Four branches, unweighted fusion, decay by age; the decayed score decides the order."""
     m = memories(spark, sf)
     newest = [F.col("created_at").desc(), F.col("id")]
     tag = S.ranked(m.where(F.array_contains("tags", "x:candidate")).select("id", "created_at"), newest, 50)
-    ent = S.ranked(m.where(F.array_contains(F.regexp_extract_all("content", F.lit(r"\b([A-Z][a-z]{3,})\b"), F.lit(1)), "Hand")).select("id", "created_at"), newest, 50)
+    ent = S.ranked(m.where(F.array_contains(names("content", 3), "Hand")).select("id", "created_at"), newest, 50)
     fused = S.fuse([("mlex", lexical_list(spark, sf, 50), None), ("mvec", vector_list(spark, sf, 50), None), ("ment", ent, None), ("mtag", tag, None)], "id")
     top = S.ranked(fused, S.fused_order("id"), 30).join(m.select("id", "created_at"), "id").crossJoin(F.broadcast(m.agg(F.max("created_at").alias("now"))))
     x = top.withColumn("score", F.col("rrf_score") * DE.decay(DE.age_days(F.col("now"), F.col("created_at"))))

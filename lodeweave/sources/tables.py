@@ -4,7 +4,7 @@ Each derived table also has its SQL, so that oracles can put it in a WITH clause
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EPOCH = "2024-01-01 00:00:00"
@@ -75,9 +75,14 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Entities of a document: its distinct capitalised words of eight letters or more.
 ENTITIES_SQL = """ent AS (
-  SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(text, '\\b([A-Z][a-z]{7,})\\b', 1)) AS name FROM documents)"""
+  SELECT DISTINCT doc_id AS id, unnest(list_filter(regexp_extract_all(text, '\\p{L}+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{7,}'))) AS name FROM documents)"""
+
+
+def names(text: str, least: int) -> Column:
+    """Words of an ASCII capital and at least ``least`` small ASCII letters; words are runs of letters of any script."""
+    return F.filter(F.regexp_extract_all(text, F.lit(r"(\p{L}+)"), F.lit(1)), lambda w: w.rlike(f"^[A-Z][a-z]{{{least},}}$"))
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]{7,})\b"), F.lit(1))
+    found = names("text", 7)
     return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(found)).alias("name"))

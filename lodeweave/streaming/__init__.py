@@ -1,0 +1 @@
+"""Structured Streaming: sources, windows, stateful operators and jobs."""
