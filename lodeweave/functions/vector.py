@@ -40,9 +40,14 @@ def similarity_complement(distance: Column) -> Column:
     return F.lit(1.0) - distance
 
 
+def _unit(x: Column) -> Column:
+    """x held between 0 and 1, NULL as 0 (greatest and least pass over NULLs)."""
+    return F.when(x.isNull(), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
+
+
 def clipped(cos: Column) -> Column:
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cos)), F.lit(0.0))
+    return _unit(cos)
 
 
 def rescaled(cos: Column) -> Column:
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (cos + 1) / 2)), F.lit(0.0))
+    return _unit((cos + 1) / 2)

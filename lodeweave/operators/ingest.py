@@ -42,13 +42,15 @@ def fixed_chunks(text: Column, size: int = 2000) -> Column:
     return F.transform(kept, lambda c: F.when(tail.isNotNull() & (c["n"] == cut - 1), F.struct(c["n"].alias("n"), c["start_line"].alias("start_line"), tail["end_line"].alias("end_line"), F.concat(c["body"], F.lit("\n"), tail["body"]).alias("body"))).otherwise(c))
 
 
-def markdown_sections(text: Column, header: str = r"^##\s+.+") -> Column:
-    """Array of (name, start_line, body): sections from one header line to the next; what stands before the first belongs to it; without headers one section 'content'."""
-    lines = F.split(text, "\n")
-    heads = F.filter(F.transform(lines, lambda l, i: F.when(l.rlike(header), i)), lambda i: i.isNotNull())
-    ends = F.concat(F.slice(heads, F.lit(2), F.size(heads)), F.array(F.size(lines)))
-    made = F.transform(heads, lambda h, k: F.struct(F.trim(F.regexp_extract(F.get(lines, h), r"^##\s+(.+)$", 1)).alias("name"), F.when(k == 0, 1).otherwise(h + 1).alias("start_line"), F.array_join(F.slice(lines, F.when(k == 0, 1).otherwise(h + 1), F.get(ends, k) - F.when(k == 0, 0).otherwise(h)), "\n").alias("body")))
-    return F.when(F.size(heads) > 0, made).otherwise(F.array(F.struct(F.lit("content").alias("name"), F.lit(1).alias("start_line"), text.alias("body"))))
+def markdown_sections(text: Column) -> Column:
+    """Array of (name, start_line, body): sections from one '## ' line to the next; what stands before the first belongs to it; without such lines one section 'content'."""
+    header = r"##[ \t]+[^\n]"
+    parts = F.split(text, rf"\n(?={header})")
+    first = F.array(F.concat(F.get(parts, F.lit(0)), F.lit("\n"), F.get(parts, F.lit(1))))
+    parts = F.when(text.rlike(f"^{header}") | (F.size(parts) < 2), parts).otherwise(F.concat(first, F.slice(parts, F.lit(3), F.size(parts))))
+    starts = F.aggregate(parts, F.array(F.lit(1)), lambda s, p: F.concat(s, F.array(F.element_at(s, -1) + F.size(F.split(p, "\n")))))
+    name = lambda p: F.coalesce(F.nullif(F.trim(F.regexp_extract(p, r"(?m)^##[ \t]+(.+)$", 1)), F.lit("")), F.lit("content"))
+    return F.zip_with(parts, F.slice(starts, F.lit(1), F.size(parts)), lambda p, at: F.struct(name(p).alias("name"), at.alias("start_line"), p.alias("body")))
 
 
 # Name parts by which files are classed.
