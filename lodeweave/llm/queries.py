@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, gifmedia, jaccard, lmscore, mixing, quality, secretscan, sharding, tokencount, toxicity
+from . import decontam, gifmedia, jaccard, lmscore, mixing, quality, secretscan, sharding, sql, tokencount, toxicity
 from ._common import table
 
 
@@ -58,4 +58,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_jaccard": sql.OP2, "op10_decontaminate": sql.OP10}
