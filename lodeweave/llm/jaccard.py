@@ -35,12 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import durable, list_of, row_type, slices
+from ._common import durable, fresh, list_of, row_type, slices
 
 N_WORDS = 5
 SKETCH_LONGS = 32
 #: Entries of the signature join that one task of it holds, about.
 BUCKET = 1_500_000
+#: Rounds in which further members of unsettled groups are compared with all others, and how many of them each.
+HUB_TURNS, HUBS = 2, 12
 
 # --- hashing -----------------------------------------------------------------
 
@@ -111,37 +113,46 @@ while _BANDS[-1] < 1 << 40:
 _BANDS = np.array(_BANDS)
 
 
-def parts_of(band: int) -> int:
+#: Share and number of parts beyond the largest difference, by level; a later level is for sets that leave too many parts of the one before empty.
+LEVELS = ((0.15, 1), (0.6, 4))
+
+
+def parts_of(band: int, level: int = 0) -> int:
     """Parts of the sketch of a band's scheme: more than the largest difference, and some to make up for empty ones."""
     d = (int(_BANDS[band + 1]) - 1) // 3
-    return 1 if d == 0 else d + 1 + -(-(d + 1) * 15 // 100) + 1
+    share, more = LEVELS[level]
+    return 1 if d == 0 else d + 1 + -int(-(d + 1) * share // 1) + more
 
 
 def signatures(s: np.ndarray) -> np.ndarray:
-    """Join keys of a set: any similar set has one of them too."""
-    n, out, sparse = len(s), [], False
+    """Join keys of a set: any similar set has one of them too.
+
+    Of two sets either one has more parts with bits, at some level that both emit, than they can differ in, or both emit every shingle."""
+    n, out = len(s), []
     if not n:
         return s
     band = int(np.searchsorted(_BANDS, n, side="right")) - 1
-    for b in (band, band - 1):
-        if b < 0:
-            continue
-        upper = int(_BANDS[b + 1]) - 1  # the largest size of the smaller set in this scheme
-        if b < band and 3 * n > 4 * upper:
-            continue
-        differ = n // 3 if b == band else (n + upper) // 7
-        p = parts_of(b)
-        part = (s >> np.uint64(32)) * np.uint64(p) >> np.uint64(32)
-        bit = part << np.uint64(20) | s & np.uint64(0xFFFFF)
-        at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))  # s is sorted, and so are parts
-        bits = np.bitwise_xor.reduceat(mix(bit), at)  # flipping a bit twice cancels
-        some = bits != 0
-        key = mix(bits ^ mix(part[at] << np.uint64(8) | np.uint64(b)))[some]
-        out.append(key)
-        sparse |= len(key) <= differ
-    if sparse:
-        out.append(mix(s ^ np.uint64(0x5851F42D4C957F2D)))
-    return np.concatenate(out)
+    for level in range(len(LEVELS)):
+        sparse = False
+        for b in (band, band - 1):
+            if b < 0:
+                continue
+            upper = int(_BANDS[b + 1]) - 1  # the largest size of the smaller set in this scheme
+            if b < band and 3 * n > 4 * upper:
+                continue
+            differ = n // 3 if b == band else (n + upper) // 7
+            p = parts_of(b, level)
+            part = (s >> np.uint64(32)) * np.uint64(p) >> np.uint64(32)
+            bit = part << np.uint64(20) | s & np.uint64(0xFFFFF)
+            at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))  # s is sorted, and so are parts
+            bits = np.bitwise_xor.reduceat(mix(bit), at)  # flipping a bit twice cancels
+            some = bits != 0
+            key = mix(bits ^ mix(part[at] << np.uint64(8) | np.uint64(2 * b + level)))[some]
+            out.append(key)
+            sparse |= len(key) <= differ
+        if not sparse:
+            return np.concatenate(out)
+    return np.concatenate([*out, mix(s ^ np.uint64(0x5851F42D4C957F2D))])
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
@@ -159,6 +170,10 @@ def digest(s: np.ndarray) -> tuple[int, int]:
 # --- candidates --------------------------------------------------------------
 
 
+#: Kinds of packed rows: join entries without and with companions in their flush, and the companions themselves.
+ALONE, JOINED, LOCAL = 0, 1, 2
+
+
 def _packed(keys: np.ndarray, ids: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
     """(bucket, entries, blob) of join entries; a blob is 4 bytes of key an entry, then ids as differences."""
     bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -182,7 +197,7 @@ def _unpacked(n: int, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def _emit(buckets: int, flush: int = 1_500_000):
     """Texts to packed join entries. Of the documents of one flush that share a key only the smallest
-    enters the join; the others are told with it at once (kind 1), so that a hot key sends one entry a flush."""
+    enters the join; the others are told with it at once (LOCAL), so that a hot key sends one entry a flush."""
 
     def out(held: list[tuple[int, np.ndarray]]) -> pd.DataFrame:
         held.sort(key=lambda x: x[0])
@@ -194,14 +209,16 @@ def _emit(buckets: int, flush: int = 1_500_000):
         shared = np.zeros(len(k), dtype=bool)
         shared[1:] |= ~first[1:]
         shared[:-1] |= ~first[1:]
-        sent = np.sort(order[first])
-        rows = [(b, 0, n, blob) for b, n, blob in _packed(keys[sent], ids[sent], buckets)]
+        rows = []
+        for kind, some in ((ALONE, first & ~shared), (JOINED, first & shared)):
+            sent = np.sort(order[some])
+            rows += [(b, kind, n, blob) for b, n, blob in _packed(keys[sent], ids[sent], buckets)] if len(sent) else []
         told = order[shared]
         for i in range(0, len(told), 200_000):
             some = told[i : i + 200_000]
             b = ((keys[some] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
             group = (b << 32 | (keys[some] & np.uint64(0xFFFFFFFF)).astype(np.int64)).tobytes()
-            rows.append((int(mix(np.array([held[0][0] + i], dtype=np.int64).view(np.uint64))[0] % np.uint64(buckets)), 1, len(some), group + ids[some].tobytes()))
+            rows.append((int(mix(np.array([held[0][0] + i], dtype=np.int64).view(np.uint64))[0] % np.uint64(buckets)), LOCAL, len(some), group + ids[some].tobytes()))
         return pd.DataFrame(rows, columns=["bucket", "kind", "n", "blob"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -232,54 +249,66 @@ def _emit(buckets: int, flush: int = 1_500_000):
     return run
 
 
+def _stars(groups: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Rows (smallest member, member) of each group; groups ascend."""
+    first = np.concatenate(([True], groups[1:] != groups[:-1]))
+    at = np.cumsum(first) - 1
+    low = np.minimum.reduceat(docs, np.flatnonzero(first))[at]
+    return np.unique(np.column_stack([low, docs])[low != docs], axis=0)
+
+
 def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Entries of a bucket to (grp, doc) for keys that more than one entry has."""
+    """Entries of a bucket to pairs (smallest member, member) of keys that several have (pair true, x, y), and to
+    members (pair false, group, document) of those groups in which further pairs may have to be compared."""
     b = int(pdf["bucket"].iloc[0])
-    keys, ids, groups, docs = [], [], [], []
+    keys, ids, joined, pairs, members = [], [], [], [], []
     for kind, n, blob in zip(pdf["kind"], pdf["n"], pdf["blob"], strict=True):
-        if kind:
-            groups.append(np.frombuffer(blob, np.int64, n))
-            docs.append(np.frombuffer(blob, np.int64, n, 8 * n))
+        if kind == LOCAL:
+            g, d = np.frombuffer(blob, np.int64, n), np.frombuffer(blob, np.int64, n, 8 * n)
+            order = np.argsort(g, kind="stable")
+            pairs.append(_stars(g[order], d[order]))
+            members.append(np.column_stack([g, d]))
         else:
             k, i = _unpacked(n, blob)
             keys.append(k)
             ids.append(i)
+            joined.append(np.full(n, kind == JOINED))
     if keys:
-        k, i = np.concatenate(keys), np.concatenate(ids)
+        k, i, j = np.concatenate(keys), np.concatenate(ids), np.concatenate(joined)
         order = np.argsort(k, kind="stable")
-        k, i = k[order], i[order]
-        same = k[1:] == k[:-1]
-        some = np.zeros(len(k), dtype=bool)
-        some[1:] |= same
-        some[:-1] |= same
-        groups.append((np.int64(b) << 32) | k[some].astype(np.int64))
-        docs.append(i[some])
-    return pd.DataFrame({"grp": np.concatenate(groups), "doc": np.concatenate(docs)})
-
-
-def candidate_groups(docs: DataFrame, entries: int) -> DataFrame:
-    """(grp, doc): documents that share a part of a sketch, for groups of two or more."""
+        k, i, j = k[order], i[order], j[order]
+        at = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        size = np.diff(np.append(at, len(k)))
+        more = np.add.reduceat(j.astype(np.int64), at)
+        each = np.repeat(size, size)
+        if (each > 1).any():
+            pairs.append(_stars(k[each > 1].astype(np.int64), i[each > 1]))
+        # the one pair of a group of two without companions is compared already
+        open_ = np.repeat((size > 2) | (size == 2) & (more > 0), size)
+        members.append(np.column_stack([(np.int64(b) << 32) | k[open_].astype(np.int64), i[open_]]))
+    none = np.zeros((0, 2), np.int64)
+    p, m = np.unique(np.concatenate([none, *pairs]), axis=0), np.concatenate([none, *members])
+    out = np.concatenate([p, m])
+    return pd.DataFrame({"pair": np.arange(len(out)) < len(p), "x": out[:, 0], "y": out[:, 1]})
+
+
+def candidates(docs: DataFrame, entries: int) -> DataFrame:
+    """(pair, x, y): documents that share a part of a sketch; see _meet."""
     buckets = max(48, -(-entries // BUCKET))
     packed = docs.mapInPandas(_emit(buckets), row_type(bucket="int", kind="int", n="int", blob="binary"))
-    return packed.groupBy("bucket").applyInPandas(_meet, row_type(grp="long", doc="long"))
+    return packed.groupBy("bucket").applyInPandas(_meet, row_type(pair="boolean", x="long", y="long"))
 
 
 # --- verification ------------------------------------------------------------
 
-_SET = row_type(n_shingles="long", d1="long", d2="long")
+_SET = row_type(n_shingles="long", d1="long", d2="long", sketch=list_of("long"))
 
 
 @F.pandas_udf(_SET)
-def set_digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for s in batches:
-        yield pd.DataFrame([(len(x), *digest(x)) for texts in slices(s, 1 << 20) for x in shingles(texts)], columns=_SET.names)
-
-
-@F.pandas_udf(row_type(n="long", sketch=list_of("long")))
-def _sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def set_summary(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Size, digest and sketch of the shingle set of each text."""
     for s in batches:
-        made = [(len(x), sketch(x).tolist()) for texts in slices(s, 1 << 20) for x in shingles(texts)]
-        yield pd.DataFrame(made, columns=["n", "sketch"])
+        yield pd.DataFrame([(len(x), *digest(x), sketch(x).tolist()) for texts in slices(s, 1 << 20) for x in shingles(texts)], columns=_SET.names)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -312,11 +341,30 @@ def _near(x: str, y: str) -> F.Column:
     return (F.least(n, m) * 4 >= F.greatest(n, m) * 3) & (far * 7 <= n + m)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link."""
-    x, y = texts.select(F.col("doc_id").alias("a"), "n", "sketch").alias("x"), texts.select(F.col("doc_id").alias("b"), "n", "sketch").alias("y")
-    kept = pairs.join(x, "a").join(y, "b").where(_near("x", "y")).select("a", "b")
-    with_b = kept.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+def _possible(pairs: DataFrame, light: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches allow; light: doc_id, n, sketch."""
+    x, y = light.withColumnRenamed("doc_id", "a").alias("x"), light.withColumnRenamed("doc_id", "b").alias("y")
+    return pairs.join(x, "a").join(y, "b").where(_near("x", "y")).select("a", "b")
+
+
+#: Bits of the filter below: at most FILTER / 64 rows are broadcast, whatever the number of documents.
+FILTER = 1 << 22
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs (doc_id, text) of the given ids. A filter of fixed size, broadcast, spares most other texts the shuffle; the join that follows is exact."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER))
+    table = ids.select(bit("doc_id").alias("h")).groupBy(F.floor(F.col("h") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("bits"))
+    x = docs.withColumn("h", bit("doc_id")).withColumn("word", F.floor(F.col("h") / 64))
+    x = x.join(F.broadcast(table), "word").where(F.expr("(shiftrightunsigned(bits, cast(h % 64 as int)) & 1L) = 1L"))
+    return x.select("doc_id", "text").join(ids, "doc_id")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, by their whole texts."""
+    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    texts = durable(_only(docs, ends), "jaccard-texts")
+    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return both.where(_linked("a", "text_a", "text_b")).select("a", "b").distinct()
 
@@ -347,65 +395,120 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     return durable(parents.unionByName(roots).select(F.col("u").alias("doc"), "comp"), label)
 
 
-def _across(groups: DataFrame, comps: DataFrame) -> DataFrame:
-    """groups with comp, of those that still fall into several components."""
-    g = groups.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+def _across(groups: DataFrame, lookup: DataFrame) -> DataFrame:
+    """(grp, doc, comp) of groups (grp, doc) that still fall into several components; copies count once. lookup: doc, rep, comp."""
+    g = groups.join(lookup, "doc").select("grp", F.col("rep").alias("doc"), "comp")
     split = g.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("grp")
-    return durable(g.join(split, "grp"), "jaccard-split")
+    return durable(g.join(split, "grp").distinct(), "jaccard-split")
 
 
 def _pair(x: str, y: str) -> list[F.Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+#: Longs of the folded sketches by which the pairs inside groups are sifted, and members of a group that one task compares.
+FOLDED, BLOCK = 8, 2048
+
+
+def _sift(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(a, b) across components whose sizes and folded sketches allow a link, in the groups of a bucket; of a block pair (i, j) only pairs between i and j."""
+    pdf = pdf.sort_values(["grp", "i", "j"], kind="stable")
+    keys = pdf[["grp", "i", "j"]].to_numpy()
+    doc, comp, n, side = (pdf[c].to_numpy() for c in ("doc", "comp", "n", "side"))
+    bits = np.frombuffer(b"".join(pdf["bits"]), dtype=np.uint64).reshape(len(pdf), FOLDED)
+    starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
+    sizes = np.diff(np.append(starts, len(pdf)))
+    lo, hi = [], []
+
+    def compare(x: np.ndarray, y: np.ndarray) -> None:
+        ok = (comp[x] != comp[y]) & ((side[x] == 2) | (side[x] != side[y])) & (np.minimum(n[x], n[y]) * 4 >= np.maximum(n[x], n[y]) * 3)
+        x, y = x[ok], y[ok]
+        near = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) * 7 <= n[x] + n[y]
+        lo.append(np.minimum(doc[x], doc[y])[near])
+        hi.append(np.maximum(doc[x], doc[y])[near])
+
+    for k in np.unique(sizes).tolist():
+        at = starts[sizes == k]
+        if k <= 64:  # all groups of a size at once
+            i, j = np.triu_indices(k, 1)
+            for some in np.array_split(at, max(1, len(at) * len(i) // 200_000)):
+                compare((some[:, None] + i).ravel(), (some[:, None] + j).ravel())
+        else:
+            for s in at.tolist():
+                for i in range(k - 1):
+                    compare(np.full(k - 1 - i, s + i), np.arange(s + i + 1, s + k))
+    out = np.unique(np.column_stack([np.concatenate([*lo, np.zeros(0, np.int64)]), np.concatenate([*hi, np.zeros(0, np.int64)])]), axis=0)
+    return pd.DataFrame(out.astype(np.int64), columns=["a", "b"])
+
+
+@F.pandas_udf(T.BinaryType())
+def _fold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """A sketch folded to FOLDED longs: folds of two sketches differ in no more bits than they do."""
+    for s in batches:
+        if len(s):
+            x = np.bitwise_xor.reduce(np.stack(s.to_numpy()).astype(np.int64).reshape(len(s), -1, FOLDED), axis=1)
+            yield pd.Series([r.tobytes() for r in x])
+        else:
+            yield pd.Series([], dtype=object)
+
+
+def _remaining(split: DataFrame, light: DataFrame) -> DataFrame:
+    """(a, b): all pairs of groups across components that sizes and folded sketches allow. A group of more than BLOCK members is compared in pairs of blocks, each a task's share."""
+    folded = light.select(F.col("doc_id").alias("doc"), "n", _fold("sketch").alias("bits"))
+    blocks = split.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+    x = split.join(blocks, "grp").join(folded, "doc").withColumn("m", F.pmod(F.xxhash64("doc"), F.col("k")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")
+    x = x.select("grp", "doc", "comp", "n", "bits", "k", "m", other)
+    # side: 0 and 1 for the two blocks of a pair, 2 where a block meets itself
+    x = x.select("grp", "doc", "comp", "n", "bits", F.least("m", "o").alias("i"), F.greatest("m", "o").alias("j"), F.when(F.col("m") == F.col("o"), 2).when(F.col("m") < F.col("o"), 0).otherwise(1).alias("side"))
+    spread = F.pmod(F.xxhash64("grp", "i", "j"), F.lit(max(48, split.count() // 200_000)))
+    return x.groupBy(spread.alias("bucket")).applyInPandas(_sift, row_type(a="long", b="long")).distinct()
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles and component_id."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = durable(docs.select("doc_id", set_digest("text").alias("s")).select("doc_id", "s.*"), "jaccard-sets")
+    sets = durable(docs.select("doc_id", set_summary("text").alias("s")).select("doc_id", "s.*"), "jaccard-sets")
     known = sets.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     first = known.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    copies = durable(known.join(first, ["n_shingles", "d1", "d2"]).select("doc_id", "rep").distinct(), "jaccard-copies")
+    copies = durable(known.select("doc_id", "n_shingles", "d1", "d2").join(first, ["n_shingles", "d1", "d2"]).select("doc_id", "rep").distinct(), "jaccard-copies")
+    light = known.select("doc_id", F.col("n_shingles").alias("n"), "sketch")
     entries = int((known.agg(F.sum("n_shingles")).first()[0] or 0) * 0.7)
 
-    found = candidate_groups(docs.where(F.col("doc_id").isNotNull()), entries)
-    groups = found.join(copies.select(F.col("doc_id").alias("doc"), "rep"), "doc").select("grp", F.col("rep").alias("doc")).distinct()
-    groups = durable(groups, "jaccard-groups")
-    stars = groups.groupBy("grp").agg(F.min("doc").alias("hub"), F.count("*").alias("k")).where("k > 1").select("grp", "hub")
-    pairs = durable(groups.join(stars, "grp").where("doc <> hub").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct(), "jaccard-pairs")
-    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = durable(docs.join(ends, "doc_id").select("doc_id", "text", _sketched("text").alias("s")).select("doc_id", "text", "s.*").where("n > 0"), "jaccard-texts")
-
-    links = copies.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    proved = durable(_verified(pairs, texts), "jaccard-links")
-    comps = components(proved)
-    tested = pairs
-    for hubs in (12, 12):
-        split = _across(groups, comps)
+    named = docs.where(F.col("doc_id").isNotNull())
+    found = durable(candidates(named, entries), "jaccard-candidates")
+    groups = found.where("not pair").select(F.col("x").alias("grp"), F.col("y").alias("doc"))
+    # copies stand for one another
+    rep = lambda c: copies.select(F.col("doc_id").alias(c), F.col("rep").alias(f"{c}_rep"))
+    tested = found.where("pair").select("x", "y").distinct().join(rep("x"), "x").join(rep("y"), "y").where("x_rep <> y_rep").select(*_pair("x_rep", "y_rep")).distinct()
+    tested = durable(tested, "jaccard-pairs")
+    proved = durable(_verified(durable(_possible(tested, light), "jaccard-near"), named), "jaccard-links")
+    comps, split = components(proved), groups
+    for turn in range(HUB_TURNS + 1):
+        lookup = copies.select(F.col("doc_id").alias("doc"), "rep").join(comps.select(F.col("doc").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        # components only grow, so a group that is settled stays so; from the second turn on members are representatives
+        split = _across(split.select("grp", "doc"), lookup)
         if split.isEmpty():
             break
-        # further members as hubs: in every group the smallest by a hash in each of some residues
-        turn = F.xxhash64("doc", F.lit(hubs), F.lit(tested.count()))
-        chosen = split.groupBy("grp", F.pmod(turn, F.lit(hubs)).alias("r")).agg(F.min_by(F.struct("doc", "comp"), turn).alias("h")).select("grp", F.col("h.doc").alias("hub"), F.col("h.comp").alias("hub_comp"))
-        more = split.join(chosen, "grp").where("comp <> hub_comp").select(*_pair("hub", "doc")).distinct()
+        if turn == HUB_TURNS:
+            more = _remaining(split, light)
+        else:  # further members as hubs: in every group the smallest by a hash in each of some residues
+            order = F.xxhash64("doc", F.lit(turn))
+            chosen = split.groupBy("grp", F.pmod(order, F.lit(HUBS)).alias("r")).agg(F.min_by(F.struct("doc", "comp"), order).alias("h")).select("grp", F.col("h.doc").alias("hub"), F.col("h.comp").alias("hub_comp"))
+            more = split.join(chosen, "grp").where("comp <> hub_comp").select(*_pair("hub", "doc")).distinct()
         more = durable(more.join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
-        proved = durable(proved.unionByName(_verified(more, texts)), "jaccard-links")
-        tested, comps = tested.unionByName(more), components(proved)
-    split = _across(groups, comps)
-    if not split.isEmpty():
-        light = texts.select(F.col("doc_id").alias("doc"), "n", "sketch")
-        sides = split.join(light, "doc")
-        x, y = sides.alias("x"), sides.alias("y")
-        rest = x.join(y, (F.col("x.grp") == F.col("y.grp")) & (F.col("x.comp") < F.col("y.comp")) & _near("x", "y")).select(*_pair("x.doc", "y.doc")).distinct()
-        rest = durable(rest.join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
-        proved = durable(proved.unionByName(_verified(rest, texts)), "jaccard-links")
+        near = durable(_possible(more, light), "jaccard-near")
+        tested = tested.unionByName(more)
+        if not near.isEmpty():
+            proved = proved.unionByName(durable(_verified(near, named), "jaccard-links"))
+            comps = components(proved)
+    links = copies.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     comps = components(proved.unionByName(links).distinct())
     return sets.select("doc_id", "n_shingles").join(comps.select(F.col("doc").alias("doc_id"), "comp"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with only the smallest doc_id of every component; of rows that share it, one. Rows without doc_id stay."""
-    from ._common import fresh
-
     found = classes(docs)
     first = found.where(F.col("doc_id").isNotNull()).groupBy("component_id").agg(F.min("doc_id").alias("k")).select("k")
     name = fresh(docs, "row")
