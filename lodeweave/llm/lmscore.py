@@ -24,6 +24,8 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from math import exp, log
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -34,7 +36,8 @@ from ._common import durable, fold, list_of, row_type
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 HOT = 100_000
-_START = "\N{LOWER ONE EIGHTH BLOCK}".encode()
+#: The mark of a word's start: no word holds a space.
+_START = b" "
 
 
 def words(text: str | None) -> list[bytes]:
@@ -47,7 +50,9 @@ class Lattice:
 
     def __init__(self, logp: dict[bytes, float], end: float):
         self.logp, self.end = logp, end
-        self.longest = max(map(len, logp), default=1)
+        # beginnings of pieces too, so that a search along a word ends where no piece goes on
+        self.ahead: dict[bytes, float | None] = {p[:k]: None for p in logp for k in range(1, len(p))}
+        self.ahead.update(logp)
 
     @staticmethod
     def read(path: str) -> Lattice:
@@ -59,52 +64,64 @@ class Lattice:
         for i in range(model.get_piece_size()):
             if model.is_control(i) or model.is_unknown(i) or model.is_byte(i):
                 continue
-            piece = model.id_to_piece(i).encode()
+            piece = model.id_to_piece(i).replace("\N{LOWER ONE EIGHTH BLOCK}", " ").encode()
+            if b" " in piece[1:]:  # no word has a second mark
+                continue
             weight[piece] = weight.get(piece, 0.0) + 1.0 / (i + 50)
         total = sum(weight.values()) * 1.05
         return Lattice({k: math.log(v / total) for k, v in weight.items()}, math.log(0.05 / 1.05))
 
-    def forward(self, word: bytes) -> list[float]:
-        """alpha[j]: log of the summed probability of all segmentations of the first j bytes, the word start mark before them."""
+    def _arcs(self, word: bytes) -> tuple[list[float], list[list[tuple[int, float]]]]:
+        """alpha and, for each place, the arcs that end there: (start, alpha[start] + log probability of the piece between)."""
         data = _START + word
-        get, longest, n = self.logp.get, self.longest, len(data)
-        alpha = [0.0] + [-math.inf] * n
-        for j in range(1, n + 1):
-            best, terms = -math.inf, []
-            for i in range(j - longest if j > longest else 0, j):
-                p = get(data[i:j])
-                if p is not None and (v := alpha[i] + p) > -math.inf:
-                    terms.append(v)
-                    if v > best:
-                        best = v
-            if len(terms) == 1:
-                alpha[j] = best
-            elif terms:
-                alpha[j] = best + math.log(sum([math.exp(v - best) for v in terms]))
-        return alpha
+        get, n = self.ahead.get, len(data)
+        alpha = [0.0] * (n + 1)
+        arcs: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
+        for i in range(n):
+            into = arcs[i]
+            if len(into) == 1:
+                alpha[i] = into[0][1]
+            elif into:
+                best = max(into, key=_second)[1]
+                alpha[i] = best + log(sum([exp(v - best) for _, v in into]))
+            elif i:
+                alpha[i] = -math.inf
+                continue
+            a = alpha[i]
+            for j in range(i + 1, n + 1):
+                p = get(data[i:j], _MISSING)
+                if p is None:
+                    continue
+                if p is _MISSING:
+                    break
+                arcs[j].append((i, a + p))
+        into = arcs[n]
+        best = max(into, key=_second)[1]
+        alpha[n] = best + log(sum([exp(v - best) for _, v in into]))
+        return alpha, arcs
+
+    def forward(self, word: bytes) -> list[float]:
+        """alpha[j]: log of the summed probability of all segmentations of the first j bytes, the word start mark being the first."""
+        return self._arcs(word)[0]
 
     def log10(self, word: bytes) -> float:
-        return self.forward(word)[-1] / _LN10
+        return self._arcs(word)[0][-1] / _LN10
 
     def expect(self, word: bytes, count: float, into: dict[bytes, float]) -> None:
         """Adds count times the posterior number of uses of each piece in the word."""
         data = _START + word
-        get, longest, n = self.logp.get, self.longest, len(data)
-        alpha = self.forward(word)
-        beta = [0.0] * (n + 1)  # posterior mass that passes through a place, in proportion to alpha
-        beta[n] = 1.0
-        for j in range(n, 0, -1):
-            mass = beta[j]
-            if mass <= 0.0:
+        alpha, arcs = self._arcs(word)
+        mass = [0.0] * len(data) + [count]  # of segmentations that pass through a place
+        for j in range(len(data), 0, -1):
+            m = mass[j]
+            if m <= 0.0:
                 continue
-            for i in range(j - longest if j > longest else 0, j):
+            end = alpha[j]
+            for i, v in arcs[j]:
+                share = m * exp(v - end)
+                mass[i] += share
                 piece = data[i:j]
-                p = get(piece)
-                if p is not None and alpha[i] > -math.inf:
-                    share = mass * math.exp(alpha[i] + p - alpha[j])
-                    if share > 1e-9:
-                        beta[i] += share
-                        into[piece] = into.get(piece, 0.0) + count * share
+                into[piece] = into.get(piece, 0.0) + share
 
     def updated(self, expected: dict[bytes, float], ends: float, prior: float = 1000.0) -> Lattice:
         """Probabilities from expected counts, the old ones counting as ``prior`` uses."""
@@ -113,6 +130,8 @@ class Lattice:
 
 
 _LN10 = math.log(10)
+_MISSING = object()
+_second = itemgetter(1)
 
 
 def _texts(docs: DataFrame, train: Column) -> DataFrame:
