@@ -155,10 +155,23 @@ def signatures(s: np.ndarray) -> np.ndarray:
     return np.concatenate([*out, mix(s ^ np.uint64(0x5851F42D4C957F2D))])
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """Parity sketch of 64 * SKETCH_LONGS bits, as signed longs."""
-    bits = np.bincount((s & np.uint64(64 * SKETCH_LONGS - 1)).astype(np.int64), minlength=64 * SKETCH_LONGS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+def sketch(s: np.ndarray) -> bytes:
+    """Parity sketch of four to eight bits a member, a power of two and 64 * SKETCH_LONGS at least; one of half the length is its halves' exclusive or."""
+    longs = SKETCH_LONGS
+    while longs * 16 < len(s):
+        longs *= 2
+    bits = np.bincount((s & np.uint64(64 * longs - 1)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def folded(data: bytes, longs: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(np.frombuffer(data, np.uint64).reshape(-1, longs), axis=0)
+
+
+def distance(a: bytes, b: bytes) -> int:
+    """Hamming distance of two sketches at the length of the shorter: at most the number of shingles in which the sets differ."""
+    longs = min(len(a), len(b)) // 8
+    return int(np.bitwise_count(folded(a, longs) ^ folded(b, longs)).sum())
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
@@ -301,14 +314,14 @@ def candidates(docs: DataFrame, entries: int) -> DataFrame:
 
 # --- verification ------------------------------------------------------------
 
-_SET = row_type(n_shingles="long", d1="long", d2="long", sketch=list_of("long"))
+_SET = row_type(n_shingles="long", d1="long", d2="long", sketch="binary")
 
 
 @F.pandas_udf(_SET)
 def set_summary(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Size, digest and sketch of the shingle set of each text."""
     for s in batches:
-        yield pd.DataFrame([(len(x), *digest(x), sketch(x).tolist()) for texts in slices(s, 1 << 20) for x in shingles(texts)], columns=_SET.names)
+        yield pd.DataFrame([(len(x), *digest(x), sketch(x)) for texts in slices(s, 1 << 20) for x in shingles(texts)], columns=_SET.names)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -334,17 +347,26 @@ def _linked(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterat
         yield pd.Series(out, dtype=bool)
 
 
-def _near(x: str, y: str) -> F.Column:
+@F.pandas_udf(T.BooleanType())
+def _near(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Whether sizes and sketches allow a link: no similar pair fails."""
-    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    far = F.aggregate(F.zip_with(f"{x}.sketch", f"{y}.sketch", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
-    return (F.least(n, m) * 4 >= F.greatest(n, m) * 3) & (far * 7 <= n + m)
+    for n, x, m, y in batches:
+        yield pd.Series([min(a, b) * 4 >= max(a, b) * 3 and distance(p, q) * 7 <= a + b for a, p, b, q in zip(n, x, m, y, strict=True)], dtype=bool)
+
+
+@F.pandas_udf(T.BinaryType())
+def _shortened(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """A sketch folded to SKETCH_LONGS longs."""
+    for s in batches:
+        yield pd.Series([folded(x, SKETCH_LONGS).tobytes() for x in s], dtype=object)
 
 
 def _possible(pairs: DataFrame, light: DataFrame) -> DataFrame:
-    """The pairs (a, b) that sizes and sketches allow; light: doc_id, n, sketch."""
-    x, y = light.withColumnRenamed("doc_id", "a").alias("x"), light.withColumnRenamed("doc_id", "b").alias("y")
-    return pairs.join(x, "a").join(y, "b").where(_near("x", "y")).select("a", "b")
+    """The pairs (a, b) that sizes and sketches allow; light: doc_id, n, sketch. All are sifted by short sketches first, so that long ones travel with few pairs."""
+    for sketches in (light.withColumn("sketch", _shortened("sketch")), light):
+        x, y = sketches.withColumnRenamed("doc_id", "a").alias("x"), sketches.withColumnRenamed("doc_id", "b").alias("y")
+        pairs = durable(pairs.join(x, "a").join(y, "b").where(_near("x.n", "x.sketch", "y.n", "y.sketch")).select("a", "b"), "jaccard-near")
+    return pairs
 
 
 #: Bits of the filter below: at most FILTER / 64 rows are broadcast, whatever the number of documents.
@@ -410,59 +432,63 @@ def _pair(x: str, y: str) -> list[F.Column]:
 FOLDED, BLOCK = 8, 2048
 
 
-def _sift(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(a, b) across components whose sizes and folded sketches allow a link, in the groups of a bucket; of a block pair (i, j) only pairs between i and j."""
-    pdf = pdf.sort_values(["grp", "i", "j"], kind="stable")
-    keys = pdf[["grp", "i", "j"]].to_numpy()
-    doc, comp, n, side = (pdf[c].to_numpy() for c in ("doc", "comp", "n", "side"))
-    bits = np.frombuffer(b"".join(pdf["bits"]), dtype=np.uint64).reshape(len(pdf), FOLDED)
-    starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
-    sizes = np.diff(np.append(starts, len(pdf)))
-    lo, hi = [], []
-
-    def compare(x: np.ndarray, y: np.ndarray) -> None:
-        ok = (comp[x] != comp[y]) & ((side[x] == 2) | (side[x] != side[y])) & (np.minimum(n[x], n[y]) * 4 >= np.maximum(n[x], n[y]) * 3)
-        x, y = x[ok], y[ok]
-        near = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) * 7 <= n[x] + n[y]
-        lo.append(np.minimum(doc[x], doc[y])[near])
-        hi.append(np.maximum(doc[x], doc[y])[near])
-
-    for k in np.unique(sizes).tolist():
-        at = starts[sizes == k]
-        if k <= 64:  # all groups of a size at once
-            i, j = np.triu_indices(k, 1)
-            for some in np.array_split(at, max(1, len(at) * len(i) // 200_000)):
-                compare((some[:, None] + i).ravel(), (some[:, None] + j).ravel())
-        else:
-            for s in at.tolist():
-                for i in range(k - 1):
-                    compare(np.full(k - 1 - i, s + i), np.arange(s + i + 1, s + k))
-    out = np.unique(np.column_stack([np.concatenate([*lo, np.zeros(0, np.int64)]), np.concatenate([*hi, np.zeros(0, np.int64)])]), axis=0)
-    return pd.DataFrame(out.astype(np.int64), columns=["a", "b"])
+def _sift(hubs: int, turn: int):
+    """(a, b) across components whose sizes and folded sketches allow a link, in the groups of a bucket: all such pairs,
+    or those with one of ``hubs`` members of the group, another choice in each turn. Of a block pair (i, j) only pairs between i and j."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        doc = pdf["doc"].to_numpy()
+        chance = mix(doc.view(np.uint64) ^ np.uint64(turn + 1)) if hubs else np.arange(len(doc), dtype=np.uint64)
+        order = np.lexsort((chance, pdf["j"].to_numpy(), pdf["i"].to_numpy(), pdf["grp"].to_numpy()))
+        pdf = pdf.iloc[order]
+        keys = pdf[["grp", "i", "j"]].to_numpy()
+        doc, comp, n, side = (pdf[c].to_numpy() for c in ("doc", "comp", "n", "side"))
+        bits = np.frombuffer(b"".join(pdf["bits"]), dtype=np.uint64).reshape(len(pdf), FOLDED)
+        starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
+        sizes = np.diff(np.append(starts, len(pdf)))
+        found = [np.zeros((0, 2), np.int64)]
+
+        def compare(x: np.ndarray, y: np.ndarray) -> None:
+            ok = (comp[x] != comp[y]) & ((side[x] == 2) | (side[x] != side[y])) & (np.minimum(n[x], n[y]) * 4 >= np.maximum(n[x], n[y]) * 3)
+            x, y = x[ok], y[ok]
+            near = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) * 7 <= n[x] + n[y]
+            x, y = doc[x[near]], doc[y[near]]
+            found.append(np.unique(np.column_stack([np.minimum(x, y), np.maximum(x, y)]), axis=0))
+
+        for k in np.unique(sizes).tolist():
+            at, rows = starts[sizes == k], min(hubs or k, k - 1)
+            if k <= 64:  # all groups of a size at once
+                i, j = np.triu_indices(k, 1)
+                i, j = i[i < rows], j[i < rows]
+                for some in np.array_split(at, max(1, len(at) * len(i) // 200_000)):
+                    compare((some[:, None] + i).ravel(), (some[:, None] + j).ravel())
+            else:
+                for s in at.tolist():
+                    for i in range(rows):
+                        compare(np.full(k - 1 - i, s + i), np.arange(s + i + 1, s + k))
+        return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
+
+    return run
 
 
 @F.pandas_udf(T.BinaryType())
 def _fold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """A sketch folded to FOLDED longs: folds of two sketches differ in no more bits than they do."""
+    """A sketch folded to FOLDED longs."""
     for s in batches:
-        if len(s):
-            x = np.bitwise_xor.reduce(np.stack(s.to_numpy()).astype(np.int64).reshape(len(s), -1, FOLDED), axis=1)
-            yield pd.Series([r.tobytes() for r in x])
-        else:
-            yield pd.Series([], dtype=object)
+        yield pd.Series([folded(x, FOLDED).tobytes() for x in s], dtype=object)
 
 
-def _remaining(split: DataFrame, light: DataFrame) -> DataFrame:
-    """(a, b): all pairs of groups across components that sizes and folded sketches allow. A group of more than BLOCK members is compared in pairs of blocks, each a task's share."""
-    folded = light.select(F.col("doc_id").alias("doc"), "n", _fold("sketch").alias("bits"))
+def _sifted(split: DataFrame, light: DataFrame, hubs: int = 0, turn: int = 0) -> DataFrame:
+    """(a, b): pairs of groups across components that sizes and folded sketches allow, all or those of some hubs. A group of more than BLOCK members is compared in pairs of blocks, each a task's share."""
+    short = light.select(F.col("doc_id").alias("doc"), "n", _fold("sketch").alias("bits"))
     blocks = split.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
-    x = split.join(blocks, "grp").join(folded, "doc").withColumn("m", F.pmod(F.xxhash64("doc"), F.col("k")).cast("int"))
+    x = split.join(blocks, "grp").join(short, "doc").withColumn("m", F.pmod(F.xxhash64("doc"), F.col("k")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")
     x = x.select("grp", "doc", "comp", "n", "bits", "k", "m", other)
     # side: 0 and 1 for the two blocks of a pair, 2 where a block meets itself
     x = x.select("grp", "doc", "comp", "n", "bits", F.least("m", "o").alias("i"), F.greatest("m", "o").alias("j"), F.when(F.col("m") == F.col("o"), 2).when(F.col("m") < F.col("o"), 0).otherwise(1).alias("side"))
     spread = F.pmod(F.xxhash64("grp", "i", "j"), F.lit(max(48, split.count() // 200_000)))
-    return x.groupBy(spread.alias("bucket")).applyInPandas(_sift, row_type(a="long", b="long")).distinct()
+    return x.groupBy(spread.alias("bucket")).applyInPandas(_sift(hubs, turn), row_type(a="long", b="long")).distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -482,7 +508,7 @@ def classes(docs: DataFrame) -> DataFrame:
     rep = lambda c: copies.select(F.col("doc_id").alias(c), F.col("rep").alias(f"{c}_rep"))
     tested = found.where("pair").select("x", "y").distinct().join(rep("x"), "x").join(rep("y"), "y").where("x_rep <> y_rep").select(*_pair("x_rep", "y_rep")).distinct()
     tested = durable(tested, "jaccard-pairs")
-    proved = durable(_verified(durable(_possible(tested, light), "jaccard-near"), named), "jaccard-links")
+    proved = durable(_verified(_possible(tested, light), named), "jaccard-links")
     comps, split = components(proved), groups
     for turn in range(HUB_TURNS + 1):
         lookup = copies.select(F.col("doc_id").alias("doc"), "rep").join(comps.select(F.col("doc").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
@@ -490,15 +516,9 @@ def classes(docs: DataFrame) -> DataFrame:
         split = _across(split.select("grp", "doc"), lookup)
         if split.isEmpty():
             break
-        if turn == HUB_TURNS:
-            more = _remaining(split, light)
-        else:  # further members as hubs: in every group the smallest by a hash in each of some residues
-            order = F.xxhash64("doc", F.lit(turn))
-            chosen = split.groupBy("grp", F.pmod(order, F.lit(HUBS)).alias("r")).agg(F.min_by(F.struct("doc", "comp"), order).alias("h")).select("grp", F.col("h.doc").alias("hub"), F.col("h.comp").alias("hub_comp"))
-            more = split.join(chosen, "grp").where("comp <> hub_comp").select(*_pair("hub", "doc")).distinct()
-        more = durable(more.join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
-        near = durable(_possible(more, light), "jaccard-near")
-        tested = tested.unionByName(more)
+        # some turns compare further members of each group with all others of it, the last one whatever is left
+        more = durable(_sifted(split, light, HUBS if turn < HUB_TURNS else 0, turn).join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
+        near, tested = _possible(more, light), tested.unionByName(more)
         if not near.isEmpty():
             proved = proved.unionByName(durable(_verified(near, named), "jaccard-links"))
             comps = components(proved)
