@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +62,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
 _TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "binary": T.BinaryType(), "boolean": T.BooleanType()}
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Smaller Arrow batches for Python steps that hold several arrays a text; for what runs inside the block."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def row_type(**fields) -> T.StructType:
     """A struct type from names of simple types (or types); unlike DDL text it needs no session at import."""
     return T.StructType([T.StructField(k, _TYPES.get(v, v) if isinstance(v, str) else v) for k, v in fields.items()])

@@ -35,10 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import durable, fresh, list_of, row_type, slices
+from ._common import durable, fresh, row_type, slices, small_batches
 
 N_WORDS = 5
 SKETCH_LONGS = 32
+#: Characters of text that are hashed at once.
+SLICE = 1 << 18
 #: Entries of the signature join that one task of it holds, about.
 BUCKET = 1_500_000
 #: Rounds in which further members of unsettled groups are compared with all others, and how many of them each.
@@ -66,7 +68,7 @@ _BYTES = mix(np.arange(256, dtype=np.uint64))
 def _powers(n: int) -> list[np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2^64, for rolling hashes of words."""
     if len(_POWERS[0]) < n:
-        n = max(n, 1 << 20)
+        n = max(n, 2 * SLICE)
         for k, base in enumerate((_ODD, pow(_ODD, -1, 1 << 64))):
             p = np.full(n, base, dtype=np.uint64)
             p[0] = 1
@@ -208,7 +210,7 @@ def _unpacked(n: int, blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(blob, np.uint32, n, 9), np.cumsum(np.concatenate(([first], step)))
 
 
-def _emit(buckets: int, flush: int = 1_500_000):
+def _emit(buckets: int, flush: int = 600_000):
     """Texts to packed join entries. Of the documents of one flush that share a key only the smallest
     enters the join; the others are told with it at once (LOCAL), so that a hot key sends one entry a flush."""
 
@@ -240,7 +242,7 @@ def _emit(buckets: int, flush: int = 1_500_000):
         size = 0
         for p in batches:
             ids, at = p["doc_id"].tolist(), 0
-            for texts in slices(p["text"], 1 << 20):
+            for texts in slices(p["text"], SLICE):
                 for s in shingles(texts):
                     d = ids[at]
                     at += 1
@@ -321,7 +323,7 @@ _SET = row_type(n_shingles="long", d1="long", d2="long", sketch="binary")
 def set_summary(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Size, digest and sketch of the shingle set of each text."""
     for s in batches:
-        yield pd.DataFrame([(len(x), *digest(x), sketch(x)) for texts in slices(s, 1 << 20) for x in shingles(texts)], columns=_SET.names)
+        yield pd.DataFrame([(len(x), *digest(x), sketch(x)) for texts in slices(s, SLICE) for x in shingles(texts)], columns=_SET.names)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -337,7 +339,7 @@ def _linked(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterat
     last, of_last = None, None
     for a_id, a_text, b_text in batches:
         out, at = [], 0
-        for texts in slices(b_text, 1 << 20):
+        for texts in slices(b_text, SLICE):
             for s in shingles(texts):
                 key = (a_id.iat[at], a_text.iat[at])
                 if key != last:
@@ -493,6 +495,11 @@ def _sifted(split: DataFrame, light: DataFrame, hubs: int = 0, turn: int = 0) ->
 
 def classes(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles and component_id."""
+    with small_batches(docs.sparkSession):  # all steps in Python run in here, into tables
+        return _classes(docs)
+
+
+def _classes(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = durable(docs.select("doc_id", set_summary("text").alias("s")).select("doc_id", "s.*"), "jaccard-sets")
     known = sets.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
