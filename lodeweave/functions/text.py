@@ -17,7 +17,7 @@ TOKEN = "[a-zA-Z0-9\\u00C0-\\u024F]"
 def trigrams(text: Column) -> Column:
     """Distinct 3-grams of the lower-cased words, each padded by two blanks before and one after."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    padded = F.transform(words, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
+    padded = F.transform(F.array_distinct(words), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
     grams = F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))
     return F.array_distinct(F.flatten(grams))
 

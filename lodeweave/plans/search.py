@@ -45,12 +45,12 @@ VEC = f"vec AS (SELECT vec_id AS id, 1 - {COS} AS distance, row_number() OVER (O
 
 @register("q1_trgm", f"SELECT doc_id, round({SIM('g', 'q')}, 8) AS sim FROM (SELECT doc_id, {TRGM('left(text, 200)')} AS g, {TRGM(chr(39) + QUERY + chr(39))} AS q FROM documents)")
 def q1(spark, sf):
-    return load(spark, sf, "documents").select("doc_id", r(X.trgm_similarity(F.left("text", F.lit(200)), F.lit(QUERY))).alias("sim"))
+    return load(spark, sf, "documents").select("doc_id", r(X.trgm_similarity(F.col("text"), F.lit(QUERY))).alias("sim"))
 
 
 def lexical_list(spark, sf, k=100) -> DataFrame:
-    d = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.left("text", F.lit(200)).alias("head"))
-    found = S.lexical(d, [F.col("head")], F.lit(QUERY), 0.1, 0.0).select("id", "score")
+    d = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    found = S.lexical(d, [F.col("text")], F.lit(QUERY), 0.1, 0.0).select("id", "score")
     return S.ranked(found, [F.col("score").desc(), F.col("id")], k)
 
 
@@ -74,7 +74,7 @@ def q3(spark, sf):
 SELECT id, round(greatest(st, ss, CASE WHEN a THEN 1.0 WHEN b THEN 0.95 ELSE 0.0 END), 8) AS score FROM (SELECT id, title ILIKE '%tion%' AS a, left(content, 200) ILIKE '%tion%' AS b, {SIM('gt', 'q')} AS st, {SIM('gs', 'q')} AS ss FROM (SELECT id, title, content, {TRGM('title')} AS gt, {TRGM('left(content, 200)')} AS gs, {TRGM("'tion'")} AS q FROM memories)) WHERE a OR b OR st >= 0.3 OR ss >= 0.3""")
 def q4(spark, sf):
     m = memories(spark, sf)
-    return S.memory_lexical(m, F.col("title"), F.left("content", F.lit(200)), "tion").select("id", r("score").alias("score"))
+    return S.memory_lexical(m, F.col("title"), F.col("content"), "tion").select("id", r("score").alias("score"))
 
 
 @register("q5_knn_cosine", f"WITH {QV} SELECT vec_id, round(1 - {COS}, 8) AS distance, round(1 - (1 - {COS}) / 2, 8) AS half, round({COS}, 8) AS complement, row_number() OVER (ORDER BY round(1 - {COS}, 12), vec_id) AS rank FROM embeddings, qv QUALIFY rank <= 10")
