@@ -102,8 +102,10 @@ def e9b(spark, sf):
 
 @register("e10_candidates", f"{M} SELECT id FROM memories WHERE created_at < TIMESTAMP '2024-01-03 00:00:00' AND (lang = 'en' OR list_has_any(tags, ['x:candidate']))")
 def e10(spark, sf):
+    """Memories of the last 30 days before the newest one."""
     m = memories(spark, sf)
-    return m.where((F.col("created_at") < F.lit("2024-01-03 00:00:00").cast("timestamp_ntz")) & ((F.col("lang") == "en") | D.any_tag(F.col("tags"), ["x:candidate"]))).select("id")
+    newest = F.broadcast(m.agg(F.max("created_at").alias("now")))
+    return m.crossJoin(newest).where((F.col("created_at") >= F.col("now") - F.make_dt_interval(days=F.lit(30))) & ((F.col("lang") == "en") | D.any_tag(F.col("tags"), ["x:candidate"]))).select("id")
 
 
 @register("e11_consolidate", f"{M} SELECT id, title, array_to_string(tags, ',') AS tags, deleted_at IS NOT NULL OR source = 'src1' AS deleted FROM memories UNION ALL SELECT 1000000 + max(id), 'Summary of ' || count(*), 'src1:summary,sys:consolidated', false FROM memories WHERE source = 'src1' AND deleted_at IS NULL")

@@ -120,19 +120,23 @@ def g20(spark, sf):
     return x.agg(F.count("*").alias("calls"), F.round(F.coalesce(F.try_divide(F.lit(100.0) * F.count("node_id"), F.count("*")), F.lit(100.0)), 6).alias("accuracy"))
 
 
+#: Percent of the parts that a zoomed-out view starts from, the default of the view.
+ZOOM = 30
 _IMPORTANCE = "CASE WHEN p_brand = 'Brand#1' THEN 1.0 ELSE least(p_size / 100.0, 1.0) * 0.4 + least(p_retailprice / 500.0, 1.0) * 0.3 + least(length(p_name) / 100.0, 1.0) * 0.3 END"
 
 
 @register("g21_zoom_scores", f"SELECT p_partkey, round({_IMPORTANCE}, 8)::DOUBLE AS score FROM part ORDER BY round({_IMPORTANCE}, 8) DESC, p_partkey LIMIT 100")
 def g21(spark, sf):
+    """The best ZOOM percent of the parts."""
     kind = F.when(F.col("p_brand") == "Brand#1", "Module").otherwise("Function")
     score = F.round(G.importance(F.col("p_size"), F.col("p_retailprice"), F.length("p_name"), kind), 8)
-    return load(spark, sf, "part").select("p_partkey", score.alias("score")).orderBy(F.col("score").desc(), "p_partkey").limit(100)
+    parts = load(spark, sf, "part")
+    return parts.select("p_partkey", score.alias("score")).orderBy(F.col("score").desc(), "p_partkey").limit(-(-parts.count() * ZOOM // 100))
 
 
 @register("g21b_zoom_ancestors", f"{E}, par AS (SELECT dst AS node, max(src) AS parent FROM edges GROUP BY dst), t(node) AS (SELECT 1000000::BIGINT + p_partkey FROM part WHERE p_partkey < 5 UNION SELECT parent FROM t JOIN par USING (node)) SELECT node FROM t")
 def g21b(spark, sf):
-    chosen = load(spark, sf, "part").where("p_partkey < 5").select((F.lit(1000000) + F.col("p_partkey")).alias("node"))
+    chosen = g21(spark, sf).select((F.lit(1000000) + F.col("p_partkey")).alias("node"))
     return G.with_ancestors(chosen, edges(spark, sf))
 
 

@@ -6,6 +6,7 @@ import re
 import pytest
 
 from lodeweave import catalog
+from lodeweave.plans import graphs
 from lodeweave.plans import search as plans
 
 Q = catalog.queries()
@@ -38,3 +39,25 @@ def test_lexical_search_reads_whole_texts(spark, tables):
     assert {r["id"]: r["score"] for r in Q["q2_lexical"](spark, sf).collect()} == pytest.approx({k: v for k, v in want.items() if v > 0.1}, abs=1e-7)
     assert {r["doc_id"] for r in Q["q3_similarity_threshold"](spark, sf).collect()} == {k for k, v in want.items() if v >= 0.3} == {0, 1}
     assert {r["id"]: r["score"] for r in Q["q4_memory_lexical"](spark, sf).collect()} == {4: 0.95}
+
+
+def test_candidates_are_those_of_the_last_days(spark, tables):
+    sf = tables([(i, "text", "en" if i % 2 else "xx", "s") for i in range(0, 2000, 5)])
+    got = {r["id"] for r in Q["e10_candidates"](spark, sf).collect()}
+    assert got == {i for i in range(0, 2000, 5) if i % 2 and i >= 1995 - 30 * 24}
+
+
+def test_zoom_takes_a_percentage_and_its_ancestors(spark, tmp_path):
+    parts = [(i, f"p{i}", "Brand#2", i % 50, 100.0 + i) for i in range(301)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(900 + i % 3, i) for i in range(301)], "l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    score = lambda p: round(p[3] / 100 * 0.4 + min(p[4] / 500, 1) * 0.3 + len(p[1]) / 100 * 0.3, 8)
+    best = [p[0] for p in sorted(parts, key=lambda p: (-score(p), p[0]))[: -(-301 * graphs.ZOOM // 100)]]
+    assert [r["p_partkey"] for r in Q["g21_zoom_scores"](spark, str(tmp_path)).collect()] == best
+    up = {1000000 + i: 900 + i % 3 for i in range(301)} | {k: max(1000000 + i for i in range(301) if i % 7 == k) for k in range(7)}
+    want = set()
+    for n in (1000000 + i for i in best):
+        while n is not None and n not in want:
+            want.add(n)
+            n = up.get(n)
+    assert {r["node"] for r in Q["g21b_zoom_ancestors"](spark, str(tmp_path)).collect()} == want
