@@ -81,7 +81,7 @@ def barrel(source: Column) -> Column:
 
 # Leading folders that are no part of a module's name, and file suffixes, by language.
 ROOT_FOLDERS = {"python": ["api", "src"], "javascript": ["src"], "typescript": ["src"], "go": ["pkg"], "java": ["src", "main", "java"], "php": ["src", "app"]}
-SUFFIXES = {"python": [".py"], "javascript": [".js", ".jsx"], "go": [".go"], "java": [".java"], "php": [".php"]}
+SUFFIXES = {"python": [".py"], "javascript": [".js", ".jsx"], "typescript": [".ts", ".tsx"], "go": [".go"], "java": [".java"], "php": [".php"]}
 
 
 def module_path(path: Column, language: str = "python") -> Column:

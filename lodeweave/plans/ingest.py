@@ -132,7 +132,11 @@ def i9(spark, sf):
 
 @register("i10_name_path", f"WITH {PATHS} SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN source || '.' || lang || '.main' WHEN 5 THEN source || '.' || lang || '.README.md' WHEN 7 THEN source || '.' || lang || '.noext' ELSE replace(substr(path, 5), '/', '.') END AS module FROM paths p JOIN documents USING (doc_id) WHERE doc_id % 8 IN (0, 5, 7)")
 def i10(spark, sf):
-    return paths(spark, sf).where((F.col("doc_id") % 8).isin(0, 5, 7)).select("doc_id", I.module_path(F.col("path")).alias("module"))
+    """Module names by the rules of each path's language; those of no language by the general ones."""
+    kind, name = S.language(F.col("path")), I.module_path(F.col("path"), "")
+    for language in I.ROOT_FOLDERS:
+        name = F.when(kind == language, I.module_path(F.col("path"), language)).otherwise(name)
+    return paths(spark, sf).select("doc_id", name.alias("module"))
 
 
 @register("i10b_parents", "WITH c AS (SELECT o_custkey AS f, o_orderkey AS id, o_orderkey % 97 AS a, o_orderkey % 97 + o_orderkey % 13 AS b, o_orderkey % 3 = 0 AS cls FROM orders) SELECT c.id, string_agg(p.id, '.' ORDER BY p.a - p.b, p.id) AS outer_ids FROM c JOIN c p ON p.f = c.f AND p.cls AND p.a < c.a AND p.b > c.b GROUP BY c.id")

@@ -61,3 +61,9 @@ def test_zoom_takes_a_percentage_and_its_ancestors(spark, tmp_path):
             want.add(n)
             n = up.get(n)
     assert {r["node"] for r in Q["g21b_zoom_ancestors"](spark, str(tmp_path)).collect()} == want
+
+
+def test_module_names_of_all_languages(spark, tables):
+    sf = tables([(i, "text", "en", "s") for i in range(16)])
+    want = ["s.en.main", "s.en", "s.en.vite.config", "s.en.a.spec", "s.en.__tests__.b", "s.en.README.md", "src.s.en.src.x.GO", "s.en.noext"]
+    assert {r["doc_id"]: r["module"] for r in Q["i10_name_path"](spark, sf).collect()} == {i: want[i % 8] for i in range(16)}
