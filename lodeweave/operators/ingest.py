@@ -42,6 +42,12 @@ def fixed_chunks(text: Column, size: int = 2000) -> Column:
     return F.transform(kept, lambda c: F.when(tail.isNotNull() & (c["n"] == cut - 1), F.struct(c["n"].alias("n"), c["start_line"].alias("start_line"), tail["end_line"].alias("end_line"), F.concat(c["body"], F.lit("\n"), tail["body"]).alias("body"))).otherwise(c))
 
 
+def limited_chunks(files: DataFrame, path: Column, text: Column, most: int = 50, lines: int = 5000) -> DataFrame:
+    """files with c, a row for each of the first ``most`` fixed chunks of a file; .d.ts files of more than ``lines`` lines are skipped."""
+    long = path.endswith(".d.ts") & (F.size(F.split(text, "\n")) > lines)
+    return files.where(~F.coalesce(long, F.lit(False))).withColumn("c", F.explode(F.slice(fixed_chunks(text), 1, most)))
+
+
 def markdown_sections(text: Column) -> Column:
     """Array of (name, start_line, body): sections from one '## ' line to the next; what stands before the first belongs to it; without such lines one section 'content'."""
     header = r"##[ \t]+[^\n]"

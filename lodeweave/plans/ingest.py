@@ -163,10 +163,9 @@ def i11(spark, sf):
 
 @register("i12_limits", "SELECT source, doc_id FROM documents WHERE n_chars <= 5000 QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 50")
 def i12(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return load(spark, sf, "documents").where("n_chars <= 5000").withColumn("k", F.row_number().over(w)).where("k <= 50").select("source", "doc_id")
+    """Chunks of files: the first 50 of each, none of declaration files of more than 5000 lines."""
+    files = paths(spark, sf).join(load(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    return I.limited_chunks(files, F.col("path"), F.col("text")).select("source", "doc_id", "c.*")
 
 
 @register("i13_summary", "SELECT source, count(*) AS files, count(*) FILTER (WHERE n_chars > 0) AS ok, sum(CAST(ceil(n_chars / 2000.0) AS BIGINT))::BIGINT AS chunks FROM documents GROUP BY source")

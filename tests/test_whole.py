@@ -6,6 +6,7 @@ import re
 import pytest
 
 from lodeweave import catalog
+from lodeweave.operators import ingest
 from lodeweave.plans import graphs
 from lodeweave.plans import search as plans
 
@@ -67,3 +68,13 @@ def test_module_names_of_all_languages(spark, tables):
     sf = tables([(i, "text", "en", "s") for i in range(16)])
     want = ["s.en.main", "s.en", "s.en.vite.config", "s.en.a.spec", "s.en.__tests__.b", "s.en.README.md", "src.s.en.src.x.GO", "s.en.noext"]
     assert {r["doc_id"]: r["module"] for r in Q["i10_name_path"](spark, sf).collect()} == {i: want[i % 8] for i in range(16)}
+
+
+def test_limits_are_by_lines_and_by_chunks_of_a_file(spark, tables):
+    long = "\n".join(f"line {i} of a long text" for i in range(6000))
+    sf = tables([(0, long, "en", "s"), *((i, f"short text {i}", "en", "s") for i in range(1, 70))])
+    got = [(r["doc_id"], r["n"]) for r in Q["i12_limits"](spark, sf).collect()]
+    assert sorted(got) == [(0, n) for n in range(50)] + [(i, 0) for i in range(1, 70)]
+    files = spark.createDataFrame([("a.d.ts", long), ("b.d.ts", "short"), ("c.ts", long)], "path string, text string")
+    kept = ingest.limited_chunks(files, files["path"], files["text"]).groupBy("path").count().collect()
+    assert {r["path"]: r["count"] for r in kept} == {"b.d.ts": 1, "c.ts": 50}
