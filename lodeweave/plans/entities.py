@@ -47,7 +47,8 @@ pairs AS (SELECT a.id AS a, b.id AS b, count(*) AS shared, sum(ln(greatest(1, to
 @register("e5_relationship", f"WITH {MEMORIES_SQL}, {_PAIRS}, sz AS (SELECT id, count(*) AS n FROM ent GROUP BY id) SELECT a, b, round(least(1.0, 0.5 * shared_idf / greatest(1, x.n + y.n - shared) + 0.2 * len(list_intersect(s.tags, t.tags)) / len(list_distinct(list_concat(s.tags, t.tags)))), 6) AS score, CASE WHEN len(list_intersect(s.tags, t.tags)) > 0 THEN 'shared_entity,shared_tag' ELSE 'shared_entity' END AS types FROM pairs JOIN sz x ON x.id = a JOIN sz y ON y.id = b JOIN memories s ON s.id = a JOIN memories t ON t.id = b WHERE least(1.0, 0.5 * shared_idf / greatest(1, x.n + y.n - shared) + 0.2 * len(list_intersect(s.tags, t.tags)) / len(list_distinct(list_concat(s.tags, t.tags)))) >= 0.1")
 def e5(spark, sf):
     total = load(spark, sf, "documents").count()
-    return R.relationship_scores(entities(spark, sf), memories(spark, sf), total).withColumn("score", r("score"))
+    marks = memories(spark, sf).select("id", F.array("lang", "source").alias("concepts"), "tags")
+    return R.relationships(entities(spark, sf), marks, total).withColumn("score", r("score"))
 
 
 @register("e6_store_relationships", "WITH new AS (SELECT o_custkey AS a, o_orderkey AS b, o_totalprice AS score FROM orders WHERE o_orderkey % 3 = 0), old AS (SELECT o_custkey AS a, o_orderkey AS b, 0.0 AS score FROM orders WHERE o_orderkey % 2 = 0) SELECT coalesce(n.a, o.a) AS a, coalesce(n.b, o.b) AS b, coalesce(n.score, o.score)::DOUBLE AS score FROM old o FULL JOIN new n ON n.a = o.a AND n.b = o.b")

@@ -1,12 +1,13 @@
 """Queries over small tables, held against plain Python: nothing of the input is left out."""
 from __future__ import annotations
 
+import math
 import re
 
 import pytest
 
 from lodeweave import catalog
-from lodeweave.operators import ingest
+from lodeweave.operators import ingest, relations
 from lodeweave.plans import graphs
 from lodeweave.plans import search as plans
 
@@ -78,3 +79,28 @@ def test_limits_are_by_lines_and_by_chunks_of_a_file(spark, tables):
     files = spark.createDataFrame([("a.d.ts", long), ("b.d.ts", "short"), ("c.ts", long)], "path string, text string")
     kept = ingest.limited_chunks(files, files["path"], files["text"]).groupBy("path").count().collect()
     assert {r["path"]: r["count"] for r in kept} == {"b.d.ts": 1, "c.ts": 50}
+
+
+def test_relationships_by_concepts_and_tags(spark):
+    ents = {1: {"redis", "kafka"}, 2: {"redis"}, 3: set(), 4: set(), 5: {"lone"}, 6: set()}
+    cons = {1: {"cache"}, 2: {"cache", "x"}, 3: {"x"}, 4: set(), 5: {"y"}, 6: {"z"}}
+    tags = {1: {"t"}, 2: set(), 3: {"u"}, 4: {"u"}, 5: {"t", "u"}, 6: {"w"}}
+    e = spark.createDataFrame([(i, n) for i in ents for n in ents[i]], "id long, name string")
+    m = spark.createDataFrame([(i, sorted(cons[i]), sorted(tags[i])) for i in cons], "id long, concepts array<string>, tags array<string>")
+    for least in (0.0, 0.1, 0.15):
+        want = {}
+        for a in ents:
+            for b in range(a + 1, 7):
+                idf = sum(math.log(100 / sum(n in v for v in ents.values())) for n in ents[a] & ents[b])
+                score = min(1.0, 0.5 * idf / max(1, len(ents[a] | ents[b])) + sum(w * len(f[a] & f[b]) / max(1, len(f[a] | f[b])) for w, f in ((0.3, cons), (0.2, tags))))
+                kinds = [k for k, f in (("shared_entity", ents), ("shared_concept", cons), ("shared_tag", tags)) if f[a] & f[b]]
+                if kinds and score >= least:
+                    want[a, b] = score, ",".join(kinds)
+        got = {(r["a"], r["b"]): r for r in relations.relationships(e, m, 100, least).collect()}
+        assert {k: r["types"] for k, r in got.items()} == {k: v[1] for k, v in want.items()}
+        assert {k: r["score"] for k, r in got.items()} == pytest.approx({k: v[0] for k, v in want.items()})
+
+
+def test_relationship_query_keeps_pairs_without_entities(spark, tables):
+    sf = tables([(0, "no names", "en", "s"), (1, "none here", "en", "s"), (2, "nor here", "de", "other")], [(2, 1, 0)])
+    assert [tuple(r) for r in Q["e5_relationship"](spark, sf).collect()] == [(0, 1, 0.5, "shared_concept,shared_tag")]
