@@ -111,6 +111,28 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select(*edges.columns)
 
 
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, component) for the ends of edges (a, b): component is the smallest node that can be reached, by alternating large and small stars."""
+    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    before = None
+    for _ in range(rounds):
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+    else:
+        raise RuntimeError(f"components not settled after {rounds} rounds")
+    found = e.groupBy("u").agg(F.min("v").alias("component"))
+    roots = found.select(F.col("component").alias("node"), "component").distinct()
+    return found.withColumnRenamed("u", "node").unionByName(roots)
+
+
 def matrix_summary(edges: DataFrame) -> DataFrame:
     """(dependencies, circular): distinct cells of the dependency matrix, and mutual cells by two (a loop is half)."""
     cells = edges.select("src", "dst").distinct()

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..functions import documents as D
+from ..operators import graph as G
 from ..operators import relations as R
+from ..operators.lineage import cut
 from ..sources.tables import ENTITIES_SQL, MEMORIES_SQL, entities, load, memories, names
 
 M = f"WITH {MEMORIES_SQL}"
@@ -74,22 +76,22 @@ def e7(spark, sf):
 
 @register("e8_consolidation_groups")
 def e8(spark, sf):
-    """Greedy groups inside each source: the order of pairs matters, so a source's pairs are grouped by one function."""
-    m = memories(spark, sf)
+    """Greedy groups: the order of pairs matters inside a connected part of the pair graph, so each part is grouped by one function."""
+    concepts = memories(spark, sf).select("id", F.array("lang", "source").alias("concepts"))
     total = load(spark, sf, "documents").count()
     e = entities(spark, sf)
-    pairs = R.consolidation_pairs(e, m.select("id", F.array("lang", "source").alias("concepts")), total, 0.3)
-    names = e.groupBy("id").agg(F.sort_array(F.collect_set("name")).alias("names"))
-    src = m.select("id", "source", "lang").join(names, "id")
-    x = pairs.join(src.select(F.col("id").alias("a"), F.col("source"), F.col("lang").alias("la"), F.col("names").alias("na")), "a")
-    x = x.join(src.select(F.col("id").alias("b"), F.col("source").alias("sb"), F.col("lang").alias("lb"), F.col("names").alias("nb")), "b").where("source = sb")
-    x = x.select("source", "a", "b", "score", F.array_intersect("na", "nb").alias("ents"), F.when(F.col("la") == F.col("lb"), F.array("la")).otherwise(F.array().cast("array<string>")).alias("cons"))
+    pairs = cut(R.consolidation_pairs(e, concepts, total, 0.3))
+    own = concepts.join(e.groupBy("id").agg(F.sort_array(F.collect_set("name")).alias("names")), "id")
+    x = pairs.join(own.select(F.col("id").alias("a"), F.col("concepts").alias("ca"), F.col("names").alias("na")), "a")
+    x = x.join(own.select(F.col("id").alias("b"), F.col("concepts").alias("cb"), F.col("names").alias("nb")), "b")
+    x = x.join(G.components(pairs).withColumnRenamed("node", "a"), "a")
+    x = x.select("component", "a", "b", "score", F.array_intersect("na", "nb").alias("ents"), F.array_intersect("ca", "cb").alias("cons"))
 
     def group(p: pd.DataFrame) -> pd.DataFrame:
         made = R.distinct_groups(R.greedy_groups(zip(p["a"], p["b"], p["score"], p["ents"], p["cons"], strict=True)))
-        return pd.DataFrame([(p["source"].iloc[0], ",".join(map(str, sorted(g.members))), round(float(g.score), 6), R.title_of(g)) for g in made], columns=["source", "members", "score", "title"])
+        return pd.DataFrame([(p["component"].iloc[0], ",".join(map(str, sorted(g.members))), round(float(g.score), 6), R.title_of(g)) for g in made], columns=["component", "members", "score", "title"])
 
-    return x.groupBy("source").applyInPandas(group, "source string, members string, score double, title string")
+    return x.groupBy("component").applyInPandas(group, "component long, members string, score double, title string")
 
 
 @register("e9b_backfill", f"WITH {_PAIRS}, sz AS (SELECT id, count(*) AS n FROM ent GROUP BY id) SELECT a, b, round(least(1.0, shared_idf / greatest(1, x.n + y.n - shared)), 6) AS score FROM pairs JOIN sz x ON x.id = a JOIN sz y ON y.id = b")

@@ -7,7 +7,7 @@ import re
 import pytest
 
 from lodeweave import catalog
-from lodeweave.operators import ingest, relations
+from lodeweave.operators import graph, ingest, relations
 from lodeweave.plans import graphs
 from lodeweave.plans import search as plans
 
@@ -104,3 +104,16 @@ def test_relationships_by_concepts_and_tags(spark):
 def test_relationship_query_keeps_pairs_without_entities(spark, tables):
     sf = tables([(0, "no names", "en", "s"), (1, "none here", "en", "s"), (2, "nor here", "de", "other")], [(2, 1, 0)])
     assert [tuple(r) for r in Q["e5_relationship"](spark, sf).collect()] == [(0, 1, 0.5, "shared_concept,shared_tag")]
+
+
+def test_consolidation_groups_span_sources(spark, tables):
+    texts = ["Alphabeta Gammadelta", "Alphabeta Gammadelta", "Alphabeta Gammadelta", "Epsilonzeta Etathetaiota", "Epsilonzeta Etathetaiota", "nothing", "nothing", "nothing"]
+    sf = tables([(i, t, "en", f"s{i}") for i, t in enumerate(texts)])
+    assert {r["members"] for r in Q["e8_consolidation_groups"](spark, sf).collect()} == {"0,1,2", "3,4"}
+
+
+def test_components(spark):
+    chain, star = [(i, i + 1) for i in range(20)], [(100, 100 + i) for i in range(1, 9)]
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame([*chain, *star, (50, 40), (41, 50)], "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(21)} | {100 + i: 100 for i in range(9)} | {40: 40, 41: 40, 50: 40}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
