@@ -117,3 +117,9 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame([*chain, *star, (50, 40), (41, 50)], "a long, b long")).collect()}
     assert got == {i: 0 for i in range(21)} | {100 + i: 100 for i in range(9)} | {40: 40, 41: 40, 50: 40}
     assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_short_names_are_entities(spark, tables):
+    sf = tables([(0, "Hand of Reason", "en", "s"), (1, "the Hand", "de", "t"), (2, "Abc Zuerich", "fr", "u")])
+    assert {tuple(r) for r in Q["e4_entity_frequency"](spark, sf).collect()} == {("Hand", 2), ("Reason", 1), ("Zuerich", 1)}
+    assert [(r["a"], r["b"]) for r in Q["e9b_backfill"](spark, sf).collect()] == [(0, 1)]
