@@ -15,22 +15,73 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our
-    own (local runs and tests only) where the setting is absent."""
+    """The folder that all executors share: spark.checkpoint.dir. Where the
+    setting is absent a local session gets a folder of its own; a cluster has
+    to name one, as executors do not share their machines' folders."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
         base = tempfile.mkdtemp(prefix="lodeweave-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for what runs inside the block; other queries of the same session see it meanwhile."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Smaller Arrow batches, for Python steps that hold several arrays a text."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+class Scratch:
+    """Tables of one operator's run, in the shared folder.
+
+    keep() cuts lineage: it writes a Parquet table and gives back a frame that
+    reads it, so a lost executor costs no more than the step at hand. The write's
+    own shuffle files go when it has ended. drop() deletes tables that nothing
+    reads any more, close() all of them but those named."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.base, self.made = spark, f"{shared_dir(spark)}/lodeweave/{label}-{uuid.uuid4().hex}", {}
+
+    def keep(self, df: DataFrame, name: str, replace: bool = False, **options) -> DataFrame:
+        """df as a table, written with options; with replace, earlier tables of the name are deleted once this one is written."""
+        earlier = list(self.made.setdefault(name, []))
+        path = f"{self.base}/{name}-{uuid.uuid4().hex[:12]}"
+        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+            df.write.options(**options).parquet(path)
+        self.made[name].append(path)
+        if replace:
+            self._remove(earlier)
+            self.made[name] = [path]
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self._remove(self.made.pop(name, []))
+
+    def close(self, *kept: str) -> None:
+        self.drop(*[n for n in self.made if n not in kept])
+
+    def _remove(self, paths: list[str]) -> None:
+        for path in paths:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def durable(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage with a Parquet table in the shared folder; it outlives any
-    executor, and later readers see one fixed set of rows."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodeweave/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df as a table in the shared folder that stays; see Scratch."""
+    return Scratch(df.sparkSession, label).keep(df, "table")
 
 
 def fold(doc_id: Column, modulus: int) -> Column:
@@ -46,34 +97,39 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int) -> DataFrame:
+#: Bits of the filter below: at most FILTER / 64 rows are broadcast, whatever the number of rows.
+FILTER = 1 << 22
+
+
+def may_be_among(docs: DataFrame, ids: DataFrame, name: str, key: str = "doc_id") -> DataFrame:
+    """docs with a boolean: false only where key is certainly not among ids (key). The filter has a fixed size and is broadcast."""
+    h, word, bits = (fresh(docs, x) for x in ("h", "word", "bits"))
+    bit = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(FILTER))
+    table = ids.select(bit.alias(h)).groupBy(F.floor(F.col(h) / 64).alias(word)).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({h} % 64 as int))")).alias(bits))
+    x = docs.withColumn(h, bit).withColumn(word, F.floor(F.col(h) / 64)).join(F.broadcast(table), word, "left")
+    return x.withColumn(name, F.coalesce(F.expr(f"(shiftrightunsigned({bits}, cast({h} % 64 as int)) & 1L) = 1L"), F.lit(False))).drop(h, word, bits)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int, longest: int = 1 << 17) -> DataFrame:
     """At most per_class labelled training documents of either class, the
     smallest by a hash of doc_id: (doc_id, text, y). The id list is bounded by
-    2 * per_class, so it is broadcast whatever the size of the corpus."""
+    2 * per_class, so it is broadcast whatever the size of the corpus. A doc_id
+    that stands in several rows counts once, with its smallest text; texts of
+    more than longest characters are not learned from, so the sample has at most
+    2 * per_class * longest characters."""
     lab = labels.select(F.col("doc_id").alias("k"), F.col(label).cast("int").alias("y")).where(F.col("k").isNotNull() & F.col("y").isin(0, 1) & train)
     lab = lab.groupBy("k").agg(F.max("y").alias("y"))
     ids = None
     for y in (0, 1):
         part = lab.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(per_class)
         ids = part if ids is None else ids.unionByName(part)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("k")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
+    some = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= longest)
+    return some.join(F.broadcast(ids), F.col("doc_id") == F.col("k")).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
 
 _TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "binary": T.BinaryType(), "boolean": T.BooleanType()}
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000):
-    """Smaller Arrow batches for Python steps that hold several arrays a text; for what runs inside the block."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def row_type(**fields) -> T.StructType:
     """A struct type from names of simple types (or types); unlike DDL text it needs no session at import."""
     return T.StructType([T.StructField(k, _TYPES.get(v, v) if isinstance(v, str) else v) for k, v in fields.items()])

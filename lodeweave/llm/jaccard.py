@@ -23,7 +23,11 @@ so components are exact. Every comparison counts shared shingles of whole texts.
 
 Rows that share a doc_id are one document with the links of all its texts; a null
 doc_id links with nothing. Null and empty texts have no shingles and link with
-nothing. An empty table gives no rows.
+nothing. Very long texts are hashed alone. An empty table gives no rows; other
+columns are not read.
+
+All steps write tables (Scratch); they are deleted as soon as nothing reads them,
+and all but the result at the end.
 """
 from __future__ import annotations
 
@@ -35,7 +39,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import durable, fresh, row_type, slices, small_batches
+from ._common import Scratch, fresh, may_be_among, row_type, slices, small_batches
+from .hashing import MASK, ODD, mix, word_hashes
 
 N_WORDS = 5
 SKETCH_LONGS = 32
@@ -48,50 +53,17 @@ HUB_TURNS, HUBS = 2, 12
 
 # --- hashing -----------------------------------------------------------------
 
-_ODD, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit (the finaliser of SplitMix64)."""
-    x = x + np.uint64(_ODD)
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
-
-
-_BYTES = mix(np.arange(256, dtype=np.uint64))
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2^64, for rolling hashes of words."""
-    if len(_POWERS[0]) < n:
-        n = max(n, 2 * SLICE)
-        for k, base in enumerate((_ODD, pow(_ODD, -1, 1 << 64))):
-            p = np.full(n, base, dtype=np.uint64)
-            p[0] = 1
-            _POWERS[k] = np.multiply.accumulate(p)
-    return _POWERS
 
 
 def shingles(texts: list[str | None], n: int = N_WORDS) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; with fewer than n words, the whole sequence is one."""
     parts = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
-    size = sum(map(len, parts)) + len(parts) + 1
-    data = np.frombuffer(b" " + b" ".join(parts) + b" ", dtype=np.uint8)
-    starts_of = np.cumsum([1, *(len(p) + 1 for p in parts)])
-    power, inverse = _powers(size + 1)
-    upto = np.cumsum(_BYTES[data] * power[: len(data)])
-    black = ~_SPACE[data]
-    edge = np.flatnonzero(black[1:] != black[:-1])  # words lie between edges 0-1, 2-3, ...
-    first, last = edge[0::2], edge[1::2]
-    word = mix((upto[last] - upto[first]) * inverse[first + 1] + (last - first).astype(np.uint64))
-    bounds = np.searchsorted(first + 1, starts_of)
+    word, bounds = word_hashes(parts, _SPACE)
     rolled = np.zeros(max(0, len(word) - n + 1), dtype=np.uint64)
     for k in range(n):
-        rolled = rolled * np.uint64(_ODD) + word[k : k + len(rolled)]
+        rolled = rolled * np.uint64(ODD) + word[k : k + len(rolled)]
     rolled = mix(rolled)
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -100,7 +72,7 @@ def shingles(texts: list[str | None], n: int = N_WORDS) -> list[np.ndarray]:
         elif b > a:
             h = b - a
             for w in word[a:b].tolist():
-                h = (h * _ODD + w) & _MASK
+                h = (h * ODD + w) & MASK
             out.append(mix(np.array([h], dtype=np.uint64)))
         else:
             out.append(np.zeros(0, dtype=np.uint64))
@@ -178,7 +150,7 @@ def distance(a: bytes, b: bytes) -> int:
 
 def digest(s: np.ndarray) -> tuple[int, int]:
     """128 bits that tell sets apart, whatever the order of their members."""
-    a, b = int(np.add.reduce(mix(s))), int(np.bitwise_xor.reduce(mix(s ^ np.uint64(_ODD)))) if len(s) else 0
+    a, b = int(np.add.reduce(mix(s))), int(np.bitwise_xor.reduce(mix(s ^ np.uint64(ODD)))) if len(s) else 0
     return a - (1 << 63), b - (1 << 63)
 
 
@@ -316,14 +288,19 @@ def candidates(docs: DataFrame, entries: int) -> DataFrame:
 
 # --- verification ------------------------------------------------------------
 
-_SET = row_type(n_shingles="long", d1="long", d2="long", sketch="binary")
+_SET = row_type(n_shingles="long", d1="long", d2="long", short="binary", sketch="binary")
 
 
 @F.pandas_udf(_SET)
 def set_summary(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Size, digest and sketch of the shingle set of each text."""
+    """Size, digest and sketch of the shingle set of each text: folded to SKETCH_LONGS longs, and whole where that is longer."""
     for s in batches:
-        yield pd.DataFrame([(len(x), *digest(x), sketch(x)) for texts in slices(s, SLICE) for x in shingles(texts)], columns=_SET.names)
+        rows = []
+        for texts in slices(s, SLICE):
+            for x in shingles(texts):
+                whole = sketch(x)
+                rows.append((len(x), *digest(x), folded(whole, SKETCH_LONGS).tobytes(), whole if len(whole) > 8 * SKETCH_LONGS else None))
+        yield pd.DataFrame(rows, columns=_SET.names)
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -356,74 +333,84 @@ def _near(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]])
         yield pd.Series([min(a, b) * 4 >= max(a, b) * 3 and distance(p, q) * 7 <= a + b for a, p, b, q in zip(n, x, m, y, strict=True)], dtype=bool)
 
 
-@F.pandas_udf(T.BinaryType())
-def _shortened(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """A sketch folded to SKETCH_LONGS longs."""
-    for s in batches:
-        yield pd.Series([folded(x, SKETCH_LONGS).tobytes() for x in s], dtype=object)
-
-
-def _possible(pairs: DataFrame, light: DataFrame) -> DataFrame:
-    """The pairs (a, b) that sizes and sketches allow; light: doc_id, n, sketch. All are sifted by short sketches first, so that long ones travel with few pairs."""
-    for sketches in (light.withColumn("sketch", _shortened("sketch")), light):
-        x, y = sketches.withColumnRenamed("doc_id", "a").alias("x"), sketches.withColumnRenamed("doc_id", "b").alias("y")
-        pairs = durable(pairs.join(x, "a").join(y, "b").where(_near("x.n", "x.sketch", "y.n", "y.sketch")).select("a", "b"), "jaccard-near")
-    return pairs
-
-
-#: Bits of the filter below: at most FILTER / 64 rows are broadcast, whatever the number of documents.
-FILTER = 1 << 22
-
-
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs (doc_id, text) of the given ids. A filter of fixed size, broadcast, spares most other texts the shuffle; the join that follows is exact."""
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER))
-    table = ids.select(bit("doc_id").alias("h")).groupBy(F.floor(F.col("h") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("bits"))
-    x = docs.withColumn("h", bit("doc_id")).withColumn("word", F.floor(F.col("h") / 64))
-    x = x.join(F.broadcast(table), "word").where(F.expr("(shiftrightunsigned(bits, cast(h % 64 as int)) & 1L) = 1L"))
-    return x.select("doc_id", "text").join(ids, "doc_id")
+def _possible(pairs: DataFrame, light: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches allow; light: doc_id, n, short, sketch. All are sifted by short sketches first, so that long ones travel with few pairs."""
+    side = lambda of, name, *more: of.select(F.col("doc_id").alias(name), "n", *more).alias(name)
+    short = light.select("doc_id", "n", "short", F.col("sketch").isNotNull().alias("long"))
+    near = pairs.join(side(short, "a", "short", "long"), "a").join(side(short, "b", "short", "long"), "b")
+    near = scratch.keep(near.where(_near("a.n", "a.short", "b.n", "b.short")).select("a", "b", (F.col("a.long") & F.col("b.long")).alias("both")), "near", replace=True)
+    if near.where("both").isEmpty():
+        return near.select("a", "b")
+    whole = light.where(F.col("sketch").isNotNull())
+    rest = near.where("both").join(side(whole, "a", "sketch"), "a").join(side(whole, "b", "sketch"), "b").where(_near("a.n", "a.sketch", "b.n", "b.sketch"))
+    return scratch.keep(near.where("not both").select("a", "b").unionByName(rest.select("a", "b")), "near", replace=True)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, by their whole texts."""
+def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) that link, by their whole texts. The filter spares most other texts the shuffle; the joins are exact."""
     ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = durable(_only(docs, ends), "jaccard-texts")
+    texts = scratch.keep(may_be_among(docs, ends, "wanted").where("wanted").select("doc_id", "text").join(ends, "doc_id"), "texts", replace=True)
     with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     return both.where(_linked("a", "text_a", "text_b")).select("a", "b").distinct()
 
 
-def components(edges: DataFrame, label: str = "components") -> DataFrame:
+#: Rounds after which components() gives up; each shortens a chain by a constant factor, so it is out of reach.
+ROUNDS = 200
+
+
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(doc, comp) for the ends of edges (a, b): comp is the smallest document that can be reached.
 
     Alternating large and small stars: each round hangs neighbours on smaller
     ones, so a chain shortens by a constant factor; a hot node's edges are
     rewritten by joins, never gathered."""
-    e = durable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), label)
+    scratch = scratch or Scratch(edges.sparkSession, "components")
+    e = scratch.keep(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars", replace=True)
     before = None
-    for _ in range(60):
+    for _ in range(ROUNDS):
         # large star: the larger neighbours of u hang on the smallest of u and its neighbours
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = scratch.keep(large, "large", replace=True)
         # small star: u and its smaller neighbours hang on the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = durable(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), label)
+        e = scratch.keep(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "stars", replace=True)
         now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components have not settled after {ROUNDS} rounds")
     parents = e.groupBy("u").agg(F.min("v").alias("comp"))
     roots = e.select(F.col("v").alias("u")).distinct().join(parents, "u", "left_anti").select("u", F.col("u").alias("comp"))
-    return durable(parents.unionByName(roots).select(F.col("u").alias("doc"), "comp"), label)
+    out = scratch.keep(parents.unionByName(roots).select(F.col("u").alias("doc"), "comp"), "found", replace=True)
+    scratch.drop("stars", "large")
+    return out
+
 
+def _merged(comps: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """comps (doc, comp) with further links (a, b): only the links between different components are followed, by the components' names."""
+    if comps is not None:
+        of = lambda c: comps.select(F.col("doc").alias(c), F.col("comp").alias(f"{c}_comp"))
+        links = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
+    found = components(links, scratch)
+    if comps is None:
+        return scratch.keep(found, "comps", replace=True)
+    x, y = comps.alias("x"), found.alias("y")
+    known = x.join(y, F.col("x.comp") == F.col("y.doc"), "left").select("x.doc", F.coalesce("y.comp", "x.comp").alias("comp"))
+    # ends of links that were in no component before
+    new = found.join(comps, "doc", "left_anti").select("doc", "comp")
+    return scratch.keep(known.unionByName(new), "comps", replace=True)
 
-def _across(groups: DataFrame, lookup: DataFrame) -> DataFrame:
+
+def _across(groups: DataFrame, lookup: DataFrame, scratch: Scratch) -> DataFrame:
     """(grp, doc, comp) of groups (grp, doc) that still fall into several components; copies count once. lookup: doc, rep, comp."""
     g = groups.join(lookup, "doc").select("grp", F.col("rep").alias("doc"), "comp")
     split = g.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("grp")
-    return durable(g.join(split, "grp").distinct(), "jaccard-split")
+    return scratch.keep(g.join(split, "grp").distinct(), "split", replace=True)
 
 
 def _pair(x: str, y: str) -> list[F.Column]:
@@ -445,7 +432,7 @@ def _sift(hubs: int, turn: int):
         pdf = pdf.iloc[order]
         keys = pdf[["grp", "i", "j"]].to_numpy()
         doc, comp, n, side = (pdf[c].to_numpy() for c in ("doc", "comp", "n", "side"))
-        bits = np.frombuffer(b"".join(pdf["bits"]), dtype=np.uint64).reshape(len(pdf), FOLDED)
+        bits = np.bitwise_xor.reduce(np.frombuffer(b"".join(pdf["bits"]), dtype=np.uint64).reshape(len(pdf), -1, FOLDED), axis=1)
         starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
         sizes = np.diff(np.append(starts, len(pdf)))
         found = [np.zeros((0, 2), np.int64)]
@@ -473,16 +460,9 @@ def _sift(hubs: int, turn: int):
     return run
 
 
-@F.pandas_udf(T.BinaryType())
-def _fold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """A sketch folded to FOLDED longs."""
-    for s in batches:
-        yield pd.Series([folded(x, FOLDED).tobytes() for x in s], dtype=object)
-
-
 def _sifted(split: DataFrame, light: DataFrame, hubs: int = 0, turn: int = 0) -> DataFrame:
     """(a, b): pairs of groups across components that sizes and folded sketches allow, all or those of some hubs. A group of more than BLOCK members is compared in pairs of blocks, each a task's share."""
-    short = light.select(F.col("doc_id").alias("doc"), "n", _fold("sketch").alias("bits"))
+    short = light.select(F.col("doc_id").alias("doc"), "n", F.col("short").alias("bits"))
     blocks = split.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
     x = split.join(blocks, "grp").join(short, "doc").withColumn("m", F.pmod(F.xxhash64("doc"), F.col("k")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")
@@ -494,51 +474,83 @@ def _sifted(split: DataFrame, light: DataFrame, hubs: int = 0, turn: int = 0) ->
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_shingles and component_id."""
+    """Per row of docs (doc_id, text): doc_id, n_shingles and component_id. doc_id is an integer of any width."""
+    kind = docs.schema["doc_id"].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"doc_id has to be an integer, not {kind.simpleString()}")
+    scratch = Scratch(docs.sparkSession, "jaccard")
     with small_batches(docs.sparkSession):  # all steps in Python run in here, into tables
-        return _classes(docs)
+        out = scratch.keep(_classes(docs, scratch), "result")
+    scratch.close("result")
+    return out
+
+
+def _copies(known: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, rep): the smallest document of each class of exact copies. Both sides are tables, so a hot class is dealt out by adaptive skew joins."""
+    known = scratch.keep(known.select("doc_id", "n_shingles", "d1", "d2"), "keys")
+    first = scratch.keep(known.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep")), "first")
+    out = scratch.keep(known.join(first, ["n_shingles", "d1", "d2"]).select("doc_id", "rep").distinct(), "copies")
+    scratch.drop("keys", "first")
+    return out
 
 
-def _classes(docs: DataFrame) -> DataFrame:
+def _classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = durable(docs.select("doc_id", set_summary("text").alias("s")).select("doc_id", "s.*"), "jaccard-sets")
+    sets = scratch.keep(docs.select("doc_id", set_summary("text").alias("s")).select("doc_id", "s.*"), "sets")
     known = sets.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    first = known.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    copies = durable(known.select("doc_id", "n_shingles", "d1", "d2").join(first, ["n_shingles", "d1", "d2"]).select("doc_id", "rep").distinct(), "jaccard-copies")
-    light = known.select("doc_id", F.col("n_shingles").alias("n"), "sketch")
+    copies = _copies(known, scratch)
+    light = known.select("doc_id", F.col("n_shingles").alias("n"), "short", "sketch")
     entries = int((known.agg(F.sum("n_shingles")).first()[0] or 0) * 0.7)
 
     named = docs.where(F.col("doc_id").isNotNull())
-    found = durable(candidates(named, entries), "jaccard-candidates")
+    found = scratch.keep(candidates(named, entries), "candidates")
     groups = found.where("not pair").select(F.col("x").alias("grp"), F.col("y").alias("doc"))
-    # copies stand for one another
+    # copies stand for one another; the texts that share a doc_id are one document
+    several = copies.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("doc_id")
+    same = copies.join(several, "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     rep = lambda c: copies.select(F.col("doc_id").alias(c), F.col("rep").alias(f"{c}_rep"))
     tested = found.where("pair").select("x", "y").distinct().join(rep("x"), "x").join(rep("y"), "y").where("x_rep <> y_rep").select(*_pair("x_rep", "y_rep")).distinct()
-    tested = durable(tested, "jaccard-pairs")
-    proved = durable(_verified(_possible(tested, light), named), "jaccard-links")
-    comps, split = components(proved), groups
+    tested = scratch.keep(tested, "pairs")
+    proved = _verified(_possible(tested, light, scratch), named, scratch)
+    comps, split = _merged(None, proved.unionByName(same), scratch), groups
     for turn in range(HUB_TURNS + 1):
         lookup = copies.select(F.col("doc_id").alias("doc"), "rep").join(comps.select(F.col("doc").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         # components only grow, so a group that is settled stays so; from the second turn on members are representatives
-        split = _across(split.select("grp", "doc"), lookup)
+        split = _across(split.select("grp", "doc"), lookup, scratch)
         if split.isEmpty():
             break
         # some turns compare further members of each group with all others of it, the last one whatever is left
-        more = durable(_sifted(split, light, HUBS if turn < HUB_TURNS else 0, turn).join(tested, ["a", "b"], "left_anti"), "jaccard-pairs")
-        near, tested = _possible(more, light), tested.unionByName(more)
+        more = scratch.keep(_sifted(split, light, HUBS if turn < HUB_TURNS else 0, turn).join(tested, ["a", "b"], "left_anti"), "pairs")
+        near, tested = _possible(more, light, scratch), tested.unionByName(more)
         if not near.isEmpty():
-            proved = proved.unionByName(durable(_verified(near, named), "jaccard-links"))
-            comps = components(proved)
-    links = copies.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    comps = components(proved.unionByName(links).distinct())
-    return sets.select("doc_id", "n_shingles").join(comps.select(F.col("doc").alias("doc_id"), "comp"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
+            comps = _merged(comps, _verified(near, named, scratch), scratch)
+    scratch.drop("candidates", "pairs", "near", "texts", "split")
+    comp_of = copies.join(comps.select(F.col("doc").alias("rep"), "comp"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("comp", "rep")).alias("comp"))
+    comp_of = scratch.keep(comp_of, "comp-of")
+    return sets.select("doc_id", "n_shingles").join(comp_of, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
+
+
+def _orderable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_orderable(f.dataType) for f in kind)
+    return _orderable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with only the smallest doc_id of every component; of rows that share it, one. Rows without doc_id stay."""
+    """docs with only the smallest doc_id of every component. Rows without doc_id stay.
+
+    Of rows that share a doc_id the smallest by all columns stays (columns without
+    an order, such as maps, don't count in that). Only rows whose doc_id repeats
+    or goes, and some others that a filter of fixed size takes for such, are
+    shuffled; all columns stay as they are."""
     found = classes(docs)
-    first = found.where(F.col("doc_id").isNotNull()).groupBy("component_id").agg(F.min("doc_id").alias("k")).select("k")
-    name = fresh(docs, "row")
-    keyed = docs.where(F.col("doc_id").isNotNull()).join(first, F.col("doc_id") == F.col("k"), "left_semi")
-    one = keyed.groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(name)).select(f"{name}.*")
-    return one.unionByName(docs.where(F.col("doc_id").isNull()))
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    state = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count("*").alias("n"))
+    state = scratch.keep(state.where("n > 1 or c <> doc_id").select("doc_id", (F.col("c") != F.col("doc_id")).alias("gone")), "state")
+    name, row, kept = fresh(docs, "maybe"), fresh(docs, "row"), [F.col(f"`{c}`") for c in docs.columns]
+    marked = may_be_among(docs, state, name).withColumn(name, F.col(name) & F.col("doc_id").isNotNull())
+    order = F.struct(*[F.col(f"`{f.name}`") for f in docs.schema if _orderable(f.dataType)])
+    # one row of a doc_id is taken before the shuffle, so a row that stands in many copies sends one a task
+    one = marked.where(name).groupBy(F.col("doc_id").alias(f"{name}_id")).agg(F.min_by(F.struct(*kept), order).alias(row))
+    gone = state.where("gone").select(F.col("doc_id").alias(f"{name}_id"))
+    return marked.where(~F.col(name)).select(*kept).unionByName(one.join(gone, f"{name}_id", "left_anti").select(f"{row}.*"))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import fresh
+from ._common import durable, fresh
 
 
 def _rank(df: DataFrame, groups: list[str], bucket: Column, order: list[Column], out: str) -> DataFrame:
@@ -54,19 +54,19 @@ def same_all(x: DataFrame, y: DataFrame, keys: list[str]) -> Column:
     return out
 
 
-def interleave(df: DataFrame, shards: int, key: list[Column], source: str = "source", seed: int = 0, per_bucket: int = 2000, total: int | None = None) -> DataFrame:
-    """df with shard (int) and slot (long, gapless from 0 in each shard). key: what tells rows apart, in a fixed order."""
+def interleave(df: DataFrame, shards: int, key: list[Column], source: str = "source", seed: int = 0, per_bucket: int = 2000, total: int | None = None, ties: tuple[Column, ...] = ()) -> DataFrame:
+    """df with shard (int) and slot (long, gapless from 0 in each shard). key: what the seeded order hashes; ties: what orders rows of one key, where they have to be told apart."""
     total = df.count() if total is None else total
     buckets = max(1, -(-total // per_bucket))
     u, s, rank, size, frac, pos = (fresh(df, x) for x in ("u", "s", "rank", "size", "frac", "pos"))
     # a seeded shuffle: the order of a hash, as a number in [0, 1)
     df = df.withColumn(u, F.shiftrightunsigned(F.xxhash64(F.lit(seed), *key), 11) / F.lit(float(1 << 53))).withColumn(s, F.col(source))
     sizes = df.groupBy(s).agg(F.count("*").alias(size))
-    df = _rank(df, [s], F.floor(F.col(u) * buckets), [F.col(u), *key], rank)
+    df = _rank(df, [s], F.floor(F.col(u) * buckets), [F.col(u), *key, *ties], rank)
     x, y = df.alias("x"), sizes.alias("y")
     df = x.join(y, same_all(x, y, [s]), "inner").select("x.*", F.col(f"y.{size}").alias(size))
     df = df.withColumn(frac, (F.col(rank) * 2 - 1) / (F.col(size) * 2))
-    df = _rank(df, [], F.floor(F.col(frac) * buckets), [F.col(frac), F.col(s).asc_nulls_last(), F.col(u), *key], pos)
+    df = _rank(df, [], F.floor(F.col(frac) * buckets), [F.col(frac), F.col(s).asc_nulls_last(), F.col(u), *key, *ties], pos)
     # runs: the first total % shards shards have one row more
     small, more = divmod(total, shards)
     p, edge = F.col(pos) - 1, more * (small + 1)
@@ -87,6 +87,20 @@ def shard_listing(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame
 
 
 def sharded(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:
-    """docs with the columns shard and slot; columns of these names are replaced."""
+    """docs with the columns shard and slot; columns of these names are replaced.
+
+    Ranks are taken on source and a hash of each row's key. The rows are written
+    once, which gives every one a place (file and number) that stays, and are
+    shuffled once, to their places' shards; rows that repeat have places of their own."""
     kept = docs.drop("shard", "slot")
-    return interleave(kept, shards, [F.col("doc_id"), F.xxhash64("text")], seed=seed)
+    rows = durable(kept, "shard-rows")
+    part, at = fresh(rows, "part"), fresh(rows, "at")
+    meta = rows.metadataColumn("_metadata")
+    placed = rows.withColumns({part: F.xxhash64(meta["file_name"]), at: meta["row_index"]})
+    narrow = placed.select(part, at, F.col("source").alias("s"), "doc_id", F.xxhash64("text").alias("h"))
+    # rows of one key are told apart by their places, so that a task that runs again ranks them as before
+    listing = interleave(narrow, shards, [F.col("doc_id"), F.col("h")], source="s", seed=seed, ties=(F.col(part), F.col(at))).select(part, at, "shard", "slot")
+    listing = durable(listing, "shard-listing")
+    x, y = placed.alias("x"), listing.alias("y")
+    on = (F.col(f"x.{part}") == F.col(f"y.{part}")) & (F.col(f"x.{at}") == F.col(f"y.{at}"))
+    return x.join(y, on).select(*[F.col(f"x.`{c}`") for c in kept.columns], "y.shard", "y.slot")

@@ -38,10 +38,15 @@ def test_redact_replaces_spans(spark):
     assert [r["text"] for r in secretscan.redact(docs).orderBy("doc_id").collect()] == ["my [SECRET] ends", None]
 
 
+def words(text):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+
+
 def hits(text, items):
-    w, covered, found = decontam.words(text), set(), set()
+    w, covered, found = words(text), set(), set()
     for item, t in items:
-        x = decontam.words(t)
+        x = words(t)
         for i in range(max(1, len(x) - 9) if x else 0):
             win = x[i : i + 10]
             for j in range(len(w) - len(win) + 1):
@@ -51,6 +56,17 @@ def hits(text, items):
     return len(w), len(covered), sorted(found)
 
 
+def covered_words(text, items):
+    w, out = words(text), set()
+    for _, t in items:
+        x = words(t)
+        for i in range(max(1, len(x) - 9) if x else 0):
+            for j in range(len(w)):
+                if w[j : j + len(x[i : i + 10])] == x[i : i + 10]:
+                    out |= set(range(j, j + len(x[i : i + 10])))
+    return out
+
+
 def test_contamination_equals_brute_force(spark):
     pick = random.Random(5)
     vocabulary = ["a", "b", "c", "dé", "E1"]
@@ -63,13 +79,16 @@ def test_contamination_equals_brute_force(spark):
     texts += [None, "", texts[0]]
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, matches string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for block in (1, 8 << 20):
-        found = decontam.with_matches(docs.drop("matches"), bench, 10, 5, block_bytes=block if block > 1 else 60)
-        for r in found.collect():
-            n, covered, ids = hits(texts[r["doc_id"]], items)
-            exact = [h for h in r["matches"]["hits"] if h["kind"] == "phrase"]
-            assert r["matches"]["n_words"] == n
-            assert sorted({i for h in exact for i in h["items"]}) == ids
+    for block in (60, 8 << 20):
+        met = {}
+        for r in decontam.matches(docs, bench, 10, 5, block_bytes=block).collect():
+            if r["kind"] == "phrase":
+                met.setdefault(r["doc_id"], set()).add((r["item_id"], r["start"], r["length"]))
+        for i, t in enumerate(texts):
+            n, covered, ids = hits(t, items)
+            own = met.get(i, set())
+            assert sorted({x for x, _, _ in own}) == ids
+            assert {p for _, a, k in own for p in range(a, a + k)} == covered_words(t, items)
     for r in decontam.contamination(docs, bench).collect():
         n, covered, ids = hits(texts[r["doc_id"]], items)
         assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (n, covered, len(ids), covered > 0)
