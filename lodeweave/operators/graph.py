@@ -25,7 +25,7 @@ def directed(edges: DataFrame, direction: str, relation: str | None = None) -> D
 
 def traverse(edges: DataFrame, start: DataFrame, depth: int, direction: str = "outbound", relation: str | None = None) -> DataFrame:
     """(root, node, depth): nodes reached from the start nodes (root) within depth steps, each at its least depth; roots themselves are not reached."""
-    e = directed(edges, direction, relation).distinct()
+    e = cut(directed(edges, direction, relation).distinct())
     seen = cut(start.select(F.col(start.columns[0]).alias("root"), F.col(start.columns[0]).alias("node"), F.lit(0).alias("depth")))
     frontier = seen
     for d in range(1, depth + 1):
@@ -41,7 +41,7 @@ def shortest_path(edges: DataFrame, source: int, target: int, depth: int, direct
     """(path, length) of a shortest path of at most depth edges, the smallest by its nodes; no row if there is none.
 
     Each node keeps its smallest shortest path only, so a level has one row a node."""
-    e = directed(edges, direction).distinct()
+    e = cut(directed(edges, direction).distinct())
     spark = edges.sparkSession
     seen = cut(spark.createDataFrame([(source, [source])], "node long, path array<long>"))
     frontier = seen
@@ -69,25 +69,21 @@ def walks(edges: DataFrame, start: int, depth: int) -> DataFrame:
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float = 1e-6, every: int = 5) -> DataFrame:
     """(node, rank) summing to 1. Parallel edges count in the out-degree, not in what is passed on; ranks of nodes without out-edges are lost.
 
-    tolerance 0 runs all iterations without looking; else the change is read every few iterations."""
+    It ends when the sum of all changes in a round is below tolerance, or after the given rounds. Every few rounds the
+    ranks are written with those of the round before, and the change is read from that table; 0 never looks."""
+    nodes = cut(nodes.select("node"))
     n = nodes.count()
     degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
-    links = cut(edges.select("src", "dst").distinct().join(nodes.select(F.col("node").alias("dst")), "dst").join(degree, "src"))
-    rank = cut(nodes.select("node", F.lit(1.0 / max(n, 1)).alias("rank")))
+    links = cut(edges.select("src", "dst").distinct().join(nodes.select(F.col("node").alias("dst")), "dst").join(degree, "src").select("src", F.col("dst").alias("node"), "degree"))
+    base = F.lit((1 - damping) / max(n, 1))
+    rank = nodes.withColumn("rank", F.lit(1.0 / max(n, 1))).withColumn("before", F.lit(0.0))
     for i in range(1, iterations + 1):
-        passed = links.join(rank, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
-        new = nodes.select("node").join(passed, "node", "left").select("node", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        last = i == iterations
-        if i % every == 0 or last:
-            new = cut(new)
-            if tolerance > 0 and not last:
-                before = links.join(new, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
-                ahead = nodes.select("node").join(before, "node", "left").select("node", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("got", F.lit(0.0))).alias("next"))
-                change = new.join(ahead, "node").agg(F.sum(F.abs(F.col("rank") - F.col("next")))).first()[0]
-                if change is None or change < tolerance:
-                    rank = new
-                    break
-        rank = new
+        passed = links.join(rank.select(F.col("node").alias("src"), "rank"), "src").groupBy("node").agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
+        rank = rank.select("node", F.col("rank").alias("before")).join(passed, "node", "left").select("node", (base + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), "before")
+        if i % every == 0 or i == iterations:
+            rank = cut(rank)
+            if tolerance > 0 and rank.agg(F.coalesce(F.sum(F.abs(F.col("rank") - F.col("before"))), F.lit(0.0))).first()[0] < tolerance:
+                break
     total = rank.agg(F.sum("rank").alias("__total"))
     return rank.crossJoin(F.broadcast(total)).select("node", F.try_divide("rank", "__total").alias("rank"))
 

@@ -49,14 +49,24 @@ def limited_chunks(files: DataFrame, path: Column, text: Column, most: int = 50,
 
 
 def markdown_sections(text: Column) -> Column:
-    """Array of (name, start_line, body): sections from one '## ' line to the next; what stands before the first belongs to it; without such lines one section 'content'."""
-    header = r"##[ \t]+[^\n]"
-    parts = F.split(text, rf"\n(?={header})")
-    first = F.array(F.concat(F.get(parts, F.lit(0)), F.lit("\n"), F.get(parts, F.lit(1))))
-    parts = F.when(text.rlike(f"^{header}") | (F.size(parts) < 2), parts).otherwise(F.concat(first, F.slice(parts, F.lit(3), F.size(parts))))
-    starts = F.aggregate(parts, F.array(F.lit(1)), lambda s, p: F.concat(s, F.array(F.element_at(s, -1) + F.size(F.split(p, "\n")))))
-    name = lambda p: F.coalesce(F.nullif(F.trim(F.regexp_extract(p, r"(?m)^##[ \t]+(.+)$", 1)), F.lit("")), F.lit("content"))
-    return F.zip_with(parts, F.slice(starts, F.lit(1), F.size(parts)), lambda p, at: F.struct(name(p).alias("name"), at.alias("start_line"), p.alias("body")))
+    """Array of (name, start_line, end_line, body): sections from one '## ' line to the next; what stands before the first belongs to it; without such lines one section 'content'."""
+    header = r"^##\s+.+"
+    lines = F.split(text, "\n")
+    numbered = F.transform(lines, lambda l, i: F.when(l.rlike(header), i + 1))
+    heads = F.filter(numbered, lambda i: i.isNotNull())
+    starts = F.concat(F.array(F.lit(1)), F.slice(heads, F.lit(2), F.greatest(F.size(heads), F.lit(1))))
+    ends = F.concat(F.transform(F.slice(starts, F.lit(2), F.size(starts)), lambda i: i - 1), F.array(F.size(lines)))
+    named = F.when(F.size(heads) > 0, heads).otherwise(F.array(F.lit(0)))
+    name = lambda k: F.when(k > 0, F.trim(F.regexp_extract(F.get(lines, k - 1), r"^##\s+(.+)$", 1))).otherwise("content")
+    return F.zip_with(F.arrays_zip(starts.alias("s"), ends.alias("e")), named, lambda p, k: F.struct(name(k).alias("name"), p["s"].alias("start_line"), p["e"].alias("end_line"), F.array_join(F.slice(lines, p["s"], p["e"] - p["s"] + 1), "\n").alias("body")))
+
+
+def markdown_chunks(files: DataFrame, text: str, size: int = 2000) -> DataFrame:
+    """files with section, name, start_line, end_line, body: a row a section; a longer one is cut by fixed_chunks, whose lines count from the section's first."""
+    x = files.select("*", F.posexplode(markdown_sections(F.col(text))).alias("__k", "__s"))
+    whole = F.array(F.struct(F.lit(0).alias("n"), F.col("__s.start_line").alias("start_line"), F.col("__s.end_line").alias("end_line"), F.col("__s.body").alias("body")))
+    x = x.withColumn("__c", F.explode(F.when(F.length("__s.body") > size, fixed_chunks(F.col("__s.body"), size)).otherwise(whole)))
+    return x.select(*[F.col(f"`{c}`") for c in files.columns], (F.col("__k") + 1).cast("long").alias("section"), F.col("__c.n").alias("part"), F.col("__s.name").alias("name"), F.col("__c.start_line").alias("start_line"), F.col("__c.end_line").alias("end_line"), F.col("__c.body").alias("body"))
 
 
 # Name parts by which files are classed.
@@ -217,63 +227,3 @@ def changed(files: DataFrame, indexed: DataFrame) -> DataFrame:
     """Files (path, modified, content) that are new, or newer than their last indexing and of other content."""
     x = files.withColumn("hash", F.md5("content")).join(indexed.select("path", "indexed_at", F.col("hash").alias("__h")), "path", "left")
     return x.where(F.col("indexed_at").isNull() | ((F.col("modified") > F.col("indexed_at")) & ~F.col("hash").eqNullSafe(F.col("__h")))).drop("__h", "indexed_at")
-
-
-# --- building a code graph ----------------------------------------------------
-
-# Node types by chunk type.
-NODE_TYPES = {"class": "Class", "interface": "Class", "function": "Function", "method": "Function", "config_module": "Config", "barrel": "Module"}
-# Names that every language's runtime gives, never resolved to a chunk.
-BUILTINS = ["print", "len", "range", "str", "int", "float", "list", "dict", "set", "tuple", "isinstance", "super", "open", "enumerate", "zip", "map", "filter", "sorted", "min", "max", "sum", "any", "all", "console", "require", "parseInt", "Promise"]
-
-
-def graph_nodes(chunks: DataFrame) -> DataFrame:
-    """(node_id, node_type, label, file): nodes of chunks (id, file, name, chunk_type, name_path); anonymous ones are left out."""
-    table = F.create_map(*[F.lit(x) for p in NODE_TYPES.items() for x in p])
-    label = F.left(F.coalesce(F.nullif(F.col("name"), F.lit("")), F.substring_index("file", "/", -1)), F.lit(100))
-    return chunks.where(~F.lower(F.coalesce("name", F.lit(""))).like("anonymous%")).select(F.col("id").alias("node_id"), F.coalesce(F.try_element_at(table, F.lower("chunk_type")), F.lit("Module")).alias("node_type"), label.alias("label"), "file")
-
-
-def resolve_calls(calls: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(src, dst) for calls (id, file, callee): the chunk whose name path is the callee or ends in it, a single one first, then one in the same file, then the smallest."""
-    path = F.split("name_path", r"\.")
-    tails = F.transform(F.sequence(F.lit(1), F.size(path)), lambda i: F.array_join(F.slice(path, i, F.size(path)), "."))
-    keys = chunks.select(F.col("id").alias("dst"), F.col("file").alias("dst_file"), "name_path", F.explode(tails).alias("callee"))
-    found = calls.where(~F.col("callee").isin(*BUILTINS)).join(keys, "callee").where("id <> dst")
-    order = F.struct((F.col("file") != F.col("dst_file")).alias("o"), "name_path", "dst")
-    return found.groupBy("id", "callee").agg(F.min_by("dst", order).alias("dst")).select(F.col("id").alias("src"), "dst", "callee")
-
-
-def resolve_imports(imports: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(src, dst) for imports (id, target): the chunk whose name path ends in the target, else one that has the target's last part as its name."""
-    full = resolve_calls(imports.select("id", F.lit("").alias("file"), F.col("target").alias("callee")), chunks)
-    rest = imports.join(full.select(F.col("src").alias("id"), F.col("callee").alias("target")), ["id", "target"], "left_anti")
-    last = rest.select("id", F.lit("").alias("file"), F.substring_index("target", ".", -1).alias("callee"))
-    return full.unionByName(resolve_calls(last, chunks))
-
-
-def contains_edges(chunks: DataFrame) -> DataFrame:
-    """(parent, child): package -> module -> file -> entity, from the paths of chunks (id, file)."""
-    folders = F.split("file", "/")
-    up = chunks.select("file", folders.alias("p")).distinct()
-    pairs = up.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.struct(F.array_join(F.slice("p", 1, i), "/").alias("parent"), F.array_join(F.slice("p", 1, i + 1), "/").alias("child")))).alias("e")).select("e.*").distinct()
-    return pairs.unionByName(chunks.select(F.col("file").alias("parent"), F.col("id").cast("string").alias("child")))
-
-
-def module_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """(src, dst) between files: relative imports (file, target) resolved with the usual suffixes, the first that exists."""
-    tries = ["", ".ts", ".tsx", ".js", ".jsx", ".py", "/index.ts", "/index.tsx", "/index.js", "/__init__.py"]
-    folder = F.regexp_replace("file", "/?[^/]*$", "")
-    base = F.regexp_replace(F.concat_ws("/", F.nullif(folder, F.lit("")), F.regexp_replace("target", r"^\./", "")), r"[^/]+/\.\./", "")
-    cand = imports.select("file", "target", F.posexplode(F.transform(F.array(*map(F.lit, tries)), lambda t: F.concat(base, t))).alias("n", "path"))
-    hit = cand.join(files.select(F.col("file").alias("path")).distinct(), "path", "left_semi")
-    return hit.groupBy("file", "target").agg(F.min_by("path", "n").alias("dst")).select(F.col("file").alias("src"), "dst")
-
-
-def reexport_edges(again: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(src, dst, symbol) for re-exports (id, file, source, symbol): the chunk of that name under the path that the source means; '*' is left out."""
-    folder = F.regexp_replace("file", "/?[^/]*$", "")
-    prefix = F.concat_ws("/", F.nullif(folder, F.lit("")), F.regexp_replace("source", r"^\./", ""))
-    x = again.where("symbol <> '*'").select("id", "symbol", prefix.alias("prefix"))
-    y = chunks.select(F.col("id").alias("dst"), F.col("name").alias("symbol"), F.regexp_replace("file", r"(/index)?\.[a-z]+$", "").alias("prefix"))
-    return x.join(y, ["symbol", "prefix"]).select(F.col("id").alias("src"), "dst", "symbol")

@@ -46,7 +46,15 @@ _PAIRS = f"""{ENTITIES_SQL}, tot AS (SELECT count(*) AS n FROM documents), freq
 pairs AS (SELECT a.id AS a, b.id AS b, count(*) AS shared, sum(ln(greatest(1, tot.n) * 1.0 / df)) AS shared_idf FROM ent a JOIN ent b ON a.name = b.name AND a.id < b.id JOIN freq ON freq.name = a.name CROSS JOIN tot GROUP BY ALL)"""
 
 
-@register("e5_relationship", f"WITH {MEMORIES_SQL}, {_PAIRS}, sz AS (SELECT id, count(*) AS n FROM ent GROUP BY id) SELECT a, b, round(least(1.0, 0.5 * shared_idf / greatest(1, x.n + y.n - shared) + 0.2 * len(list_intersect(s.tags, t.tags)) / len(list_distinct(list_concat(s.tags, t.tags)))), 6) AS score, CASE WHEN len(list_intersect(s.tags, t.tags)) > 0 THEN 'shared_entity,shared_tag' ELSE 'shared_entity' END AS types FROM pairs JOIN sz x ON x.id = a JOIN sz y ON y.id = b JOIN memories s ON s.id = a JOIN memories t ON t.id = b WHERE least(1.0, 0.5 * shared_idf / greatest(1, x.n + y.n - shared) + 0.2 * len(list_intersect(s.tags, t.tags)) / len(list_distinct(list_concat(s.tags, t.tags)))) >= 0.1")
+#: Two memories are held against each other if they share an entity, a concept (language and source) or a tag.
+_RELATED = """sz AS (SELECT id, count(*) AS n FROM ent GROUP BY id), marks AS (SELECT id, [lang, source] AS c, tags AS t FROM memories),
+cand AS (SELECT a, b FROM pairs UNION SELECT x.id, y.id FROM marks x JOIN marks y ON x.id < y.id AND (list_has_any(x.c, y.c) OR list_has_any(x.t, y.t))),
+scored AS (SELECT a, b, coalesce(shared, 0) AS shared, len(list_intersect(x.c, y.c)) AS cons, len(list_intersect(x.t, y.t)) AS tags,
+  least(1.0, 0.5 * coalesce(shared_idf, 0) / greatest(1, coalesce(m.n, 0) + coalesce(k.n, 0) - coalesce(shared, 0)) + 0.3 * len(list_intersect(x.c, y.c)) / greatest(1, len(list_distinct(list_concat(x.c, y.c)))) + 0.2 * len(list_intersect(x.t, y.t)) / greatest(1, len(list_distinct(list_concat(x.t, y.t))))) AS score
+  FROM cand LEFT JOIN pairs USING (a, b) JOIN marks x ON x.id = a JOIN marks y ON y.id = b LEFT JOIN sz m ON m.id = a LEFT JOIN sz k ON k.id = b)"""
+
+
+@register("e5_relationship", f"WITH {MEMORIES_SQL}, {_PAIRS}, {_RELATED} SELECT a, b, round(score, 6) AS score, array_to_string(list_filter([CASE WHEN shared > 0 THEN 'shared_entity' END, CASE WHEN cons > 0 THEN 'shared_concept' END, CASE WHEN tags > 0 THEN 'shared_tag' END], lambda v: v IS NOT NULL), ',') AS types FROM scored WHERE score >= 0.1")
 def e5(spark, sf):
     total = load(spark, sf, "documents").count()
     marks = memories(spark, sf).select("id", F.array("lang", "source").alias("concepts"), "tags")
@@ -103,7 +111,7 @@ def e9b(spark, sf):
     return x.select("a", "b", r(F.least(F.lit(1.0), F.col("shared_idf") / F.greatest(F.lit(1), F.col("na") + F.col("nb") - F.col("shared")))).alias("score"))
 
 
-@register("e10_candidates", f"{M} SELECT id FROM memories WHERE created_at < TIMESTAMP '2024-01-03 00:00:00' AND (lang = 'en' OR list_has_any(tags, ['x:candidate']))")
+@register("e10_candidates", f"{M} SELECT id FROM memories WHERE created_at >= (SELECT max(created_at) FROM memories) - INTERVAL 30 DAY AND (lang = 'en' OR list_has_any(tags, ['x:candidate']))")
 def e10(spark, sf):
     """Memories of the last 30 days before the newest one."""
     m = memories(spark, sf)

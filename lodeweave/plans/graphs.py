@@ -125,7 +125,7 @@ ZOOM = 30
 _IMPORTANCE = "CASE WHEN p_brand = 'Brand#1' THEN 1.0 ELSE least(p_size / 100.0, 1.0) * 0.4 + least(p_retailprice / 500.0, 1.0) * 0.3 + least(length(p_name) / 100.0, 1.0) * 0.3 END"
 
 
-@register("g21_zoom_scores", f"SELECT p_partkey, round({_IMPORTANCE}, 8)::DOUBLE AS score FROM part ORDER BY round({_IMPORTANCE}, 8) DESC, p_partkey LIMIT 100")
+@register("g21_zoom_scores", f"SELECT p_partkey, round({_IMPORTANCE}, 8)::DOUBLE AS score FROM part ORDER BY round({_IMPORTANCE}, 8) DESC, p_partkey LIMIT (SELECT CAST(ceil(count(*) * {ZOOM} / 100.0) AS BIGINT) FROM part)")
 def g21(spark, sf):
     """The best ZOOM percent of the parts."""
     kind = F.when(F.col("p_brand") == "Brand#1", "Module").otherwise("Function")
@@ -134,7 +134,7 @@ def g21(spark, sf):
     return parts.select("p_partkey", score.alias("score")).orderBy(F.col("score").desc(), "p_partkey").limit(-(-parts.count() * ZOOM // 100))
 
 
-@register("g21b_zoom_ancestors", f"{E}, par AS (SELECT dst AS node, max(src) AS parent FROM edges GROUP BY dst), t(node) AS (SELECT 1000000::BIGINT + p_partkey FROM part WHERE p_partkey < 5 UNION SELECT parent FROM t JOIN par USING (node)) SELECT node FROM t")
+@register("g21b_zoom_ancestors", f"{E}, par AS (SELECT dst AS node, max(src) AS parent FROM edges GROUP BY dst), best AS (SELECT p_partkey FROM part ORDER BY round({_IMPORTANCE}, 8) DESC, p_partkey LIMIT (SELECT CAST(ceil(count(*) * {ZOOM} / 100.0) AS BIGINT) FROM part)), t(node) AS (SELECT 1000000::BIGINT + p_partkey FROM best UNION SELECT parent FROM t JOIN par USING (node)) SELECT node FROM t")
 def g21b(spark, sf):
     chosen = g21(spark, sf).select((F.lit(1000000) + F.col("p_partkey")).alias("node"))
     return G.with_ancestors(chosen, edges(spark, sf))

@@ -93,6 +93,16 @@ def i8b(spark, sf):
     return spark.createDataFrame([("a.ts", src)], "path string, source string").select("path", meta("source").alias("m")).select("path", "m.*")
 
 
+#: Windows of lines: as many as make up 2000 characters of the mean line, a tenth of them shared with the next window; a window that is not the first and holds under 50 characters ends the list and joins the one before.
+def _chunks_sql(table: str, key: str) -> str:
+    return f"""fl AS (SELECT {key} AS fk, string_split(text, chr(10)) AS l, length(text) AS size FROM {table}),
+fp AS (SELECT *, len(l) AS n, greatest(1, floor(2000 / greatest(size / len(l), 0.001)))::INT AS per FROM fl),
+fw AS (SELECT fk, n, per, l, unnest(range(0, n, greatest(1, per - greatest(1, floor(per * 0.1)::INT)))) AS i, generate_subscripts(range(0, n, greatest(1, per - greatest(1, floor(per * 0.1)::INT))), 1) - 1 AS k FROM fp),
+fb AS (SELECT fk, k, i + 1 AS start_line, least(i + per, n) AS end_line, array_to_string(l[i + 1:i + per], chr(10)) AS body FROM fw),
+fs AS (SELECT *, min(CASE WHEN k > 0 AND length(trim(regexp_replace(body, '[\\n\\r\\t]', ' ', 'g'), ' ')) < 50 THEN k END) OVER (PARTITION BY fk) AS cut FROM fb),
+chunked AS (SELECT a.fk, a.k AS n, a.start_line, coalesce(b.end_line, a.end_line) AS end_line, CASE WHEN b.k IS NULL THEN a.body ELSE a.body || chr(10) || b.body END AS body FROM fs a LEFT JOIN fs b ON b.fk = a.fk AND b.k = b.cut AND a.k = b.k - 1 WHERE a.cut IS NULL OR a.k < a.cut)"""
+
+
 @register("i5_fixed_chunks", "SELECT doc_id, count(*) AS lines, max(length(line)) AS longest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id")
 def i5_lines(spark, sf):
     """The line table under the chunker; the chunks themselves are i5b."""
@@ -100,19 +110,24 @@ def i5_lines(spark, sf):
     return x.groupBy("doc_id").agg(F.count("*").alias("lines"), F.max(F.length("line")).cast("long").alias("longest"))
 
 
-@register("i5b_fixed_chunk_windows")
+@register("i5b_fixed_chunk_windows", f"WITH {_chunks_sql('documents', 'doc_id')} SELECT fk AS doc_id, n::INT AS n, start_line::INT AS start_line, end_line::INT AS end_line, body FROM chunked")
 def i5(spark, sf):
     return load(spark, sf, "documents").select("doc_id", F.explode(I.fixed_chunks(F.col("text"))).alias("c")).select("doc_id", "c.*")
 
 
-_LINES = "ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS no FROM md)"
+_LINES = "ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM md)"
 
 
-@register("i6_markdown", f"""WITH md AS (SELECT doc_id, replace(text, '. ', chr(10) || '## ') AS text FROM documents), {_LINES}, s AS (SELECT *, greatest(1, sum(CASE WHEN regexp_matches(line, '^##\\s+.+') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY no)) AS sec FROM ln)
-SELECT doc_id, sec AS section, min(no) AS start_line, string_agg(line, chr(10) ORDER BY no) AS body FROM s GROUP BY doc_id, sec""")
+@register("i6_markdown", f"""WITH md AS (SELECT doc_id, regexp_replace(text, '(^|\\n)(The|Le|La|El|Der|Die) ', '\\1## \\2 ', 'g') AS text FROM documents), {_LINES},
+s AS (SELECT *, greatest(1, sum(CASE WHEN regexp_matches(line, '^##\\s+.+') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY no)) AS sec FROM ln),
+sections AS (SELECT doc_id, sec AS section, coalesce(min(trim(regexp_extract(line, '^##\\s+(.+)$', 1))) FILTER (WHERE regexp_matches(line, '^##\\s+.+')), 'content') AS name, min(no) AS start_line, max(no) AS end_line, string_agg(line, chr(10) ORDER BY no) AS text FROM s GROUP BY doc_id, sec),
+big AS (SELECT {{'d': doc_id, 's': section, 'n': name}} AS id, text FROM sections WHERE length(text) > 2000), {_chunks_sql('big', 'id')}
+SELECT doc_id, section::BIGINT AS section, 0 AS part, name, start_line::INT AS start_line, end_line::INT AS end_line, text AS body FROM sections WHERE length(text) <= 2000
+UNION ALL SELECT fk.d, fk.s::BIGINT, n::INT, fk.n, start_line::INT, end_line::INT, body FROM chunked""")
 def i6(spark, sf):
-    md = load(spark, sf, "documents").select("doc_id", F.regexp_replace("text", r"\. ", "\n## ").alias("text"))
-    return md.select("doc_id", F.posexplode(I.markdown_sections(F.col("text"))).alias("k", "s")).select("doc_id", (F.col("k") + 1).cast("long").alias("section"), F.col("s.start_line").cast("long").alias("start_line"), F.col("s.body").alias("body"))
+    """Documents as Markdown: lines that begin with an article are headers."""
+    md = load(spark, sf, "documents").select("doc_id", F.regexp_replace("text", r"(^|\n)(The|Le|La|El|Der|Die) ", "$1## $2 ").alias("text"))
+    return I.markdown_chunks(md, "text").drop("text")
 
 
 @register("i7_single_chunk", f"WITH {PATHS} SELECT doc_id, CASE WHEN path LIKE '%vite.config%' THEN 'config_module' WHEN path LIKE '%/index.ts' THEN 'barrel' END AS chunk_type, length(text) AS size FROM paths WHERE path LIKE '%vite.config%' OR path LIKE '%/index.ts'")
@@ -130,7 +145,11 @@ def i9(spark, sf):
     return I.changed(files, done).select("doc_id")
 
 
-@register("i10_name_path", f"WITH {PATHS} SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN source || '.' || lang || '.main' WHEN 5 THEN source || '.' || lang || '.README.md' WHEN 7 THEN source || '.' || lang || '.noext' ELSE replace(substr(path, 5), '/', '.') END AS module FROM paths p JOIN documents USING (doc_id) WHERE doc_id % 8 IN (0, 5, 7)")
+#: By a path's suffix: its language's leading folders and suffix go, then a last __init__ or index.
+_MODULE = "CASE WHEN path LIKE '%.py' THEN regexp_replace(regexp_replace(path, '^((api|src)/)+', ''), '\\.py$', '') WHEN path LIKE '%.ts' THEN regexp_replace(regexp_replace(path, '^(src/)+', ''), '\\.ts$', '') WHEN path LIKE '%.js' THEN regexp_replace(regexp_replace(path, '^(src/)+', ''), '\\.js$', '') WHEN path LIKE '%.GO' THEN path ELSE regexp_replace(path, '^((api|src)/)+', '') END"
+
+
+@register("i10_name_path", f"WITH {PATHS} SELECT doc_id, replace(regexp_replace({_MODULE}, '(^|/)(__init__|index)$', ''), '/', '.') AS module FROM paths")
 def i10(spark, sf):
     """Module names by the rules of each path's language; those of no language by the general ones."""
     kind, name = S.language(F.col("path")), I.module_path(F.col("path"), "")
@@ -161,7 +180,7 @@ def i11(spark, sf):
     return d.select("doc_id", F.when(F.col("text").contains('"""'), "TEXT").otherwise("CODE").alias("domain"), embed("text").alias("embedding"))
 
 
-@register("i12_limits", "SELECT source, doc_id FROM documents WHERE n_chars <= 5000 QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 50")
+@register("i12_limits", f"WITH {PATHS}, kept AS (SELECT doc_id, text FROM paths WHERE NOT (path LIKE '%.d.ts' AND len(string_split(text, chr(10))) > 5000)), {_chunks_sql('kept', 'doc_id')} SELECT source, doc_id, n::INT AS n, start_line::INT AS start_line, end_line::INT AS end_line, body FROM chunked JOIN documents ON doc_id = fk WHERE n < 50")
 def i12(spark, sf):
     """Chunks of files: the first 50 of each, none of declaration files of more than 5000 lines."""
     files = paths(spark, sf).join(load(spark, sf, "documents").select("doc_id", "source"), "doc_id")
@@ -237,44 +256,3 @@ def i21(spark, sf):
 @register("i22_call_contexts")
 def i22(spark, sf):
     return i4(spark, sf).select("path", F.col("name").alias("caller"), "kind", F.explode("calls").alias("callee"))
-
-
-CHUNKS = [(1, "api/cache.py", "Cache", "class", "cache.Cache"), (2, "api/cache.py", "get", "method", "cache.Cache.get"), (3, "api/load.py", "load", "function", "load.load"), (4, "api/load.py", "get", "function", "load.get"), (5, "web/index.ts", "", "barrel", "web"), (6, "web/anon.ts", "anonymous_1", "function", "web.anon.anonymous_1"), (7, "web/k.ts", "K", "class", "web.k.K")]
-
-
-def chunks(spark):
-    return spark.createDataFrame(CHUNKS, "id long, file string, name string, chunk_type string, name_path string")
-
-
-@register("g14_graph_nodes", "SELECT * FROM (VALUES (1, 'Class', 'Cache'), (2, 'Function', 'get'), (3, 'Function', 'load'), (4, 'Function', 'get'), (5, 'Module', 'index.ts'), (7, 'Class', 'K')) t(node_id, node_type, label)")
-def g14(spark, sf):
-    return I.graph_nodes(chunks(spark)).select(F.col("node_id").cast("int").alias("node_id"), "node_type", "label")
-
-
-@register("g15_call_edges", "SELECT * FROM (VALUES (3, 4, 'get'), (3, 2, 'Cache.get'), (1, 2, 'get')) t(src, dst, callee)")
-def g15(spark, sf):
-    calls = spark.createDataFrame([(3, "api/load.py", "get"), (3, "api/load.py", "print"), (3, "api/load.py", "Cache.get"), (1, "api/cache.py", "get")], "id long, file string, callee string")
-    return I.resolve_calls(calls, chunks(spark)).select(F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"), "callee")
-
-
-@register("g16_import_edges", "SELECT * FROM (VALUES (3, 2), (4, 1)) t(src, dst)")
-def g16(spark, sf):
-    imports = spark.createDataFrame([(3, "cache.Cache.get"), (4, "pkg.cache.Cache"), (4, "os.path")], "id long, target string")
-    return I.resolve_imports(imports, chunks(spark)).select(F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"))
-
-
-@register("g17_reexport_edges", "SELECT 5 AS src, 7 AS dst, 'K' AS symbol")
-def g17(spark, sf):
-    again = spark.createDataFrame([(5, "web/index.ts", "./k", "K"), (5, "web/index.ts", "./k", "*")], "id long, file string, source string, symbol string")
-    return I.reexport_edges(again, chunks(spark)).select(F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"), "symbol")
-
-
-@register("g18_contains_edges", "SELECT parent, count(*) AS n FROM (VALUES ('api'), ('api'), ('web'), ('web'), ('web'), ('api/cache.py'), ('api/cache.py'), ('api/load.py'), ('api/load.py'), ('web/index.ts'), ('web/anon.ts'), ('web/k.ts')) t(parent) GROUP BY parent")
-def g18(spark, sf):
-    return I.contains_edges(chunks(spark)).groupBy("parent").agg(F.count("*").alias("n"))
-
-
-@register("g19_module_graph", "SELECT * FROM (VALUES ('web/index.ts', 'web/k.ts'), ('api/load.py', 'api/cache.py')) t(src, dst)")
-def g19(spark, sf):
-    imports = spark.createDataFrame([("web/index.ts", "./k"), ("api/load.py", "./cache"), ("api/load.py", "./gone")], "file string, target string")
-    return I.module_edges(imports, chunks(spark))

@@ -1,13 +1,11 @@
 """Search queries over documents, embeddings and memories.
 
 Embedding vec_id stands for the document with that doc_id; the query vector is
-the embedding with the smallest vec_id; the query text is the start of a
-benchmark item."""
+the embedding with the smallest vec_id. A document's name is its first five
+words, its source the whole text; the query text is made of words common in one
+of the languages."""
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +17,7 @@ from ..functions import vector as V
 from ..operators import search as S
 from ..sources.tables import MEMORIES_SQL, load, memories, names
 
-QUERY = "That and onesen erblest it hein ti inenan"
+QUERY = "The that of and in the tion"
 
 
 def r(c, n=8):
@@ -31,26 +29,28 @@ def query_vector(spark, sf) -> DataFrame:
     return e.orderBy("vec_id").limit(1).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
-
-
 TRGM = lambda s: f"list_distinct(flatten(list_transform(regexp_extract_all(lower({s}), '[\\p{{L}}\\p{{N}}]+'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 SIM = lambda a, b: f"coalesce(len(list_intersect({a}, {b})) * 1.0 / nullif(len({a}) + len({b}) - len(list_intersect({a}, {b})), 0), 0.0)"
 QV = "qv AS (SELECT vec_id AS query_id, embedding AS query FROM embeddings ORDER BY vec_id LIMIT 1)"
 COS = "list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(query AS DOUBLE[]))"
 L2 = "list_distance(CAST(embedding AS DOUBLE[]), CAST(query AS DOUBLE[]))"
+NAME = "array_to_string(string_split(text, ' ')[1:5], ' ')"
+Q_GRAMS = TRGM(f"'{QUERY}'")
 LEX = f"""lex AS (SELECT doc_id AS id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (
-  SELECT doc_id, {SIM('g', 'q')} AS score FROM (SELECT doc_id, {TRGM("left(text, 200)")} AS g, {TRGM(f"'{QUERY}'")} AS q FROM documents)) WHERE score > 0.1 QUALIFY rank <= 100)"""
+  SELECT doc_id, {SIM('n', 'q')} AS by_name, {SIM('g', 'q')} AS by_source, greatest({SIM('n', 'q')}, {SIM('g', 'q')}) AS score FROM (SELECT doc_id, {TRGM(NAME)} AS n, {TRGM('text')} AS g, {Q_GRAMS} AS q FROM documents))
+  WHERE (by_name >= 0.3 OR by_source >= 0.3) AND score > 0.1 QUALIFY rank <= 100)"""
 VEC = f"vec AS (SELECT vec_id AS id, 1 - {COS} AS distance, row_number() OVER (ORDER BY round(1 - {COS}, 12), vec_id) AS rank FROM embeddings, qv QUALIFY rank <= 100)"
 
 
-@register("q1_trgm", f"SELECT doc_id, round({SIM('g', 'q')}, 8) AS sim FROM (SELECT doc_id, {TRGM('left(text, 200)')} AS g, {TRGM(chr(39) + QUERY + chr(39))} AS q FROM documents)")
+@register("q1_trgm", f"SELECT doc_id, round({SIM('g', 'q')}, 8) AS sim FROM (SELECT doc_id, {TRGM('text')} AS g, {Q_GRAMS} AS q FROM documents)")
 def q1(spark, sf):
     return load(spark, sf, "documents").select("doc_id", r(X.trgm_similarity(F.col("text"), F.lit(QUERY))).alias("sim"))
 
 
 def lexical_list(spark, sf, k=100) -> DataFrame:
-    d = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
-    found = S.lexical(d, [F.col("text")], F.lit(QUERY), 0.1, 0.0).select("id", "score")
+    """Names or sources like the query: one of them reaches the operator's limit, and the larger the search's threshold."""
+    d = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.array_join(F.slice(F.split("text", " "), 1, 5), " ").alias("name"))
+    found = S.lexical(d, [F.coalesce("name", F.lit("")), F.coalesce("text", F.lit(""))], F.lit(QUERY), 0.1).select("id", "score")
     return S.ranked(found, [F.col("score").desc(), F.col("id")], k)
 
 
@@ -65,13 +65,18 @@ def q2(spark, sf):
     return lexical_list(spark, sf).select("id", r("score").alias("score"), "rank")
 
 
-@register("q3_similarity_threshold", f"SELECT doc_id, round({SIM('g', 'q')}, 8) AS sim FROM (SELECT doc_id, {TRGM('left(text, 200)')} AS g, {TRGM(chr(39) + QUERY + chr(39))} AS q FROM documents) WHERE {SIM('g', 'q')} >= 0.3")
+#: Least similarity of a whole text to a short query, a parameter of the search.
+LEAST = 0.15
+
+
+@register("q3_similarity_threshold", f"SELECT doc_id, round({SIM('g', 'q')}, 8) AS sim FROM (SELECT doc_id, {TRGM('text')} AS g, {Q_GRAMS} AS q FROM documents) WHERE {SIM('g', 'q')} >= {LEAST}")
 def q3(spark, sf):
-    return q1(spark, sf).where("sim >= 0.3")
+    grams = X.trigrams(F.lit(QUERY))
+    return load(spark, sf, "documents").select("doc_id", X.array_similarity(X.trigrams(F.col("text")), grams).alias("s")).where(F.col("s") >= LEAST).select("doc_id", r("s").alias("sim"))
 
 
-@register("q4_memory_lexical", f"""WITH {MEMORIES_SQL}, s AS (SELECT id, title ILIKE '%tion%' AS a, content ILIKE '%tion%' AS b, {SIM('gt', 'q')} AS st, {SIM('gs', 'q')} AS ss FROM (SELECT id, title, content, {TRGM('title')} AS gt, {TRGM('left(content, 200)')} AS gs, {TRGM("'tion'")} AS q FROM memories))
-SELECT id, round(greatest(st, ss, CASE WHEN a THEN 1.0 WHEN b THEN 0.95 ELSE 0.0 END), 8) AS score FROM (SELECT id, title ILIKE '%tion%' AS a, left(content, 200) ILIKE '%tion%' AS b, {SIM('gt', 'q')} AS st, {SIM('gs', 'q')} AS ss FROM (SELECT id, title, content, {TRGM('title')} AS gt, {TRGM('left(content, 200)')} AS gs, {TRGM("'tion'")} AS q FROM memories)) WHERE a OR b OR st >= 0.3 OR ss >= 0.3""")
+@register("q4_memory_lexical", f"""WITH {MEMORIES_SQL}, s AS (SELECT id, title ILIKE '%tion%' AS a, content ILIKE '%tion%' AS b, {SIM('gt', 'q')} AS st, {SIM('gs', 'q')} AS ss FROM (SELECT id, title, content, {TRGM('title')} AS gt, {TRGM('content')} AS gs, {TRGM("'tion'")} AS q FROM memories))
+SELECT id, round(greatest(st, ss, CASE WHEN a THEN 1.0 WHEN b THEN 0.95 ELSE 0.0 END), 8) AS score FROM s WHERE a OR b OR st >= 0.3 OR ss >= 0.3""")
 def q4(spark, sf):
     m = memories(spark, sf)
     return S.memory_lexical(m, F.col("title"), F.col("content"), "tion").select("id", r("score").alias("score"))
@@ -117,8 +122,7 @@ def q10b(spark, sf):
     """Many query vectors in one job: a stated set against all rows."""
     e = load(spark, sf, "embeddings")
     qs = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    x = e.crossJoin(qs).select("query_id", "vec_id", F.round(V.cosine_distance(F.col("embedding"), F.col("query")), 12).alias("d"))
-    return S.ranked(x, [F.col("d"), F.col("vec_id")], 5, ["query_id"]).select("query_id", "vec_id", r("d").alias("distance"), "rank")
+    return S.knn(e, "embedding", qs, 5, "vec_id").select("query_id", "vec_id", r("distance").alias("distance"), "rank")
 
 
 @register("q11_matching_count", f"WITH {QV} SELECT count(*) FILTER (WHERE {L2} <= 1.2) AS near, count(*) AS total FROM embeddings, qv")
@@ -134,10 +138,13 @@ def with_fallback(scored: DataFrame, threshold: float, k: int, order: list) -> D
     return S.ranked(scored.crossJoin(any_within).where((F.col("d") <= threshold) | (F.col("__n") == 0)).withColumn("fallback", F.col("__n") == 0).drop("__n"), order, k)
 
 
-@register("q12_fallback", f"WITH {QV} SELECT vec_id, round({L2}, 8) AS distance, true AS fallback FROM embeddings, qv ORDER BY round({L2}, 12), vec_id LIMIT 5")
+@register("q12_fallback", f"""WITH {QV}, s AS (SELECT vec_id, {L2} AS d FROM embeddings, qv), lim AS (SELECT * FROM (VALUES (-1.0), (1.2)) t(lim)), n AS (SELECT lim, count(*) FILTER (WHERE d <= lim) AS n FROM s, lim GROUP BY lim)
+SELECT lim::DOUBLE AS threshold, vec_id, round(d, 8) AS distance, n = 0 AS fallback FROM s JOIN n ON n = 0 OR d <= lim QUALIFY row_number() OVER (PARTITION BY lim ORDER BY round(d, 12), vec_id) <= 5""")
 def q12(spark, sf):
+    """A threshold that leaves nothing, and one that leaves some."""
     x = load(spark, sf, "embeddings").crossJoin(F.broadcast(query_vector(spark, sf))).select("vec_id", V.l2_distance(F.col("embedding"), F.col("query")).alias("d"))
-    return with_fallback(x, -1.0, 5, [F.round("d", 12), F.col("vec_id")]).select("vec_id", r("d").alias("distance"), "fallback")
+    parts = [with_fallback(x, limit, 5, [F.round("d", 12), F.col("vec_id")]).select(F.lit(limit).alias("threshold"), "vec_id", r("d").alias("distance"), "fallback") for limit in (-1.0, 1.2)]
+    return parts[0].unionByName(parts[1])
 
 
 @register("q13_search_function", f"WITH {QV} SELECT vec_id, round({COS}, 8) AS similarity FROM embeddings, qv WHERE label = 3 ORDER BY round(1 - {COS}, 12), vec_id LIMIT 7")
@@ -213,15 +220,15 @@ def q22(spark, sf):
     return load(spark, sf, "benchmark").select("item_id", F.when(m >= 5, 0.3).when((m == 0) & (w > 3), 0.5).otherwise(0.4).cast("double").alias("lexical"))
 
 
-_TOK = "regexp_extract_all(lower(left(text, 1000)), '[a-zA-Z0-9\\x{00C0}-\\x{024F}]+')"
+_TOK = "regexp_extract_all(lower({}), '[a-zA-Z0-9\\x{{00C0}}-\\x{{024F}}]+')"
 
 
-def _bm25_sql(pool: str, tokens: list[str]) -> str:
+def _bm25_sql(pool: str, tokens: list[str], body: str = "text") -> str:
     q = {t: tokens.count(t) for t in dict.fromkeys(tokens)}
     cols = ", ".join(f"len(list_filter(t, lambda v: v = '{t}')) AS tf{i}" for i, t in enumerate(q))
     dfs = ", ".join(f"sum(CASE WHEN tf{i} > 0 THEN 1 ELSE 0 END) OVER () AS df{i}" for i in range(len(q)))
     score = " + ".join(f"{float(n)} * CASE WHEN tf{i} > 0 THEN ln((n - df{i} + 0.5) / (df{i} + 0.5) + 1.0) * (tf{i} * 2.5) / (tf{i} + 1.5 * (0.25 + 0.75 * len / avg)) ELSE 0.0 END" for i, n in enumerate(q.values()))
-    return f"""toks AS (SELECT p.*, {_TOK} AS t FROM {pool} p JOIN documents ON doc_id = p.id), tfs AS (SELECT *, len(t) AS len, {cols} FROM toks),
+    return f"""toks AS (SELECT p.*, {_TOK.format(body)} AS t FROM {pool} p JOIN documents ON doc_id = p.id), tfs AS (SELECT *, len(t) AS len, {cols} FROM toks),
 stats AS (SELECT *, count(*) OVER () AS n, avg(len) OVER () AS avg, {dfs} FROM tfs), scored AS (SELECT *, {score} AS rerank_score FROM stats)"""
 
 
@@ -231,15 +238,15 @@ _TOKENS = S.query_tokens(QUERY)
 @register("q23_bm25", f"WITH {LEX}, pool AS (SELECT * FROM lex WHERE rank <= 30), {_bm25_sql('pool', _TOKENS)} SELECT id, round(rerank_score, 8) AS rerank_score, row_number() OVER (ORDER BY round(rerank_score, 12) DESC, rank) AS rank FROM scored")
 def q23(spark, sf):
     pool = lexical_list(spark, sf, 30).join(load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
-    x = S.bm25(pool, "id", F.left("text", F.lit(1000)), _TOKENS)
+    x = S.bm25(pool, "id", F.col("text"), _TOKENS)
     return x.select("id", r("rerank_score").alias("rerank_score"), F.row_number().over(Window.orderBy(F.round("rerank_score", 12).desc(), "rank")).cast("long").alias("rank"))
 
 
-_HYBRID = f"{QV}, {LEX}, {VEC}, {_rrf_sql([('lex', 0.4), ('vec', 0.6)])}, pool AS (SELECT *, {_FUSED_RANK} AS rank FROM fused QUALIFY rank <= 30), {_bm25_sql('pool', _TOKENS)}"
+_HYBRID = f"{QV}, {LEX}, {VEC}, {_rrf_sql([('lex', 0.4), ('vec', 0.6)])}, pool AS (SELECT *, {_FUSED_RANK} AS rank FROM fused QUALIFY rank <= 30), {_bm25_sql('pool', _TOKENS, 'left(text, 1000)')}"
 
 
 def hybrid_pool(spark, sf, weights=(0.4, 0.6), k=60, pool=30) -> DataFrame:
-    """Fused lists, cut to a pool, with the documents' texts and BM25 scores."""
+    """Fused lists, cut to a pool, with the documents' texts and BM25 scores of their first 1000 characters, which is all that the reranker of code reads."""
     fused = S.fuse([("lex", lexical_list(spark, sf), weights[0]), ("vec", vector_list(spark, sf), weights[1])], "id", k)
     top = S.ranked(fused, S.fused_order("id"), pool)
     return S.bm25(top.join(load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), "id"), "id", F.left("text", F.lit(1000)), _TOKENS)
@@ -259,19 +266,22 @@ ment AS (SELECT id, row_number() OVER (ORDER BY created_at DESC, id) AS rank FRO
 
 
 @register("q25_hybrid_memory", f"""WITH {MEMORIES_SQL}, {_MEM_LISTS}, {_rrf_sql([('mlex', None), ('mvec', None), ('ment', None), ('mtag', None)])},
-aged AS (SELECT f.*, m.created_at, rrf_score * exp(-0.01 * (epoch_us((SELECT max(created_at) FROM memories)) - epoch_us(m.created_at)) / 86400000000.0) AS score FROM (SELECT *, {_FUSED_RANK} AS rank FROM fused QUALIFY rank <= 30) f JOIN memories m ON m.id = f.id)
-SELECT * FROM (SELECT id, sources, round(score, 10) AS score, row_number() OVER (ORDER BY round(score, 13) DESC, rank) AS rank FROM aged) WHERE rank <= 10""")
+pool AS (SELECT *, {_FUSED_RANK} AS rank FROM fused QUALIFY rank <= 30), {_bm25_sql('pool', _TOKENS)},
+placed AS (SELECT *, row_number() OVER (ORDER BY round(rerank_score, 12) DESC, rank) AS place FROM scored),
+aged AS (SELECT f.*, rrf_score * exp(-0.01 * (epoch_us((SELECT max(created_at) FROM memories)) - epoch_us(m.created_at)) / 86400000000.0) AS score FROM placed f JOIN memories m ON m.id = f.id)
+SELECT * FROM (SELECT id, sources, round(score, 10) AS score, round(rerank_score, 8) AS rerank_score, row_number() OVER (ORDER BY round(score, 13) DESC, place) AS rank FROM aged) WHERE rank <= 10""")
 def q25(spark, sf):
-    """Four branches, unweighted fusion, decay by age; the decayed score decides the order."""
+    """Four branches, unweighted fusion, BM25 over the first 30, decay by age; the decayed score decides, the reranker's order on ties."""
     m = memories(spark, sf)
     newest = [F.col("created_at").desc(), F.col("id")]
     tag = S.ranked(m.where(F.array_contains("tags", "x:candidate")).select("id", "created_at"), newest, 50)
     ent = S.ranked(m.where(F.array_contains(names("content", 3), "Hand")).select("id", "created_at"), newest, 50)
     fused = S.fuse([("mlex", lexical_list(spark, sf, 50), None), ("mvec", vector_list(spark, sf, 50), None), ("ment", ent, None), ("mtag", tag, None)], "id")
-    top = S.ranked(fused, S.fused_order("id"), 30).join(m.select("id", "created_at"), "id").crossJoin(F.broadcast(m.agg(F.max("created_at").alias("now"))))
-    x = top.withColumn("score", F.col("rrf_score") * DE.decay(DE.age_days(F.col("now"), F.col("created_at"))))
-    final = F.row_number().over(Window.orderBy(F.round("score", 13).desc(), "rank")).cast("long")
-    return x.select("id", "sources", r("score", 10).alias("score"), final.alias("rank")).where("rank <= 10")
+    top = S.ranked(fused, S.fused_order("id"), 30).join(m.select("id", "content", "created_at"), "id").crossJoin(F.broadcast(m.agg(F.max("created_at").alias("now"))))
+    x = S.bm25(top, "id", F.col("content"), _TOKENS).withColumn("place", F.row_number().over(Window.orderBy(F.round("rerank_score", 12).desc(), "rank")))
+    x = x.withColumn("score", F.col("rrf_score") * DE.decay(DE.age_days(F.col("now"), F.col("created_at"))))
+    final = F.row_number().over(Window.orderBy(F.round("score", 13).desc(), "place")).cast("long")
+    return x.select("id", "sources", r("score", 10).alias("score"), r("rerank_score").alias("rerank_score"), final.alias("rank")).where("rank <= 10")
 
 
 _AGE = "(epoch_us((SELECT max(created_at) FROM memories)) - epoch_us(created_at)) / 86400000000.0"
@@ -301,24 +311,48 @@ def q29(spark, sf):
     return load(spark, sf, "part").select("p_partkey", r(F.nullif(DE.half_life(rate), F.lit(float("inf")))).alias("days"))
 
 
-@register("q30_query_rewriting", "SELECT 'auth authentication authorization login signin error exception fail crash bug traceback in cache redis memcached ttl evict lru' AS words")
+_SYNONYMS_SQL = "MAP {" + ", ".join(f"'{k}': {v!r}" for k, v in S.SYNONYMS.items()) + "}"
+_QUERY_WORDS = "string_split(['auth', 'error', 'cache', 'query', 'config'][event_id % 5 + 1] || ' ' || event_type || ' in ' || ['token', 'db', 'auth', 'log'][user_id % 4 + 1], ' ')"
+
+
+@register("q30_query_rewriting", f"SELECT event_id, array_to_string(list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: list_position(w, x[1]) = x[2]), lambda x: x[1]), ' ') AS words FROM (SELECT event_id, flatten(list_transform({_QUERY_WORDS}, lambda t: list_concat([t], coalesce(syn[t], [])))) AS w FROM events, (SELECT {_SYNONYMS_SQL} AS syn))")
 def q30(spark, sf):
-    q = spark.createDataFrame([("auth error in auth cache",)], "q string")
-    return q.select(F.array_join(S.expanded(F.split("q", " ")), " ").alias("words"))
+    """Queries made of each event's kind and numbers, every word followed by its synonyms."""
+    pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (n + 1).cast("int"))
+    q = F.concat_ws(" ", pick(["auth", "error", "cache", "query", "config"], F.col("event_id") % 5), "event_type", F.lit("in"), pick(["token", "db", "auth", "log"], F.col("user_id") % 4))
+    return load(spark, sf, "events").select("event_id", F.array_join(S.expanded(F.split(q, " ")), " ").alias("words"))
+
+
+_FIRST_OF = "list_transform(list_filter(list_zip({w}, range(1, len({w}) + 1)), lambda x: list_position({w}, x[1]) = x[2]), lambda x: x[1])[1:{n}]"
+_LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
-@register("q31_keywords")
+@register("q31_keywords", f"""WITH runs AS (SELECT conv_id, turn, text, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+') AS w FROM conversations WHERE role = 'user'),
+u AS (SELECT conv_id, turn, list_filter(list_transform(w, lambda x: lower(x)), lambda x: regexp_full_match(x, '[a-z]{{3,}}') AND NOT list_contains({_LIST(S.STOPWORDS)}, x)) AS t,
+list_concat(list_concat(list_filter(w, lambda x: regexp_full_match(x, '[A-Z]{{2,}}')), regexp_extract_all(text, '\\bv?[0-9]+\\.[0-9]+(?:\\.[0-9]+)?\\b')), list_filter(w, lambda x: regexp_full_match(x, '[A-Z][a-z]{{2,}}') AND NOT list_contains({_LIST(S.COMMON_CAPITALISED)}, lower(x)))) AS n FROM runs)
+SELECT conv_id, turn, array_to_string({_FIRST_OF.format(w='t', n=4)}, ' ') AS themes, array_to_string({_FIRST_OF.format(w='n', n=5)}, ' ') AS names FROM u""")
 def q31(spark, sf):
     return load(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", F.array_join(S.themes(F.col("text")), " ").alias("themes"), F.array_join(S.names(F.col("text")), " ").alias("names"))
 
 
-@register("q32_snippets")
-def q32(spark, sf):
-    @F.pandas_udf("array<struct<before:string,match:string,after:string>>")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda t: [{"before": a, "match": b, "after": c} for a, b, c in S.snippets(t, "secret token erblest")])
+_MARKED = ("secret", "token", "erblest")
+_PLACES = " UNION ALL ".join(f"SELECT doc_id, text, unnest(list_filter(range(1, length(text) + 1), lambda i: substr(low, i, {len(t)}) = '{t}')) - 1 AS a, {len(t)} AS len FROM d WHERE contains(low, '{t}')" for t in _MARKED)
+
 
+@register("q32_snippets", f"""WITH d AS (SELECT doc_id, text, lower(text) AS low FROM documents),
+hit AS (SELECT doc_id, text, a, a + len AS b FROM ({_PLACES})),
+edge AS (SELECT *, coalesce(a > max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS new FROM hit),
+span AS (SELECT doc_id, any_value(text) AS text, min(a) AS a, max(b) AS b FROM (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM edge) GROUP BY doc_id, g),
+one AS (SELECT doc_id, min(a) AS a FROM span GROUP BY doc_id),
+two AS (SELECT s.doc_id, min(s.a) AS a FROM span s JOIN one USING (doc_id) WHERE s.a >= one.a + 150 GROUP BY s.doc_id),
+three AS (SELECT s.doc_id, min(s.a) AS a FROM span s JOIN two USING (doc_id) WHERE s.a >= two.a + 150 GROUP BY s.doc_id),
+picked AS (SELECT s.* FROM span s JOIN (FROM one UNION ALL FROM two UNION ALL FROM three) p ON p.doc_id = s.doc_id AND p.a = s.a),
+wide AS (SELECT *, greatest(0, a - 50) AS lo0, least(length(text), b + 100) AS hi0 FROM picked),
+blank AS (SELECT *, instr(reverse(substr(text, greatest(0, lo0 - 20) + 1, lo0 - greatest(0, lo0 - 20))), ' ') AS back, instr(substr(text, hi0 + 1, 20), ' ') AS ahead FROM wide),
+cut AS (SELECT *, CASE WHEN lo0 > 0 AND back > 0 AND lo0 - back > 0 THEN lo0 - back + 1 ELSE lo0 END AS lo, CASE WHEN hi0 < length(text) AND ahead > 0 THEN hi0 + ahead - 1 ELSE hi0 END AS hi FROM blank)
+SELECT doc_id, CASE WHEN lo > 0 THEN '...' ELSE '' END || substr(text, lo + 1, a - lo) AS before, substr(text, a + 1, b - a) AS match, substr(text, b + 1, hi - b) || CASE WHEN hi < length(text) THEN '...' ELSE '' END AS after FROM cut""")
+def q32(spark, sf):
+    cut = S.snippets_of(list(_MARKED))
     return load(spark, sf, "documents").select("doc_id", F.explode(cut("text")).alias("s")).select("doc_id", "s.*")
 
 

@@ -73,9 +73,9 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").select("event_id", "ts", F.concat(F.lit("/u/"), F.col("user_id").cast("string")).alias("endpoint"), F.col("value").alias("latency"), status.alias("status"), F.col("event_type").alias("category"))
 
 
-#: Entities of a document: its distinct capitalised words; this SQL still asks for eight letters or more, entities() for four.
+#: Entities of a document: its distinct capitalised words of four letters or more.
 ENTITIES_SQL = """ent AS (
-  SELECT DISTINCT doc_id AS id, unnest(list_filter(regexp_extract_all(text, '\\p{L}+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{7,}'))) AS name FROM documents)"""
+  SELECT DISTINCT doc_id AS id, unnest(list_filter(regexp_extract_all(text, '\\p{L}+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{3,}'))) AS name FROM documents)"""
 
 
 def names(text: str, least: int) -> Column:

@@ -2,8 +2,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,9 +141,9 @@ def test_structure(spark, calls):
 
 def test_relationships(spark):
     ents = spark.createDataFrame([(1, "redis"), (1, "postgres"), (2, "redis"), (3, "postgres"), (4, "lone")], "id long, name string")
-    tags = spark.createDataFrame([(i, ["t"] if i < 3 else ["u"]) for i in range(1, 5)], "id long, tags array<string>")
-    got = {(r["a"], r["b"]): r for r in relations.relationship_scores(ents, tags, 100, 0.0).collect()}
-    assert set(got) == {(1, 2), (1, 3)} and got[1, 2]["types"] == "shared_entity,shared_tag" and got[1, 2]["score"] > got[1, 3]["score"] > 0
+    marks = spark.createDataFrame([(i, [], ["t"] if i < 3 else ["u"]) for i in range(1, 5)], "id long, concepts array<string>, tags array<string>")
+    got = {(r["a"], r["b"]): r for r in relations.relationships(ents, marks, 100, 0.0).collect()}
+    assert set(got) == {(1, 2), (1, 3), (3, 4)} and got[1, 2]["types"] == "shared_entity,shared_tag" and got[1, 2]["score"] > got[1, 3]["score"] > 0
 
 
 def test_consolidation_groups():
@@ -175,6 +177,75 @@ def reference_chunks(source, size):
     return out
 
 
+def test_markdown_chunks_split_long_sections(spark):
+    long = "\n".join(f"line {i} of a long section" for i in range(200))
+    files = spark.createDataFrame([(1, "intro\n## A\nshort\n## B\n" + long), (2, "##"), (3, None)], "id long, text string")
+    rows = ingest.markdown_chunks(files, "text").orderBy("id", "section", "part").collect()
+    want = [(1, 1, 0, "A", 1, 3, "intro\n## A\nshort")]
+    want += [(1, 2, k, "B", a, b, body) for k, (a, b, body) in enumerate(reference_chunks("## B\n" + long, 2000))]
+    want += [(2, 1, 0, "content", 1, 1, "##")]
+    assert [(r["id"], r["section"], r["part"], r["name"], r["start_line"], r["end_line"], r["body"]) for r in rows] == want
+
+
+def greedy_by_list(pairs):
+    """The grouping rule over a list of groups, pair by pair."""
+    groups = []
+    for a, b, score, e, c in sorted(pairs, key=lambda p: -p[2]):
+        x, y = (next((g for g in groups if m in g[0]), None) for m in (a, b))
+        if x is None and y is None:
+            groups.append([[a, b], set(e), set(c), score])
+        elif x is y:
+            continue
+        elif x and y:
+            if (x[1] & y[1]) or (x[2] & y[2]):
+                groups.remove(y)
+                x[:] = [x[0] + y[0], x[1] & y[1], x[2] & y[2], min(x[3], score)]
+        else:
+            g, m = (x, b) if x else (y, a)
+            g[:] = [[*g[0], m], g[1] & set(e), g[2] & set(c), min(g[3], score)]
+    return sorted((sorted(g[0]), sorted(g[1]), sorted(g[2]), g[3]) for g in groups)
+
+
+def test_consolidation_groups_equal_the_rule():
+    pick = random.Random(8)
+    for _ in range(200):
+        ends = list(itertools.combinations(range(9), 2))
+        pairs = [(a, b, s / 100, {x for x in "ABC" if pick.random() < 0.6}, {x for x in "xy" if pick.random() < 0.5}) for s, (a, b) in enumerate(pick.sample(ends, 14))]
+        assert sorted((sorted(g.members), sorted(g.entities), sorted(g.concepts), g.score) for g in relations.greedy_groups(pairs)) == greedy_by_list(pairs)
+
+
+def test_knn_equals_all_distances(spark):
+    pick = random.Random(4)
+    rows = [(i, [float(pick.randint(-2, 2)) for _ in range(4)]) for i in range(300)] + [(300, None), (301, [0.0] * 4)]
+    df = spark.createDataFrame(rows, "id long, v array<float>").repartition(5)
+    queries = [(i, v) for i, v in rows[:7] if any(v)]
+    q = spark.createDataFrame(queries, "query_id long, query array<float>")
+    for metric in ("cosine", "l2"):
+        want = set()
+        for qid, qv in queries:
+            every = []
+            for i, v in rows:
+                if v is None or (metric == "cosine" and not any(v)):
+                    continue
+                dot, a, b = (sum(x * y for x, y in zip(p, r, strict=True)) for p, r in ((qv, v), (qv, qv), (v, v)))
+                every.append((round(1 - dot / math.sqrt(a * b) if metric == "cosine" else math.sqrt(a + b - 2 * dot), 9), i))
+            want |= {(qid, i, k + 1) for k, (_, i) in enumerate(sorted(every)[:6])}
+        got = search.knn(df, "v", q, 6, "id", metric, block=3).collect()
+        assert {(r["query_id"], r["id"], r["rank"]) for r in got} == want
+    assert search.knn(df, "v", q.limit(0), 6, "id").count() == 0
+
+
+def test_pagerank_ends_when_it_settles(spark):
+    nodes = spark.range(30).withColumnRenamed("id", "node")
+    links = [(i, (i * 7 + 3) % 30) for i in range(30)] + [(i, (i + 1) % 30) for i in range(0, 30, 2)] + [(0, 3), (0, 3)]
+    rank = {r["node"]: r["rank"] for r in graph.pagerank(nodes, spark.createDataFrame(links, "src long, dst long"), tolerance=1e-9).collect()}
+    own = dict.fromkeys(range(30), 1 / 30)
+    out = {i: sum(s == i for s, _ in links) for i in range(30)}
+    for _ in range(200):
+        own = {n: 0.15 / 30 + 0.85 * sum(own[s] / out[s] for s, d in set(links) if d == n) for n in own}
+    assert rank == pytest.approx({n: v / sum(own.values()) for n, v in own.items()}, abs=1e-8)
+
+
 def test_fixed_chunks(spark):
     for source in ("one line only", "\n".join(f"line {i} with some words in it" for i in range(200)), "\n".join(["long " * 300] * 5), "\n".join(f"line {i} with some words" for i in range(97))):
         got = [(r["start_line"], r["end_line"], r["body"]) for r in value(spark, ingest.fixed_chunks(F.lit(source), 500))]
