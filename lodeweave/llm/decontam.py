@@ -46,13 +46,19 @@ from .hashing import ODD, mix, word_hashes
 #: The bytes that separate words (ASCII without letters and digits) become spaces, A-Z become a-z.
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 _SPACE = np.arange(256) == 0x20
-#: Characters of a segment; candidates that one intersection step holds.
-SEGMENT, STEP = 4 << 20, 1 << 21
+#: Characters of a segment, and those that are hashed at once; candidates that one intersection step holds.
+SEGMENT, SLICE, STEP = 1 << 20, 1 << 18, 1 << 20
 
 
 def term_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(term of every word, first word of each text and the end). Words: maximal runs of ASCII letters, digits and non-ASCII characters, A-Z in lower case."""
-    return word_hashes([(t or "").encode("utf-8", "surrogatepass").translate(_FOLD) for t in texts], _SPACE)
+    words, bounds, n = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
+    for some in slices(texts, SLICE):
+        w, b = word_hashes([(t or "").encode("utf-8", "surrogatepass").translate(_FOLD) for t in some], _SPACE)
+        words.append(w)
+        bounds.append(b[1:] + n)
+        n += len(w)
+    return np.concatenate(words), np.concatenate(bounds)
 
 
 class Segment:
@@ -274,8 +280,8 @@ class Index:
                     yield pd.DataFrame([(number, keys[at : at + len(texts)], *(x.tobytes() for x in (s.lengths.astype(np.int32), s.terms, s.counts, s.positions.astype(np.int32))))], columns=parts.names)
                     number, at = number + 1, at + len(texts)
 
-        with small_batches(docs.sparkSession, 2000):  # small row groups, as a segment is read whole
-            self.table = scratch.keep(docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).mapInPandas(build, parts), "index", **{"parquet.block.size": 32 << 20})
+        with small_batches(docs.sparkSession, 1000):  # small row groups, as a segment is read whole
+            self.table = scratch.keep(docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).mapInPandas(build, parts), "index", **{"parquet.block.size": 16 << 20})
 
     def documents(self) -> DataFrame:
         """(segment, d, key, n_words) of all documents."""
