@@ -89,10 +89,12 @@ def skipped(path: Column) -> Column:
 
 
 def barrel(source: Column) -> Column:
-    """Whether over 0.8 of the lines that are neither blank nor comments re-export."""
-    code = F.filter(F.split(source, "\n"), lambda l: (F.trim(l) != "") & ~F.trim(l).startswith("//"))
-    again = F.filter(code, lambda l: l.rlike(r"^\s*export\s+(\*|\{[^}]*\}|type\s+\{[^}]*\})(\s+as\s+\w+)?\s+from\s"))
-    return F.coalesce(F.try_divide(F.size(again), F.size(code)) > 0.8, F.lit(False))
+    """Whether there are over 0.8 re-exported symbols for each line that is neither blank nor a comment."""
+    code = F.filter(F.split(F.trim(source), "\n"), lambda l: (F.trim(l) != "") & ~F.trim(l).startswith("//"))
+    again = F.regexp_extract_all(source, F.lit(r"(export\s+(?:type\s+)?(?:\*(?:\s+as\s+\w+)?|\{[^}]*\})\s+from\s)"), F.lit(1))
+    symbols = lambda e: F.when(e.contains("{"), F.size(F.filter(F.split(F.regexp_extract(e, r"\{([^}]*)\}", 1), ","), lambda x: F.trim(x) != ""))).otherwise(1)
+    n = F.aggregate(F.transform(again, symbols), F.lit(0), lambda s, v: s + v)
+    return F.coalesce(F.try_divide(n, F.size(code)) > 0.8, F.lit(False))
 
 
 # Leading folders that are no part of a module's name, and file suffixes, by language.
@@ -155,15 +157,80 @@ def python_units(source: str | None, path: str = "") -> list[dict]:
     return out
 
 
-_TS_UNIT = re.compile(r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:(async\s+)?function\s*\*?\s*(\w+)\s*\(([^)]*)\)(?:\s*:\s*([\w<>\[\]. |]+))?|(class|interface)\s+(\w+))", re.M)
+def _windows(text: str, size: int) -> list[tuple[int, int, str]]:
+    """fixed_chunks for one text: (first line, last line, body)."""
+    lines, out = text.split("\n"), []
+    per = max(1, int(size / max(len(text) / len(lines), 0.001)))
+    for i in range(0, len(lines), max(1, per - max(1, per // 10))):
+        part = lines[i : i + per]
+        if out and len("\n".join(part).strip()) < 50:
+            a, _, body = out[-1]
+            out[-1] = (a, i + len(part), "\n".join([body, *part]))
+            break
+        out.append((i + 1, i + len(part), "\n".join(part)))
+    return out
+
+
+def python_chunks(source: str | None, size: int = 2000) -> list[dict]:
+    """Chunks (name, kind, start_line, end_line, source) of Python source: functions of any depth, then classes. A unit of more than size characters is cut in windows of lines, a class into its methods first; so is a source that is broken."""
+    units = python_units(source)
+    fixed = lambda text: [{"name": f"chunk_{k}", "kind": "fallback_fixed", "start_line": a, "end_line": b, "source": body} for k, (a, b, body) in enumerate(_windows(text, size))]
+    short = lambda u: [{k: u[k] for k in ("name", "kind", "start_line", "end_line", "source")}] if len(u["source"]) <= size else fixed(u["source"])
+    if not (source or "").strip():
+        return []
+    try:
+        ast.parse(source)
+    except (SyntaxError, ValueError):
+        return fixed(source)
+    out = [c for u in units if u["kind"] != "class" for c in short(u)]
+    for u in (u for u in units if u["kind"] == "class"):
+        methods = [m for m in units if m["kind"] == "method" and u["start_line"] < m["start_line"] and m["end_line"] <= u["end_line"]]
+        out += [c for m in methods for c in short(m)] if len(u["source"]) > size and methods else short(u)
+    return out
+
+
+def call_contexts(source: str | None) -> list[dict]:
+    """Calls of each function, method and class of Python source: name, line, scope, whether under a condition, a loop or a try, and the number of arguments."""
+    try:
+        tree = ast.parse(source or "")
+    except (SyntaxError, ValueError):
+        return []
+    under = {"is_conditional": (ast.If, ast.IfExp, ast.Match), "is_loop": (ast.For, ast.AsyncFor, ast.While), "is_try": (ast.Try, ast.TryStar)}
+    out = []
+
+    def visit(node, flags: frozenset, scopes: tuple) -> None:
+        for n in ast.iter_child_nodes(node):
+            if isinstance(n, ast.Call) and isinstance(n.func, (ast.Name, ast.Attribute)):
+                name = n.func.id if isinstance(n.func, ast.Name) else n.func.attr
+                for kind, scope in scopes:
+                    out.append({"scope_type": kind, "scope_name": scope, "call_name": name, "line": n.lineno, **{k: k in flags for k in under}, "arguments": len(n.args) + len(n.keywords)})
+            inner = scopes
+            if isinstance(n, ast.ClassDef):
+                inner = (*scopes, ("class", n.name))
+            elif isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                inner = (*scopes, ("method" if isinstance(node, ast.ClassDef) else "function", n.name))
+            visit(n, flags | {k for k, kinds in under.items() if isinstance(n, kinds)}, inner)
+
+    visit(tree, frozenset(), ())
+    return out
+
+
+_TS_UNIT = re.compile(r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:(async\s+)?function\s*(?:\*\s*)?(\w+)\s*\(([^)]*)\)(?:\s*:\s*([\w<>\[\]. |]+))?|(class|interface)\s+(\w+))", re.M)
 _TS_IMPORT = re.compile(r"import\s+(?:type\s+)?(?:(\w+)\s*,?\s*)?(?:\{([^}]*)\}|\*\s+as\s+(\w+))?\s*from\s*['\"]([^'\"]+)['\"]")
 _TS_AGAIN = re.compile(r"export\s+(type\s+)?(?:\*(?:\s+as\s+(\w+))?|\{([^}]*)\})\s+from\s*['\"]([^'\"]+)['\"]")
 
 
+def _ts_parameter(text: str) -> dict:
+    """name, type, optional and default of a parameter as written."""
+    declared, _, default = text.partition("=")
+    name, _, kind = declared.partition(":")
+    return {"name": name.strip(" ?."), "type": kind.strip() or None, "optional": name.strip().endswith("?") or bool(default), "default": default.strip() or None}
+
+
 def typescript_units(source: str | None) -> dict:
     """Units, imports and re-exports of TypeScript or JavaScript, by patterns."""
     s = source or ""
-    units = [{"name": m[2] or m[6], "kind": m[5] or "function", "start_line": s.count("\n", 0, m.start(2) if m[2] else m.start(6)) + 1, "params": [p.split(":")[0].strip(" ?.") for p in (m[3] or "").split(",") if p.strip()], "returns": (m[4] or "").strip(), "async": bool(m[1])} for m in _TS_UNIT.finditer(s)]
+    units = [{"name": m[2] or m[6], "kind": m[5] or "function", "start_line": s.count("\n", 0, m.start(2) if m[2] else m.start(6)) + 1, "params": [_ts_parameter(p) for p in split_types(m[3] or "")], "returns": (m[4] or "").strip(), "async": bool(m[1]), "generator": bool(re.search(r"function\s*\*", m[0]))} for m in _TS_UNIT.finditer(s)]
     imports = []
     for default, named, space, src in _TS_IMPORT.findall(s):
         imports += [f"{src}.{n.split(' as ')[0].strip().removeprefix('type ')}" for n in named.split(",") if n.strip()]

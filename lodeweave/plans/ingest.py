@@ -1,6 +1,7 @@
 """Ingest queries: documents as files, conversations as transcripts."""
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,74 +34,122 @@ def i2(spark, sf):
     return paths(spark, sf).select("doc_id", I.file_class(F.col("path")).alias("class"), I.skipped(F.col("path")).alias("skipped"))
 
 
-@register("i3_barrel", "SELECT true AS a, false AS b, false AS c")
+#: Windows of lines: as many as make up 2000 characters of the mean line, a tenth of them shared with the next window; a window that is not the first and holds under 50 characters ends the list and joins the one before.
+def _chunks_sql(table: str, key: str) -> str:
+    return f"""fl AS (SELECT {key} AS fk, string_split(text, chr(10)) AS l, length(text) AS size FROM {table}),
+fp AS (SELECT *, len(l) AS n, greatest(1, floor(2000 / greatest(size / len(l), 0.001)))::INT AS per FROM fl),
+fw AS (SELECT fk, n, per, l, unnest(range(0, n, greatest(1, per - greatest(1, floor(per * 0.1)::INT)))) AS i, generate_subscripts(range(0, n, greatest(1, per - greatest(1, floor(per * 0.1)::INT))), 1) - 1 AS k FROM fp),
+fb AS (SELECT fk, k, i + 1 AS start_line, least(i + per, n) AS end_line, array_to_string(l[i + 1:i + per], chr(10)) AS body FROM fw),
+fs AS (SELECT *, min(CASE WHEN k > 0 AND length(trim(regexp_replace(body, '[\\n\\r\\t]', ' ', 'g'), ' ')) < 50 THEN k END) OVER (PARTITION BY fk) AS cut FROM fb),
+chunked AS (SELECT a.fk, a.k AS n, a.start_line, coalesce(b.end_line, a.end_line) AS end_line, CASE WHEN b.k IS NULL THEN a.body ELSE a.body || chr(10) || b.body END AS body FROM fs a LEFT JOIN fs b ON b.fk = a.fk AND b.k = b.cut AND a.k = b.k - 1 WHERE a.cut IS NULL OR a.k < a.cut)"""
+
+
+#: Sources made of a document's first words w[1] to w[6], so that what is found in them follows from the words.
+WORDS = 6
+_W = "src AS (SELECT doc_id, w FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents) WHERE len(w) >= 6)"
+PY = "import os\n\nclass C{1}(Base):\n    \"\"\"{2} {3}\"\"\"\n\n    def m_{2}(self, a_{3}: int) -> str:\n        if a_{3} and self:\n            return g_{4}(a_{3})\n        return os.path.join('{1}')\n\n\nasync def f_{5}(x, *, deep=False):\n    for i in range(3):\n        h_{6}(i, deep)\n"
+LONG_PY = "\n\ndef big{1}():\n" + "    x = 1\n" * 300
+TS = "import D{1}, {{ a{2}, b as c{3} }} from './{4}'\nimport * as n from 'lib'\nexport {{ x{2} as y{3}, z }} from './z'\nexport * from './all'\nexport async function go{5}(p: string, q?: number): Promise<void> {{}}\nexport function* gen{6}(a = 1) {{}}\nexport class K{6} {{}}\n"
+BARREL = "// {1}\nexport * from './{2}'\nexport {{ {3}, {4} as d }} from './b'\nexport type {{ {5} }} from './t'\n"
+HOVER = "def f{1}(a{2}: int, b: dict[str, {3}] = {{}}, *c) -> list[tuple[int, {4}]]"
+
+
+def made(spark, sf, template: str, **more):
+    """(doc_id, w, source) of documents with enough words; more: templates that are added where a condition on doc_id holds."""
+    d = load(spark, sf, "documents").select("doc_id", F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1)).alias("w")).where(F.size("w") >= WORDS)
+
+    def filled(t: str):
+        parts = re.split(r"\{(\d)\}", t)
+        return F.concat(*[F.get("w", F.lit(int(p) - 1)) if k % 2 else F.lit(p.replace("{{", "{").replace("}}", "}")) for k, p in enumerate(parts)])
+
+    source = filled(template)
+    for condition, t in more.items():
+        source = F.concat(source, F.when(F.expr(MORE_IF[condition]), filled(t)).otherwise(""))
+    return d.select("doc_id", "w", source.alias("source"))
+
+
+#: Where a longer source is made.
+MORE_IF = {"tenth": "doc_id % 10 = 0", "third": "doc_id % 3 <> 0"}
+
+
+@register("i3_barrel", f"WITH {_W} SELECT doc_id, doc_id % 3 = 0 AS barrel FROM src")
 def i3(spark, sf):
-    a = "// names\nexport * from './a'\nexport { b, c as d } from './b'\nexport type { T } from './t'\n"
-    x = spark.createDataFrame([(a, a + "const x = 1\nconst y = 2\n", "")], "a string, b string, c string")
-    return x.select(*[I.barrel(F.col(c)).alias(c) for c in "abc"])
+    """Files of four re-exported symbols in three lines, two thirds of them with six lines of code besides."""
+    return made(spark, sf, BARREL, third="const x = 1\n" * 6).select("doc_id", I.barrel(F.col("source")).alias("barrel"))
 
 
-SAMPLE = '''"""Module."""
-import os
-from typing import Any
+def _python(f, kind: str):
+    """A column function of sources: f's list of dicts as an array of structs."""
 
-class Cache(Base):
-    """Keeps values."""
+    @F.pandas_udf(f"array<struct<{kind}>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(f)
 
-    def get(self, key: str, default: Any = None) -> Any:
-        if key in self.data and key:
-            return os.path.join(self.data[key])
-        return default
+    return run
 
-    class Inner:
-        def deep(self):
-            return [x for x in range(3) if x]
 
-@retry(3)
-async def load(path, *, deep: bool = False) -> dict:
-    """Reads."""
-    for i in range(2):
-        while True:
-            print(i)
-    return {}
-'''
+UNIT = "name:string,kind:string,start_line:int,end_line:int,signature:string,returns:string,params:array<string>,decorators:array<string>,docstring:string,complexity:int,lines:int,calls:array<string>,uses:array<string>,source:string"
 
 
-@register("i4_python_chunks")
+@register("i4_python_chunks", f"""WITH {_W}, u AS (SELECT doc_id, w, unnest([{{'name': 'm_' || w[2], 'kind': 'method', 'a': 6, 'b': 9}}, {{'name': 'f_' || w[5], 'kind': 'function', 'a': 12, 'b': 14}}, {{'name': 'C' || w[1], 'kind': 'class', 'a': 3, 'b': 9}}]) AS u FROM src),
+big AS (SELECT doc_id AS id, 'def big' || w[1] || '():' || repeat(chr(10) || '    x = 1', 300) AS text FROM src WHERE doc_id % 10 = 0), {_chunks_sql('big', 'id')}
+SELECT doc_id, u.name, u.kind, u.a AS start_line, u.b AS end_line FROM u UNION ALL SELECT fk, 'chunk_' || n, 'fallback_fixed', start_line::INT, end_line::INT FROM chunked""")
 def i4(spark, sf):
-    """Units of Python sources by their syntax tree; documents that are no Python have none."""
-    unit = "name string, kind string, start_line int, end_line int, signature string, returns string, params array<string>, decorators array<string>, docstring string, complexity int, lines int, calls array<string>, uses array<string>, source string"
+    """Chunks of Python sources by their syntax tree; every tenth has a function that is too long for one."""
+    units = _python(I.python_chunks, "name:string,kind:string,start_line:int,end_line:int,source:string")
+    x = made(spark, sf, PY, tenth=LONG_PY).select("doc_id", F.explode(units("source")).alias("u"))
+    return x.select("doc_id", "u.name", "u.kind", "u.start_line", "u.end_line")
 
-    @F.pandas_udf(f"array<struct<{', '.join(f'{a}:{b}' for a, b in (x.split(' ', 1) for x in unit.split(', ')))}>>")
-    def units(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(I.python_units)
 
-    files = spark.createDataFrame([("pkg/cache.py", SAMPLE), ("bad.py", "def ("), ("empty.py", "")], "path string, source string")
-    return files.select("path", F.explode(units("source")).alias("u")).select("path", "u.*")
+@register("i8_python_metadata", f"""WITH {_W} SELECT doc_id, u.* FROM (SELECT doc_id, unnest([
+{{'name': 'C' || w[1], 'signature': '', 'returns': '', 'params': '', 'docstring': w[2] || ' ' || w[3], 'complexity': 3, 'lines': 7, 'calls': 'join,g_' || w[4], 'uses': 'os'}},
+{{'name': 'm_' || w[2], 'signature': 'm_' || w[2] || '(self, a_' || w[3] || ': int) -> str', 'returns': 'str', 'params': 'self,a_' || w[3], 'docstring': '', 'complexity': 3, 'lines': 4, 'calls': 'join,g_' || w[4], 'uses': 'os'}},
+{{'name': 'f_' || w[5], 'signature': 'f_' || w[5] || '(x, *, deep=False)', 'returns': '', 'params': 'x,deep', 'docstring': '', 'complexity': 2, 'lines': 3, 'calls': 'range,h_' || w[6], 'uses': ''}}]) AS u FROM src)""")
+def i8(spark, sf):
+    x = made(spark, sf, PY).select("doc_id", F.explode(_python(I.python_units, UNIT)("source")).alias("u"))
+    listed = lambda c: F.array_join(f"u.{c}", ",").alias(c)
+    return x.select("doc_id", "u.name", "u.signature", "u.returns", listed("params"), "u.docstring", "u.complexity", "u.lines", listed("calls"), listed("uses"))
 
 
-@register("i8b_typescript_metadata")
+@register("i8b_typescript_metadata", f"""WITH {_W} SELECT doc_id, './' || w[4] || '.a' || w[2] || ',./' || w[4] || '.b,./' || w[4] || ',lib' AS imports, 'y' || w[3] || '<x' || w[2] || ' ./z,z ./z,* ./all' AS re_exports,
+'go' || w[5] || ' function 5 async p:string,q?:number Promise<void>;gen' || w[6] || ' function 6 generator a?=1 ;K' || w[6] || ' class 7  ' AS units FROM src""")
 def i8b(spark, sf):
-    kind = "units array<struct<name:string,kind:string,start_line:int,params:array<string>,returns:string,async:boolean>>, imports array<string>, re_exports array<struct<symbol:string,original:string,source:string,is_type:boolean>>"
-
-    @F.pandas_udf(kind)
+    @F.pandas_udf("imports string, re_exports string, units string")
     def meta(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            yield pd.DataFrame([I.typescript_units(t) for t in s])
+            rows = []
+            for m in map(I.typescript_units, s):
+                again = ",".join(f"{e['symbol']}{'<' + e['original'] if e['original'] else ''} {e['source']}" for e in m["re_exports"])
+                told = lambda p: p["name"] + "?" * p["optional"] + (":" + p["type"] if p["type"] else "") + ("=" + p["default"] if p["default"] else "")
+                units = ";".join(f"{u['name']} {u['kind']} {u['start_line']}{' async' * u['async']}{' generator' * u['generator']} {','.join(map(told, u['params']))} {u['returns']}" for u in m["units"])
+                rows.append((",".join(m["imports"]), again, units))
+            yield pd.DataFrame(rows, columns=["imports", "re_exports", "units"])
+
+    return made(spark, sf, TS).select("doc_id", meta("source").alias("m")).select("doc_id", "m.*")
+
+
+@register("i22_call_contexts", f"""WITH {_W}, told AS (SELECT doc_id, unnest([
+{{'scope_type': 'class', 'scope_name': 'C' || w[1], 'call_name': 'g_' || w[4], 'line': 8, 'is_conditional': true, 'is_loop': false, 'is_try': false, 'arguments': 1}},
+{{'scope_type': 'class', 'scope_name': 'C' || w[1], 'call_name': 'join', 'line': 9, 'is_conditional': false, 'is_loop': false, 'is_try': false, 'arguments': 1}},
+{{'scope_type': 'method', 'scope_name': 'm_' || w[2], 'call_name': 'g_' || w[4], 'line': 8, 'is_conditional': true, 'is_loop': false, 'is_try': false, 'arguments': 1}},
+{{'scope_type': 'method', 'scope_name': 'm_' || w[2], 'call_name': 'join', 'line': 9, 'is_conditional': false, 'is_loop': false, 'is_try': false, 'arguments': 1}},
+{{'scope_type': 'function', 'scope_name': 'f_' || w[5], 'call_name': 'range', 'line': 13, 'is_conditional': false, 'is_loop': true, 'is_try': false, 'arguments': 1}},
+{{'scope_type': 'function', 'scope_name': 'f_' || w[5], 'call_name': 'h_' || w[6], 'line': 14, 'is_conditional': false, 'is_loop': true, 'is_try': false, 'arguments': 2}}]) AS c FROM src) SELECT doc_id, c.* FROM told""")
+def i22(spark, sf):
+    calls = _python(I.call_contexts, "scope_type:string,scope_name:string,call_name:string,line:int,is_conditional:boolean,is_loop:boolean,is_try:boolean,arguments:int")
+    return made(spark, sf, PY).select("doc_id", F.explode(calls("source")).alias("c")).select("doc_id", "c.*")
 
-    src = "import D, { a, b as c } from './m'\nimport * as n from 'lib'\nexport { x as y, z } from './z'\nexport * from './all'\nexport async function go(p: string, q?: number): Promise<void> {}\nexport class K {}\n"
-    return spark.createDataFrame([("a.ts", src)], "path string, source string").select("path", meta("source").alias("m")).select("path", "m.*")
 
+@register("i15_hover_types", f"WITH {_W} SELECT doc_id, 'list[tuple[int, ' || w[4] || ']]' AS returns, 'a' || w[2] || '=int;b=dict[str, ' || w[3] || ']' AS params FROM src")
+def i15(spark, sf):
+    @F.pandas_udf("returns string, params map<string,string>")
+    def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            yield pd.DataFrame([I.hover_types(t) for t in s])
 
-#: Windows of lines: as many as make up 2000 characters of the mean line, a tenth of them shared with the next window; a window that is not the first and holds under 50 characters ends the list and joins the one before.
-def _chunks_sql(table: str, key: str) -> str:
-    return f"""fl AS (SELECT {key} AS fk, string_split(text, chr(10)) AS l, length(text) AS size FROM {table}),
-fp AS (SELECT *, len(l) AS n, greatest(1, floor(2000 / greatest(size / len(l), 0.001)))::INT AS per FROM fl),
-fw AS (SELECT fk, n, per, l, unnest(range(0, n, greatest(1, per - greatest(1, floor(per * 0.1)::INT)))) AS i, generate_subscripts(range(0, n, greatest(1, per - greatest(1, floor(per * 0.1)::INT))), 1) - 1 AS k FROM fp),
-fb AS (SELECT fk, k, i + 1 AS start_line, least(i + per, n) AS end_line, array_to_string(l[i + 1:i + per], chr(10)) AS body FROM fw),
-fs AS (SELECT *, min(CASE WHEN k > 0 AND length(trim(regexp_replace(body, '[\\n\\r\\t]', ' ', 'g'), ' ')) < 50 THEN k END) OVER (PARTITION BY fk) AS cut FROM fb),
-chunked AS (SELECT a.fk, a.k AS n, a.start_line, coalesce(b.end_line, a.end_line) AS end_line, CASE WHEN b.k IS NULL THEN a.body ELSE a.body || chr(10) || b.body END AS body FROM fs a LEFT JOIN fs b ON b.fk = a.fk AND b.k = b.cut AND a.k = b.k - 1 WHERE a.cut IS NULL OR a.k < a.cut)"""
+    x = made(spark, sf, HOVER).select("doc_id", parse("source").alias("t"))
+    return x.select("doc_id", "t.returns", F.array_join(F.transform(F.array_sort(F.map_entries("t.params")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("params"))
 
 
 @register("i5_fixed_chunks", "SELECT doc_id, count(*) AS lines, max(length(line)) AS longest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id")
@@ -197,17 +246,6 @@ def i14(spark, sf):
     return load(spark, sf, "documents").where((F.octet_length("text") <= 51200) & (F.col("lang") == "en")).select("doc_id", "source")
 
 
-@register("i15_hover_types")
-def i15(spark, sf):
-    @F.pandas_udf("returns string, params map<string,string>")
-    def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
-            yield pd.DataFrame([I.hover_types(t) for t in s])
-
-    x = spark.createDataFrame([("def f(a: int, b: dict[str, int] = {}, *c) -> list[tuple[int, str]]",), ("plain text",), (None,)], "signature string")
-    return x.select("signature", parse("signature").alias("t")).select("signature", "t.*")
-
-
 @register("i16_conversation_memory", "SELECT conv_id, 'Conv: ' || left(text, 60) AS title, 'session:' || left(CAST(conv_id AS VARCHAR), 12) AS tag FROM conversations WHERE role = 'user'")
 def i16(spark, sf):
     return load(spark, sf, "conversations").where("role = 'user'").select("conv_id", F.concat(F.lit("Conv: "), F.left("text", F.lit(60))).alias("title"), F.concat(F.lit("session:"), F.left(F.col("conv_id").cast("string"), F.lit(12))).alias("tag"))
@@ -251,8 +289,3 @@ def i20(spark, sf):
 def i21(spark, sf):
     x = S.admit(paths(spark, sf).withColumnRenamed("text", "content"), 20_000).where("reject is null or reject <> 'binary'")
     return x.groupBy(F.coalesce("reject", F.lit("taken")).alias("status")).agg(F.count("*").alias("n"))
-
-
-@register("i22_call_contexts")
-def i22(spark, sf):
-    return i4(spark, sf).select("path", F.col("name").alias("caller"), "kind", F.explode("calls").alias("callee"))

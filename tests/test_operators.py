@@ -266,15 +266,39 @@ def test_name_paths(spark):
     assert got == {"Outer": "a.Outer", "Inner": "a.Outer.Inner", "run": "a.Outer.Inner.run", "free": "a.free"}
 
 
-def test_python_and_typescript_units():
-    from lodeweave.plans.ingest import SAMPLE
+SAMPLE = '''"""Module."""
+import os
+from typing import Any
+
+class Cache(Base):
+    """Keeps values."""
+
+    def get(self, key: str, default: Any = None) -> Any:
+        if key in self.data and key:
+            return os.path.join(self.data[key])
+        return default
+
+    class Inner:
+        def deep(self):
+            return [x for x in range(3) if x]
 
+@retry(3)
+async def load(path, *, deep: bool = False) -> dict:
+    """Reads."""
+    for i in range(2):
+        while True:
+            print(i)
+    return {}
+'''
+
+
+def test_python_and_typescript_units():
     units = {u["name"]: u for u in ingest.python_units(SAMPLE)}
     assert set(units) == {"Cache", "get", "Inner", "deep", "load"} and units["get"]["kind"] == "method" and units["get"]["complexity"] == 3
     assert units["load"]["returns"] == "dict" and units["load"]["decorators"] == ["retry(3)"] and units["get"]["uses"] == ["Any", "os"]
     assert ingest.python_units("def (") == [] == ingest.python_units(None)
     ts = ingest.typescript_units("import D, { a, b as c } from './m'\nexport { x as y } from './z'\nexport * from './all'\nasync function go(p: string): void {}")
-    assert ts["imports"] == ["./m.a", "./m.b", "./m"] and [r["symbol"] for r in ts["re_exports"]] == ["y", "*"] and ts["units"][0]["params"] == ["p"]
+    assert ts["imports"] == ["./m.a", "./m.b", "./m"] and [r["symbol"] for r in ts["re_exports"]] == ["y", "*"] and ts["units"][0]["params"] == [{"name": "p", "type": "string", "optional": False, "default": None}]
     assert ingest.hover_types("f(a: int, b: dict[str, int] = {}) -> list[int]") == {"returns": "list[int]", "params": {"a": "int", "b": "dict[str, int]"}}
     assert ingest.mock_embedding("x") == ingest.mock_embedding("x") and set(ingest.mock_embedding(" ")) == {0.0}
 
