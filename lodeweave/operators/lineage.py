@@ -1,23 +1,28 @@
-"""Cutting the lineage of iterative plans."""
+"""Cutting the lineage of iterative plans, and the folder for what is written meanwhile."""
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df from a Parquet table in the folder of spark.checkpoint.dir: computed once, and read again by whatever executor is left.
+def folder(spark: SparkSession) -> str:
+    """A folder of ours that all executors share, in that of spark.checkpoint.dir.
 
     Where the setting is absent a local session gets a folder of its own; a cluster has to name a shared one."""
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir names no shared folder")
         base = tempfile.mkdtemp(prefix="lodeweave-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/lodeweave/cut-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/lodeweave"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df from a Parquet table in the shared folder: computed once, and read again by whatever executor is left."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

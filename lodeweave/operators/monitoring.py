@@ -74,3 +74,10 @@ def progress(done: Column, total: Column, seconds: Column) -> list[Column]:
     """(percent, eta): whole percent up to 100, and mean seconds an item times what is left."""
     pct = F.least(F.lit(100), F.floor(F.try_divide(done * 100, total))).cast("long")
     return [F.coalesce(pct, F.lit(0)).cast("long").alias("percent"), F.try_divide(seconds * (total - done), done).alias("eta")]
+
+
+def storage(table: DataFrame) -> DataFrame:
+    """One row about a stored table: n rows, files and bytes."""
+    meta = table.metadataColumn("_metadata")
+    files = table.select(meta["file_path"].alias("path"), meta["file_size"].alias("size")).groupBy("path").agg(F.max("size").alias("size"), F.count("*").alias("k"))
+    return files.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))

@@ -1,14 +1,18 @@
 """Scans, sources, sinks and changes to tables."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..functions import documents as D
 from ..operators import ingest as I
 from ..operators import store as T
+from ..operators.lineage import folder
 from ..sources import files as S
 from ..sources.tables import EDGES_SQL, MEMORIES_SQL, NODES_SQL, edges, load, memories, nodes
+from .ingest import PATHS, paths
 
 
 @register("s1_point_lookup", "SELECT c_custkey, c_name FROM customer WHERE c_custkey = 42")
@@ -65,9 +69,19 @@ def s16(spark, sf):
     return T.delete_nodes(n, edges(spark, sf), n.where("node_id % 3 = 0").select("node_id"))[1].select("src", "dst")
 
 
-@register("s17_generator", "SELECT 5000::BIGINT AS n, 4::BIGINT AS types, 10::BIGINT AS tenants")
+@register("s17_generator", "SELECT n_nationkey AS k, 5000 * (n_nationkey + 1)::BIGINT AS n, 4::BIGINT AS types, 10::BIGINT AS tenants, true AS in_range, true AS again FROM nation")
 def s17(spark, sf):
-    return S.generated_events(spark, 5000).agg(F.count("*").alias("n"), F.count_distinct("type").alias("types"), F.count_distinct("tenant").alias("tenants"))
+    """A load for each nation, of another size and seed: all rows of all kinds and tenants, inside their days, and the same a second time."""
+    out = None
+    for k in [x[0] for x in load(spark, sf, "nation").select("n_nationkey").collect()]:
+        g = S.generated_events(spark, 5000 * (k + 1), seed=k)
+        same = S.generated_events(spark, 5000 * (k + 1), seed=k)
+        sum_ = lambda x: x.agg(F.sum(F.xxhash64(*x.columns).cast("decimal(38,0)")).alias("h"))
+        inside = F.min((F.col("timestamp") >= "2024-01-01") & (F.col("timestamp") < "2024-03-31"))
+        one = g.agg(F.count("*").alias("n"), F.count_distinct("type").alias("types"), F.count_distinct("tenant").alias("tenants"), inside.alias("in_range"))
+        one = one.crossJoin(sum_(g).crossJoin(sum_(same).withColumnRenamed("h", "h2")).select((F.col("h") == F.col("h2")).alias("again"))).withColumn("k", F.lit(k).cast("long"))
+        out = one if out is None else out.unionByName(one)
+    return out.select(F.col("k").cast(load(spark, sf, "nation").schema["n_nationkey"].dataType).alias("k"), "n", "types", "tenants", "in_range", "again")
 
 
 @register("s18_sample")
@@ -80,3 +94,68 @@ def s20(spark, sf):
     more = load(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderdate")
     x = T.prefetch(load(spark, sf, "customer").select("c_custkey"), more, "c_custkey")
     return x.select("c_custkey", F.size("related").cast("long").alias("n"), F.aggregate("related", F.lit(0).cast("long"), lambda s, v: s + v["o_orderkey"]).alias("keys"))
+
+
+IGNORE = ["build/", "*.log", "# notes"]
+
+
+@register("s4_project_scan", "SELECT doc_id || '.md' AS path, 'markdown' AS language, length(text) AS size FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT 'lib/' || doc_id || '.py', 'python', length(text) FROM documents WHERE doc_id % 5 = 1")
+def s4(spark, sf):
+    """Documents as files: Markdown, Python below a folder, hidden ones, ones in an ignored folder, logs. The scan of a folder itself is sources.files.scan_project."""
+    name = F.element_at(F.array(*map(F.lit, ["%.md", "lib/%.py", ".hidden/%.py", "build/%.py", "%.log"])), (F.col("doc_id") % 5 + 1).cast("int"))
+    d = load(spark, sf, "documents").select(F.replace(name, F.lit("%"), F.col("doc_id").cast("string")).alias("path"), F.col("text").cast("binary").alias("content"), F.lit(None).cast("timestamp").alias("modified"))
+    return S.project_files(d, IGNORE, most=2**31 - 1).select("path", "language", F.length("content").cast("long").alias("size"))
+
+
+@register("s5_batch_scan", "SELECT 'src/' || doc_id || '.ts' AS path FROM documents WHERE doc_id % 3 = 0")
+def s5(spark, sf):
+    name = F.element_at(F.array(*map(F.lit, ["src/%.ts", "src/%.spec.ts", "node_modules/%.ts"])), (F.col("doc_id") % 3 + 1).cast("int"))
+    return S.batch_files(load(spark, sf, "documents").select(F.replace(name, F.lit("%"), F.col("doc_id").cast("string")).alias("path")), [".ts"], ["node_modules"])
+
+
+@register("s6_transcripts", "SELECT 's' || conv_id AS session, turn, role, text FROM conversations WHERE conv_id % 5 <> 4 AND turn % 7 <> 6")
+def s6(spark, sf):
+    """Turns as lines of transcripts; every fifth conversation is an agent's, every seventh turn a broken line."""
+    line = F.to_json(F.struct(F.struct("role", F.col("text").alias("content")).alias("message"), F.col("turn").cast("string").alias("timestamp")))
+    file = F.concat(F.lit("logs/"), F.when(F.col("conv_id") % 5 == 4, "agent-").otherwise("s"), F.col("conv_id").cast("string"), F.lit(".jsonl"))
+    lines = load(spark, sf, "conversations").select(file.alias("file"), F.col("turn").alias("line"), F.when(F.col("turn") % 7 == 6, F.concat(F.lit("{"), line)).otherwise(line).alias("value"))
+    return S.transcript_lines(lines).select("session", F.col("line").alias("turn"), "role", "text")
+
+
+@register("s8_upload", f"WITH {PATHS} SELECT doc_id, path, CASE WHEN text = '' THEN 'missing content' WHEN length(regexp_replace(left(text, 8192), '[\\x20-\\x7E\\t\\n\\r]', '', 'g')) * 1.0 / length(left(text, 8192)) > 0.3 THEN 'binary' WHEN strlen(text) > 20000 THEN 'too large' END AS reject FROM paths")
+def s8(spark, sf):
+    return S.admit(paths(spark, sf).withColumnRenamed("text", "content"), 20_000).select("doc_id", "path", "reject")
+
+
+@register("s10_insert", "SELECT n_nationkey AS id, n_name AS name, true AS stored FROM nation")
+def s10(spark, sf):
+    """The rows that an insert gives back, and whether the table has them."""
+    t = T.Table(spark, f"{folder(spark)}/insert-{uuid.uuid4().hex}", "id long, name string", required=("name",))
+    back = t.insert(load(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name")))
+    return back.join(t.read().withColumn("stored", F.lit(True)), ["id", "name"], "left").select("id", "name", F.coalesce("stored", F.lit(False)).alias("stored"))
+
+
+@register("s11_batch_insert", """WITH a AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 3 = 0)
+SELECT id, 'first' AS batch, 'stored' AS state FROM a UNION ALL SELECT id, 'second', 'refused: key is stored' FROM b WHERE id IN (SELECT id FROM a) UNION ALL SELECT id, 'third', 'stored' FROM b WHERE id NOT IN (SELECT id FROM a)""")
+def s11(spark, sf):
+    """A batch that goes in, one that holds stored keys and is refused as a whole, and the same row by row."""
+    o = load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    t = T.Table(spark, f"{folder(spark)}/batches-{uuid.uuid4().hex}", o.schema.simpleString()[7:-1].replace(":", " "))
+    first, _ = t.insert_all(o.where("id % 2 = 0"))
+    second, _ = t.insert_all(o.where("id % 3 = 0"))
+    third, refused = t.insert_all(o.where("id % 3 = 0"), one_by_one=True)
+    told = lambda x, batch, state: x.select("id", F.lit(batch).alias("batch"), state.alias("state"))
+    return told(first, "first", F.lit("stored")).unionByName(told(second, "second", F.lit("stored"))).unionByName(told(refused, "second", F.concat(F.lit("refused: "), "fault"))).unionByName(told(third, "third", F.lit("stored")))
+
+
+@register("s19_table_sizes", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n, {n}::BIGINT AS columns FROM {t}" for t, n in (("documents", 5), ("orders", 6), ("labels", 3), ("embeddings", 3))))
+def s19(spark, sf):
+    """Rows and columns of stored tables; files and bytes are in operators.monitoring.storage."""
+    from ..operators.monitoring import storage
+
+    out = None
+    for name in ("documents", "orders", "labels", "embeddings"):
+        t = load(spark, sf, name)
+        one = storage(t).select(F.lit(name).alias("name"), "n", F.lit(len(t.columns)).cast("long").alias("columns"))
+        out = one if out is None else out.unionByName(one)
+    return out

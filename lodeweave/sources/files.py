@@ -40,39 +40,62 @@ def ignored(path: Column, patterns: list[str]) -> Column:
     return out
 
 
+def ignore_lines(spark: SparkSession, root: str) -> list[str]:
+    """The lines of root's .gitignore; none without one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/.gitignore")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return []
+    return [r["value"] for r in spark.read.text(f"{root.rstrip('/')}/.gitignore").collect()]
+
+
+def project_files(files: DataFrame, ignore: list[str], most: int = 10_000) -> DataFrame:
+    """(path, content, language, modified) of files (path, content as binary, modified) that belong to a project: known suffixes, no hidden or ignored parts, valid UTF-8; at most ``most`` files, by path."""
+    p = F.col("path")
+    kept = files.where(p.rlike(r"^[^.][^/]*(/[^.][^/]*)*$") & language(p).isNotNull() & ~ignored(p, ignore) & F.is_valid_utf8(F.col("content").cast("string")))
+    return kept.select("path", F.col("content").cast("string").alias("content"), language(p).alias("language"), "modified").orderBy("path").limit(most)
+
+
 def scan_project(spark: SparkSession, root: str, ignore: list[str] | None = None, most: int = 10_000) -> DataFrame:
-    """(path, content, language, modified) of the project files under root: known suffixes, no hidden or ignored parts, valid UTF-8; at most ``most`` files, by path."""
+    """project_files of a folder. What is ignored stands in its .gitignore and in ignore."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    full = F.regexp_replace(F.col("path"), "^[a-z]+:/+", "/")
-    rel = F.substring_index(full, root.rstrip("/") + "/", -1)
-    kept = files.withColumn("rel", rel).where(F.col("rel").rlike(r"^[^.][^/]*(/[^.][^/]*)*$") & language(F.col("rel")).isNotNull() & ~ignored(F.col("rel"), ignore or []))
-    kept = kept.where(F.is_valid_utf8(F.col("content"))) if hasattr(F, "is_valid_utf8") else kept
-    out = kept.select(F.col("rel").alias("path"), F.col("content").cast("string").alias("content"), language(F.col("rel")).alias("language"), F.col("modificationTime").alias("modified"))
-    return out.orderBy("path").limit(most)
+    rel = F.substring_index(F.regexp_replace(F.col("path"), "^[a-z]+:/+", "/"), root.rstrip("/") + "/", -1)
+    return project_files(files.select(rel.alias("path"), "content", F.col("modificationTime").alias("modified")), [*ignore_lines(spark, root), *(ignore or [])], most)
 
 
-def scan_batch(spark: SparkSession, root: str, suffixes: list[str], excluded: list[str]) -> DataFrame:
-    """Paths to index, sorted: given suffixes, no excluded folder, no test files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+def batch_files(files: DataFrame, suffixes: list[str], excluded: list[str]) -> DataFrame:
+    """files (path, ...) to index, sorted: given suffixes, no excluded folder, no test files."""
     p = F.col("path")
-    keep = suffix(p).isin(*suffixes) & ~p.rlike("/(" + "|".join(excluded) + ")/") & ~p.rlike(r"(\.(spec|test)\.[jt]sx?$|/__tests__/|/test_[^/]*\.py$)")
+    keep = suffix(p).isin(*suffixes) & ~p.rlike("(^|/)(" + "|".join(excluded) + ")/") & ~p.rlike(r"(\.(spec|test)\.[jt]sx?$|(^|/)__tests__/|(^|/)test_[^/]*\.py$)")
     return files.where(keep).orderBy("path")
 
 
-def read_transcripts(spark: SparkSession, root: str) -> DataFrame:
-    """(session, line, role, text, timestamp) of JSON-lines transcripts; broken lines and agent files are left out.
+def scan_batch(spark: SparkSession, root: str, suffixes: list[str], excluded: list[str]) -> DataFrame:
+    return batch_files(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length"), suffixes, excluded)
+
+
+def read_transcripts(spark: SparkSession, root: str, settled_before: str | None = None) -> DataFrame:
+    """transcript_lines of the files under root; those changed at or after a time (a timestamp as text) are still being written and left out."""
+    raw = spark.read.text(root)
+    meta = raw.metadataColumn("_metadata")
+    raw = raw.select("value", meta["file_path"].alias("file"), F.monotonically_increasing_id().alias("line"), meta["file_modification_time"].alias("modified"))
+    return transcript_lines(raw if settled_before is None else raw.where(F.col("modified") < F.lit(settled_before).cast("timestamp")))
+
+
+def transcript_lines(lines: DataFrame) -> DataFrame:
+    """(session, line, role, text, tool_result, timestamp) of JSON lines (file, line, value); broken lines and agent files are left out.
 
     A message's content is a text or a list of parts; a list with a tool_result is no user turn."""
-    raw = spark.read.text(root, wholetext=False).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"))
-    raw = raw.where(~F.col("file").rlike(r"/agent-[^/]*$"))
+    raw = lines.where(~F.col("file").rlike(r"(^|/)agent-[^/]*$"))
     v = F.try_parse_json("value")
     get = lambda path, t="string": F.try_variant_get(v, path, t)
     parts = F.from_json(F.get_json_object("value", "$.message.content"), "array<struct<type:string,text:string,thinking:string>>")
-    joined = F.array_join(F.array_compact(F.transform(parts, lambda p: F.when(p["type"] == "text", p["text"]).when((p["type"] == "thinking") & (p["thinking"] != ""), F.concat(F.lit("[Thinking: "), F.left(p["thinking"], F.lit(200)), F.lit("...]"))))), "\n")
-    is_list = F.get_json_object("value", "$.message.content").startswith("[")
+    part = lambda p: F.when(p["type"] == "text", p["text"]).when((p["type"] == "thinking") & (p["thinking"] != ""), F.concat(F.lit("[Thinking: "), F.left(p["thinking"], F.lit(200)), F.lit("...]")))
+    joined = F.array_join(F.array_compact(F.transform(parts, part)), "\n")
+    content = F.get_json_object("value", "$.message.content")
+    is_list = F.schema_of_variant(F.try_variant_get(v, "$.message.content", "variant")).startswith("ARRAY")
     tool = is_list & F.exists(parts, lambda p: p["type"] == "tool_result")
     good = raw.where(v.isNotNull())
-    return good.select(F.regexp_extract("file", r"([^/]+)\.[^./]*$", 1).alias("session"), "line", get("$.message.role").alias("role"), F.when(is_list, joined).otherwise(F.get_json_object("value", "$.message.content")).alias("text"), F.coalesce(tool, F.lit(False)).alias("tool_result"), get("$.timestamp").alias("timestamp"))
+    return good.select(F.regexp_extract("file", r"([^/]+)\.[^./]*$", 1).alias("session"), "line", get("$.message.role").alias("role"), F.when(is_list, joined).otherwise(content).alias("text"), F.coalesce(tool, F.lit(False)).alias("tool_result"), get("$.timestamp").alias("timestamp"))
 
 
 def uploaded(spark: SparkSession, files: list[tuple[str | None, str | None]]) -> DataFrame:
