@@ -81,6 +81,21 @@ class Segment:
         terms, counts = np.unique(words[order], return_counts=True)
         return Segment(terms, counts.astype(np.int32), at[order].astype(np.int32), lengths.astype(np.int32))
 
+    def packed(self) -> tuple[bytes, bytes, bytes, bytes]:
+        """lengths, terms, counts and positions as they are stored: positions as steps in their list, the first from 0, and all numbers by planes of their bytes, as those of the high ones say little."""
+        steps = np.diff(self.positions, prepend=0)
+        first = self.bounds[:-1][self.counts > 0]
+        steps[first] = self.positions[first]
+        return self.lengths.astype(np.int32).tobytes(), _planes(self.terms, "<u8"), _planes(self.counts), _planes(steps)
+
+    @staticmethod
+    def unpacked(lengths: bytes, terms: bytes, counts: bytes, positions: bytes) -> Segment:
+        counts, steps = _whole(counts).astype(np.int64), _whole(positions).astype(np.int64)
+        upto = np.cumsum(steps)
+        first = np.cumsum(counts) - counts
+        before = np.where(first > 0, upto[first - 1], 0) if len(counts) else upto
+        return Segment(_whole(terms, "<u8"), counts, upto - np.repeat(before, counts), np.frombuffer(lengths, np.int32))
+
     def numbers(self, terms: np.ndarray) -> np.ndarray:
         """The places of terms in the dictionary, -1 where they have none."""
         if not len(self.terms):
@@ -111,6 +126,14 @@ class Segment:
         return np.searchsorted(self.starts, positions, side="right") - 1
 
 
+def _planes(values: np.ndarray, kind: str = "<u4") -> bytes:
+    return values.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes()
+
+
+def _whole(planes: bytes, kind: str = "<u4") -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (mix(a * np.uint64(ODD) + b) >> np.uint64(32)).astype(np.uint32)
 
@@ -277,11 +300,11 @@ class Index:
                 keys, at = p["key"].tolist(), 0
                 for texts in slices(p["text"], SEGMENT):
                     s = Segment.of(texts)
-                    yield pd.DataFrame([(number, keys[at : at + len(texts)], *(x.tobytes() for x in (s.lengths.astype(np.int32), s.terms, s.counts, s.positions.astype(np.int32))))], columns=parts.names)
+                    yield pd.DataFrame([(number, keys[at : at + len(texts)], *s.packed())], columns=parts.names)
                     number, at = number + 1, at + len(texts)
 
         with small_batches(docs.sparkSession, 1000):  # small row groups, as a segment is read whole
-            self.table = scratch.keep(docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).mapInPandas(build, parts), "index", **{"parquet.block.size": 16 << 20})
+            self.table = scratch.keep(docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text")).mapInPandas(build, parts), "index", compression="zstd", **{"parquet.block.size": 16 << 20})
 
     def documents(self) -> DataFrame:
         """(segment, d, key, n_words) of all documents."""
@@ -303,9 +326,8 @@ class Index:
             def probe(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
                 block = QueryBlock(*shared.value)
                 for p in batches:
-                    for number, lengths, terms, counts, positions in zip(*(p[c] for c in ("segment", "lengths", "terms", "counts", "positions")), strict=True):
-                        seg = Segment(np.frombuffer(terms, np.uint64), np.frombuffer(counts, np.int32), np.frombuffer(positions, np.int32), np.frombuffer(lengths, np.int32))
-                        hits, held = search(seg, block, slop), True
+                    for number, *stored in zip(*(p[c] for c in ("segment", "lengths", "terms", "counts", "positions")), strict=True):
+                        hits, held = search(Segment.unpacked(*stored), block, slop), True
                         while held:
                             held = [(number, *h) for _, h in zip(range(100_000), hits, strict=False)]
                             if held:
