@@ -86,21 +86,28 @@ def shard_listing(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def _stored(docs: DataFrame) -> bool:
+    """Whether docs is read from files and nothing else, so that every row has a place there that stays."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() == "SubqueryAlias":
+        plan = plan.children().head()
+    return plan.nodeName().startswith("LogicalRelation") and len(docs.inputFiles()) > 0
+
+
 def sharded(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:
     """docs with the columns shard and slot; columns of these names are replaced.
 
-    Ranks are taken on source and a hash of each row's key. The rows are written
-    once, which gives every one a place (file and number) that stays, and are
-    shuffled once, to their places' shards; rows that repeat have places of their own."""
-    kept = docs.drop("shard", "slot")
-    rows = durable(kept, "shard-rows")
+    Ranks are taken on source and a hash of each row's key. Every row has a place, its file and its number there (docs
+    that are not files are written first), and is shuffled once, by its place; rows that repeat have places of their own."""
+    rows = docs if _stored(docs) else durable(docs, "shard-rows")
+    kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
     part, at = fresh(rows, "part"), fresh(rows, "at")
     meta = rows.metadataColumn("_metadata")
-    placed = rows.withColumns({part: F.xxhash64(meta["file_name"]), at: meta["row_index"]})
+    placed = rows.withColumns({part: F.xxhash64(meta["file_path"]), at: meta["row_index"]})
     narrow = placed.select(part, at, F.col("source").alias("s"), "doc_id", F.xxhash64("text").alias("h"))
     # rows of one key are told apart by their places, so that a task that runs again ranks them as before
     listing = interleave(narrow, shards, [F.col("doc_id"), F.col("h")], source="s", seed=seed, ties=(F.col(part), F.col(at))).select(part, at, "shard", "slot")
     listing = durable(listing, "shard-listing")
     x, y = placed.alias("x"), listing.alias("y")
     on = (F.col(f"x.{part}") == F.col(f"y.{part}")) & (F.col(f"x.{at}") == F.col(f"y.{at}"))
-    return x.join(y, on).select(*[F.col(f"x.`{c}`") for c in kept.columns], "y.shard", "y.slot")
+    return x.join(y, on).select(*[F.col(f"x.`{c}`") for c in kept], "y.shard", "y.slot")
