@@ -17,7 +17,10 @@ are joined to the word table by a shuffle. Both ways are exact.
 Besides, the smoothed unigram score of whole words is given as a base.
 
 Null text is empty: one end mark and nothing else. Without training rows counts
-are zero, and pieces keep the probabilities that their ranks give.
+are zero, and pieces keep the probabilities that their ranks give. Very long texts
+and words are read whole; a word without spaces of any length takes memory in
+proportion to its bytes. Rows that repeat, in doc_id or in all, are scored one by
+one; an empty table gives no rows; other columns are not read.
 """
 from __future__ import annotations
 
@@ -36,6 +39,8 @@ from ._common import durable, fold, list_of, row_type
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 HOT = 100_000
+#: Bytes of a word from which on its lattice is not held whole.
+LONG = 2048
 #: The mark of a word's start: no word holds a space.
 _START = b" "
 
@@ -71,6 +76,30 @@ class Lattice:
         total = sum(weight.values()) * 1.05
         return Lattice({k: math.log(v / total) for k, v in weight.items()}, math.log(0.05 / 1.05))
 
+    def _far(self, data: bytes, i: int) -> Iterator[tuple[int, float]]:
+        """(end, log probability) of the pieces that begin at i."""
+        get = self.ahead.get
+        for j in range(i + 1, len(data) + 1):
+            p = get(data[i:j], _MISSING)
+            if p is _MISSING:
+                return
+            if p is not None:
+                yield j, p
+
+    def _alphas(self, data: bytes) -> np.ndarray:
+        """The forward recursion for a word of any length: besides the numbers themselves only the arcs of the longest piece's reach are held."""
+        n = len(data)
+        alpha, pending = np.full(n + 1, -np.inf), {0: [0.0]}
+        for i in range(n + 1):
+            into = pending.pop(i, None)
+            if into is None:
+                continue
+            best = max(into)
+            alpha[i] = a = best + log(sum([exp(v - best) for v in into]))
+            for j, p in self._far(data, i):
+                pending.setdefault(j, []).append(a + p)
+        return alpha
+
     def _arcs(self, word: bytes) -> tuple[list[float], list[list[tuple[int, float]]]]:
         """alpha and, for each place, the arcs that end there: (start, alpha[start] + log probability of the piece between)."""
         data = _START + word
@@ -105,11 +134,16 @@ class Lattice:
         return self._arcs(word)[0]
 
     def log10(self, word: bytes) -> float:
+        if len(word) > LONG:
+            return float(self._alphas(_START + word)[-1]) / _LN10
         return self._arcs(word)[0][-1] / _LN10
 
     def expect(self, word: bytes, count: float, into: dict[bytes, float]) -> None:
         """Adds count times the posterior number of uses of each piece in the word."""
         data = _START + word
+        if len(word) > LONG:
+            self._expect_long(data, count, into)
+            return
         alpha, arcs = self._arcs(word)
         mass = [0.0] * len(data) + [count]  # of segmentations that pass through a place
         for j in range(len(data), 0, -1):
@@ -123,6 +157,25 @@ class Lattice:
                 piece = data[i:j]
                 into[piece] = into.get(piece, 0.0) + share
 
+    def _expect_long(self, data: bytes, count: float, into: dict[bytes, float]) -> None:
+        """expect by a backward recursion, which needs no arcs: a piece's share is that of the segmentations through both its ends."""
+        alpha, n = self._alphas(data), len(data)
+        beta = np.full(n + 1, -np.inf)
+        beta[n] = 0.0
+        for i in range(n - 1, -1, -1):
+            on = [(j, p + beta[j]) for j, p in self._far(data, i)]
+            best = max((v for _, v in on), default=-math.inf)
+            if best == -math.inf:
+                continue
+            beta[i] = best + log(sum([exp(v - best) for _, v in on]))
+            if alpha[i] == -math.inf:
+                continue
+            for j, v in on:
+                share = count * exp(alpha[i] + v - alpha[n])
+                if share > 0.0:
+                    piece = data[i:j]
+                    into[piece] = into.get(piece, 0.0) + share
+
     def updated(self, expected: dict[bytes, float], ends: float, prior: float = 1000.0) -> Lattice:
         """Probabilities from expected counts, the old ones counting as ``prior`` uses."""
         total = sum(expected.values()) + ends + prior

@@ -18,12 +18,17 @@ The rank is cut by a two-step prefix sum: rows are dealt into fine buckets of
 the ranking variable, the buckets' word counts (a small table) tell in which
 bucket of each source the cut falls, and only that bucket's rows are ordered.
 
-Null text has size 0 and is never taken; an empty table gives no rows; rows
-that are equal in doc_id and text are told apart by no draw and are
-interchangeable. Reruns agree, as nothing but the rows and the seed decides.
+Defined results: null text has size 0 and is never taken; null sources are one
+source, the last; very long texts count whole; an empty table gives no rows; other
+columns, of whatever name, stay as they are. Rows that are equal in doc_id and
+text share one draw and are taken alike, so a source that is mostly one repeated
+row meets its target only to that row's words. Reruns agree, as nothing but the
+rows and the seed decides.
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,8 +76,9 @@ def rates(classes: DataFrame, cap: float) -> DataFrame:
 class Plan:
     """The decisions of a mix as two small tables, by which any row's copies follow from its source, size and hash alone."""
 
-    def __init__(self, measured: DataFrame, weights=WEIGHTS, budget=1.0, cap=3.0, tilt=0.1, buckets=4096):
-        """measured: s, size, h. tilt: preference per doubling of length over classes from 2^4 to 2^12 words (0: all alike). buckets: of the ranking variable in a source."""
+    def __init__(self, measured: DataFrame, weights=WEIGHTS, budget=1.0, cap=3.0, tilt=0.1, buckets=None):
+        """measured: s, size, h. tilt: preference per doubling of length over classes from 2^4 to 2^12 words (0: all alike). buckets: of the ranking variable in a source, by default as many as a bucket of the largest possible source has rows, so that neither grows faster than the root of the input."""
+        buckets = buckets or max(4096, math.isqrt(measured.count()))
         measured = measured.withColumn("cls", _class(F.col("size")))
         classes = measured.groupBy("s", "cls").agg(F.sum("size").alias("words"))
         sizes = targets(classes.groupBy("s").agg(F.sum("words").alias("source_size")), weights, budget, cap)

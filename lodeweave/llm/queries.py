@@ -58,4 +58,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard": sql.OP2, "op10_decontaminate": sql.OP10}
+    return {"op2_jaccard": sql.OP2, "op6_secrets": sql.OP6, "op10_decontaminate": sql.OP10}

@@ -7,7 +7,10 @@ overlap the rule's previous match, and its anchored automaton the longest end.
 Matches of a rule are leftmost, longest and do not overlap each other; rules are
 independent. A rule may drop matches that are too short once they are found.
 
-Null and empty texts have no spans. Offsets are code points, ends exclusive.
+Defined results: null and empty texts have no spans. Offsets are code points,
+ends exclusive. Very long texts are scanned whole, in one pass. Rows that repeat
+are scanned one by one, alike; an empty table gives no rows; other columns, of
+whatever name, are not read by ``secrets`` and stay as they are in ``redact``.
 """
 from __future__ import annotations
 

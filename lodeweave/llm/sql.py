@@ -31,3 +31,27 @@ es AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids
 ns AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, item FROM ni EXCEPT SELECT doc_id, item FROM ei) GROUP BY doc_id)
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(es.n, 0) AS n_items, coalesce(ns.n, 0) AS n_near, sha256(coalesce(es.ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN es USING (doc_id) LEFT JOIN ns USING (doc_id)"""
+
+
+def _either(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_ASSIGN = "(" + "|".join(map(_either, ("password", "passwd", "secret", "token"))) + "|" + _either("api") + "_?" + _either("key") + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+#: kind, pattern, least length of a match (of the second group for assign)
+_RULES = (("assign", _ASSIGN, 6), ("access", "AKIA[A-Z0-9]+", 20), ("hex", "[0-9a-f]+", 24), ("private_key", "-----BEGIN ([A-Z]+ )*PRIVATE KEY-----", 1), ("git_token", "gh[pousr]_[A-Za-z0-9]+", 40), ("chat_token", "xox[abprs]-[A-Za-z0-9-]+", 15))
+
+
+def _spans(k: int, kind: str, pattern: str, least: int) -> str:
+    """Where the matches of a rule stand: behind the gaps and matches before them."""
+    value = f"regexp_extract(hits[i], '{pattern}', 2)" if kind == "assign" else "hits[i]"
+    return f"""SELECT doc_id, {k} AS k, '{kind}' AS kind, a, a + len AS e FROM (SELECT doc_id, i, length({value}) AS size, length(hits[i]) AS len, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS a
+FROM (SELECT doc_id, gaps, hits, unnest(range(1, len(hits) + 1)) AS i FROM (SELECT doc_id, string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}') AS hits FROM d WHERE regexp_matches(t, '{pattern}')))) WHERE size >= {least}"""
+
+
+OP6 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({" UNION ALL ".join(_spans(k, *rule) for k, rule in enumerate(_RULES))}),
+told AS (SELECT doc_id, k, a, kind || ':' || a::BIGINT || ':' || e::BIGINT AS s FROM found),
+agg AS (SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex, string_agg(s, ',' ORDER BY a, k) FILTER (WHERE k < 3) AS base, string_agg(s, ',' ORDER BY a, k) AS spans FROM told GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN agg USING (doc_id)"""

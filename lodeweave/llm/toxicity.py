@@ -15,7 +15,9 @@ a phrase of an entry with its neighbour that only clean documents hold is an
 exception. The lexicon has at most ``max_terms`` entries, so it can be broadcast.
 
 Null and empty texts have no matches and get the lowest score. Without labelled
-rows of both classes the lexicon is empty, and every score is the same.
+rows of both classes the lexicon is empty, and every score is the same. Very long
+texts are folded and matched whole. Rows that repeat are scored one by one, alike;
+an empty table gives no rows; other columns are not read.
 """
 from __future__ import annotations
 
@@ -101,7 +103,16 @@ class Lexicon:
                 spared.append((start, end + 1))
             else:  # of a word's entries the heaviest counts
                 found[start] = max(w, found.get(start, 0.0))
-        total = sum(w for s, w in found.items() if not any(a <= s < b - 1 for a, b in spared))
+        if spared:  # an exception's last blank belongs to what follows
+            inside, reach = sorted(spared), -1
+            k = 0
+            for s in sorted(found):
+                while k < len(inside) and inside[k][0] <= s:
+                    reach = max(reach, inside[k][1] - 1)
+                    k += 1
+                if s < reach:
+                    del found[s]
+        total = sum(found.values())
         n = max(1, t.count(" ") - 1)
         return total, total / n**0.5, 100.0 * total / n
 

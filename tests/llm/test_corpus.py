@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -84,9 +85,80 @@ def test_mixed_repeats_rows(spark):
     assert mixing.mixed(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
 
 
+def plain_copies(rows, cap=3.0, tilt=0.1):
+    """The mix by lists: rows of (source, size, hash); copies of each."""
+    sizes = Counter()
+    for s, n, _ in rows:
+        sizes[s] += n
+    target = expected_targets(sizes)
+    cls = lambda n: min(12, max(4, int(math.log2(max(n, 1)))))
+    out = [0] * len(rows)
+    for s in sizes:
+        own = [i for i, r in enumerate(rows) if r[0] == s]
+        pref = {c: 1 + tilt * (c - 4) for c in {cls(rows[i][1]) for i in own}}
+        words = {c: sum(rows[i][1] for i in own if cls(rows[i][1]) == c) for c in pref}
+        full = lambda lam: sum(w * min(cap, lam * pref[c]) for c, w in words.items())  # noqa: E731, B023
+        lo, hi = 0.0, cap / min(pref.values())
+        for _ in range(200):
+            lo, hi = ((lo + hi) / 2, hi) if full((lo + hi) / 2) < target[s] else (lo, (lo + hi) / 2)
+        mean = {c: min(cap, hi * p) for c, p in pref.items()}
+        whole = {c: math.floor(a + 1e-9) for c, a in mean.items()}
+        left = sum(w * max(0.0, mean[c] - whole[c]) for c, w in words.items())
+        ranked = []
+        for i in own:
+            c = cls(rows[i][1])
+            out[i] = whole[c] if rows[i][1] else 0
+            pi = mean[c] - whole[c]
+            if pi > 1e-9 and rows[i][1]:
+                u = ((rows[i][2] % (1 << 64) >> 12) + 0.5) / (1 << 52)
+                ranked.append((u / (1 - u) / (pi / (1 - pi)), i))
+        taken = 0
+        for _, i in sorted(ranked):
+            if taken + rows[i][1] / 2 > left + 1e-6:
+                break
+            out[i] += 1
+            taken += rows[i][1]
+    return out
+
+
+def test_mix_equals_a_plain_ranking(spark):
+    from pyspark.sql import functions as F
+
+    pick = random.Random(4)
+    made = [(i, " ".join(["w"] * pick.choice([0, 3, 9, 40, 90, 700])), pick.choice(["a", "a", "a", "b", None])) for i in range(900)]
+    docs = documents(spark, made)
+    hashes = {r["doc_id"]: r["h"] for r in docs.select("doc_id", mixing._hash(0).alias("h")).collect()}
+    want = plain_copies([(s, len(t.split()), hashes[i]) for i, t, s in made])
+    got = {r["doc_id"]: r["copies"] for r in mixing.mix(docs).collect()}
+    assert [got[i] for i, _, _ in made] == want
+
+
 # --- sharding ----------------------------------------------------------------
 
 
+def test_shards_equal_a_plain_ranking(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"text {i % 50}", "hot" if i % 3 else [None, "b", "c"][i % 9 // 3]) for i in range(700)]
+    docs = documents(spark, rows)
+    key = sharding._measured(docs).select("doc_id", "source", F.xxhash64(F.lit(0), "doc_id", "text_crc32", "size").alias("h")).collect()
+    place = {}
+    for s in {r["source"] for r in key}:
+        own = sorted((r["h"] % (1 << 64) >> 11, r["doc_id"]) for r in key if r["source"] == s)
+        for rank, (u, i) in enumerate(own, 1):
+            place[i] = ((2 * rank - 1) / (2 * len(own)), s is None, s or "", u)
+    order = sorted(place, key=place.get)
+    small, more = divmod(len(rows), 16)
+    want, at = {}, 0
+    for shard in range(16):
+        for slot in range(small + (shard < more)):
+            want[order[at]] = (shard, slot)
+            at += 1
+    for per_bucket in (2000, 20):
+        out = sharding.interleave(sharding._measured(docs), 16, [F.col("doc_id"), F.col("text_crc32"), F.col("size")], per_bucket=per_bucket)
+        assert {r["doc_id"]: (r["shard"], r["slot"]) for r in out.collect()} == want
+
+
 def test_shards_are_even_and_match_the_mixture(spark):
     rows = [(i % 950, f"t{i}" if i % 7 else "same", ("hot" if i % 3 == 0 else f"s{i % 5}") if i % 11 else None) for i in range(1003)]
     rows += [(None, None, None)] * 4
@@ -213,6 +285,39 @@ def test_keep_one(spark):
     assert jaccard.keep_one(docs.limit(0)).count() == 0 and jaccard.classes(docs.limit(0)).count() == 0
 
 
+def test_keep_one_with_clashing_columns_and_repeated_rows(spark):
+    from pyspark.sql import functions as F
+
+    text = "one two three four five six seven"
+    rows = [(1, text, "b"), (1, text, "a"), (1, "other words of the same number here", "c"), (2, text, "d"), (3, "alone here", "e"), (3, "alone here", "e"), (None, text, "f"), (4, None, "g"), (4, "", "h")]
+    docs = documents(spark, rows).withColumns({"k": F.lit(1), "c": F.lit(2), "row": F.lit(3), "n": F.lit(4), "m": F.create_map(F.lit("x"), F.lit(1))})
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["source"], r["k"], r["c"], r["row"], r["n"], r["m"]["x"]) for r in kept.collect()) == [(0, "f", 1, 2, 3, 4, 1), (1, "a", 1, 2, 3, 4, 1), (3, "e", 1, 2, 3, 4, 1), (4, "g", 1, 2, 3, 4, 1)]
+    hot = documents(spark, [(7, text, "s")] * 400 + [(i, text, "s") for i in range(8, 300)])
+    assert [r["doc_id"] for r in jaccard.keep_one(hot).collect()] == [7]
+
+
+def test_ids_have_to_be_integers(spark):
+    with pytest.raises(TypeError, match="integer"):
+        jaccard.classes(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+    got = jaccard.classes(spark.createDataFrame([(1, "a"), (2, "a")], "doc_id int, text string")).collect()
+    assert {r["component_id"] for r in got} == {1}
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    from lodeweave.llm._common import Scratch, shared_dir
+
+    before = {p.name for p in Path(shared_dir(spark), "lodeweave").glob("jaccard-*")}
+    out = jaccard.classes(spark.createDataFrame([(i, f"w{i % 5} x y z a b c") for i in range(40)], "doc_id long, text string"))
+    [made] = [p for p in Path(shared_dir(spark), "lodeweave").glob("jaccard-*") if p.name not in before]
+    assert [p.name.split("-")[0] for p in made.iterdir()] == ["result"] and out.count() == 40
+    scratch = Scratch(spark, "test")
+    a = scratch.keep(spark.range(3), "t")
+    b = scratch.keep(a, "t", replace=True)
+    assert b.count() == 3 and len(list(Path(scratch.base).iterdir())) == 1
+
+
 # --- language model ----------------------------------------------------------
 
 
@@ -264,6 +369,30 @@ def test_lm_base_score_and_totals(spark, hot):
     assert got[70]["score"] == pytest.approx(got[71]["score"])
 
 
+def test_long_words_take_the_same_way(monkeypatch):
+    logp = {bytes([b]): math.log(0.01) for b in range(256)} | {b"ab": math.log(0.1), b"abc": math.log(0.05), lmscore._START: math.log(0.2), lmscore._START + b"a": math.log(0.07), b"bc": math.log(0.02)}
+    lattice, word = lmscore.Lattice(logp, math.log(0.1)), b"abcabcbcaab" * 30
+    whole, uses, other = lattice.log10(word), {}, {}
+    lattice.expect(word, 2.0, uses)
+    monkeypatch.setattr(lmscore, "LONG", 4)
+    assert lattice.log10(word) == pytest.approx(whole)
+    lattice.expect(word, 2.0, other)
+    assert other == pytest.approx(uses)
+    assert lattice.log10(b"abc" * 100_000) < -1000
+
+
+def test_scores_of_rare_words_equal_those_of_hot_ones(spark):
+    pick = random.Random(8)
+    rows = [(i, " ".join(pick.choice(["the", "cat", f"r{i}", "Äpfel", "x" * 40]) for _ in range(pick.randint(0, 20)))) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    from lodeweave.llm._common import fold
+    from pyspark.sql import functions as F
+
+    train = fold(F.col("doc_id"), 7) != 2
+    few, all_ = ({r["doc_id"]: r["score"] for r in lmscore.score_documents(docs, train, hot=h).collect()} for h in (1, 1000))
+    assert few == pytest.approx(all_)
+
+
 def test_lm_without_rows(spark):
     assert lmscore.scored(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -284,14 +413,40 @@ def test_quality_on_held_out_rows(spark):
     assert out.where("score is null or score < 0 or score > 1").count() == 0
 
 
-def test_quality_reads_whole_texts():
-    r = np.random.default_rng(0)
-    net = quality.Network.new(1)
+def plain_score(net, text):
+    """The network chunk by chunk: a document between zeros."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    n = max(1, -(-len(data) // 16))
+    padded = bytes(32) + data.ljust(16 * n, b"\0") + bytes(32)
+    again = np.array([float(any(padded[p : p + 8]) and any(padded[p - k : p - k + 8] == padded[p : p + 8] for k in range(2, 33))) if 32 <= p <= len(padded) - 8 else 0.0 for p in range(len(padded))])
+    x = np.concatenate([net.emb[np.frombuffer(padded, np.uint8)], again[:, None]], axis=1)
+    chunks = [x[32 + 16 * i : 64 + 16 * i].ravel() @ net.filt + net.fb for i in range(n)]
+    hidden = np.maximum(np.maximum(np.max(chunks, axis=0), 0) @ net.hid + net.hb, 0)
+    return 1 / (1 + np.exp(-(hidden @ net.out + net.ob[0])))
+
+
+def test_quality_equals_a_plain_loop(monkeypatch):
+    net, pick = quality.Network.new(1), random.Random(3)
+    texts = ["", None, "a", "abcabcabcabc abcabc", "x" * 100, "\0\0ab\0ab"] + ["".join(pick.choice("ab \0é") for _ in range(pick.randint(0, 300))) for _ in range(40)]
+    want = {t: plain_score(net, t) for t in texts}
+    for piece in (1 << 19, 1 << 9):
+        monkeypatch.setattr(quality, "PIECE", piece)
+        assert net.score(texts) == pytest.approx([want[t] for t in texts], abs=1e-6)
+
+
+def test_quality_depends_on_the_text_alone(spark):
+    net, pick = quality.Network.new(1), random.Random(5)
     calm, loud = "calm words here " * 40_000, "###!!!%%%***" * 6
-    alone = net.score([calm, calm + loud, loud + calm, calm[:300_000] + loud + calm[300_000:]])
-    pooled = net.score([calm + loud])
-    assert alone[1] == pytest.approx(pooled[0])
-    assert r is not None and len(net.score([None, "", "a"])) == 3 and net.score([None])[0] == net.score([""])[0]
+    texts = [calm, calm + loud, loud + calm, calm[:300_000] + loud + calm[300_000:]] + ["".join(pick.choice("abc ") for _ in range(pick.randint(0, 200))) for _ in range(60)]
+    alone = {t: net.score([t])[0] for t in texts}
+    for _ in range(5):
+        pick.shuffle(texts)
+        k = pick.randint(1, len(texts))
+        assert net.score(texts[:k]).tolist() == [alone[t] for t in texts[:k]]
+    run = quality.scorer(spark.range(1), net)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    for parts in (1, 7):
+        assert {r["text"]: r["s"] for r in docs.repartition(parts).select("text", run("text").alias("s")).collect()} == alone
 
 
 def test_quality_without_labels(spark):
@@ -308,6 +463,26 @@ def test_toxicity_on_held_out_rows(spark):
     assert accuracy(out, table(spark, sf, "labels"), "toxic") > 0.97
 
 
+def test_toxicity_equals_a_plain_search():
+    pick = random.Random(6)
+    word = lambda: "".join(pick.choice("abc") for _ in range(pick.randint(1, 5)))
+    for _ in range(60):
+        weights = {pick.choice([f" {word()} ", f" {word()}"]): pick.randint(1, 9) / 2 for _ in range(6)}
+        phrases = tuple({f" {word()} {word()} " for _ in range(4)} - set(weights))
+        lex = toxicity.Lexicon(weights, phrases)
+        auto = lex.automaton()
+        for _ in range(20):
+            t = toxicity.folded(" ".join(word() for _ in range(pick.randint(0, 25))))
+            places = lambda p: [i for i in range(len(t)) if t.startswith(p, i)]  # noqa: E731, B023
+            spared = [(i, i + len(p) - 1) for p in phrases for i in places(p)]
+            best = {}
+            for p, w in weights.items():
+                for i in places(p):
+                    if not any(a <= i < b for a, b in spared):
+                        best[i] = max(w, best.get(i, 0))
+            assert lex.features(auto, t)[0] == pytest.approx(sum(best.values()))
+
+
 def test_toxicity_folding_and_exceptions():
     lex = toxicity.Lexicon({f" {toxicity.folded('idiot').strip()} ": 4.0, " scum": 3.0}, (toxicity.folded("scum river"),), (-3.0, 2.0, 0.0, 0.0))
     auto = lex.automaton()

@@ -3,10 +3,11 @@ from __future__ import annotations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from lodeweave.llm import queries
+from lodeweave.llm import queries, sharding
 
 COLUMNS = {
     "op1_lattice_lm": "doc_id held_out n_tokens n_known train_tokens base_score score",
@@ -26,7 +27,7 @@ def test_registered():
     assert set(COLUMNS) | {"pipeline"} == set(queries.queries()) and set(COLUMNS) < set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(set(COLUMNS) - {"op2_jaccard", "op10_decontaminate"}))
+@pytest.mark.parametrize("name", sorted(set(COLUMNS) - set(queries.oracle_sql())))
 def test_one_row_per_document(spark, sf_dir, name):
     out = queries.queries()[name](spark, sf_dir)
     assert set(COLUMNS[name].split()) <= set(out.columns)
@@ -59,6 +60,29 @@ def test_pipeline_stages(spark, sf_dir):
     assert all(v == list(range(len(v))) for v in per.values()) and max(map(len, per.values())) - min(map(len, per.values())) <= 1
 
 
+def test_pipeline_keeps_clashing_columns_and_hot_rows(spark, sf_dir):
+    some = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60").drop("n_chars")
+    hot = spark.createDataFrame([(1000, "one and the same row of words again and again", "en", "hot")] * 150 + [(1001, "a row of its own that nobody else has", "en", "hot")], some.schema)
+    extra = {"k": F.lit(1), "h": F.lit(2), "s": F.lit(3), "__row": F.lit(4), "row": F.lit(5), "slot": F.lit(6), "place": F.lit(7), "size": F.lit(8), "m": F.create_map(F.lit("a"), F.lit(1)), "score": F.lit(None).cast("string")}
+    docs = some.unionByName(hot).withColumns(extra)
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.count()
+        out = stage(spark, docs, sf_dir)
+        rows = out.collect()
+        if name == "sharding":
+            assert out.columns == [c for c in docs.columns if c not in ("shard", "slot")] + ["shard", "slot"]
+            places = {(r["shard"], r["slot"]) for r in rows}
+            assert len(rows) == before == len(places)
+        else:
+            assert out.columns == docs.columns
+            assert {tuple(r[c] for c in ("k", "h", "s", "__row", "row", "slot", "place", "size", "score")) for r in rows} <= {(1, 2, 3, 4, 5, 6, 7, 8, None)}
+            assert all(r["m"] == {"a": 1} for r in rows)
+        if name == "n-gram Jaccard join":
+            assert sum(r["doc_id"] == 1000 for r in rows) == 1
+    texts = docs.drop("shard")
+    assert sharding.sharded(texts).count() == texts.count()
+
+
 def test_pipeline_on_empty_and_null_rows(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     docs = spark.createDataFrame([(1, None, None, None, None), (None, "some words here", "en", "s", 3), (2, "", "en", None, 0), (2, "", "en", None, 0)], schema)

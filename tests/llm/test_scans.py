@@ -191,5 +191,106 @@ def test_frames_rows(spark):
     good, bad = gif([(0, 0, 2, 2, [1, 1, 2, 3], 1, -1), (0, 0, 1, 1, [2], 1, -1)]), b"GIF89a broken"
     files = spark.createDataFrame([(1, good), (2, bad), (3, None)], "id int, content binary")
     rows = gifmedia.frames(files, pixels=True).orderBy("id", "frame.frame").collect()
-    assert [(r["id"], r["frame"]["frame"], r["frame"]["start_ms"], r["frame"]["delay_ms"]) for r in rows] == [(1, 0, 0, 100), (1, 1, 100, 100)]
+    assert [(r["id"], r["frame"]["frame"], r["frame"]["start_ms"], r["frame"]["delay_ms"]) for r in rows] == [(1, 0, 0, 100), (1, 1, 100, 100), (2, None, None, None)]
+    assert rows[0]["frame"]["error"] is None and rows[2]["frame"]["error"]
+    with pytest.raises(Exception, match="BadGif"):
+        gifmedia.frames(files, strict=True).collect()
     assert sum(rows[0]["frame"]["histogram"]) == 4 and rows[0]["frame"]["histogram"][48] == 2
+
+
+def test_damaged_files_are_told():
+    good = gif([(0, 0, 2, 2, [1, 1, 2, 3], 1, -1)])
+    at = good.index(b"\x2c") + 10
+    assert len(gifmedia.read(good)[2]) == 1
+    for code_size in (0, 9, 10, 11, 12):
+        with pytest.raises(gifmedia.BadGif):
+            gifmedia.read(good[:at] + bytes([code_size]) + good[at + 1 :])
+    short = gif([(0, 0, 2, 2, [1, 1, 2], 1, -1)])
+    long = gif([(0, 0, 2, 2, [1, 1, 2, 3, 1], 1, -1)])
+    wide = bytearray(good)
+    wide[6:10] = b"\xff\xff\xff\xff"
+    tall = bytearray(good)
+    tall[at - 5 : at - 1] = b"\xff\xff\xff\xff"
+    for bad in (short, long, bytes(wide), bytes(tall), good[: at + 2]):
+        with pytest.raises(gifmedia.BadGif):
+            gifmedia.read(bad)
+
+
+def test_edits_of_any_script_encode_little():
+    count, pick = tokencount.encoder(), random.Random(3)
+    texts = {
+        "cyrillic": " ".join("".join(pick.choice("абвгдежз") for _ in range(pick.randint(2, 9))) for _ in range(9000)),
+        "chinese": "。".join("".join(pick.choice("的一是不了人我在有他") for _ in range(pick.randint(3, 30))) for _ in range(2000)),
+        "lines": "\n".join(str(pick.random()) for _ in range(3000)),
+    }
+    for t in texts.values():
+        tree = tokencount.CountTree(t, count)
+        assert tree.n_tokens == count(t) and len(tree.texts) > len(t) / 1200
+        tree.edit(len(t) // 2, len(t) // 2 + 2, "xy")
+        assert tree.encoded < 4 * tokencount.LEAF and tree.n_tokens == count(tree.text)
+    tree = tokencount.CountTree("a word " * 400, count)
+    for _ in range(300):  # leaves part again as they grow
+        tree.edit(1000, 1000, " and more words")
+    assert max(map(len, tree.texts)) < 2 * tokencount.LEAF and tree.n_tokens == count(tree.text)
+
+
+def test_trees_are_kept_beside_texts(spark):
+    texts = ["Some words, and more. " * 200, None, "", "слово " * 500]
+    docs = spark.createDataFrame([(i, t, "x", 7) for i, t in enumerate(texts)], "doc_id long, text string, tree string, n_edits int")
+    kept = tokencount.trees(docs)
+    count, change = tokencount.encoder(), lambda t: [(5, 9, "new text"), (len(t) // 2, len(t) // 2, " in between ")]
+    once = tokencount.edited(kept, change)
+    twice = tokencount.edited(once, change)
+    for r in twice.collect():
+        t = texts[r["doc_id"]] or ""
+        for _ in range(2):
+            for a, b, new in change(t):
+                t = t[:a] + new + t[max(a, b) :]
+        assert r["text"] == t and sum(r["tree"]["tokens"]) == count(t) and sum(r["tree"]["chars"]) == len(t)
+        assert r["n_reencoded"] <= 5 * tokencount.LEAF and r["n_edits"] == 2
+    assert once.columns == ["doc_id", "text", "tree", "n_edits", "n_reencoded"]
+
+
+def test_index_holds_every_token():
+    texts = ["The cat, the Cat! 7 cats", None, "", "été-ß x"]
+    seg = decontam.Segment.of(texts)
+    want = [w for t in texts for w in [*words(t), None]]
+    terms = {decontam.term_hashes([w])[0][0]: w for w in want if w}
+    got = [None] * seg.size
+    for i, t in enumerate(seg.terms):
+        for p in seg.positions[seg.bounds[i] : seg.bounds[i + 1]]:
+            got[p] = terms[t]
+    assert got == want and seg.lengths.tolist() == [len(words(t)) for t in texts]
+    for some in (texts, [None], []):
+        a = decontam.Segment.of(some)
+        b = decontam.Segment.unpacked(*a.packed())
+        assert all(np.array_equal(getattr(a, x), getattr(b, x)) for x in ("terms", "counts", "positions", "lengths", "keys"))
+
+
+def test_proximity_equals_brute_force():
+    pick = random.Random(11)
+    texts = [" ".join(pick.choice("abcdefgh") for _ in range(pick.randint(0, 40))) for _ in range(40)]
+    items = [(str(i), " ".join(pick.choice("abcdefgh") for _ in range(n))) for i, n in enumerate([1, 2, 3, 4, 5, 6, 7])]
+    seg, block = decontam.Segment.of(texts), decontam.QueryBlock(items, 4)
+    got = {(d, w) for d, w in ((d, (item, n)) for d, kind, _, n, item in decontam.search(seg, block, 2) if kind == "near")}
+    want = set()
+    for d, t in enumerate(texts):
+        w = words(t)
+        for item, text in items:
+            x = words(text)
+            for i in range(max(1, len(x) - 3)):
+                win = x[i : i + 4]
+                if any(w[j : j + len(win)] == win for j in range(len(w))):
+                    continue
+                if any(set(win) <= set(w[j : j + len(win) + 2]) for j in range(len(w))):
+                    want.add((d, (item, len(win))))
+    assert got == want
+
+
+def test_string_ids_and_clashing_columns_of_the_index(spark):
+    docs = spark.createDataFrame([("a", "one two three", 1, 2), (None, "one two three", 1, 2), ("b", None, 1, 2)], "doc_id string, text string, key int, segment int")
+    bench = spark.createDataFrame([(None, "two three"), ("i", "one two")], "item_id string, text string")
+    rows = sorted(map(tuple, decontam.contamination(docs, bench).select("doc_id", "n_hit", "n_items").collect()), key=str)
+    assert rows == [("a", 3, 1), ("b", 0, 0), (None, 3, 1)]
+    kept = decontam.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == ["b"]
