@@ -289,3 +289,13 @@ def i20(spark, sf):
 def i21(spark, sf):
     x = S.admit(paths(spark, sf).withColumnRenamed("text", "content"), 20_000).where("reject is null or reject <> 'binary'")
     return x.groupBy(F.coalesce("reject", F.lit("taken")).alias("status")).agg(F.count("*").alias("n"))
+
+
+@register("udf_sql", f"""WITH {_W} SELECT doc_id, 'g_' || w[4] || ',join' AS calls, 'list[tuple[int, ' || w[4] || ']]' AS returns FROM src""")
+def udf_sql(spark, sf):
+    """Registered functions from SQL text."""
+    from ..functions.registry import register_functions
+
+    register_functions(spark)
+    x = made(spark, sf, PY).withColumnRenamed("source", "py").join(made(spark, sf, HOVER).select("doc_id", F.col("source").alias("hover")), "doc_id")
+    return spark.sql("SELECT doc_id, array_join(array_sort(array_distinct(transform(filter(call_contexts(py), c -> c.scope_type = 'class'), c -> c.call_name))), ',') AS calls, hover_types(hover).returns AS returns FROM {x}", x=x)

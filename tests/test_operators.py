@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeweave.functions import decay, documents, text, vector
-from lodeweave.operators import graph, ingest, monitoring, relations, search, store
+from lodeweave.operators import cache, graph, ingest, monitoring, relations, search, store
 from lodeweave.plans.filters import parse_period
 from lodeweave.sources import files
 from lodeweave.streaming import jobs, stateful, windows
@@ -429,3 +429,87 @@ def test_watch_job(spark, event_stream, tmp_path):
     assert seen and {r["type"] for r in seen} == {"error_rate_high"}
     good, bad = jobs.parsed(spark.createDataFrame([('{"a": 1}',), ("{",)], "value string"))
     assert (good.count(), bad.count()) == (1, 1)
+
+
+def test_sinks_take_batches_whole_or_not_at_all(spark, tmp_path):
+    t = store.Table(spark, str(tmp_path / "t"), "id long, v string", required=("v",))
+    rows = lambda *x: spark.createDataFrame(x, "id long, v string")
+    ids = lambda x: sorted(r["id"] for r in x.collect())
+    assert t.read().count() == 0 and ids(t.insert(rows((1, "a")))) == [1]
+    for bad in (rows((2, "b"), (2, "c")), rows((2, "b"), (1, "c")), rows((2, "b"), (3, None)), rows((2, "b"), (None, "c"))):
+        stored, refused = t.insert_all(bad)
+        assert ids(stored) == [] and refused.count() >= 1 and ids(t.read()) == [1]
+        with pytest.raises(ValueError, match="null|twice|stored"):
+            t.insert(bad)
+    stored, refused = t.insert_all(rows((2, "b"), (1, "c"), (3, None), (4, "d"), (4, "e")), one_by_one=True)
+    assert ids(stored) == [2] and ids(t.read()) == [1, 2]
+    assert sorted((r["id"], r["fault"]) for r in refused.collect()) == [(1, "key is stored"), (3, "v is null"), (4, "key stands twice"), (4, "key stands twice")]
+    named = store.Table(spark, str(tmp_path / "n"), "id string, v string")
+    assert len(named.insert(rows((1, "a"), (2, "b")).select("v")).select("id").distinct().collect()) == 2
+
+
+def test_producer_and_completion(spark, tmp_path):
+    paths = [f"f{i:03d}" for i in range(95)]
+    files_ = spark.createDataFrame([(p,) for p in reversed(paths)], "path string").repartition(7)
+    status = jobs.drop_batches(files_, str(tmp_path / "q"), "j", 40, now="2024-01-01 00:00:00").first()
+    assert (status["batches"], status["files"]) == (3, 95) and status["expires_at"] - status["created_at"] == dt.timedelta(days=1)
+    assert {r["k"]: r["paths"] for r in spark.read.parquet(str(tmp_path / "q")).collect()} == {0: paths[:40], 1: paths[40:80], 2: paths[80:]}
+    queue = spark.createDataFrame([("j", k) for k in range(10)] + [("i", 3)], "job string, k long")
+    assert sorted((r["job"], r["k"]) for r in jobs.trimmed(queue, 2).collect()) == [("i", 3), ("j", 8), ("j", 9)]
+    wanted = spark.createDataFrame([("a", 3), ("b", 2)], "job string, files long")
+    done = spark.createDataFrame([("a", 2, 0), ("a", 1, 1), ("b", 1, 0)], "job string, files long, failed long")
+    built = []
+    assert jobs.on_complete(wanted, done, built.append) == ["a"] == built
+
+
+def test_pending_messages(spark):
+    rows = [(1, True, "2024-01-01 00:00:00", 0, "none"), (2, False, "2024-01-01 00:00:30", 1, "none"), (3, False, "2024-01-01 00:00:00", 2, "none"), (4, False, "2024-01-01 00:00:00", 3, "none"), (5, False, "2024-01-01 00:00:59", 0, "critical")]
+    m = spark.createDataFrame(rows, "id int, acked boolean, delivered_at string, attempts int, error string")
+    got = {r["id"]: (r["action"], r["retry_in"]) for r in jobs.pending(m, "2024-01-01 00:01:00").collect()}
+    assert got == {2: ("wait", None), 3: ("claim", stateful.backoff(2)), 4: ("dead", None), 5: ("stop", None)}
+
+
+def test_workers_set_poison_aside(spark, tmp_path):
+    folders, seen = {}, {}
+    for name in ("autosave", "entity", "relationship"):
+        folders[name] = str(tmp_path / name)
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.jsonl").write_text(f'{{"n": "{name}"}}\n{{broken\n')
+    handlers = {n: lambda batch, _, n=n: seen.setdefault(n, []).extend(r["value"] for r in batch.collect()) for n in folders}
+    for q in jobs.workers(spark, folders, handlers, str(tmp_path / "dead"), str(tmp_path / "check")):
+        q.awaitTermination(120)
+    assert {k: len(v) for k, v in seen.items()} == {"autosave": 1, "entity": 1, "relationship": 1}
+    assert sorted(r["stream"] for r in spark.read.parquet(str(tmp_path / "dead")).collect()) == ["autosave", "entity", "relationship"]
+
+
+def test_result_cache_and_retries(spark):
+    now = [0.0]
+    c = cache.ResultCache(most=2, seconds=10, clock=lambda: now[0])
+    made = []
+    ask = lambda k: c.get(k, lambda: (made.append(k), spark.range(1))[1])
+    for k in ("a", "b", "a", "c", "b"):
+        ask(k)
+    assert made == ["a", "b", "c", "b"] and c.hit_rate == 0.2
+    now[0] = 11
+    ask("b")
+    assert made[-1] == "b" and c.drop_like("b") == 1
+    assert cache.cache_key("q", a=1, b=2) == cache.cache_key("q", b=2, a=1) != cache.cache_key("q", a=2, b=2)
+    waits, tries = [], []
+
+    def fails():
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError("no")
+        return "yes"
+
+    assert cache.retried(fails, 3, base=2.0, sleep=waits.append, seed=1) == "yes" and 1 <= waits[0] <= 3 and 2 <= waits[1] <= 6
+    with pytest.raises(OSError):
+        cache.retried(lambda: (_ for _ in ()).throw(OSError("no")), 2, sleep=waits.append)
+
+
+def test_functions_for_sql(spark):
+    from lodeweave.functions.registry import register_functions
+
+    assert len(register_functions(spark)) == 8
+    row = spark.sql("SELECT snippets('a secret here', 'secret')[0].match AS m, size(python_units('def f(): pass')) AS n, mock_embedding('x')[0] AS v, consolidation_groups(array(named_struct('a', 1L, 'b', 2L, 'score', 0.9D, 'entities', array('redis'), 'concepts', array('cache'))))[0].title AS t").first()
+    assert (row["m"], row["n"], row["t"]) == ("secret", 1, "Redis cache") and row["v"] == ingest.mock_embedding("x")[0]
