@@ -152,3 +152,71 @@ def with_ancestors(chosen: DataFrame, edges: DataFrame, depth: int = 50) -> Data
             break
         seen = seen.unionByName(frontier)
     return seen
+
+
+def related(edges: DataFrame, start: int, depth: int, least: float = 0.1) -> DataFrame:
+    """(node, depth, path): what a breadth-first walk from start reaches over edges (src, dst, score) of score least or more, best first, and the nodes on the way to it.
+
+    A node keeps the way on which it is met first: that of the earliest parent and, of one parent, the highest score, then the smallest node."""
+    e = cut(edges.where(F.col("score") >= least).groupBy("src", "dst").agg(F.max("score").alias("score")))
+    spark = edges.sparkSession
+    seen = frontier = cut(spark.createDataFrame([(start, 0, [], [])], "node long, depth int, turns array<struct<cost:double,node:long>>, path array<long>"))
+    for d in range(1, depth + 1):
+        turns = F.concat("turns", F.array(F.struct((-F.col("score")).cast("double").alias("cost"), F.col("dst").cast("long").alias("node"))))
+        step = frontier.join(e, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min(F.struct(turns.alias("turns"), F.concat("path", F.array("node")).alias("path"))).alias("v"))
+        frontier = cut(step.select("node", F.lit(d).alias("depth"), "v.turns", "v.path").join(seen.select("node"), "node", "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen.where("depth > 0").select("node", "depth", "path")
+
+
+def matrix(edges: DataFrame, nodes: DataFrame, search: str = "", most: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(cells, coupling) of the dependency matrix of the first ``most`` nodes (node, label) whose label holds search in any case: distinct (src, dst), and (node, outgoing, incoming, coupling) by cells."""
+    some = nodes.where(F.lower("label").contains(search.lower())).orderBy("node").limit(most).select("node")
+    cells = cut(induced(edges.select("src", "dst"), some).distinct())
+    ends = cells.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(cells.select(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    sums = ends.groupBy("node").agg(F.sum("o").alias("outgoing"), F.sum("i").alias("incoming"))
+    coupling = some.join(sums, "node", "left").na.fill(0, ["outgoing", "incoming"])
+    return cells, coupling.withColumn("coupling", F.col("outgoing") + F.col("incoming"))
+
+
+def tree_roots(nodes: DataFrame, edges: DataFrame, imports: str = "imports", most: int = 100) -> DataFrame:
+    """(node) from which a tree is drawn, for nodes (node, node_type): the first ``most`` modules, else the node with most imports, else with most edges of any kind, else the first."""
+    modules = nodes.where("node_type = 'Module'")
+    if not modules.isEmpty():
+        return modules.orderBy("node").limit(most).select("node")
+    known = edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi")
+    for some in (known.where(F.col("relation") == imports), known):
+        top = some.groupBy("src").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "src").limit(1).select(F.col("src").alias("node"))
+        if not top.isEmpty():
+            return top
+    return nodes.orderBy("node").limit(1).select("node")
+
+
+def tree(nodes: DataFrame, edges: DataFrame, roots: DataFrame, depth: int = 50) -> DataFrame:
+    """(node, depth, parent, descendants, incoming, outgoing, total) of the trees below roots (node): each node once, at its least depth, under its smallest parent there; edges among nodes (node), degrees over all edges."""
+    e = cut(induced(edges.select("src", "dst"), nodes).distinct())
+    seen = frontier = cut(roots.select("node", F.lit(1).alias("depth"), F.lit(None).cast(roots.schema["node"].dataType).alias("parent")))
+    levels = [seen]
+    for d in range(2, depth + 1):
+        step = frontier.join(e, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+        frontier = cut(step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(d).alias("depth"), "parent"))
+        if frontier.isEmpty():
+            break
+        levels.append(frontier)
+        seen = seen.unionByName(frontier)
+    below, out = None, None
+    for level in reversed(levels):  # counts go up from the deepest level
+        counted = level.withColumn("descendants", F.lit(0).cast("long")) if below is None else level.join(below, "node", "left").na.fill(0, ["descendants"])
+        counted = cut(counted)
+        below = counted.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.sum(F.col("descendants") + 1).alias("descendants"))
+        out = counted if out is None else out.unionByName(counted)
+    return out.join(degrees(edges), "node", "left").na.fill(0, ["incoming", "outgoing", "total"])
+
+
+def repository_metrics(metrics: DataFrame, most: int = 10) -> DataFrame:
+    """One row of metrics (name, complexity, coupling, rank): functions, mean and largest complexity, the most complex one, mean coupling, and the names of the highest ranks, best first."""
+    one = metrics.agg(F.count("*").alias("total_functions"), F.round(F.avg("complexity"), 2).alias("avg_complexity"), F.max("complexity").alias("max_complexity"), F.min_by("name", F.struct(-F.col("complexity"), F.col("name"))).alias("most_complex"), F.round(F.avg("coupling"), 2).alias("avg_coupling"))
+    top = metrics.where("rank is not null").orderBy(F.round("rank", 12).desc(), "name").limit(most).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.round("rank", 12)).alias("r"), "name"))), lambda x: x["name"]), ",").alias("top_pagerank"))
+    return one.crossJoin(F.broadcast(top))

@@ -9,10 +9,17 @@ def percentiles(value: str, *at: float) -> list[Column]:
     return [F.expr(f"percentile_cont({p}) WITHIN GROUP (ORDER BY {value})").alias(f"p{round(p * 100)}") for p in at]
 
 
-def endpoint_stats(requests: DataFrame, least: int = 2) -> DataFrame:
-    """Per endpoint: requests, mean and percentiles of latency, extremes, errors and their share; endpoints with fewer than ``least`` requests are left out."""
-    bad = F.col("status") >= 500
-    g = requests.groupBy("endpoint").agg(F.count("*").alias("n"), F.avg("latency").alias("mean"), *percentiles("latency", 0.5, 0.95, 0.99), F.min("latency").alias("lo"), F.max("latency").alias("hi"), F.count_if(bad).alias("errors"))
+def rough_percentiles(value: str, *at: float) -> list[Column]:
+    """The same from sketches of fixed size, off by less than a ten-thousandth of the rows: they combine before the shuffle, whatever the group's size."""
+    return [F.percentile_approx(value, p, 10_000).cast("double").alias(f"p{round(p * 100)}") for p in at]
+
+
+def endpoint_stats(requests: DataFrame, least: int = 2, exact: bool = True) -> DataFrame:
+    """Per endpoint: requests, mean and percentiles of latency, extremes, errors and their share; endpoints with fewer than ``least`` requests are left out.
+
+    Exact percentiles hold an endpoint's distinct latencies in one task; without exact they come from sketches."""
+    bad, at = F.col("status") >= 500, percentiles if exact else rough_percentiles
+    g = requests.groupBy("endpoint").agg(F.count("*").alias("n"), F.avg("latency").alias("mean"), *at("latency", 0.5, 0.95, 0.99), F.min("latency").alias("lo"), F.max("latency").alias("hi"), F.count_if(bad).alias("errors"))
     return g.where(F.col("n") >= least).withColumn("error_pct", F.try_divide(F.lit(100.0) * F.col("errors"), F.col("n")))
 
 
@@ -49,6 +56,25 @@ def alerts(values: DataFrame, rules: DataFrame, recent: DataFrame) -> DataFrame:
     return values.join(rules, "type").where(over).join(recent, "type", "left_anti").select("type", "value", "limit", "severity")
 
 
+def open_alerts(stored: DataFrame, now: Column, hours: float = 1.0) -> DataFrame:
+    """(type) of stored alerts (type, created_at, acknowledged) that suppress their like: not acknowledged and less than some hours old."""
+    age = now.cast("double") - F.col("created_at").cast("timestamp").cast("double")
+    return stored.where(~F.col("acknowledged") & (age < hours * 3600)).select("type").distinct()
+
+
+def acknowledged(stored: DataFrame, which: Column, by: str, at: Column) -> DataFrame:
+    """stored alerts (acknowledged, acknowledged_by, acknowledged_at, ...) of which those not yet acknowledged and meant by which are so now."""
+    new = ~F.col("acknowledged") & which
+    return stored.withColumns({"acknowledged_by": F.when(new, F.lit(by)).otherwise(F.col("acknowledged_by")), "acknowledged_at": F.when(new, at).otherwise(F.col("acknowledged_at")), "acknowledged": F.col("acknowledged") | which})
+
+
+def changed_rules(rules: DataFrame, put: DataFrame | None = None, drop: list[str] | None = None, toggle: list[str] | None = None) -> DataFrame:
+    """rules (type, limit, compare, severity, enabled) after changes: rows of put are new or take the place of their type's, dropped types go, toggled ones are switched."""
+    if put is not None:
+        rules = rules.join(put.select("type"), "type", "left_anti").select(*rules.columns).unionByName(put)
+    return rules.where(~F.col("type").isin(*(drop or []))).withColumn("enabled", F.when(F.col("type").isin(*(toggle or [])), ~F.col("enabled")).otherwise(F.col("enabled")))
+
+
 def status_of(critical: Column, warning: Column) -> Column:
     return F.when(critical > 0, "critical").when(warning > 5, "warning").otherwise("healthy")
 

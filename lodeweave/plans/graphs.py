@@ -140,10 +140,10 @@ def g21b(spark, sf):
     return G.with_ancestors(chosen, edges(spark, sf))
 
 
-@register("g22_callers_page", f"{E}, {NODES_SQL} SELECT src AS node, label FROM edges JOIN nodes ON node_id = src WHERE dst = 3 ORDER BY label, node LIMIT 5 OFFSET 5")
+@register("g22_callers_page", f"{E}, {NODES_SQL}, t(node, depth) AS (SELECT 3::BIGINT, 0 UNION SELECT src, depth + 1 FROM t JOIN edges ON dst = node WHERE depth < 3), d AS (SELECT node, min(depth) AS depth FROM t WHERE node <> 3 GROUP BY node) SELECT node, label, depth FROM d JOIN nodes ON node_id = node ORDER BY label, node LIMIT 5 OFFSET 5")
 def g22(spark, sf):
-    x = G.traverse(edges(spark, sf), one(spark, 3), 1, "inbound").join(nodes(spark, sf), F.col("node") == F.col("node_id"))
-    return x.select("node", "label").orderBy("label", "node").offset(5).limit(5)
+    x = G.traverse(edges(spark, sf), one(spark, 3), 3, "inbound").join(nodes(spark, sf), F.col("node") == F.col("node_id"))
+    return x.select("node", "label", "depth").orderBy("label", "node").offset(5).limit(5)
 
 
 @register("g23_memory_graph", f"WITH {MEMORIES_SQL}, rel AS (SELECT id AS a, id + 1 + id % 3 AS b, (id % 10) / 10.0 AS score FROM memories), kept AS (SELECT a, b FROM rel JOIN memories x ON x.id = a JOIN memories y ON y.id = b WHERE score >= 0.3 AND x.deleted_at IS NULL AND y.deleted_at IS NULL) SELECT node, count(*) AS degree FROM (SELECT a AS node FROM kept UNION ALL SELECT b FROM kept) GROUP BY node")
@@ -155,10 +155,17 @@ def g23(spark, sf):
     return kept.select(F.col("a").alias("node")).unionByName(kept.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
 
 
-@register("g24_related", f"WITH RECURSIVE {MEMORIES_SQL}, rel AS (SELECT id AS src, id + 1 + id % 3 AS dst FROM memories WHERE id % 10 >= 3), t(node, depth) AS (SELECT 13::BIGINT, 0 UNION SELECT dst, depth + 1 FROM t JOIN rel ON src = node WHERE depth < 4) SELECT node, min(depth) AS depth FROM t WHERE node <> 13 GROUP BY node")
+_REL = "rel AS (SELECT id AS src, id + 1 + id % 3 AS dst, (id % 10) / 10.0 AS score FROM memories UNION ALL SELECT id, id + 2 + id % 5, (id * 7 % 10) / 10.0 FROM memories)"
+
+
+@register("g24_related", f"""WITH RECURSIVE {MEMORIES_SQL}, {_REL}, best AS (SELECT src, dst, max(score) AS score FROM rel WHERE score >= 0.3 GROUP BY src, dst),
+t(node, depth, turns, path) AS (SELECT 13::BIGINT, 0, []::STRUCT(cost DOUBLE, node BIGINT)[], []::BIGINT[] UNION ALL SELECT dst, depth + 1, list_append(turns, {{'cost': (-score)::DOUBLE, 'node': dst}}), list_append(path, node) FROM t JOIN best ON src = node WHERE depth < 4),
+first AS (SELECT node, arg_min({{'depth': depth, 'path': path}}, {{'depth': depth, 'turns': turns}}) AS v FROM t WHERE node <> 13 GROUP BY node) SELECT node, v.depth AS depth, array_to_string(v.path, '>') AS path FROM first""")
 def g24(spark, sf):
-    rel = memories(spark, sf).where("id % 10 >= 3").select(F.col("id").alias("src"), (F.col("id") + 1 + F.col("id") % 3).alias("dst"), F.lit("related").alias("relation"))
-    return G.traverse(rel, one(spark, 13), 4).select("node", "depth")
+    m = memories(spark, sf)
+    i = F.col("id")
+    rel = m.select(i.alias("src"), (i + 1 + i % 3).alias("dst"), ((i % 10) / 10.0).alias("score")).unionByName(m.select(i.alias("src"), (i + 2 + i % 5).alias("dst"), ((i * 7 % 10) / 10.0).alias("score")))
+    return G.related(rel, 13, 4, 0.3).select("node", "depth", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
 @register("g25_matrix", f"{E}, c AS (SELECT DISTINCT src, dst FROM edges) SELECT (SELECT count(*) FROM c) AS dependencies, (SELECT count(*) / 2.0 FROM c x JOIN c y ON x.src = y.dst AND x.dst = y.src)::DOUBLE AS circular")
@@ -180,3 +187,30 @@ def g26b(spark, sf):
     return edges(spark, sf).groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"), F.count("*").alias("incoming"))
 
 
+@register("g10b_repository_metrics", f"""{_rank_sql()}, k AS (SELECT node, rank / (SELECT sum(rank) FROM r10) AS rank FROM r10), c AS (SELECT node_id AS node, coalesce(a, 0) + coalesce(e, 0) AS coupling FROM nodes LEFT JOIN (SELECT dst, count(DISTINCT src) AS a FROM edges GROUP BY dst) ON dst = node_id LEFT JOIN (SELECT src, count(DISTINCT dst) AS e FROM edges GROUP BY src) ON src = node_id),
+m AS (SELECT p_name || '#' || p_partkey AS name, p_size AS complexity, coupling, rank FROM part JOIN k ON k.node = 1000000 + p_partkey JOIN c ON c.node = 1000000 + p_partkey)
+SELECT count(*) AS total_functions, round(avg(complexity), 2) AS avg_complexity, max(complexity) AS max_complexity, arg_min(name, (-complexity, name)) AS most_complex, round(avg(coupling), 2) AS avg_coupling, (SELECT string_agg(name, ',' ORDER BY pos) FROM (SELECT name, row_number() OVER (ORDER BY round(rank, 12) DESC, name) AS pos FROM m) WHERE pos <= 10) AS top_pagerank FROM m""")
+def g10b(spark, sf):
+    """Parts as functions: their size is the complexity."""
+    e, ids = edges(spark, sf), node_ids(spark, sf)
+    c = G.coupling(ids, e).select("node", (F.col("afferent") + F.col("efferent")).alias("coupling"))
+    k = G.pagerank(ids, e, iterations=10, tolerance=0.0)
+    p = load(spark, sf, "part").select((F.lit(1000000) + F.col("p_partkey")).alias("node"), F.concat("p_name", F.lit("#"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_size").alias("complexity"))
+    return G.repository_metrics(p.join(c, "node").join(k, "node"))
+
+
+@register("g25b_matrix_nodes", f"{E}, {NODES_SQL}, chosen AS (SELECT node_id AS node FROM nodes WHERE contains(lower(label), '1') ORDER BY node_id LIMIT 100), cells AS (SELECT DISTINCT src, dst FROM edges WHERE src IN (SELECT node FROM chosen) AND dst IN (SELECT node FROM chosen)) SELECT node, (SELECT count(*) FROM cells WHERE src = node) AS outgoing, (SELECT count(*) FROM cells WHERE dst = node) AS incoming, (SELECT count(*) FROM cells WHERE src = node) + (SELECT count(*) FROM cells WHERE dst = node) AS coupling FROM chosen")
+def g25b(spark, sf):
+    return G.matrix(edges(spark, sf), nodes(spark, sf).select(F.col("node_id").alias("node"), "label"), "1")[1]
+
+
+@register("g26c_tree", f"""{E}, {NODES_SQL}, root AS (SELECT src AS node FROM edges WHERE relation = 'supplies' GROUP BY src ORDER BY count(*) DESC, src LIMIT 1), e AS (SELECT DISTINCT src, dst FROM edges WHERE src IN (SELECT node_id FROM nodes) AND dst IN (SELECT node_id FROM nodes)),
+t(node, depth) AS (SELECT node, 1 FROM root UNION SELECT dst, depth + 1 FROM t JOIN e ON src = node WHERE depth < 3), d AS (SELECT node, min(depth) AS depth FROM t GROUP BY node),
+p AS (SELECT d.node, d.depth, min(e.src) AS parent FROM d LEFT JOIN (e JOIN d x ON x.node = e.src) ON e.dst = d.node AND x.depth = d.depth - 1 GROUP BY d.node, d.depth),
+n AS (SELECT p.*, (SELECT count(*) FROM p c WHERE c.parent = p.node) AS children FROM p),
+w AS (SELECT n.*, children + coalesce((SELECT sum(c.children) FROM n c WHERE c.parent = n.node), 0) AS descendants FROM n),
+g AS (SELECT node, count(*) FILTER (WHERE o = 0) AS incoming, count(*) FILTER (WHERE o = 1) AS outgoing FROM (SELECT src AS node, 1 AS o FROM edges UNION ALL SELECT dst, 0 FROM edges) GROUP BY node)
+SELECT node, depth, parent, descendants::BIGINT AS descendants, coalesce(incoming, 0) AS incoming, coalesce(outgoing, 0) AS outgoing, coalesce(incoming, 0) + coalesce(outgoing, 0) AS total FROM w LEFT JOIN g USING (node)""")
+def g26c(spark, sf):
+    e, n = edges(spark, sf), nodes(spark, sf).select(F.col("node_id").alias("node"), "node_type")
+    return G.tree(n, e, G.tree_roots(n, e, "supplies"), 3)

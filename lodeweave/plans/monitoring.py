@@ -82,7 +82,9 @@ def m10(spark, sf):
     share = lambda t: F.lit(100.0) * F.count_if(F.col("event_type") == t) / F.count("*")
     one = e.agg(F.array(F.struct(F.lit("error_rate_high").alias("type"), share("error").alias("value")), F.struct(F.lit("cache_hit_rate_low").alias("type"), share("view").alias("value")), F.struct(F.lit("cpu_high").alias("type"), F.max("value").alias("value"))).alias("v"))
     rules = spark.createDataFrame(M.RULES, "type string, limit double, compare string, severity string")
-    recent = spark.createDataFrame([("cpu_high",)], "type string")
+    clock = F.lit("2024-01-01 12:00:00").cast("timestamp")
+    stored = spark.createDataFrame([("cpu_high", "2024-01-01 11:30:00", False), ("error_rate_high", "2024-01-01 10:59:00", False), ("cache_hit_rate_low", "2024-01-01 11:55:00", True)], "type string, created_at string, acknowledged boolean")
+    recent = M.open_alerts(stored, clock)
     return M.alerts(one.select(F.inline("v")), rules, recent).withColumn("value", r("value"))
 
 
@@ -91,6 +93,21 @@ def m11(spark, sf):
     return load(spark, sf, "events").where("value > 50").groupBy(F.col("event_type").alias("type")).agg(F.count("*").alias("n"), F.count_if(F.col("event_id") % 3 == 0).alias("acknowledged"), F.max("ts").alias("last"))
 
 
+@register("m11b_acknowledge", "SELECT event_id, event_id % 3 = 0 OR value > 90 AS acknowledged, CASE WHEN event_id % 3 = 0 THEN 'system' WHEN value > 90 THEN 'ops' END AS acknowledged_by FROM events WHERE value > 50")
+def m11b(spark, sf):
+    a = load(spark, sf, "events").where("value > 50").withColumn("acknowledged", F.col("event_id") % 3 == 0)
+    a = a.withColumn("acknowledged_by", F.when(F.col("acknowledged"), "system")).withColumn("acknowledged_at", F.when(F.col("acknowledged"), F.col("ts")))
+    return M.acknowledged(a, F.col("value") > 90, "ops", F.col("ts")).select("event_id", "acknowledged", "acknowledged_by")
+
+
+@register("m11c_rules", "WITH r AS (SELECT event_type AS type, max(value) AS lim, 'gt' AS compare, 'warning' AS severity, true AS enabled FROM events GROUP BY event_type) SELECT type, CASE WHEN type = 'error' THEN 5.0 ELSE lim END::DOUBLE AS lim, compare, CASE WHEN type = 'error' THEN 'critical' ELSE severity END AS severity, type <> 'view' AS enabled FROM r WHERE type <> 'click' UNION ALL SELECT 'new', 1.0, 'lt', 'warning', true")
+def m11c(spark, sf):
+    """A rule for each kind of event: one is replaced, one is new, one goes, one is switched off."""
+    rules = load(spark, sf, "events").groupBy(F.col("event_type").alias("type")).agg(F.max("value").alias("lim")).select("type", "lim", F.lit("gt").alias("compare"), F.lit("warning").alias("severity"), F.lit(True).alias("enabled"))
+    put = spark.createDataFrame([("error", 5.0, "gt", "critical", True), ("new", 1.0, "lt", "warning", True)], "type string, lim double, compare string, severity string, enabled boolean")
+    return M.changed_rules(rules, put, ["click"], ["view"])
+
+
 @register("m12_error_summary", "SELECT event_type, count(*) AS n, CASE WHEN count(*) > 50 THEN 'warning' ELSE 'ok' END AS level FROM events WHERE event_type <> 'view' GROUP BY event_type ORDER BY n DESC, event_type LIMIT 5")
 def m12(spark, sf):
     g = load(spark, sf, "events").where("event_type <> 'view'").groupBy("event_type").agg(F.count("*").alias("n"))
@@ -145,6 +162,16 @@ def m20(spark, sf):
     return g.select("n", r("mean").alias("mean"), r("p50").alias("p50"), r("p95").alias("p95"), r(F.col("n") / F.lit(24 * 3600.0), 8).alias("rps"), r(F.try_divide("e", "n"), 8).alias("error_rate"))
 
 
+@register("st7b_admitted", """WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+t AS (SELECT user_id, event_id, n, ts AS last, true AS allowed FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.event_id, e.n, CASE WHEN e.ts >= t.last + INTERVAL 1 HOUR THEN e.ts ELSE t.last END, e.ts >= t.last + INTERVAL 1 HOUR FROM t JOIN e ON e.user_id = t.user_id AND e.n = t.n + 1)
+SELECT user_id, event_id, allowed FROM t""")
+def st7b(spark, sf):
+    """One request an hour and user: rejected requests don't count."""
+    from ..streaming.stateful import admitted_rows
+
+    return admitted_rows(load(spark, sf, "events"), most=1, seconds=3600.0)
+
+
 @register("st7_rate_limiter", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW) AS in_window FROM events")
 def st7(spark, sf):
     w = Window.partitionBy("user_id").orderBy("us").rangeBetween(-60_000_000, 0)

@@ -101,8 +101,7 @@ def j13(spark, sf):
 @register("j14_recursive", """WITH RECURSIVE t(node, depth) AS (SELECT 0, 0 UNION ALL SELECT n_nationkey, depth + 1 FROM t JOIN nation ON n_nationkey = node + 5 WHERE depth < 4)
 SELECT node, depth FROM t""")
 def j14(spark, sf):
-    load(spark, sf, "nation").createOrReplaceTempView("lodeweave_nation")
-    return spark.sql("WITH RECURSIVE t(node, depth) AS (SELECT 0, 0 UNION ALL SELECT n_nationkey, depth + 1 FROM t JOIN lodeweave_nation ON n_nationkey = node + 5 WHERE depth < 4) SELECT node, depth FROM t")
+    return spark.sql("WITH RECURSIVE t(node, depth) AS (SELECT 0, 0 UNION ALL SELECT n_nationkey, depth + 1 FROM t JOIN {nation} ON n_nationkey = node + 5 WHERE depth < 4) SELECT node, depth FROM t", nation=load(spark, sf, "nation"))
 
 
 @register("j15_lookup", "SELECT s_suppkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")

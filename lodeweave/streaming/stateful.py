@@ -36,6 +36,24 @@ def rate_limited(events: DataFrame, key: str = "user_id", most: int = 100, secon
     return x.groupBy(key).applyInPandasWithState(step, f"{key} long, event_id long, allowed boolean", "taken array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+def admitted_rows(events: DataFrame, key: str = "user_id", most: int = 100, seconds: float = 60.0) -> DataFrame:
+    """rate_limited for a table: (key, event_id, allowed). Rows come in order of key and time, so a task holds the admitted times of one key's window and nothing else."""
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, taken = None, []
+        for p in batches:
+            allowed = []
+            for k, t in zip(p[key], p["us"], strict=True):
+                if k != last:
+                    last, taken = k, []
+                ok, taken = admitted([t / 1e6], taken, most, seconds)
+                allowed += ok
+            yield pd.DataFrame({key: p[key], "event_id": p["event_id"], "allowed": allowed})
+
+    x = events.select(key, "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return x.repartition(key).sortWithinPartitions(key, "us", "event_id").mapInPandas(step, f"{key} long, event_id long, allowed boolean")
+
+
 class Breaker:
     """CLOSED opens after ``limit`` failures in a row; OPEN lets one probe pass after ``wait`` seconds (HALF_OPEN); its outcome closes or opens again."""
 
