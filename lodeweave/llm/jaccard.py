@@ -288,18 +288,21 @@ def candidates(docs: DataFrame, entries: int) -> DataFrame:
 
 # --- verification ------------------------------------------------------------
 
-_SET = row_type(n_shingles="long", d1="long", d2="long", short="binary", sketch="binary")
+#: Longs of the folded sketches by which the pairs inside groups are sifted.
+FOLDED = 8
+
+_SET = row_type(n_shingles="long", d1="long", d2="long", bits="binary", short="binary", sketch="binary")
 
 
 @F.pandas_udf(_SET)
 def set_summary(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Size, digest and sketch of the shingle set of each text: folded to SKETCH_LONGS longs, and whole where that is longer."""
+    """Size, digest and sketch of the shingle set of each text: folded to FOLDED and to SKETCH_LONGS longs, and whole where that is longer."""
     for s in batches:
         rows = []
         for texts in slices(s, SLICE):
             for x in shingles(texts):
                 whole = sketch(x)
-                rows.append((len(x), *digest(x), folded(whole, SKETCH_LONGS).tobytes(), whole if len(whole) > 8 * SKETCH_LONGS else None))
+                rows.append((len(x), *digest(x), folded(whole, FOLDED).tobytes(), folded(whole, SKETCH_LONGS).tobytes(), whole if len(whole) > 8 * SKETCH_LONGS else None))
         yield pd.DataFrame(rows, columns=_SET.names)
 
 
@@ -417,8 +420,8 @@ def _pair(x: str, y: str) -> list[F.Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-#: Longs of the folded sketches by which the pairs inside groups are sifted, and members of a group that one task compares.
-FOLDED, BLOCK = 8, 2048
+#: Members of a group that one task compares.
+BLOCK = 2048
 
 
 def _sift(hubs: int, turn: int):
@@ -432,7 +435,7 @@ def _sift(hubs: int, turn: int):
         pdf = pdf.iloc[order]
         keys = pdf[["grp", "i", "j"]].to_numpy()
         doc, comp, n, side = (pdf[c].to_numpy() for c in ("doc", "comp", "n", "side"))
-        bits = np.bitwise_xor.reduce(np.frombuffer(b"".join(pdf["bits"]), dtype=np.uint64).reshape(len(pdf), -1, FOLDED), axis=1)
+        bits = np.frombuffer(b"".join(pdf["bits"]), dtype=np.uint64).reshape(len(pdf), FOLDED)
         starts = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
         sizes = np.diff(np.append(starts, len(pdf)))
         found = [np.zeros((0, 2), np.int64)]
@@ -462,7 +465,7 @@ def _sift(hubs: int, turn: int):
 
 def _sifted(split: DataFrame, light: DataFrame, hubs: int = 0, turn: int = 0) -> DataFrame:
     """(a, b): pairs of groups across components that sizes and folded sketches allow, all or those of some hubs. A group of more than BLOCK members is compared in pairs of blocks, each a task's share."""
-    short = light.select(F.col("doc_id").alias("doc"), "n", F.col("short").alias("bits"))
+    short = light.select(F.col("doc_id").alias("doc"), "n", "bits")
     blocks = split.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
     x = split.join(blocks, "grp").join(short, "doc").withColumn("m", F.pmod(F.xxhash64("doc"), F.col("k")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")
@@ -499,7 +502,7 @@ def _classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     sets = scratch.keep(docs.select("doc_id", set_summary("text").alias("s")).select("doc_id", "s.*"), "sets")
     known = sets.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     copies = _copies(known, scratch)
-    light = known.select("doc_id", F.col("n_shingles").alias("n"), "short", "sketch")
+    light = known.select("doc_id", F.col("n_shingles").alias("n"), "bits", "short", "sketch")
     entries = int((known.agg(F.sum("n_shingles")).first()[0] or 0) * 0.7)
 
     named = docs.where(F.col("doc_id").isNotNull())
