@@ -513,3 +513,55 @@ def test_functions_for_sql(spark):
     assert len(register_functions(spark)) == 8
     row = spark.sql("SELECT snippets('a secret here', 'secret')[0].match AS m, size(python_units('def f(): pass')) AS n, mock_embedding('x')[0] AS v, consolidation_groups(array(named_struct('a', 1L, 'b', 2L, 'score', 0.9D, 'entities', array('redis'), 'concepts', array('cache'))))[0].title AS t").first()
     assert (row["m"], row["n"], row["t"]) == ("secret", 1, "Redis cache") and row["v"] == ingest.mock_embedding("x")[0]
+
+
+def test_related_equals_a_queue(spark):
+    pick = random.Random(5)
+    links = [(pick.randint(0, 25), pick.randint(0, 25), pick.randint(0, 9) / 10) for _ in range(70)]
+    best = {}
+    for a, b, v in links:
+        best[a, b] = max(v, best.get((a, b), 0))
+    visited, queue, want = set(), [(3, 0, [])], {}
+    while queue:
+        node, depth, path = queue.pop(0)
+        if node in visited or depth > 3:
+            continue
+        visited.add(node)
+        if depth:
+            want[node] = (depth, path)
+        for (_, b), _ in sorted(((k, v) for k, v in best.items() if k[0] == node and v >= 0.3), key=lambda x: (-x[1], x[0][1])):
+            if b not in visited:
+                queue.append((b, depth + 1, [*path, node]))
+    got = graph.related(spark.createDataFrame(links, "src long, dst long, score double"), 3, 3, 0.3).collect()
+    assert {r["node"]: (r["depth"], r["path"]) for r in got} == want
+
+
+def test_trees(spark):
+    nodes = spark.createDataFrame([(i, "Class") for i in range(1, 9)], "node long, node_type string")
+    edges = spark.createDataFrame([(1, 2, "imports"), (1, 3, "imports"), (2, 4, "calls"), (3, 4, "calls"), (4, 1, "calls"), (4, 5, "calls"), (9, 1, "calls"), (7, 8, "calls")], "src long, dst long, relation string")
+    root = lambda n, e, kind="imports": [r["node"] for r in graph.tree_roots(n, e, kind).collect()]
+    assert root(nodes, edges) == [1] and root(nodes, edges, "none") == [1] and root(nodes, edges.where("src > 100")) == [1]
+    assert root(nodes.unionByName(spark.createDataFrame([(20, "Module"), (19, "Module")], "node long, node_type string")), edges) == [19, 20]
+    rows = {r["node"]: r for r in graph.tree(nodes, edges, graph.tree_roots(nodes, edges)).collect()}
+    assert {k: (r["depth"], r["parent"], r["descendants"]) for k, r in rows.items()} == {1: (1, None, 4), 2: (2, 1, 2), 3: (2, 1, 0), 4: (3, 2, 1), 5: (4, 4, 0)}
+    assert (rows[1]["incoming"], rows[1]["outgoing"], rows[1]["total"]) == (2, 2, 4)
+    cells, coupling = graph.matrix(edges, spark.createDataFrame([(i, f"n{i}") for i in range(1, 9)], "node long, label string"), "N", 5)
+    assert cells.count() == 6 and {r["node"]: r["coupling"] for r in coupling.collect()} == {1: 3, 2: 2, 3: 2, 4: 4, 5: 1}
+
+
+def test_sketches_are_near_exact_percentiles(spark):
+    x = spark.range(20_000).selectExpr("'/a' AS endpoint", "(id * 7919) % 20000 / 10.0D AS latency", "200 AS status")
+    exact, rough = (monitoring.endpoint_stats(x, exact=e).first() for e in (True, False))
+    assert all(abs(exact[p] - rough[p]) < 1 for p in ("p50", "p95", "p99"))
+
+
+def test_admitted_rows_equal_a_loop(spark):
+    pick = random.Random(2)
+    rows = [(pick.randint(0, 3), i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=pick.randint(0, 400))) for i in range(300)]
+    want = {}
+    for k in range(4):
+        own = sorted((t, i) for u, i, t in rows if u == k)
+        ok, _ = stateful.admitted([t.timestamp() for t, _ in own], [], 5, 30.0)
+        want |= dict(zip((i for _, i in own), ok, strict=True))
+    got = stateful.admitted_rows(spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp"), most=5, seconds=30.0).collect()
+    assert {r["event_id"]: r["allowed"] for r in got} == want
