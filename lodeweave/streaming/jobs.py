@@ -88,7 +88,8 @@ def workers(spark: SparkSession, folders: dict[str, str], handlers: dict[str, Ca
     def worker(name: str) -> StreamingQuery:
         def handle(batch: DataFrame, epoch: int) -> None:
             good, bad = parsed(batch)
-            bad.select(F.lit(name).alias("stream"), F.lit(epoch).alias("epoch"), "value").write.mode("append").parquet(dead_letters)
+            # a folder of its own for each stream and batch: streams write at the same time, and a batch that comes again replaces its letters
+            bad.select("value").write.mode("overwrite").parquet(f"{dead_letters}/stream={name}/epoch={epoch}")
             handlers[name](good, epoch)
 
         stream = spark.readStream.schema("value string").text(folders[name])
