@@ -14,6 +14,11 @@ ENDPOINT_RULES = (
 TOKEN = "[a-zA-Z0-9\\u00C0-\\u024F]"
 
 
+def let(value: Column, use) -> Column:
+    """use(value), value being found once; the same expression at several places, or inside a lambda, would be found anew each time."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trigrams(text: Column) -> Column:
     """Distinct 3-grams of the lower-cased words, each padded by two blanks before and one after."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
@@ -24,8 +29,11 @@ def trigrams(text: Column) -> Column:
 
 def array_similarity(a: Column, b: Column) -> Column:
     """Jaccard similarity of two arrays of distinct members, 0.0 where both are empty."""
-    both = F.size(F.array_intersect(a, b))
-    return F.coalesce(F.try_divide(both, F.size(a) + F.size(b) - both), F.lit(0.0))
+
+    def share(a: Column) -> Column:
+        return let(F.size(F.array_intersect(a, b)), lambda both: F.coalesce(F.try_divide(both, F.size(a) + F.size(b) - both), F.lit(0.0)))
+
+    return let(a, share)
 
 
 def trgm_similarity(a: Column, b: Column) -> Column:

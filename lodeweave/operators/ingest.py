@@ -27,19 +27,25 @@ def exchanges(turns: DataFrame, session: str, order: str, role: str = "role", te
 
 def fixed_chunks(text: Column, size: int = 2000) -> Column:
     """Array of (n, start_line, end_line, body): lines in windows of about size characters that overlap by a tenth; a tail of under 50 characters joins the window before."""
-    lines = F.split(text, "\n")
-    n = F.size(lines)
-    per = F.greatest(F.lit(1), F.floor(F.lit(size) / F.greatest(F.length(text) / n, F.lit(0.001)))).cast("int")
-    step = F.greatest(F.lit(1), per - F.greatest(F.lit(1), F.floor(per * 0.1).cast("int")))
-    at = F.sequence(F.lit(0), n - 1, step)
-    body = lambda i: F.array_join(F.slice(lines, i + 1, per), "\n")
-    all_ = F.transform(at, lambda i, k: F.struct(k.alias("n"), (i + 1).alias("start_line"), F.least(i + per, n).alias("end_line"), body(i).alias("body")))
-    # the first window that is too short (never the first of all) joins the one before and ends the list
-    short = F.filter(all_, lambda c: (c["n"] > 0) & (F.length(F.trim(F.regexp_replace(c["body"], r"[\n\r\t]", " "))) < 50))
-    cut = F.coalesce(F.get(short, F.lit(0))["n"], F.size(all_))
-    tail = F.get(short, F.lit(0))
-    kept = F.slice(all_, F.lit(1), cut)
-    return F.transform(kept, lambda c: F.when(tail.isNotNull() & (c["n"] == cut - 1), F.struct(c["n"].alias("n"), c["start_line"].alias("start_line"), tail["end_line"].alias("end_line"), F.concat(c["body"], F.lit("\n"), tail["body"]).alias("body"))).otherwise(c))
+    chars = F.length(text)
+
+    def windows(lines: Column) -> Column:
+        n = F.size(lines)
+        per = F.greatest(F.lit(1), F.floor(F.lit(size) / F.greatest(chars / n, F.lit(0.001)))).cast("int")
+        step = F.greatest(F.lit(1), per - F.greatest(F.lit(1), F.floor(per * 0.1).cast("int")))
+        body = lambda i: F.array_join(F.slice(lines, i + 1, per), "\n")
+        return F.transform(F.sequence(F.lit(0), n - 1, step), lambda i, k: F.struct(k.alias("n"), (i + 1).alias("start_line"), F.least(i + per, n).alias("end_line"), body(i).alias("body")))
+
+    def merged(found: Column) -> Column:
+        # the first window that is too short (never the first of all) joins the one before and ends the list
+        tail = F.get(F.filter(found, lambda c: (c["n"] > 0) & (F.length(F.trim(F.regexp_replace(c["body"], r"[\n\r\t]", " "))) < 50)), F.lit(0))
+        return X.let(tail, lambda t: F.when(t.isNull(), found).otherwise(joined(found, t)))
+
+    def joined(found: Column, tail: Column) -> Column:
+        last = lambda c: F.struct(c["n"].alias("n"), c["start_line"].alias("start_line"), tail["end_line"].alias("end_line"), F.concat(c["body"], F.lit("\n"), tail["body"]).alias("body"))
+        return F.transform(F.slice(found, F.lit(1), tail["n"]), lambda c: F.when(c["n"] == tail["n"] - 1, last(c)).otherwise(c))
+
+    return X.let(F.split(text, "\n"), lambda lines: X.let(windows(lines), merged))
 
 
 def limited_chunks(files: DataFrame, path: Column, text: Column, most: int = 50, lines: int = 5000) -> DataFrame:
@@ -51,14 +57,20 @@ def limited_chunks(files: DataFrame, path: Column, text: Column, most: int = 50,
 def markdown_sections(text: Column) -> Column:
     """Array of (name, start_line, end_line, body): sections from one '## ' line to the next; what stands before the first belongs to it; without such lines one section 'content'."""
     header = r"^##\s+.+"
-    lines = F.split(text, "\n")
-    numbered = F.transform(lines, lambda l, i: F.when(l.rlike(header), i + 1))
-    heads = F.filter(numbered, lambda i: i.isNotNull())
-    starts = F.concat(F.array(F.lit(1)), F.slice(heads, F.lit(2), F.greatest(F.size(heads), F.lit(1))))
-    ends = F.concat(F.transform(F.slice(starts, F.lit(2), F.size(starts)), lambda i: i - 1), F.array(F.size(lines)))
-    named = F.when(F.size(heads) > 0, heads).otherwise(F.array(F.lit(0)))
-    name = lambda k: F.when(k > 0, F.trim(F.regexp_extract(F.get(lines, k - 1), r"^##\s+(.+)$", 1))).otherwise("content")
-    return F.zip_with(F.arrays_zip(starts.alias("s"), ends.alias("e")), named, lambda p, k: F.struct(name(k).alias("name"), p["s"].alias("start_line"), p["e"].alias("end_line"), F.array_join(F.slice(lines, p["s"], p["e"] - p["s"] + 1), "\n").alias("body")))
+
+    def heads(lines: Column) -> Column:
+        return F.filter(F.transform(lines, lambda l, i: F.when(l.rlike(header), i + 1)), lambda i: i.isNotNull())
+
+    def sections(lines: Column, heads: Column) -> Column:
+        starts = F.concat(F.array(F.lit(1)), F.slice(heads, F.lit(2), F.greatest(F.size(heads), F.lit(1))))
+        name = lambda k: F.when(k > 0, F.trim(F.regexp_extract(F.get(lines, k - 1), r"^##\s+(.+)$", 1))).otherwise("content")
+        body = lambda a, b: F.array_join(F.slice(lines, a, b - a + 1), "\n")
+        named = F.when(F.size(heads) > 0, heads).otherwise(F.array(F.lit(0)))
+        ends = lambda s: F.concat(F.transform(F.slice(s, F.lit(2), F.size(s)), lambda i: i - 1), F.array(F.size(lines)))
+        spans = X.let(starts, lambda s: F.arrays_zip(s.alias("s"), ends(s).alias("e")))
+        return F.zip_with(spans, named, lambda p, k: F.struct(name(k).alias("name"), p["s"].alias("start_line"), p["e"].alias("end_line"), body(p["s"], p["e"]).alias("body")))
+
+    return X.let(F.split(text, "\n"), lambda lines: X.let(heads(lines), lambda h: sections(lines, h)))
 
 
 def markdown_chunks(files: DataFrame, text: str, size: int = 2000) -> DataFrame:
