@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, gifmedia, jaccard, lmscore, mixing, quality, secretscan, sharding, sql, tokencount, toxicity
+from . import decontam, gifmedia, jaccard, lmscore, merkle, mixing, quality, secretscan, sharding, sql, tokencount, toxicity, urlfilter, vectorcodes
 from ._common import table
 
 
@@ -47,6 +47,19 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judged(table(spark, sf_dir, "pages"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.manifest(docs, merkle.lowered_where_fifth(docs))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -54,7 +67,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_lattice_lm, op2_jaccard, op3_quality, op4_mix, op5_token_counts, op6_secrets, op7_gif, op8_toxicity, op9_shards, op10_decontaminate, pipeline)}
+    return {f.__name__: f for f in (op1_lattice_lm, op2_jaccard, op3_quality, op4_mix, op5_token_counts, op6_secrets, op7_gif, op8_toxicity, op9_shards, op10_decontaminate, op11_vector_codes, op12_url_filter, op13_merkle, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

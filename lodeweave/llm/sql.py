@@ -55,3 +55,86 @@ found AS ({" UNION ALL ".join(_spans(k, *rule) for k, rule in enumerate(_RULES))
 told AS (SELECT doc_id, k, a, kind || ':' || a::BIGINT || ':' || e::BIGINT AS s FROM found),
 agg AS (SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex, string_agg(s, ',' ORDER BY a, k) FILTER (WHERE k < 3) AS base, string_agg(s, ',' ORDER BY a, k) AS spans FROM told GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN agg USING (doc_id)"""
+
+
+def _lloyd(rounds: int = 6) -> str:
+    """Rounds of assignment and update over the distinct parts d (p, x, n); books b0, b1, ... (p, e, c)."""
+    near = "a{k} AS MATERIALIZED (SELECT p, x, n, arg_min(e, (g, e)) AS e, min(g) AS g FROM (SELECT d.p, x, n, e, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS g FROM d JOIN b{k} b ON b.p = d.p) GROUP BY p, x, n)"
+    means = "m{k} AS (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (SELECT p, e, i, CAST(sum(n * x[i]) AS BIGINT) AS s, CAST(sum(n) AS BIGINT) AS n FROM a{k}, range(1, (SELECT any_value(len(x)) FROM d) + 1) t(i) GROUP BY p, e, i) GROUP BY p, e)"
+    update = "b{j} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM b{k} b LEFT JOIN m{k} m ON m.p = b.p AND m.e = b.e)"
+    steps = [", ".join((near.format(k=k), means.format(k=k), update.format(k=k, j=k + 1))) for k in range(rounds)]
+    return ",\n".join([*steps, near.format(k=rounds)])
+
+
+OP11 = f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+w AS (SELECT max(len(v)) // 8 AS w FROM kept),
+parts AS MATERIALIZED (SELECT r, p, v[p * w + 1:(p + 1) * w] AS x FROM kept, w, range(8) t(p)),
+d AS MATERIALIZED (SELECT p, x, count(*) AS n FROM parts GROUP BY p, x),
+b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, v[p * w + 1:(p + 1) * w] AS c FROM (SELECT vec_id, v FROM kept ORDER BY vec_id LIMIT 16), w, range(8) t(p)),
+{_lloyd()},
+coded AS (SELECT r, string_agg(printf('%02x', a.e), '' ORDER BY a.p) AS code, CAST(sum(a.g) AS BIGINT) AS error FROM parts JOIN a6 a ON a.p = parts.p AND a.x = parts.x GROUP BY r),
+labels AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM kept JOIN coded USING (r) GROUP BY label),
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS h FROM b6)
+SELECT vec_id, code, error, label_error, h AS codebooks_sha256 FROM kept JOIN coded USING (r) JOIN labels ON labels.label IS NOT DISTINCT FROM kept.label, books"""
+
+
+def _rule(host: str, path: str) -> str:
+    """Which of the contract's rules fits, the longest first."""
+    fits = lambda of, at: f"(({host} = '{of}' OR ends_with({host}, '.{of}')) AND starts_with({path}, '{at}'))"
+    rules = (("example.net", "/en/"), ("example.com", "/de/"), ("org", "/fr/"), ("net", "/"))
+    return "CASE " + " ".join(f"WHEN {fits(of, at)} THEN '{of}{at}'" for of, at in rules) + " END"
+
+
+def _host(url: str) -> str:
+    return _LOWER.format(rf"regexp_extract(coalesce({url}, ''), '(?s)^.*?://([^/?#]*)', 1)")
+
+
+def _path(url: str) -> str:
+    return rf"regexp_extract(coalesce({url}, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+
+
+def _form(url: str) -> str:
+    kept = rf"list_filter(string_split(regexp_extract({url}, '(?s)^.*?://[^/?#]*[^?#]*\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]*|gclid|fbclid|ref)(=|$)'))"
+    return rf"CASE WHEN {_host(url)} <> '' THEN md5({_host(url)} || regexp_replace({_path(url)}, '/+$', '') || CASE WHEN len({kept}) > 0 THEN '?' || array_to_string({kept}, '&') ELSE '' END) END"
+
+
+_VERDICT = "CASE WHEN {r} IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN {r} IS NOT NULL THEN 'block' END"
+_QUOTED = r"""\s*=\s*(?:"\s*([^"]*)|''\s*([^'']*)|([^\s"''>]+))"""
+
+OP12 = rf"""
+WITH RECURSIVE p AS MATERIALIZED (SELECT row_number() OVER () AS r, page_id, url, html, {_host("url")} AS host, {_path("url")} AS path, {_form("url")} AS node FROM pages),
+tag AS (SELECT r, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script>', '', 'g'), '(?is)<(?:link|meta)\b[^>]*>')) AS t FROM p WHERE host <> ''),
+raw AS (SELECT r, replace(trim(CASE WHEN regexp_matches(t, '(?is)^<link\b.*\brel\s*=\s*["'']?canonical\b') THEN concat(regexp_extract(t, '(?is)\bhref{_QUOTED}', 1), regexp_extract(t, '(?is)\bhref{_QUOTED}', 2), regexp_extract(t, '(?is)\bhref{_QUOTED}', 3))
+  WHEN regexp_matches(t, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(t, '(?is)\burl\s*=\s*["'']?\s*([^"''>\s]+)', 1) END), '&amp;', '&') AS x FROM tag),
+url2 AS (SELECT r, node, CASE WHEN regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN x WHEN x = '' OR starts_with(x, '#') OR regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN starts_with(x, '//') THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || x
+  WHEN starts_with(x, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || x WHEN starts_with(x, '?') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || path || x ELSE regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || regexp_replace('/' || ltrim(path, '/'), '[^/]*$', '') || x END AS u FROM raw JOIN p USING (r) WHERE x IS NOT NULL),
+link AS (SELECT node, {_form("u")} AS e, {_rule(_host("u"), _path("u"))} AS rule FROM url2 WHERE u IS NOT NULL),
+edge AS (SELECT node AS a, e AS b FROM link WHERE e IS NOT NULL UNION SELECT e, node FROM link WHERE e IS NOT NULL),
+ruled AS (SELECT *, {_rule("host", "path")} AS rule FROM p),
+said AS (SELECT node, {_VERDICT.format(r="rule")} AS v FROM ruled WHERE node IS NOT NULL UNION ALL SELECT e, {_VERDICT.format(r="rule")} FROM link WHERE e IS NOT NULL),
+reach AS (SELECT DISTINCT node AS a, node AS b FROM said UNION SELECT reach.a, edge.b FROM reach JOIN edge ON edge.a = reach.b),
+told AS (SELECT a, min(b) AS cls, bool_or(v = 'allow') AS allow, bool_or(v = 'block') AS block FROM reach JOIN said ON said.node = reach.b GROUP BY a)
+SELECT page_id, host, path, rule, coalesce({_VERDICT.format(r="rule")}, CASE WHEN block AND NOT coalesce(allow, FALSE) THEN 'block' ELSE 'allow' END) AS verdict, cls AS alias_class FROM ruled LEFT JOIN told ON told.a = ruled.node"""
+
+
+def _tree(name: str, nodes: str, key: str, levels: int) -> str:
+    """Levels {name}0, {name}1, ... over nodes (key, i, h): each node with the size n of its tree and what stands left and right of it in its run (l, r; null where it stands alone in its tree)."""
+    run = f"PARTITION BY {key}, i // 16 ORDER BY i ROWS BETWEEN"
+    level = f"SELECT {key}, i, h, n, CASE WHEN n > 1 THEN coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') END AS l, CASE WHEN n > 1 THEN coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') END AS r FROM (SELECT *, count(*) OVER (PARTITION BY {key}) AS n FROM "
+    up = f"(SELECT {key}, CASE WHEN n > 1 THEN i // 16 ELSE i END AS i, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h FROM {name}{{k}} t GROUP BY {key}, n, CASE WHEN n > 1 THEN t.i // 16 ELSE t.i END)"
+    return ",\n".join(f"{name}{k} AS MATERIALIZED ({level}{nodes if not k else up.replace('string_agg(h,', 'string_agg(t.h,').replace('ORDER BY i)', 'ORDER BY t.i)').format(k=k - 1)}))" for k in range(levels + 1))
+
+
+def _climb(name: str, key: str, levels: int, start: str) -> tuple[str, str]:
+    """From start (q, k, i, h, now, sib): a row's node, what it folds to and its siblings so far, up the levels of a tree."""
+    steps = [f"SELECT s.*, {key} AS k, s.i AS i FROM {start} s"]
+    out = []
+    for n in range(levels):
+        came = start if not n else f"{name}up{n - 1}"
+        out.append(f"{name}up{n} AS MATERIALIZED (SELECT c.q, c.k, CASE WHEN t.n > 1 THEN c.i // 16 ELSE c.i END AS i, CASE WHEN t.n > 1 THEN sha256(t.l || c.now || t.r) ELSE c.now END AS now, c.sib || coalesce(t.l || t.r, '') AS sib FROM {came} c JOIN {name}{n} t ON t.{key} IS NOT DISTINCT FROM c.k AND t.i = c.i)")
+    del steps
+    return ",\n".join(out), f"{name}up{levels - 1}"
+
+
+_AZ09 = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
