@@ -71,4 +71,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard": sql.OP2, "op6_secrets": sql.OP6, "op10_decontaminate": sql.OP10}
+    return {"op2_jaccard": sql.OP2, "op6_secrets": sql.OP6, "op10_decontaminate": sql.OP10, "op11_vector_codes": sql.OP11, "op12_url_filter": sql.OP12, "op13_merkle": sql.OP13}

@@ -118,23 +118,46 @@ told AS (SELECT a, min(b) AS cls, bool_or(v = 'allow') AS allow, bool_or(v = 'bl
 SELECT page_id, host, path, rule, coalesce({_VERDICT.format(r="rule")}, CASE WHEN block AND NOT coalesce(allow, FALSE) THEN 'block' ELSE 'allow' END) AS verdict, cls AS alias_class FROM ruled LEFT JOIN told ON told.a = ruled.node"""
 
 
-def _tree(name: str, nodes: str, key: str, levels: int) -> str:
-    """Levels {name}0, {name}1, ... over nodes (key, i, h): each node with the size n of its tree and what stands left and right of it in its run (l, r; null where it stands alone in its tree)."""
-    run = f"PARTITION BY {key}, i // 16 ORDER BY i ROWS BETWEEN"
-    level = f"SELECT {key}, i, h, n, CASE WHEN n > 1 THEN coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') END AS l, CASE WHEN n > 1 THEN coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') END AS r FROM (SELECT *, count(*) OVER (PARTITION BY {key}) AS n FROM "
-    up = f"(SELECT {key}, CASE WHEN n > 1 THEN i // 16 ELSE i END AS i, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h FROM {name}{{k}} t GROUP BY {key}, n, CASE WHEN n > 1 THEN t.i // 16 ELSE t.i END)"
-    return ",\n".join(f"{name}{k} AS MATERIALIZED ({level}{nodes if not k else up.replace('string_agg(h,', 'string_agg(t.h,').replace('ORDER BY i)', 'ORDER BY t.i)').format(k=k - 1)}))" for k in range(levels + 1))
-
-
-def _climb(name: str, key: str, levels: int, start: str) -> tuple[str, str]:
-    """From start (q, k, i, h, now, sib): a row's node, what it folds to and its siblings so far, up the levels of a tree."""
-    steps = [f"SELECT s.*, {key} AS k, s.i AS i FROM {start} s"]
+def _tree(name: str, leaves: str, levels: int) -> str:
+    """Levels 0, 1, ... over leaves (g, i, h): nodes with the size n of their tree and what stands left and right in their run (null where a node is its whole tree)."""
+    run = "OVER (PARTITION BY g, i // 16 ORDER BY i ROWS BETWEEN"
     out = []
-    for n in range(levels):
-        came = start if not n else f"{name}up{n - 1}"
-        out.append(f"{name}up{n} AS MATERIALIZED (SELECT c.q, c.k, CASE WHEN t.n > 1 THEN c.i // 16 ELSE c.i END AS i, CASE WHEN t.n > 1 THEN sha256(t.l || c.now || t.r) ELSE c.now END AS now, c.sib || coalesce(t.l || t.r, '') AS sib FROM {came} c JOIN {name}{n} t ON t.{key} IS NOT DISTINCT FROM c.k AND t.i = c.i)")
-    del steps
-    return ",\n".join(out), f"{name}up{levels - 1}"
-
-
-_AZ09 = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    for k in range(levels + 1):
+        src = leaves if not k else f"SELECT g, j AS i, h FROM (SELECT g, i // 16 AS j, CASE WHEN n > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE min(h) END AS h FROM {name}{k - 1} GROUP BY g, n, i // 16)"
+        side = lambda frame: f"CASE WHEN n > 1 THEN coalesce(string_agg(h, '') {run} {frame}), '') END"
+        out.append(f"{name}{k} AS MATERIALIZED (SELECT g, i, h, n, {side('UNBOUNDED PRECEDING AND 1 PRECEDING')} AS l, {side('1 FOLLOWING AND UNBOUNDED FOLLOWING')} AS r FROM (SELECT g, i, h, count(*) OVER (PARTITION BY g) AS n FROM ({src})))")
+    return ",\n".join(out)
+
+
+def _climb(name: str, start: str, levels: int) -> str:
+    """From start (q, g, i, now, sib) up a tree: what a row folds to and its siblings so far."""
+    up = "{name}up{j} AS MATERIALIZED (SELECT c.q, c.g, c.i // 16 AS i, CASE WHEN t.n > 1 THEN sha256(t.l || c.now || t.r) ELSE c.now END AS now, c.sib || coalesce(t.l || t.r, '') AS sib FROM {came} c JOIN {name}{k} t ON t.g IS NOT DISTINCT FROM c.g AND t.i = c.i)"
+    return ",\n".join(up.format(name=name, j=k + 1, k=k, came=f"{name}up{k}" if k else start) for k in range(levels))
+
+
+def _leaf(text: str) -> str:
+    said = "coalesce(CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+    return f"sha256({' || '.join(said.format(f) for f in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+#: Levels of a source and of the sources: 16^5 documents of one source, and as many sources.
+_UP = 5
+
+#: CRC-32 of a decimal id: a table by its polynomial, then a step for each byte.
+_CRC_TABLE = "crc AS MATERIALIZED (SELECT list(c ORDER BY n) AS tab FROM (SELECT n, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) AS c FROM range(256) r(n)))"
+_CRC = "xor(list_reduce(list_transform(string_split(CAST({} AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)), lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8), CAST(4294967295 AS BIGINT)), 4294967295)"
+
+OP13 = f"""
+WITH {_CRC_TABLE},
+rows_ AS MATERIALIZED (SELECT row_number() OVER () AS q, doc_id, source AS g, {_leaf("text")} AS h, {_leaf(_LOWER.format("text"))} AS low FROM documents),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i FROM rows_),
+{_tree("t", "SELECT g, i, h FROM placed", _UP)},
+{_tree("s", f"SELECT 0 AS g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i, h FROM t{_UP}", _UP)},
+names AS (SELECT g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i, h AS subroot FROM t{_UP}),
+leaf0 AS (SELECT q, g, i, CASE WHEN {_CRC.format('doc_id')} % 5 = 0 THEN low ELSE h END AS now, '' AS sib FROM placed, crc),
+{_climb("t", "leaf0", _UP)},
+top0 AS (SELECT q, 0 AS g, names.i, now, sib FROM tup{_UP} u JOIN names ON names.g IS NOT DISTINCT FROM u.g),
+{_climb("s", "top0", _UP)},
+root AS (SELECT h AS root FROM s{_UP})
+SELECT doc_id, placed.h AS leaf, subroot, root, sha256(sib) AS proof_sha256, now AS folded_root, now = root AS verified
+FROM placed JOIN sup{_UP} u USING (q) JOIN names ON names.g IS NOT DISTINCT FROM placed.g, root"""

@@ -20,6 +20,9 @@ COLUMNS = {
     "op8_toxicity": "doc_id held_out score predicted",
     "op9_shards": "doc_id size text_crc32 law shard slot grown_shard",
     "op10_decontaminate": "doc_id n_words n_hit n_items items_sha256 contaminated",
+    "op11_vector_codes": "vec_id code error label_error codebooks_sha256",
+    "op12_url_filter": "page_id host path rule verdict",
+    "op13_merkle": "doc_id leaf subroot root proof_sha256 folded_root verified",
 }
 
 
@@ -38,7 +41,7 @@ def test_one_row_per_document(spark, sf_dir, name):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_equals_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     want = con.execute(queries.oracle_sql()[name])
     names = sorted(d[0] for d in want.description)
