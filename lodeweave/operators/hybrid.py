@@ -10,6 +10,7 @@ from ..functions import decay as DE
 from ..functions import documents as D
 from ..functions import vector as V
 from . import search as S
+from . import trigram
 
 EQUAL = ("language", "chunk_type", "repository", "project", "memory_type", "author")
 
@@ -65,10 +66,11 @@ def _reranked(top: DataFrame, bodies: DataFrame, query: str, pool: int) -> DataF
     return both.withColumn("place", F.row_number().over(order).cast("long"))
 
 
-def search_code(chunks: DataFrame, query: str, vector: list[float] | None = None, column: str = "embedding", filters: dict | None = None, top_k: int = 10, weights: tuple[float, float] | None = None, k: int | None = None, pool: int = 100, rerank: int = 30, threshold: float = 0.3, lexical: bool = True) -> DataFrame:
+def search_code(chunks: DataFrame, query: str, vector: list[float] | None = None, column: str = "embedding", filters: dict | None = None, top_k: int = 10, weights: tuple[float, float] | None = None, k: int | None = None, pool: int = 100, rerank: int = 30, threshold: float = 0.3, lexical: bool = True, index: trigram.TrigramIndex | None = None) -> DataFrame:
     """Hybrid search of chunks (id, name, source_code, name_path, embedding): fused, reranked, first top_k with rank, rrf_score, rerank_score and sources.
 
-    Without weights or k they follow from how much the query looks like code; without a vector the search is lexical."""
+    Without weights or k they follow from how much the query looks like code; without a vector the search is lexical.
+    index: a trigram index of the fields name, source_code and name_path, from which lexical hits come without a scan of texts."""
     if not query.strip():
         raise ValueError("empty query")
     if vector is None and not lexical:
@@ -76,8 +78,12 @@ def search_code(chunks: DataFrame, query: str, vector: list[float] | None = None
     w, k = weights or S.auto_weights(query), S.adaptive_k(query) if k is None else k
     rows, lists = filtered(chunks, filters), []
     if lexical:
-        fields = [F.coalesce(c, F.lit("")) for c in ("name", "source_code", *(["name_path"] if "." in query else []))]
-        found = S.lexical(rows, fields, F.lit(query), threshold).select("id", "score")
+        fields = ["name", "source_code", *(["name_path"] if "." in query else [])]
+        if index is None:
+            found = S.lexical(rows, [F.coalesce(c, F.lit("")) for c in fields], F.lit(query), threshold).select("id", "score")
+        else:
+            found = trigram.lexical(index, fields, query, threshold, S.TRIGRAM_LIMIT)
+            found = found.join(rows.select("id"), "id", "left_semi") if filters else found
         lists.append(("lexical", S.ranked(found, [F.col("score").desc(), F.col("id")], pool), w[0]))
     if vector is not None:
         lists.append(("vector", nearest(rows, column, vector, pool), w[1]))
@@ -86,13 +92,17 @@ def search_code(chunks: DataFrame, query: str, vector: list[float] | None = None
     return out.where(F.col("place") <= top_k).select("id", F.col("place").alias("rank"), "rrf_score", "rerank_score", "sources").join(rows, "id").orderBy("rank")
 
 
-def search_memories(memories: DataFrame, query: str, now: datetime, vector: list[float] | None = None, entities: list[str] | None = None, tags: list[str] | None = None, filters: dict | None = None, limit: int = 10, offset: int = 0, k: int = 60, pool: int = 50, rerank: int = 30, weighted: bool = False, weights: tuple[float, float, float, float] = (0.5, 0.5, 0.3, 0.2), by_tags: bool = False, least_similarity: float = 0.1) -> DataFrame:
+def search_memories(memories: DataFrame, query: str, now: datetime, vector: list[float] | None = None, entities: list[str] | None = None, tags: list[str] | None = None, filters: dict | None = None, limit: int = 10, offset: int = 0, k: int = 60, pool: int = 50, rerank: int = 30, weighted: bool = False, weights: tuple[float, float, float, float] = (0.5, 0.5, 0.3, 0.2), by_tags: bool = False, least_similarity: float = 0.1, index: trigram.TrigramIndex | None = None) -> DataFrame:
     """Hybrid search of live memories (id, title, embedding_source, embedding, entities, tags, auto_tags, created_at): up to four lists fused, reranked, decayed by age; the decayed score decides.
 
-    by_tags takes the decay rate from tags and the outcome into account; otherwise one rate serves all."""
+    by_tags takes the decay rate from tags and the outcome into account; otherwise one rate serves all. index: a trigram index of title and embedding_source."""
     rows = filtered(memories.where("deleted_at IS NULL"), filters)
     newest = [F.col("created_at").desc_nulls_last(), F.col("id")]
-    found = S.memory_lexical(rows, F.col("title"), F.col("embedding_source"), query).select("id", "score")
+    if index is None:
+        found = S.memory_lexical(rows, F.col("title"), F.col("embedding_source"), query).select("id", "score")
+    else:
+        found = trigram.memory_lexical(rows, F.col("title"), F.col("embedding_source"), query, lambda q, least: [index.alike(f, q, least) for f in ("title", "embedding_source")])
+        found = found.join(rows.select("id"), "id", "left_semi")
     lists = [("lexical", S.ranked(found, [F.col("score").desc(), F.col("id")], pool), weights[0])]
     if vector is not None:
         near = nearest(rows, "embedding", vector, pool).where(1 - F.col("distance") >= least_similarity)

@@ -15,6 +15,7 @@ from ..functions import documents as D
 from ..functions import text as X
 from ..functions import vector as V
 from ..operators import search as S
+from ..operators import trigram
 from ..sources.tables import MEMORIES_SQL, load, memories, names
 
 QUERY = "The that of and in the tion"
@@ -44,13 +45,18 @@ VEC = f"vec AS (SELECT vec_id AS id, 1 - {COS} AS distance, row_number() OVER (O
 
 @register("q1_trgm", f"SELECT doc_id, round({SIM('g', 'q')}, 8) AS sim FROM (SELECT doc_id, {TRGM('text')} AS g, {Q_GRAMS} AS q FROM documents)")
 def q1(spark, sf):
-    return load(spark, sf, "documents").select("doc_id", r(X.trgm_similarity(F.col("text"), F.lit(QUERY))).alias("sim"))
+    return documents_index(spark, sf).similarities("text", QUERY).select(F.col("id").alias("doc_id"), r("sim").alias("sim"))
+
+
+def documents_index(spark, sf) -> trigram.TrigramIndex:
+    """The stored index of the documents' names, titles and texts; files that it does not hold yet are read now."""
+    name = F.array_join(F.slice(F.split("text", " "), 1, 5), " ")
+    return trigram.TrigramIndex(spark, f"{sf}/documents.parquet", "doc_id", {"name": name, "title": F.left("text", F.lit(60)), "text": F.col("text")}).refresh()
 
 
 def lexical_list(spark, sf, k=100) -> DataFrame:
     """Names or sources like the query: one of them reaches the operator's limit, and the larger the search's threshold."""
-    d = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.array_join(F.slice(F.split("text", " "), 1, 5), " ").alias("name"))
-    found = S.lexical(d, [F.coalesce("name", F.lit("")), F.coalesce("text", F.lit(""))], F.lit(QUERY), 0.1).select("id", "score")
+    found = trigram.lexical(documents_index(spark, sf), ["name", "text"], QUERY, 0.1, S.TRIGRAM_LIMIT)
     return S.ranked(found, [F.col("score").desc(), F.col("id")], k)
 
 
@@ -71,15 +77,15 @@ LEAST = 0.15
 
 @register("q3_similarity_threshold", f"SELECT doc_id, round({SIM('g', 'q')}, 8) AS sim FROM (SELECT doc_id, {TRGM('text')} AS g, {Q_GRAMS} AS q FROM documents) WHERE {SIM('g', 'q')} >= {LEAST}")
 def q3(spark, sf):
-    grams = X.trigrams(F.lit(QUERY))
-    return load(spark, sf, "documents").select("doc_id", X.array_similarity(X.trigrams(F.col("text")), grams).alias("s")).where(F.col("s") >= LEAST).select("doc_id", r("s").alias("sim"))
+    return documents_index(spark, sf).alike("text", QUERY, LEAST).select(F.col("id").alias("doc_id"), r("sim").alias("sim"))
 
 
 @register("q4_memory_lexical", f"""WITH {MEMORIES_SQL}, s AS (SELECT id, title ILIKE '%tion%' AS a, content ILIKE '%tion%' AS b, {SIM('gt', 'q')} AS st, {SIM('gs', 'q')} AS ss FROM (SELECT id, title, content, {TRGM('title')} AS gt, {TRGM('content')} AS gs, {TRGM("'tion'")} AS q FROM memories))
 SELECT id, round(greatest(st, ss, CASE WHEN a THEN 1.0 WHEN b THEN 0.95 ELSE 0.0 END), 8) AS score FROM s WHERE a OR b OR st >= 0.3 OR ss >= 0.3""")
 def q4(spark, sf):
-    m = memories(spark, sf)
-    return S.memory_lexical(m, F.col("title"), F.col("content"), "tion").select("id", r("score").alias("score"))
+    index = documents_index(spark, sf)
+    found = trigram.memory_lexical(memories(spark, sf), F.col("title"), F.col("content"), "tion", lambda query, least: [index.alike(f, query, least) for f in ("title", "text")])
+    return found.select("id", r("score").alias("score"))
 
 
 @register("q5_knn_cosine", f"WITH {QV} SELECT vec_id, round(1 - {COS}, 8) AS distance, round(1 - (1 - {COS}) / 2, 8) AS half, round({COS}, 8) AS complement, row_number() OVER (ORDER BY round(1 - {COS}, 12), vec_id) AS rank FROM embeddings, qv QUALIFY rank <= 10")
@@ -275,7 +281,8 @@ def q25(spark, sf):
     m = memories(spark, sf)
     newest = [F.col("created_at").desc(), F.col("id")]
     tag = S.ranked(m.where(F.array_contains("tags", "x:candidate")).select("id", "created_at"), newest, 50)
-    ent = S.ranked(m.where(F.array_contains(names("content", 3), "Hand")).select("id", "created_at"), newest, 50)
+    # the name is looked for first, as plain text; only what holds it is cut into words
+    ent = S.ranked(m.where(F.col("content").contains("Hand")).where(F.array_contains(names("content", 3), "Hand")).select("id", "created_at"), newest, 50)
     fused = S.fuse([("mlex", lexical_list(spark, sf, 50), None), ("mvec", vector_list(spark, sf, 50), None), ("ment", ent, None), ("mtag", tag, None)], "id")
     top = S.ranked(fused, S.fused_order("id"), 30).join(m.select("id", "content", "created_at"), "id").crossJoin(F.broadcast(m.agg(F.max("created_at").alias("now"))))
     x = S.bm25(top, "id", F.col("content"), _TOKENS).withColumn("place", F.row_number().over(Window.orderBy(F.round("rerank_score", 12).desc(), "rank")))
