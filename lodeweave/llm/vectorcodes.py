@@ -39,7 +39,7 @@ FEW = 1 << 16
 
 def integers(vector: Column, scale: float) -> Column:
     """floor(scale * x) of each component, in doubles, where a product with a power of two is exact."""
-    return F.transform(vector, lambda x: F.floor(F.greatest(F.lit(-float(MOST)), F.least(F.lit(float(MOST)), x.cast("double") * F.lit(float(scale))))).cast("long"))
+    return F.transform(vector, lambda x: F.floor(F.greatest(F.lit(-float(MOST)), F.least(F.lit(float(MOST)), x.cast("double") * F.lit(float(scale))))).cast("int"))
 
 
 def usable(vector: Column) -> Column:
@@ -63,7 +63,7 @@ def nearest(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _read(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
-    return batch["pos"].to_numpy(), batch["part"].flatten().to_numpy().reshape(-1, width)
+    return batch["pos"].to_numpy(), batch["part"].flatten().to_numpy().reshape(-1, width).astype(np.int64)
 
 
 def _sums(books: list[np.ndarray], width: int):
@@ -132,7 +132,7 @@ def compress(vectors: DataFrame, parts: int = 8, entries: int = 16, rounds: int
     rows = scratch.keep(kept.withColumn("row", F.monotonically_increasing_id()), "rows")
     longest = rows.agg(F.max(F.size("ints"))).first()[0] or 0
     width = max(1, -(-longest // parts))
-    filled = F.concat("ints", F.array_repeat(F.lit(0).cast("long"), F.lit(parts * width) - F.size("ints")))
+    filled = F.concat("ints", F.array_repeat(F.lit(0), F.lit(parts * width) - F.size("ints")))
     cut = rows.select("row", "vec_id", "label", _parts(filled, parts, width).alias("parts"))
     first = rows.select("vec_id", filled.alias("ints")).orderBy(F.col("vec_id").asc_nulls_last(), "ints").limit(entries).collect()
     start = np.array([r["ints"] for r in first], np.int64).reshape(-1, parts, width)
@@ -143,7 +143,7 @@ def compress(vectors: DataFrame, parts: int = 8, entries: int = 16, rounds: int
             found = distinct.mapInArrow(_sums(books, width), "pos long, entry long, i long, weight long, low long, high long")
             for r in found.groupBy("pos", "entry", "i").agg(*[F.sum(c).alias(c) for c in ("weight", "low", "high")]).collect():
                 books[r["pos"]][r["entry"], r["i"]] = (r["low"] + (r["high"] << HALF)) // r["weight"]
-    codes = scratch.keep(distinct.mapInArrow(_codes(books, width), "pos int, part array<long>, entry long, error long"), "codes")
+    codes = scratch.keep(distinct.mapInArrow(_codes(books, width), "pos int, part array<int>, entry long, error long"), "codes")
     back = cut.select("row", "vec_id", "label", F.posexplode("parts").alias("pos", "part")).join(codes, ["pos", "part"])
     back = back.groupBy("row", "vec_id", "label").agg(F.array_sort(F.collect_list(F.struct("pos", F.lpad(F.lower(F.hex("entry")), 2, "0").alias("digits")))).alias("digits"), F.sum("error").alias("error"))
     back = scratch.keep(back.select("vec_id", "label", F.array_join("digits.digits", "").alias("code"), "error"), "coded")
