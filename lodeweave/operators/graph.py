@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import cut, dropped
 
 
 def directed(edges: DataFrame, direction: str, relation: str | None = None) -> DataFrame:
@@ -24,8 +24,10 @@ def directed(edges: DataFrame, direction: str, relation: str | None = None) -> D
 
 
 def traverse(edges: DataFrame, start: DataFrame, depth: int, direction: str = "outbound", relation: str | None = None) -> DataFrame:
-    """(root, node, depth): nodes reached from the start nodes (root) within depth steps, each at its least depth; roots themselves are not reached."""
-    e = cut(directed(edges, direction, relation).distinct())
+    """(root, node, depth): nodes reached from the start nodes (root) within depth steps, each at its least depth; roots themselves are not reached.
+
+    Edges may repeat: a step joins the frontier, which is small, to edges as they are read, and only what it reaches is made distinct."""
+    e = directed(edges, direction, relation)
     seen = cut(start.select(F.col(start.columns[0]).alias("root"), F.col(start.columns[0]).alias("node"), F.lit(0).alias("depth")))
     frontier = seen
     for d in range(1, depth + 1):
@@ -40,8 +42,8 @@ def traverse(edges: DataFrame, start: DataFrame, depth: int, direction: str = "o
 def shortest_path(edges: DataFrame, source: int, target: int, depth: int, direction: str = "outbound") -> DataFrame:
     """(path, length) of a shortest path of at most depth edges, the smallest by its nodes; no row if there is none.
 
-    Each node keeps its smallest shortest path only, so a level has one row a node."""
-    e = cut(directed(edges, direction).distinct())
+    Each node keeps its smallest shortest path only, so a level has one row a node; edges may repeat."""
+    e = directed(edges, direction)
     spark = edges.sparkSession
     seen = cut(spark.createDataFrame([(source, [source])], "node long, path array<long>"))
     frontier = seen
@@ -69,21 +71,29 @@ def walks(edges: DataFrame, start: int, depth: int) -> DataFrame:
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 100, tolerance: float = 1e-6, every: int = 5) -> DataFrame:
     """(node, rank) summing to 1. Parallel edges count in the out-degree, not in what is passed on; ranks of nodes without out-edges are lost.
 
-    It ends when the sum of all changes in a round is below tolerance, or after the given rounds. Every few rounds the
-    ranks are written with those of the round before, and the change is read from that table; 0 never looks."""
+    The ranks are those of the first round in which the sum of all changes is below tolerance, or of the last given one.
+    Every few rounds they are written with those of the rounds since the last time, and the changes of all of these are
+    read from that table at once; tolerance 0 never looks."""
     nodes = cut(nodes.select("node"))
     n = nodes.count()
     degree = edges.groupBy("src").agg(F.count("*").alias("degree"))
     links = cut(edges.select("src", "dst").distinct().join(nodes.select(F.col("node").alias("dst")), "dst").join(degree, "src").select("src", F.col("dst").alias("node"), "degree"))
-    base = F.lit((1 - damping) / max(n, 1))
-    rank = nodes.withColumn("rank", F.lit(1.0 / max(n, 1))).withColumn("before", F.lit(0.0))
+    base, last = F.lit((1 - damping) / max(n, 1)), None
+    rank = nodes.withColumn("rank", F.lit(1.0 / max(n, 1))).withColumn("past", F.array("rank"))
     for i in range(1, iterations + 1):
         passed = links.join(rank.select(F.col("node").alias("src"), "rank"), "src").groupBy("node").agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
-        rank = rank.select("node", F.col("rank").alias("before")).join(passed, "node", "left").select("node", (base + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), "before")
+        rank = rank.select("node", "past").join(passed, "node", "left").select("node", (base + damping * F.coalesce("got", F.lit(0.0))).alias("rank"), "past")
+        rank = rank.withColumn("past", F.array_append("past", F.col("rank")))
         if i % every == 0 or i == iterations:
-            rank = cut(rank)
-            if tolerance > 0 and rank.agg(F.coalesce(F.sum(F.abs(F.col("rank") - F.col("before"))), F.lit(0.0))).first()[0] < tolerance:
-                break
+            rank = last = cut(rank, *([last] if last is not None else []))
+            if tolerance > 0:
+                rounds = (i - 1) % every + 1
+                change = [F.coalesce(F.sum(F.abs(F.get("past", F.lit(k)) - F.get("past", F.lit(k - 1)))), F.lit(0.0)) for k in range(1, rounds + 1)]
+                settled = [k for k, c in enumerate(rank.agg(*change).first(), 1) if c < tolerance]
+                if settled:
+                    rank = rank.select("node", F.get("past", F.lit(settled[0])).alias("rank"))
+                    break
+            rank = rank.withColumn("past", F.array("rank"))
     total = rank.agg(F.sum("rank").alias("__total"))
     return rank.crossJoin(F.broadcast(total)).select("node", F.try_divide("rank", "__total").alias("rank"))
 
@@ -117,7 +127,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), e)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -10,14 +10,10 @@ A similarity of t needs a set of at most |query| / t trigrams, which is a prefix
 numbered by size, and at least t * max(size, |query|) shared ones. Both bounds are applied to counts before any
 similarity is computed, and no other row is touched.
 
-The index of a table is a folder of generations. A file is known by its path, length and time of change; building it
-again reads only files that no generation holds, and files that are gone or have changed are passed over.
 """
 from __future__ import annotations
 
-import hashlib
 import math
-import uuid
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -28,8 +24,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .lineage import folder
+from .stored import FileIndex, batches_of
 
 BLANK = 32
 #: Characters and rows of a segment; rows are numbered in two bytes.
@@ -190,87 +187,28 @@ def _counts(query: list[int], least: float, every: bool, kind: T.DataType):
     return run
 
 
-class TrigramIndex:
+class TrigramIndex(FileIndex):
     """The index of the files of one Parquet table: fields are columns of text, by name."""
 
     def __init__(self, spark: SparkSession, path: str, key: str, fields: dict[str, Column], base: str | None = None):
-        self.spark, self.path, self.key, self.fields = spark, path, key, fields
-        said = repr((path, key, [(n, str(c)) for n, c in fields.items()]))
-        self.base = f"{base or folder(spark)}/trigrams-{hashlib.sha256(said.encode()).hexdigest()[:24]}"
+        self.key, self.fields = key, fields
+        super().__init__(spark, path, "trigrams", repr((key, [(n, str(c)) for n, c in fields.items()])), base)
         self.kind = spark.read.parquet(path).schema[key].dataType
         self.schema = T.StructType([T.StructField("file", T.StringType()), T.StructField("segment", T.StringType()), T.StructField("field", T.IntegerType()), T.StructField("gram", T.LongType()), T.StructField("rows", T.BinaryType()), T.StructField("ids", T.ArrayType(self.kind))])
 
-    # -- keeping ----------------------------------------------------------------
-
-    def _generations(self) -> list[str]:
-        """Complete generations: those whose list of files, which is written last, is there."""
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
-        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(at):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(at)]
-        return sorted(n for n in names if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{n}/files/_SUCCESS")))
-
-    def _listing(self) -> DataFrame:
-        """The table's files as they are: file (a digest of path, length and time of change), path."""
-        now = self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(self.path)
-        return now.select(F.sha2(F.concat_ws("|", "path", F.col("length").cast("string"), F.unix_micros("modificationTime").cast("string")), 256).alias("file"), "path")
-
-    def _held(self, generations: list[str]) -> DataFrame:
-        return self.spark.read.schema("file string, generation string").parquet(*[f"{self.base}/{g}/files" for g in generations]).groupBy("file").agg(F.min("generation").alias("generation"))
-
-    def refresh(self) -> TrigramIndex:
-        """Reads what has no segments yet. The number of files, not of rows, decides what passes through the driver."""
-        known, listing = self._generations(), self._listing()
-        new = (listing.join(self._held(known), "file", "left_anti") if known else listing).collect()
-        if new:
-            name = f"{len(known):06}-{uuid.uuid4().hex[:8]}"
-            self._build([r["path"] for r in new], name)
-            files = self.spark.createDataFrame([(r["file"], name) for r in new], "file string, generation string")
-            files.coalesce(1).write.parquet(f"{self.base}/{name}/files")
-            known = self._generations()
-        self.known = known
-        # where every file of every generation is there now, and once, no segment has to be passed over
-        held = [self.spark.read.schema("file string, generation string").parquet(f"{self.base}/{g}/files") for g in known]
-        live = self._held(known).join(listing, "file", "left_semi") if known else None
-        self.live = None if not known or live.count() == sum(h.count() for h in held) else live
-        return self
-
-    def _build(self, paths: list[str], name: str) -> None:
-        # a file that changes between listing and reading is listed anew the next time
-        rows = self.spark.read.parquet(*paths)
-        meta = rows.metadataColumn("_metadata")
-        said = F.url_decode(F.replace(meta["file_path"], F.lit("+"), F.lit("%2B")))
-        file = F.sha2(F.concat_ws("|", said, meta["file_size"].cast("string"), F.unix_micros(meta["file_modification_time"]).cast("string")), 256)
-        rows = rows.select(file.alias("file"), F.col(self.key).alias("id"), *[F.lower(c).alias(f"f{i}") for i, c in enumerate(self.fields.values())])
-        arrow = pa.schema([("file", pa.string()), ("segment", pa.string()), ("field", pa.int32()), ("gram", pa.int64()), ("rows", pa.binary()), ("ids", pa.list_(_arrow(self.kind)))])
-        with _batches(self.spark, 2000):
-            made = rows.mapInArrow(_inverted(len(self.fields), arrow), self.schema)
-            made.write.option("parquet.page.size", str(1 << 15)).option("compression", "zstd").parquet(f"{self.base}/{name}/segments")
-        listed = self._listing()
-        if not self.spark.read.schema(self.schema).parquet(f"{self.base}/{name}/segments").where(F.col("gram") == HEAD).join(listed, "file", "left_anti").isEmpty():
-            raise RuntimeError(f"files of {self.path} have changed while they were read")
+    def build(self, rows: DataFrame, target: str) -> None:
+        rows = rows.select("file", F.col(self.key).alias("id"), *[F.lower(c).alias(f"f{i}") for i, c in enumerate(self.fields.values())])
+        arrow = pa.schema([("file", pa.string()), ("segment", pa.string()), ("field", pa.int32()), ("gram", pa.int64()), ("rows", pa.binary()), ("ids", pa.list_(to_arrow_type(self.kind)))])
+        with batches_of(self.spark, 2000):
+            rows.mapInArrow(_inverted(len(self.fields), arrow), self.schema).write.option("parquet.page.size", str(1 << 15)).option("compression", "zstd").parquet(target)
 
     # -- searching --------------------------------------------------------------
 
-    def _table(self) -> DataFrame:
-        """Segments of files that are there now, each file from one generation."""
-        parts = None
-        for g in self.known:
-            one = self.spark.read.schema(self.schema).parquet(f"{self.base}/{g}/segments").withColumn("generation", F.lit(g))
-            parts = one if parts is None else parts.unionByName(one)
-        if parts is None:
-            return self.spark.createDataFrame([], self.schema)
-        # files are few beside rows; Spark broadcasts the list where it is small, and shuffles otherwise
-        return parts if self.live is None else parts.join(self.live, ["file", "generation"], "left_semi")
-
     def _matched(self, field: str, query: str, least: float, every: bool) -> tuple[DataFrame, int]:
         grams = grams_of(query.lower()).tolist()
         at = list(self.fields).index(field)
-        rows = self._table().where((F.col("field") == at) & F.col("gram").isin([HEAD, *grams])).select("file", "generation", "segment", "gram", "rows", "ids") if self.known else None
+        rows = self.table().where((F.col("field") == at) & F.col("gram").isin([HEAD, *grams])).select("file", "segment", "gram", "rows", "ids")
         out = T.StructType([T.StructField("id", self.kind), T.StructField("shared", T.LongType()), T.StructField("size", T.LongType())])
-        if rows is None:
-            return self.spark.createDataFrame([], out), len(grams)
         return rows.groupBy("file", "segment").applyInPandas(_counts(grams, least, every, self.kind), out), len(grams)
 
     @staticmethod
@@ -294,27 +232,6 @@ class TrigramIndex:
         return self._matched(field, query, least, False)[0].count()
 
 
-def _arrow(kind: T.DataType) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)
-
-
-class _batches:
-    """Arrow batches of so many rows while a table is written."""
-
-    def __init__(self, spark: SparkSession, rows: int):
-        self.conf, self.rows = spark.conf, rows
-
-    def __enter__(self):
-        self.before = self.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None)
-        self.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(self.rows))
-
-    def __exit__(self, *_):
-        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-        self.conf.unset(name) if self.before is None else self.conf.set(name, self.before)
-
-
 def lexical(index: TrigramIndex, fields: list[str], query: str, threshold: float, limit: float) -> DataFrame:
     """(id, score): rows of which a field's similarity reaches limit and the largest exceeds threshold; score is the largest."""
     least = max(limit, threshold)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..operators import graph as G
-from ..sources.tables import EDGES_SQL, MEMORIES_SQL, NODES_SQL, edges, load, memories, nodes
+from ..sources.tables import EDGES_SQL, MEMORIES_SQL, NODES_SQL, edges, links, load, memories, nodes
 
 E = f"WITH RECURSIVE {EDGES_SQL}"
 
@@ -21,13 +21,13 @@ def node_ids(spark, sf):
 
 @register("g1_traverse", f"{E}, {NODES_SQL}, t(node, depth) AS (SELECT 3::BIGINT, 0 UNION SELECT dst, depth + 1 FROM t JOIN edges ON src = node WHERE depth < 2) SELECT node, node_type, label, min(depth) AS depth FROM t JOIN nodes ON node = node_id WHERE node <> 3 GROUP BY ALL")
 def g1(spark, sf):
-    found = G.traverse(edges(spark, sf), one(spark, 3), 2)
+    found = G.traverse(links(spark, sf), one(spark, 3), 2)
     return found.join(nodes(spark, sf), F.col("node") == F.col("node_id")).select("node", "node_type", "label", "depth")
 
 
 @register("g1b_traverse_inbound", f"{E}, t(node, depth) AS (SELECT 5::BIGINT, 0 UNION SELECT src, depth + 1 FROM t JOIN edges ON dst = node WHERE depth < 2 AND relation = 'returns') SELECT node, min(depth) AS depth FROM t WHERE node <> 5 GROUP BY node")
 def g1b(spark, sf):
-    return G.traverse(edges(spark, sf), one(spark, 5), 2, "inbound", "returns").select("node", "depth")
+    return G.traverse(links(spark, sf), one(spark, 5), 2, "inbound", "returns").select("node", "depth")
 
 
 @register("g2_shortest_path", f"{E}, p AS (SELECT min([9, a.dst, b.dst, c.dst]) AS path FROM edges a JOIN edges b ON b.src = a.dst JOIN edges c ON c.src = b.dst WHERE a.src = 9 AND b.dst <> 9 AND c.dst = (SELECT min(dst) FROM edges WHERE src = 3 AND dst NOT IN (SELECT dst FROM edges WHERE src = 9))) SELECT array_to_string(path, '>') AS path, 3 AS length FROM p WHERE path IS NOT NULL")
@@ -46,7 +46,7 @@ def g3(spark, sf):
 
 @register("g4_undirected_path", f"{E}, u AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges) SELECT array_to_string(min([1, a.dst, 2]), '>') AS path FROM u a JOIN u b ON b.src = a.dst WHERE a.src = 1 AND b.dst = 2 HAVING count(*) > 0")
 def g4(spark, sf):
-    return G.shortest_path(edges(spark, sf), 1, 2, 3, "both").select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+    return G.shortest_path(links(spark, sf), 1, 2, 3, "both").select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
 @register("g5_incident_endpoints", f"{E} SELECT src AS node, relation, count(*) AS n FROM edges WHERE src < 5 GROUP BY ALL UNION ALL SELECT dst, relation, count(*) FROM edges WHERE dst < 5 AND src >= 5 GROUP BY ALL")
@@ -68,15 +68,27 @@ def g6(spark, sf):
     return G.pagerank(node_ids(spark, sf), edges(spark, sf), iterations=10, tolerance=0.0).select("node", F.round("rank", 9).alias("rank"))
 
 
+#: Rounds that the SQL spells out, the most that the loop makes.
+_ROUNDS = 100
+_SETTLED = f"""{_rank_sql(_ROUNDS)}, change AS ({" UNION ALL ".join(f"SELECT {i} AS i, sum(abs(x.rank - y.rank)) AS c FROM r{i} x JOIN r{i - 1} y USING (node)" for i in range(1, _ROUNDS + 1))}),
+settled AS (SELECT coalesce(min(i), {_ROUNDS}) AS i FROM change WHERE c < 1e-6), last AS ({" UNION ALL ".join(f"SELECT node, rank FROM r{i} WHERE {i} = (SELECT i FROM settled)" for i in range(1, _ROUNDS + 1))}), k AS (SELECT node, rank / (SELECT sum(rank) FROM last) AS rank FROM last)"""
+
+
+@register("g6b_pagerank_settled", f"{_SETTLED} SELECT node, round(rank, 9) AS rank FROM k")
+def g6b(spark, sf):
+    """Ranks of the round in which they have settled, the rule by which the loop ends."""
+    return G.pagerank(node_ids(spark, sf), edges(spark, sf)).select("node", F.round("rank", 9).alias("rank"))
+
+
 @register("g7_coupling", f"{E}, {NODES_SQL} SELECT node_id AS node, coalesce(a, 0) AS afferent, coalesce(e, 0) AS efferent, round(coalesce(coalesce(e, 0) * 1.0 / nullif(coalesce(a, 0) + coalesce(e, 0), 0), 0.0), 8) AS instability FROM nodes LEFT JOIN (SELECT dst, count(DISTINCT src) AS a FROM edges GROUP BY dst) ON dst = node_id LEFT JOIN (SELECT src, count(DISTINCT dst) AS e FROM edges GROUP BY src) ON src = node_id")
 def g7(spark, sf):
     return G.coupling(node_ids(spark, sf), edges(spark, sf)).withColumn("instability", F.round("instability", 8))
 
 
-@register("g8_edge_importance", f"{_rank_sql(3)}, k AS (SELECT node, rank / (SELECT sum(rank) FROM r3) AS rank FROM r3) SELECT src, dst, round((coalesce(a.rank, 0) + coalesce(b.rank, 0)) / 2, 9) AS importance FROM edges LEFT JOIN k a ON a.node = src LEFT JOIN k b ON b.node = dst WHERE relation = 'returns'")
+@register("g8_edge_importance", f"{_SETTLED} SELECT src, dst, round((coalesce(a.rank, 0) + coalesce(b.rank, 0)) / 2, 9) AS importance FROM edges LEFT JOIN k a ON a.node = src LEFT JOIN k b ON b.node = dst WHERE relation = 'returns'")
 def g8(spark, sf):
     e = edges(spark, sf)
-    k = G.pagerank(node_ids(spark, sf), e, iterations=3, tolerance=0.0)
+    k = G.pagerank(node_ids(spark, sf), e)
     x = e.where("relation = 'returns'").join(k.select(F.col("node").alias("src"), F.col("rank").alias("a")), "src", "left").join(k.select(F.col("node").alias("dst"), F.col("rank").alias("b")), "dst", "left")
     return x.select("src", "dst", F.round((F.coalesce("a", F.lit(0.0)) + F.coalesce("b", F.lit(0.0))) / 2, 9).alias("importance"))
 
@@ -142,7 +154,7 @@ def g21b(spark, sf):
 
 @register("g22_callers_page", f"{E}, {NODES_SQL}, t(node, depth) AS (SELECT 3::BIGINT, 0 UNION SELECT src, depth + 1 FROM t JOIN edges ON dst = node WHERE depth < 3), d AS (SELECT node, min(depth) AS depth FROM t WHERE node <> 3 GROUP BY node) SELECT node, label, depth FROM d JOIN nodes ON node_id = node ORDER BY label, node LIMIT 5 OFFSET 5")
 def g22(spark, sf):
-    x = G.traverse(edges(spark, sf), one(spark, 3), 3, "inbound").join(nodes(spark, sf), F.col("node") == F.col("node_id"))
+    x = G.traverse(links(spark, sf), one(spark, 3), 3, "inbound").join(nodes(spark, sf), F.col("node") == F.col("node_id"))
     return x.select("node", "label", "depth").orderBy("label", "node").offset(5).limit(5)
 
 
@@ -187,14 +199,14 @@ def g26b(spark, sf):
     return edges(spark, sf).groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"), F.count("*").alias("incoming"))
 
 
-@register("g10b_repository_metrics", f"""{_rank_sql()}, k AS (SELECT node, rank / (SELECT sum(rank) FROM r10) AS rank FROM r10), c AS (SELECT node_id AS node, coalesce(a, 0) + coalesce(e, 0) AS coupling FROM nodes LEFT JOIN (SELECT dst, count(DISTINCT src) AS a FROM edges GROUP BY dst) ON dst = node_id LEFT JOIN (SELECT src, count(DISTINCT dst) AS e FROM edges GROUP BY src) ON src = node_id),
+@register("g10b_repository_metrics", f"""{_SETTLED}, c AS (SELECT node_id AS node, coalesce(a, 0) + coalesce(e, 0) AS coupling FROM nodes LEFT JOIN (SELECT dst, count(DISTINCT src) AS a FROM edges GROUP BY dst) ON dst = node_id LEFT JOIN (SELECT src, count(DISTINCT dst) AS e FROM edges GROUP BY src) ON src = node_id),
 m AS (SELECT p_name || '#' || p_partkey AS name, p_size AS complexity, coupling, rank FROM part JOIN k ON k.node = 1000000 + p_partkey JOIN c ON c.node = 1000000 + p_partkey)
 SELECT count(*) AS total_functions, round(avg(complexity), 2) AS avg_complexity, max(complexity) AS max_complexity, arg_min(name, (-complexity, name)) AS most_complex, round(avg(coupling), 2) AS avg_coupling, (SELECT string_agg(name, ',' ORDER BY pos) FROM (SELECT name, row_number() OVER (ORDER BY round(rank, 12) DESC, name) AS pos FROM m) WHERE pos <= 10) AS top_pagerank FROM m""")
 def g10b(spark, sf):
     """Parts as functions: their size is the complexity."""
     e, ids = edges(spark, sf), node_ids(spark, sf)
     c = G.coupling(ids, e).select("node", (F.col("afferent") + F.col("efferent")).alias("coupling"))
-    k = G.pagerank(ids, e, iterations=10, tolerance=0.0)
+    k = G.pagerank(ids, e)
     p = load(spark, sf, "part").select((F.lit(1000000) + F.col("p_partkey")).alias("node"), F.concat("p_name", F.lit("#"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_size").alias("complexity"))
     return G.repository_metrics(p.join(c, "node").join(k, "node"))
 

@@ -14,8 +14,8 @@ from ..functions import decay as DE
 from ..functions import documents as D
 from ..functions import text as X
 from ..functions import vector as V
+from ..operators import cells, trigram
 from ..operators import search as S
-from ..operators import trigram
 from ..sources.tables import MEMORIES_SQL, load, memories, names
 
 QUERY = "The that of and in the tion"
@@ -131,6 +131,14 @@ def q10b(spark, sf):
     return S.knn(e, "embedding", qs, 5, "vec_id").select("query_id", "vec_id", r("distance").alias("distance"), "rank")
 
 
+@register("q10c_cells_knn", f"WITH qs AS (SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id % 50 = 0) SELECT query_id, vec_id, round({L2}, 8) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY round({L2}, 12), vec_id) AS rank FROM embeddings, qs QUALIFY rank <= 5")
+def q10c(spark, sf):
+    """The same stated set of queries over stored cells, by plain distance; one join by cell, however many queries."""
+    qs = load(spark, sf, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    index = cells.CellIndex(spark, f"{sf}/embeddings.parquet", "vec_id", "embedding", "l2", pivots=32).refresh()
+    return index.nearest(qs, 5).select("query_id", "vec_id", r("distance").alias("distance"), "rank")
+
+
 @register("q11_matching_count", f"WITH {QV} SELECT count(*) FILTER (WHERE {L2} <= 1.2) AS near, count(*) AS total FROM embeddings, qv")
 def q11(spark, sf):
     x = load(spark, sf, "embeddings").crossJoin(F.broadcast(query_vector(spark, sf)))

@@ -52,7 +52,13 @@ NODES_SQL = """nodes AS (
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (F.lit(1000000) + F.col("l_partkey")).alias("dst")).distinct().withColumn("relation", F.lit("supplies"))
+    return links(spark, sf_dir, True)
+
+
+def links(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFrame:
+    """The edges as they are read; a supplier that supplies a part often is there as often, unless each is asked for once."""
+    out = load(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (F.lit(1000000) + F.col("l_partkey")).alias("dst"))
+    out = (out.distinct() if once else out).withColumn("relation", F.lit("supplies"))
     back = load(spark, sf_dir, "part").select((F.lit(1000000) + F.col("p_partkey")).alias("src"), (F.col("p_partkey") % 7).alias("dst"), F.lit("returns").alias("relation"))
     return out.unionByName(back)
 
