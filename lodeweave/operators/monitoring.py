@@ -4,9 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def percentiles(value: str, *at: float) -> list[Column]:
-    return [F.expr(f"percentile_cont({p}) WITHIN GROUP (ORDER BY {value})").alias(f"p{round(p * 100)}") for p in at]
+from . import quantiles
 
 
 def rough_percentiles(value: str, *at: float) -> list[Column]:
@@ -17,9 +15,10 @@ def rough_percentiles(value: str, *at: float) -> list[Column]:
 def endpoint_stats(requests: DataFrame, least: int = 2, exact: bool = True) -> DataFrame:
     """Per endpoint: requests, mean and percentiles of latency, extremes, errors and their share; endpoints with fewer than ``least`` requests are left out.
 
-    Exact percentiles hold an endpoint's distinct latencies in one task; without exact they come from sketches."""
-    bad, at = F.col("status") >= 500, percentiles if exact else rough_percentiles
-    g = requests.groupBy("endpoint").agg(F.count("*").alias("n"), F.avg("latency").alias("mean"), *at("latency", 0.5, 0.95, 0.99), F.min("latency").alias("lo"), F.max("latency").alias("hi"), F.count_if(bad).alias("errors"))
+    Exact percentiles are those of quantiles.grouped, whatever an endpoint's requests; without exact they come from sketches."""
+    bad, at = F.col("status") >= 500, (0.5, 0.95, 0.99)
+    others = [F.count("*").alias("n"), F.avg("latency").alias("mean"), F.min("latency").alias("lo"), F.max("latency").alias("hi"), F.count_if(bad).alias("errors")]
+    g = quantiles.grouped(requests, ["endpoint"], "latency", at, *others) if exact else requests.groupBy("endpoint").agg(*others, *rough_percentiles("latency", *at))
     return g.where(F.col("n") >= least).withColumn("error_pct", F.try_divide(F.lit(100.0) * F.col("errors"), F.col("n")))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..catalog import register
 from ..functions import text as X
 from ..operators import monitoring as M
+from ..operators import quantiles
 from ..sources.tables import EDGES_SQL, MEMORIES_SQL, REQUESTS_SQL, edges, load, memories, requests
 from .filters import now_of
 
@@ -62,7 +63,8 @@ def m7(spark, sf):
 
 @register("m8_latency_series", f"{R} SELECT date_trunc('hour', ts) AS hour, round(avg(latency), 6) AS mean, round(quantile_cont(latency, 0.95), 6) AS p95, max(latency) AS hi, count(*) AS n FROM requests GROUP BY 1")
 def m8(spark, sf):
-    g = requests(spark, sf).groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.avg("latency").alias("mean"), *M.percentiles("latency", 0.95), F.max("latency").alias("hi"), F.count("*").alias("n"))
+    x = requests(spark, sf).withColumn("hour", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+    g = quantiles.grouped(x, ["hour"], "latency", (0.95,), F.avg("latency").alias("mean"), F.max("latency").alias("hi"), F.count("*").alias("n"))
     return g.select("hour", r("mean").alias("mean"), r("p95").alias("p95"), "hi", "n")
 
 
@@ -158,7 +160,8 @@ def m19(spark, sf):
 @register("m20_search_analytics", f"{R} SELECT count(*) AS n, round(avg(latency), 6) AS mean, round(quantile_cont(latency, 0.5), 6) AS p50, round(quantile_cont(latency, 0.95), 6) AS p95, round(count(*) / (24 * 3600.0), 8) AS rps, round(count(*) FILTER (WHERE status >= 500) * 1.0 / count(*), 8) AS error_rate FROM requests WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 24 HOUR")
 def m20(spark, sf):
     x = requests(spark, sf)
-    g = x.crossJoin(now_of(x)).where("ts > now - INTERVAL 24 HOURS").agg(F.count("*").alias("n"), F.avg("latency").alias("mean"), *M.percentiles("latency", 0.5, 0.95), F.count_if(F.col("status") >= 500).alias("e"))
+    x = x.crossJoin(now_of(x)).where("ts > now - INTERVAL 24 HOURS")
+    g = quantiles.grouped(x, [], "latency", (0.5, 0.95), F.count("*").alias("n"), F.avg("latency").alias("mean"), F.count_if(F.col("status") >= 500).alias("e"))
     return g.select("n", r("mean").alias("mean"), r("p50").alias("p50"), r("p95").alias("p95"), r(F.col("n") / F.lit(24 * 3600.0), 8).alias("rps"), r(F.try_divide("e", "n"), 8).alias("error_rate"))
 
 

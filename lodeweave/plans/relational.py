@@ -5,6 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalog import register
+from ..operators import quantiles
 from ..sources.tables import load
 
 
@@ -163,8 +164,8 @@ def a4(spark, sf):
 
 @register("a5_percentile_cont", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
 def a5(spark, sf):
-    p = lambda q: r(F.expr(f"percentile_cont({q}) WITHIN GROUP (ORDER BY value)"))
-    return load(spark, sf, "events").groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
+    g = quantiles.grouped(load(spark, sf, "events"), ["event_type"], "value", (0.5, 0.95, 0.99))
+    return g.select("event_type", *[r(c).alias(c) for c in ("p50", "p95", "p99")])
 
 
 @register("a5b_approx_percentile")

@@ -67,13 +67,13 @@ def test_index_follows_the_files(spark, tmp_path):
     write(spark, path, [(100 + i, t, t) for i, t in enumerate(texts(30, 3))])
     index = index_of(spark, path, base).refresh()
     assert len(index.known) == 2
-    assert spark.read.parquet(f"{index.base}/{index.known[1]}/segments").agg(F.count_distinct("file")).first()[0] == 1  # only the new file was read
+    assert spark.read.parquet(f"{index.base}/{index.known[1]}/rows").agg(F.count_distinct("file")).first()[0] == 1  # only the new file was read
     same(index, spark, path, "the that of tion")
     os.remove(f"{path}/{first}")
     index = index_of(spark, path, base).refresh()
     assert len(index.known) == 2 and index.similarities("title", "x").count() == 30
     same(index, spark, path, "the that of tion")
-    os.makedirs(base / "kaputt" / "segments")  # a generation that was never finished counts for nothing
+    os.makedirs(base / "kaputt" / "rows")  # a generation that was never finished counts for nothing
     shutil.copytree(path, tmp_path / "u")
     assert index_of(spark, path, base).refresh().similarities("body", "the").count() == 30
 
