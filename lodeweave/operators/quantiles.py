@@ -7,6 +7,8 @@ interval of too many is narrowed again, to some thousandths of its rows each tim
 """
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,3 +94,26 @@ def grouped(df: DataFrame, keys: list[str], value: str, at: tuple[float, ...], *
     whole = rows.groupBy("g").agg(*others) if others else rows.select("g").distinct()
     out = whole.join(told, "g").select(*[F.col("g")[k].alias(k) for k in keys], *[F.col(c) for c in whole.columns if c != "g"], *map(_name, at))
     return light.unionByName(out)
+
+
+def best(df: DataFrame, score: str, key: str, percent: float, most: int = MOST, grid: int = GRID) -> DataFrame:
+    """The best percent of the rows (rounded up) by score, of equal scores those of smallest key; rows equal in both stand or fall together. Rows without a score are none.
+
+    The score and the key of the last row are found as order statistics, so no task holds the rows that stay."""
+    df = df.where(F.col(score).isNotNull())
+    n = df.count()
+    k = min(n, math.ceil(n * percent / 100))
+    if k <= 0:
+        return df.limit(0)
+    last = _value(df.select(F.col(score).alias("v")), n - k, n, most, grid)
+    counts = df.agg(F.count_if(F.col(score) > last).alias("above"), F.count_if(F.col(score) == last).alias("ties")).first()
+    if counts["above"] + counts["ties"] == k:
+        return df.where(F.col(score) >= last)
+    edge = _value(df.where(F.col(score) == last).select(F.col(key).alias("v")), k - counts["above"] - 1, counts["ties"], most, grid)
+    return df.where((F.col(score) > last) | ((F.col(score) == last) & (F.col(key) <= edge)))
+
+
+def _value(rows: DataFrame, k: int, n: int, most: int, grid: int):
+    one = F.struct(F.lit(0).alias("_")).alias("g")
+    wanted = rows.sparkSession.range(1).select(one, F.lit(k).cast("long").alias("k"), F.lit(n).cast("long").alias("n"))
+    return selected(rows.select(one, "v"), wanted, most, grid).first()["v"]

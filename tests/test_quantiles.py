@@ -49,3 +49,16 @@ def test_percentiles_of_one_group_and_of_none(spark):
         assert [tuple(x) for x in r] == [pytest.approx((250000.0, 62500.0, 495.0**2))] or tuple(r[0]) == pytest.approx((250000.0, 62500.0, 495.0**2))
     assert [tuple(x) for x in quantiles.grouped(df.limit(0), [], "v", (0.5,)).collect()] == [(None,)]
     assert quantiles.grouped(df.limit(0).withColumn("k", F.lit(1)), ["k"], "v", (0.5,)).collect() == []
+
+
+@pytest.mark.parametrize("most, grid", [(1 << 20, 1000), (10, 8)])
+def test_best_share(spark, most, grid):
+    pick = random.Random(5)
+    rows = [(i, round(pick.random(), 1) if i % 3 else 0.5) for i in range(700)] + [(9000, None)]
+    df = spark.createDataFrame(rows, "k long, s double").repartition(4)
+    order = sorted((r for r in rows if r[1] is not None), key=lambda r: (-r[1], r[0]))
+    for percent in (0, 0.1, 30, 47.5, 100):
+        got = quantiles.best(df, "s", "k", percent, most, grid)
+        assert "TakeOrdered" not in got._jdf.queryExecution().toString() and "CollectLimit" not in got._jdf.queryExecution().toString() or percent == 0
+        assert sorted((r["k"], r["s"]) for r in got.collect()) == sorted(order[: -int(-700 * percent // 100)])
+    assert quantiles.best(df.limit(0), "s", "k", 30).collect() == []
