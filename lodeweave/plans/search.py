@@ -16,7 +16,7 @@ from ..functions import text as X
 from ..functions import vector as V
 from ..operators import cells, trigram
 from ..operators import search as S
-from ..sources.tables import MEMORIES_SQL, load, memories, names
+from ..sources.tables import MEMORIES_SQL, load, memories, memory_texts, names
 
 QUERY = "The that of and in the tion"
 
@@ -84,7 +84,7 @@ def q3(spark, sf):
 SELECT id, round(greatest(st, ss, CASE WHEN a THEN 1.0 WHEN b THEN 0.95 ELSE 0.0 END), 8) AS score FROM s WHERE a OR b OR st >= 0.3 OR ss >= 0.3""")
 def q4(spark, sf):
     index = documents_index(spark, sf)
-    found = trigram.memory_lexical(memories(spark, sf), F.col("title"), F.col("content"), "tion", lambda query, least: [index.alike(f, query, least) for f in ("title", "text")])
+    found = trigram.memory_lexical(memory_texts(spark, sf), F.col("title"), F.col("content"), "tion", lambda query, least: [index.alike(f, query, least) for f in ("title", "text")])
     return found.select("id", r("score").alias("score"))
 
 
@@ -286,13 +286,13 @@ aged AS (SELECT f.*, rrf_score * exp(-0.01 * (epoch_us((SELECT max(created_at) F
 SELECT * FROM (SELECT id, sources, round(score, 10) AS score, round(rerank_score, 8) AS rerank_score, row_number() OVER (ORDER BY round(score, 13) DESC, place) AS rank FROM aged) WHERE rank <= 10""")
 def q25(spark, sf):
     """Four branches, unweighted fusion, BM25 over the first 30, decay by age; the decayed score decides, the reranker's order on ties."""
-    m = memories(spark, sf)
+    m, texts = memories(spark, sf), memory_texts(spark, sf)
     newest = [F.col("created_at").desc(), F.col("id")]
     tag = S.ranked(m.where(F.array_contains("tags", "x:candidate")).select("id", "created_at"), newest, 50)
     # the name is looked for first, as plain text; only what holds it is cut into words
-    ent = S.ranked(m.where(F.col("content").contains("Hand")).where(F.array_contains(names("content", 3), "Hand")).select("id", "created_at"), newest, 50)
+    ent = S.ranked(texts.where(F.col("content").contains("Hand")).where(F.array_contains(names("content", 3), "Hand")).select("id", "created_at"), newest, 50)
     fused = S.fuse([("mlex", lexical_list(spark, sf, 50), None), ("mvec", vector_list(spark, sf, 50), None), ("ment", ent, None), ("mtag", tag, None)], "id")
-    top = S.ranked(fused, S.fused_order("id"), 30).join(m.select("id", "content", "created_at"), "id").crossJoin(F.broadcast(m.agg(F.max("created_at").alias("now"))))
+    top = S.ranked(fused, S.fused_order("id"), 30).join(texts.select("id", "content", "created_at"), "id").crossJoin(F.broadcast(texts.agg(F.max("created_at").alias("now"))))
     x = S.bm25(top, "id", F.col("content"), _TOKENS).withColumn("place", F.row_number().over(Window.orderBy(F.round("rerank_score", 12).desc(), "rank")))
     x = x.withColumn("score", F.col("rrf_score") * DE.decay(DE.age_days(F.col("now"), F.col("created_at"))))
     final = F.row_number().over(Window.orderBy(F.round("score", 13).desc(), "place")).cast("long")

@@ -40,6 +40,15 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def memory_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those columns of memories that documents alone give: texts then meet no join in which they would be shuffled."""
+    start = F.lit(EPOCH).cast("timestamp_ntz")
+    return load(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("id"), F.left("text", F.lit(60)).alias("title"), F.col("text").alias("content"), "lang", "source",
+        (start + F.make_dt_interval(hours=F.col("doc_id").cast("int"))).alias("created_at"),
+    )
+
+
 #: Parts have node ids from a million on; every part leads back to one supplier, so that the graph has cycles.
 EDGES_SQL = """edges AS (
   SELECT DISTINCT l_suppkey AS src, 1000000 + l_partkey AS dst, 'supplies' AS relation FROM lineitem
