@@ -5,7 +5,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -127,6 +127,41 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     return some.join(F.broadcast(ids), F.col("doc_id") == F.col("k")).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
 
+def stored(df: DataFrame) -> bool:
+    """Whether df is read from files and nothing else, so that every row has a place there that stays."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() == "SubqueryAlias":
+        plan = plan.children().head()
+    return plan.nodeName().startswith("LogicalRelation") and len(df.inputFiles()) > 0
+
+
+def placed(df: DataFrame, part: str, at: str) -> DataFrame:
+    """df, read from files, with each row's place: a hash of its file, and its number there."""
+    meta = df.metadataColumn("_metadata")
+    return df.withColumns({part: F.xxhash64(meta["file_path"]), at: meta["row_index"]})
+
+
+#: Rows of a table up to which it is broadcast to a join; a larger one is shuffled.
+FEW = 1 << 16
+
+
+def repeats(rows: DataFrame, key: str, place: list[str], above: int = 1, per_task: int = 2000) -> DataFrame | None:
+    """(*place, key, copy): the rows of every key (a long) that more than ``above`` rows have, numbered from 0; None without such keys. place tells any two rows apart.
+
+    A key's rows are dealt by their places into parts of about per_task, each numbered on its own; the parts' counts, a
+    small table, give the offsets. So a key may have any share of all rows."""
+    m, s, before = (fresh(rows, x) for x in ("m", "s", "before"))
+    keys = durable(rows.groupBy(key).agg(F.count("*").alias(m)).where(F.col(m) > above), "repeats")
+    if keys.isEmpty():
+        return None
+    hot = rows.select(*place, key).join(F.broadcast(keys) if keys.count() <= FEW else keys, key)
+    hot = durable(hot.select(*place, key, F.pmod(F.xxhash64(F.lit(1), *place), F.ceil(F.col(m) / per_task)).alias(s)), "repeats")
+    counts = hot.groupBy(key, s).agg(F.count("*").alias(m))
+    offsets = counts.select(key, s, (F.sum(m).over(Window.partitionBy(key).orderBy(s)) - F.col(m)).alias(before))
+    n = F.row_number().over(Window.partitionBy(key, s).orderBy(*place)) - 1
+    return hot.withColumn(m, n.cast("long")).join(offsets, [key, s]).select(*place, key, (F.col(m) + F.col(before)).alias("copy"))
+
+
 _TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "binary": T.BinaryType(), "boolean": T.BooleanType()}
 
 

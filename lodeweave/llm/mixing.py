@@ -20,10 +20,10 @@ bucket of each source the cut falls, and only that bucket's rows are ordered.
 
 Defined results: null text has size 0 and is never taken; null sources are one
 source, the last; very long texts count whole; an empty table gives no rows; other
-columns, of whatever name, stay as they are. Rows that are equal in doc_id and
-text share one draw and are taken alike, so a source that is mostly one repeated
-row meets its target only to that row's words. Reruns agree, as nothing but the
-rows and the seed decides.
+columns, of whatever name, stay as they are. Rows that are equal in source,
+doc_id and text are numbered, each with a draw of its own, so that the cut can
+fall between them; which of them has which number does not matter, as they are
+alike. Reruns agree, as nothing but the rows and the seed decides.
 """
 from __future__ import annotations
 
@@ -32,7 +32,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import durable, fresh
+from ._common import FEW, durable, fresh, placed, repeats, stored
 from .sharding import same_all
 
 #: Weights of sources in their order, repeating.
@@ -128,20 +128,46 @@ def _xi(h, pi) -> F.Column:
 
 
 def _hash(seed: int) -> F.Column:
-    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+    return F.xxhash64(F.lit(seed), F.col("source"), F.col("doc_id"), F.col("text"))
+
+
+def _draw(h, copy, seed: int) -> F.Column:
+    """The hash that a row draws by: that of its key, and for further copies one with their number."""
+    return F.when(copy > 0, F.xxhash64(F.lit(seed), h, copy)).otherwise(h)
+
+
+def _drawn(rows: DataFrame, found: DataFrame | None, place: list[str], seed: int) -> DataFrame:
+    """rows (h, the hash of a key) with h, each row's draw; found: the numbers of rows that repeat, see repeats()."""
+    if found is None:
+        return rows
+    x, y = rows.alias("x"), (F.broadcast(found) if found.count() <= FEW else found).alias("y")
+    joined = x.join(y, F.expr(" AND ".join(f"x.`{c}` = y.`{c}`" for c in place)), "left")
+    return joined.select(*[F.col(f"x.`{c}`") for c in rows.columns if c != "h"], _draw(F.col("x.h"), F.coalesce("y.copy", F.lit(0)), seed).alias("h"))
+
+
+def _repeats(measured: DataFrame, place: list[str]) -> DataFrame | None:
+    found = repeats(measured, "h", place)
+    return None if found is None else durable(found, "mix-repeats")
 
 
 def mix(docs: DataFrame, seed: int = 0, **settings) -> DataFrame:
     """Per document its size, its source's size and target, copies, and the words that the mix takes from it."""
-    measured = durable(docs.select("doc_id", F.col("source").alias("s"), size_of(F.col("text")).alias("size"), _hash(seed).alias("h")), "mix-measured")
+    measured = docs.select("doc_id", F.col("source").alias("s"), size_of(F.col("text")).alias("size"), _hash(seed).alias("h"), F.monotonically_increasing_id().alias("place"))
+    measured = durable(measured, "mix-measured")
+    measured = _drawn(measured, _repeats(measured, ["place"]), ["place"], seed)
     out = Plan(measured, **settings).apply(measured)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies", F.col("s").alias("source"))
 
 
 def mixed(docs: DataFrame, seed: int = 0, **settings) -> DataFrame:
-    """The mix itself: every document as often as it is to be copied, with the columns of docs."""
-    measured = durable(docs.select(F.col("source").alias("s"), size_of(F.col("text")).alias("size"), _hash(seed).alias("h")), "mix-measured")
-    row = fresh(docs, "row")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.col("source").alias("s"), size_of(F.col("text")).alias("size"), _hash(seed).alias("h"))
-    chosen = Plan(measured, **settings).apply(rows).where(F.col("copies") > 0)
-    return chosen.select(row, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(f"{row}.*")
+    """The mix itself: every document as often as it is to be copied, with the columns of docs. docs that are not files are written first."""
+    docs = docs if stored(docs) else durable(docs, "mix-rows")
+    own = {"part": fresh(docs, "part"), "at": fresh(docs, "at")}
+    place, whole = list(own), placed(docs, *own.values())
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = whole.select(row, F.col("source").alias("s"), size_of(F.col("text")).alias("size"), _hash(seed).alias("h"), *[F.col(c).alias(n) for n, c in own.items()])
+    measured = durable(rows.drop("row"), "mix-measured")
+    found = _repeats(measured, place)
+    plan, rows = Plan(_drawn(measured, found, place, seed), **settings), _drawn(rows, found, place, seed)
+    chosen = plan.apply(rows).where(F.col("copies") > 0)
+    return chosen.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
