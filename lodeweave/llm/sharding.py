@@ -13,14 +13,16 @@ size, and a hot source only has more buckets.
 
 Null sources form a source of their own; null texts have size 1. Rows that are
 equal in every column used here are interchangeable, so any order of them gives
-the same result. An empty table gives no rows.
+the same result. Of a key that very many rows repeat each row has a number, which the hash takes in, so that they too
+are dealt over the buckets. Very long texts count by their size and checksum only. Other columns, whatever their names,
+are not read by ``shard_listing`` and handed on by ``sharded``. An empty table gives no rows.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import durable, fresh
+from ._common import durable, fresh, placed, repeats, stored
 
 
 def _rank(df: DataFrame, groups: list[str], bucket: Column, order: list[Column], out: str) -> DataFrame:
@@ -76,38 +78,48 @@ def interleave(df: DataFrame, shards: int, key: list[Column], source: str = "sou
     return out.withColumn("slot", (p - start).cast("long")).drop(u, s, rank, size, frac, pos)
 
 
+#: Rows of one key beyond which each of them is hashed with a number of its own.
+REPEATS = 500
+
+
+def _told_apart(rows: DataFrame, key: list[Column], place: list[str]) -> tuple[DataFrame, str]:
+    """rows, a table, with a column, here named, that numbers the rows of each key that more than REPEATS rows have (0 elsewhere)."""
+    k, copy = fresh(rows, "k"), fresh(rows, "copy")
+    hashed = rows.withColumn(k, F.xxhash64(*key))
+    found = repeats(hashed, k, place, REPEATS)
+    if found is None:
+        return rows.withColumn(copy, F.lit(0).cast("long")), copy
+    found = durable(found.select(*place, F.col("copy").alias(copy)), "shard-repeats")
+    return rows.join(found, place, "left").na.fill(0, [copy]), copy
+
+
 def _measured(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"))
 
 
 def shard_listing(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:
     """Per document its shard and slot, under the law of row counts."""
-    out = interleave(_measured(docs), shards, [F.col("doc_id"), F.col("text_crc32"), F.col("size")], seed=seed)
+    measured = durable(_measured(docs).withColumn("place", F.monotonically_increasing_id()), "shard-measured")
+    key = [F.col("doc_id"), F.col("text_crc32"), F.col("size")]
+    rows, copy = _told_apart(measured, [F.col("source"), *key], ["place"])
+    out = interleave(rows, shards, [*key, F.col(copy)], seed=seed)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
-def _stored(docs: DataFrame) -> bool:
-    """Whether docs is read from files and nothing else, so that every row has a place there that stays."""
-    plan = docs._jdf.queryExecution().analyzed()
-    while plan.nodeName() == "SubqueryAlias":
-        plan = plan.children().head()
-    return plan.nodeName().startswith("LogicalRelation") and len(docs.inputFiles()) > 0
-
-
 def sharded(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:
     """docs with the columns shard and slot; columns of these names are replaced.
 
     Ranks are taken on source and a hash of each row's key. Every row has a place, its file and its number there (docs
     that are not files are written first), and is shuffled once, by its place; rows that repeat have places of their own."""
-    rows = docs if _stored(docs) else durable(docs, "shard-rows")
+    rows = docs if stored(docs) else durable(docs, "shard-rows")
     kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
     part, at = fresh(rows, "part"), fresh(rows, "at")
-    meta = rows.metadataColumn("_metadata")
-    placed = rows.withColumns({part: F.xxhash64(meta["file_path"]), at: meta["row_index"]})
-    narrow = placed.select(part, at, F.col("source").alias("s"), "doc_id", F.xxhash64("text").alias("h"))
+    whole = placed(rows, part, at)
+    narrow = durable(whole.select(part, at, F.col("source").alias("s"), "doc_id", F.xxhash64("text").alias("h")), "shard-narrow")
+    narrow, copy = _told_apart(narrow, [F.col("s"), F.col("doc_id"), F.col("h")], [part, at])
     # rows of one key are told apart by their places, so that a task that runs again ranks them as before
-    listing = interleave(narrow, shards, [F.col("doc_id"), F.col("h")], source="s", seed=seed, ties=(F.col(part), F.col(at))).select(part, at, "shard", "slot")
+    listing = interleave(narrow, shards, [F.col("doc_id"), F.col("h"), F.col(copy)], source="s", seed=seed, ties=(F.col(part), F.col(at))).select(part, at, "shard", "slot")
     listing = durable(listing, "shard-listing")
-    x, y = placed.alias("x"), listing.alias("y")
+    x, y = whole.alias("x"), listing.alias("y")
     on = (F.col(f"x.{part}") == F.col(f"y.{part}")) & (F.col(f"x.{at}") == F.col(f"y.{at}"))
     return x.join(y, on).select(*[F.col(f"x.`{c}`") for c in kept], "y.shard", "y.slot")

@@ -11,6 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodeweave.llm import jaccard, lmscore, mixing, quality, sharding, toxicity
 from lodeweave.llm._common import table
@@ -133,9 +134,54 @@ def test_mix_equals_a_plain_ranking(spark):
     assert [got[i] for i, _, _ in made] == want
 
 
+def test_mix_meets_targets_with_a_repeated_row(spark):
+    """A third of all rows is one row, which is nearly all of its source."""
+    rows = [(i, " ".join(["w"] * (1 + i % 30)), "ac"[i % 2]) for i in range(4000)]
+    rows += [(9_000, "five words of one row", "b")] * 2000 + [(9_001, "two words", "b"), (None, None, "b"), (None, None, "b")]
+    docs = documents(spark, rows).repartition(5)
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    taken, target, copies = Counter(), {}, Counter()
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        copies[r["doc_id"], r["copies"]] += 1
+    want = expected_targets({s: sum(len((t or "").split()) for _, t, x in rows if x == s) for s in "abc"})
+    for s in "abc":
+        assert target[s] == pytest.approx(want[s]) and abs(taken[s] - target[s]) <= 30
+    assert sum(n > 0 for (i, _), n in copies.items() if i == 9_000) == 2  # some copies once more than others
+    again = mixing.mix(docs.repartition(3, "lang")).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    made = Counter(r["doc_id"] for r in mixing.mixed(docs.withColumn("part", F.lit(1))).collect())
+    assert made == Counter({i: sum(k * n for (j, k), n in copies.items() if j == i) for i in {j for j, k in copies if k}})
+
+
 # --- sharding ----------------------------------------------------------------
 
 
+def test_a_repeated_row_is_dealt_over_the_buckets(spark):
+    rows = [(i, f"t{i}", "a") for i in range(4000)] + [(7, "the same", "a")] * 2000 + [(8, "also the same", None)] * 700
+    docs = documents(spark, rows).repartition(6)
+    measured = sharding.durable(sharding._measured(docs).withColumn("place", F.monotonically_increasing_id()), "test")
+    key = [F.col(c) for c in ("source", "doc_id", "text_crc32", "size")]
+    told, copy = sharding._told_apart(measured, key, ["place"])
+    numbers = defaultdict(list)
+    for r in told.collect():
+        numbers[r["doc_id"], r["text_crc32"]].append(r[copy])
+    assert all(sorted(v) == (list(range(len(v))) if len(v) > sharding.REPEATS else [0] * len(v)) for v in numbers.values())
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(0), *key[1:], F.col(copy)), 11) / F.lit(float(1 << 53))
+    buckets = [r["n"] for r in told.groupBy(F.floor(u * 20)).agg(F.count("*").alias("n")).collect()]
+    assert len(buckets) == 20 and max(buckets) <= 2 * len(rows) / 20
+    for got in (sharding.shard_listing(docs), sharding.sharded(docs)):
+        by = defaultdict(list)
+        for r in got.collect():
+            by[r["shard"]].append((r["slot"], r["source"]))
+        assert sorted(len(v) for v in by.values()) == [418] * 4 + [419] * 12
+        for own in by.values():
+            assert sorted(s for s, _ in own) == list(range(len(own))) and abs(sum(s is None for _, s in own) - 700 / 16) <= 2
+
+
+
 def test_shards_equal_a_plain_ranking(spark):
     from pyspark.sql import functions as F
 
