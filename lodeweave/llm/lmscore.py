@@ -11,8 +11,8 @@ maximisation): word types and their counts stand for all of the training text.
 
 Words are counted over all documents in partial tables that follow the input.
 The lattice is evaluated once for each distinct word. The ``hot`` commonest words
-(a fixed number) go to every task with their scores; each document's other words
-are joined to the word table by a shuffle. Both ways are exact.
+(a fixed number, none of more than 64 bytes) go to every task with their scores;
+each document's other words are joined to the word table by a shuffle. Both ways are exact.
 
 Besides, the smoothed unigram score of whole words is given as a base.
 
@@ -39,6 +39,8 @@ from ._common import durable, fold, list_of, row_type
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 HOT = 100_000
+#: Bytes up to which a word can be one of the hot ones, so that what is broadcast is bounded in bytes too.
+HOT_BYTES = 64
 #: Bytes of a word from which on its lattice is not held whole.
 LONG = 2048
 #: The mark of a word's start: no word holds a space.
@@ -256,7 +258,7 @@ def score_documents(docs: DataFrame, train: Column, vocabulary: str = VOCABULARY
     lattice = train_lattice(counts, Lattice.read(vocabulary), ends, steps)
     table = durable(scored_words(counts, lattice), "lm-scores")
     scale = total + (kinds + 1)
-    common = {bytes(r["word"]): (r["c"], math.log10((r["c"] + 1) / scale), r["lp"]) for r in table.orderBy(F.col("n").desc(), "word").limit(hot).toPandas().to_dict("records")}
+    common = {bytes(r["word"]): (r["c"], math.log10((r["c"] + 1) / scale), r["lp"]) for r in table.where(F.octet_length("word") <= HOT_BYTES).orderBy(F.col("n").desc(), "word").limit(hot).toPandas().to_dict("records")}
     shared = sc.broadcast((common, ends, scale, lattice.end / _LN10))
 
     @F.pandas_udf(_PARTIAL)

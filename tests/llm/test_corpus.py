@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeweave.llm import jaccard, lmscore, mixing, quality, sharding, toxicity
-from lodeweave.llm._common import table
+from lodeweave.llm._common import fold, table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -439,6 +439,25 @@ def test_scores_of_rare_words_equal_those_of_hot_ones(spark):
     assert few == pytest.approx(all_)
 
 
+def test_long_words_are_never_broadcast(spark, monkeypatch):
+    """A long word among the commonest goes by the join; scores are the same."""
+    long = "w" * 500
+    docs = documents(spark, [(i, f"{long} the cat {long}" if i % 2 else f"the {long} " + "z" * 65, "s") for i in range(40)]).select("doc_id", "text")
+    train = fold(F.col("doc_id"), 7) != 2
+    sent = []
+    whole = spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda v: sent.append(v) or whole(v))
+    got = {r["doc_id"]: r for r in lmscore.score_documents(docs, train).collect()}
+    common = [v[0] for v in sent if isinstance(v, tuple)]
+    assert len(common) == 1 and set(common[0]) == {b"the", b"cat"}
+    monkeypatch.setattr(lmscore, "HOT_BYTES", 1000)
+    held = {r["doc_id"]: r for r in lmscore.score_documents(docs, train).collect()}
+    for i, r in got.items():
+        assert (r["n_tokens"], r["n_known"]) == (held[i]["n_tokens"], held[i]["n_known"])
+        assert r["score"] == pytest.approx(held[i]["score"]) and r["base_score"] == pytest.approx(held[i]["base_score"])
+
+
+
 def test_lm_without_rows(spark):
     assert lmscore.scored(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
