@@ -216,6 +216,32 @@ def test_damaged_files_are_told():
             gifmedia.read(bad)
 
 
+def test_gif_cut_between_frames_bounds_and_many_frames(spark):
+    data = gifmedia.encode(bytes(range(256)) * 8, width=8, rows=32)
+    n = len(gifmedia.read(data)[2])
+    assert n == 8
+    ends = [i for i in range(20, len(data)) if data[i - 1 : i + 3] == b"\0\x21\xf9\x04"]  # where a next frame begins
+    assert len(ends) >= n - 1
+    for cut in (data[: ends[0]], data[: ends[-1]], data[:-1], data[:13], data[:40]):
+        with pytest.raises(gifmedia.BadGif):
+            gifmedia.read(cut)
+    with pytest.raises(gifmedia.BadGif):
+        gifmedia.read(data, most_pixels=8 * 32 - 1)
+    assert len(gifmedia.read(data, most_pixels=None)[2]) == len(gifmedia.read(data, most_pixels=8 * 32)[2]) == n
+    files = spark.createDataFrame([(1 << 60, bytearray(data), {"a": 1}, "x"), (None, None, None, "y"), (None, bytearray(data[:-1]), None, "z")], "id long, content binary, m map<string,int>, frame string")
+    rows = gifmedia.frames(files, pixels=True).collect()
+    assert rows[0].__fields__ == ["id", "content", "m", "frame"] and [r["frame"]["frame"] for r in rows if r["id"]] == list(range(n))
+    assert all(r["m"] == {"a": 1} and r["id"] == 1 << 60 for r in rows[:n]) and [r["frame"]["error"] for r in rows if r["id"] is None] == ["cut off"]
+    assert gifmedia.frames(files, most_pixels=10).where("frame.error is not null").count() == 2
+
+
+def test_frames_are_handed_on_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(gifmedia, "HANDED", 1)
+    data = gifmedia.encode(bytes(64 * 20), rows=4)
+    files = spark.createDataFrame([(1, bytearray(data)), (2, bytearray(data))], "id long, content binary")
+    assert sorted((r["id"], r["frame"]["frame"]) for r in gifmedia.frames(files).collect()) == [(i, k) for i in (1, 2) for k in range(5)]
+
+
 def test_edits_of_any_script_encode_little():
     count, pick = tokencount.encoder(), random.Random(3)
     texts = {
