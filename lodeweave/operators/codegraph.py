@@ -1,7 +1,9 @@
 """A graph of code: nodes from chunks, calls, imports, re-exports and containment resolved by joins.
 
 Names are resolved against counts and smallest matches of each name, found once a name, so a name that stands in very
-many chunks and calls makes no pairs. Where a rule takes the first of several chunks, that is the one of the smallest id."""
+many chunks and calls makes no pairs. Clues about paths are looked up too: files are spelt out by the starts of their
+paths that end where a part ends, and by the words in them, so that a symbol of many files meets many clues by equality
+and not each file each clue. Where a rule takes the first of several chunks, that is the one of the smallest id."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
@@ -22,7 +24,7 @@ BUILTINS = [
     "min", "next", "object", "oct", "open", "ord", "pow", "print", "property", "range", "repr", "reversed", "round", "set", "setattr",
     "slice", "sorted", "staticmethod", "str", "sum", "super", "tuple", "type", "vars", "zip", "__import__", "Exception", "ValueError",
     "TypeError", "KeyError", "IndexError", "AttributeError", "ImportError", "RuntimeError", "NotImplementedError", "StopIteration",
-    "AssertionError", "SystemExit", "None", "True", "False", "Ellipsis", "NotImplemented",
+    "AssertionError", "KeyboardInterrupt", "SystemExit", "None", "True", "False", "Ellipsis", "NotImplemented",
 ]
 # Starts of imports from outside, and path parts that say nothing about a package.
 OUTSIDE = ["vue.", "pinia.", "uuid.", "axios.", "lodash.", "moment.", "react.", "angular.", "@vue/", "@angular/", "@react/"]

@@ -96,21 +96,41 @@ def s20(spark, sf):
     return x.select("c_custkey", F.size("related").cast("long").alias("n"), F.aggregate("related", F.lit(0).cast("long"), lambda s, v: s + v["o_orderkey"]).alias("keys"))
 
 
-IGNORE = ["build/", "*.log", "# notes"]
+IGNORE = ["build/", "*.log", "# notes", "docs/*.md", "!docs/keep*.md", "/top.d/", "**/gen/**", "a/**/z*.py", "x[0-9]y.py", "src/only"]
+#: Forms of paths, and whether a scan keeps them.
+SCANNED = [
+    ("%.md", True), ("lib/%.py", True), (".hidden/%.py", False), ("build/%.py", False), ("%.log", False), ("docs/%.md", False), ("docs/keep%.md", True), ("docs/in/%.md", True),
+    ("top.d/%.py", False), ("sub/top.d/%.py", True), ("p/gen/q/%.py", False), ("a/z%.py", False), ("a/b/c/z%.py", False), ("k/x7y.py/%.py", False), ("k/x77y.py/%.py", True),
+    ("src/only/%.py", False), ("lib/src/only/%.py", True), ("rebuild/%.py", True), ("lib/%.txt", False), ("buildings/%.py", True),
+]
 
 
-@register("s4_project_scan", "SELECT doc_id || '.md' AS path, 'markdown' AS language, length(text) AS size FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT 'lib/' || doc_id || '.py', 'python', length(text) FROM documents WHERE doc_id % 5 = 1")
+def _forms(forms: list[tuple[str, bool]]):
+    """The path of each document: forms in turn, with its id."""
+    each = F.array(*[F.lit(f) for f, _ in forms])
+    return F.replace(F.element_at(each, (F.col("doc_id") % len(forms) + 1).cast("int")), F.lit("%"), F.col("doc_id").cast("string"))
+
+
+def _forms_sql(forms: list[tuple[str, bool]]) -> str:
+    return "replace(CASE doc_id % {} {} END, '%', doc_id::VARCHAR)".format(len(forms), " ".join(f"WHEN {i} THEN '{f}'" for i, (f, kept) in enumerate(forms) if kept))
+
+
+@register("s4_project_scan", f"SELECT {_forms_sql(SCANNED)} AS path, CASE WHEN {_forms_sql(SCANNED)} LIKE '%.md' THEN 'markdown' ELSE 'python' END AS language, length(text) AS size FROM documents WHERE {_forms_sql(SCANNED)} IS NOT NULL")
 def s4(spark, sf):
-    """Documents as files: Markdown, Python below a folder, hidden ones, ones in an ignored folder, logs. The scan of a folder itself is sources.files.scan_project."""
-    name = F.element_at(F.array(*map(F.lit, ["%.md", "lib/%.py", ".hidden/%.py", "build/%.py", "%.log"])), (F.col("doc_id") % 5 + 1).cast("int"))
-    d = load(spark, sf, "documents").select(F.replace(name, F.lit("%"), F.col("doc_id").cast("string")).alias("path"), F.col("text").cast("binary").alias("content"), F.lit(None).cast("timestamp").alias("modified"))
-    return S.project_files(d, IGNORE, most=2**31 - 1).select("path", "language", F.length("content").cast("long").alias("size"))
+    """Documents as files of many forms of paths. The scan of a folder itself is sources.files.scan_project."""
+    d = load(spark, sf, "documents").select(_forms(SCANNED).alias("path"), F.col("text").cast("binary").alias("content"), F.lit(None).cast("timestamp").alias("modified"))
+    return S.project_files(d, IGNORE).select("path", "language", F.length("content").cast("long").alias("size"))
+
+
+BATCHED = [
+    ("src/%.ts", True), ("src/%.spec.ts", False), ("node_modules/%.ts", False), ("src/xgit/%.ts", True), (".git/%.ts", False), ("src/dist/a/%.ts", False), ("src/distant/%.ts", True),
+    ("app/__tests__/%.ts", False), ("app/%.test.tsx", False), ("app/vitest.config.%.ts", False), ("vitest.setup%.ts", False), ("lib/test_%.py", True), ("lib/%.d.ts", True), ("lib/%.TS", False), ("lib/%.tsx", False),
+]
 
 
-@register("s5_batch_scan", "SELECT 'src/' || doc_id || '.ts' AS path FROM documents WHERE doc_id % 3 = 0")
+@register("s5_batch_scan", f"SELECT {_forms_sql(BATCHED)} AS path FROM documents WHERE {_forms_sql(BATCHED)} IS NOT NULL")
 def s5(spark, sf):
-    name = F.element_at(F.array(*map(F.lit, ["src/%.ts", "src/%.spec.ts", "node_modules/%.ts"])), (F.col("doc_id") % 3 + 1).cast("int"))
-    return S.batch_files(load(spark, sf, "documents").select(F.replace(name, F.lit("%"), F.col("doc_id").cast("string")).alias("path")), [".ts"], ["node_modules"])
+    return S.batch_files(load(spark, sf, "documents").select(_forms(BATCHED).alias("path")), [".ts", ".py"])
 
 
 @register("s6_transcripts", "SELECT 's' || conv_id AS session, turn, role, text FROM conversations WHERE conv_id % 5 <> 4 AND turn % 7 <> 6")

@@ -1,8 +1,6 @@
 """File sources: project scans, transcripts, uploads; and a bulk generator."""
 from __future__ import annotations
 
-import fnmatch
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,50 +25,120 @@ def language(path: Column) -> Column:
     return F.try_element_at(table, suffix(path))
 
 
+def _glob(pattern: str) -> str:
+    """A pattern of an ignore file, without slashes at its ends, as a regular expression of a path."""
+    out, i = "", 0
+    while i < len(pattern):
+        c = pattern[i]
+        if pattern.startswith("**/", i) and (i == 0 or pattern[i - 1] == "/"):
+            out, i = out + "([^/]+/)*", i + 3
+            continue
+        if pattern[i:] == "**" and (i == 0 or pattern[i - 1] == "/"):
+            out, i = out + ".+", i + 2
+            continue
+        if c == "*":
+            while pattern.startswith("*", i + 1):
+                i += 1
+            out += "[^/]*"
+        elif c == "?":
+            out += "[^/]"
+        elif c == "[" and "]" not in pattern[i + 2 :]:
+            return "(?!)"  # a class that never ends matches nothing
+        elif c == "[":
+            end = pattern.index("]", i + 2)
+            body = pattern[i + 1 : end]
+            negated = body[0] in "!^"
+            body = body[1:] if negated else body
+            out += ("[^/" if negated else "[") + "".join(f"\\{x}" if x in "[]&^\\" else x for x in body) + "]"
+            i = end
+        else:
+            if c == "\\" and i + 1 < len(pattern):
+                i += 1
+                c = pattern[i]
+            out += c if c.isalnum() or c in "_/" or ord(c) > 127 else f"\\{c}"
+        i += 1
+    return out
+
+
+def ignore_rules(lines: list[str]) -> list[tuple[str, bool]]:
+    """(regular expression, whether it ignores) for the lines of an ignore file, comments and blank lines left out.
+
+    A pattern with a slash at its start or inside stands for a path from the root, any other for a name at any depth; one
+    that ends with a slash for folders only. What lies in a folder that matches, matches."""
+    rules = []
+    for line in lines:
+        line = line.rstrip("\r\n")
+        while line.endswith(" ") and not line.endswith("\\ "):
+            line = line[:-1]
+        keeps = line.startswith("!")
+        body = line[1:] if keeps else line
+        if not body or line.startswith("#") or not body.strip("/"):
+            continue
+        folder, rooted = body.endswith("/"), "/" in body.rstrip("/")
+        rules.append((("^" if rooted else "^([^/]+/)*") + _glob(body.strip("/")) + ("/.+$" if folder else "(/.+)?$"), not keeps))
+    return rules
+
+
 def ignored(path: Column, patterns: list[str]) -> Column:
-    """Whether a relative path is covered by lines of an ignore file: names, dir/ and globs, at any depth."""
+    """Whether a relative path is covered by the lines of an ignore file: the last line that matches it decides, one with ! takes it back in."""
     out = F.lit(False)
-    for p in (p.strip() for p in patterns):
-        if not p or p.startswith("#"):
-            continue
-        body = fnmatch.translate(p.strip("/")).removeprefix("(?s:").removesuffix(")\\z").removesuffix(")\\Z")
-        body = body.replace(".*", "[^/]*")
-        anchor = "^" if p.startswith("/") else "(^|/)"
-        out = out | path.rlike(f"{anchor}{body}{'/' if p.endswith('/') else '(/|$)'}")
+    for rule, ignores in ignore_rules(patterns):
+        out = F.when(path.rlike(rule), F.lit(ignores)).otherwise(out)
     return out
 
 
 def ignore_lines(spark: SparkSession, root: str) -> list[str]:
-    """The lines of root's .gitignore; none without one."""
+    """The lines of root's .gitignore; none without one. It is opened as a file, since readers of tables pass over names that begin with a dot."""
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/.gitignore")
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
         return []
-    return [r["value"] for r in spark.read.text(f"{root.rstrip('/')}/.gitignore").collect()]
+    stream = fs.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n")
+    finally:
+        stream.close()
 
 
-def project_files(files: DataFrame, ignore: list[str], most: int = 10_000) -> DataFrame:
-    """(path, content, language, modified) of files (path, content as binary, modified) that belong to a project: known suffixes, no hidden or ignored parts, valid UTF-8; at most ``most`` files, by path."""
+def project_files(files: DataFrame, ignore: list[str]) -> DataFrame:
+    """(path, content, language, modified) of files (path, content as binary, modified) that belong to a project: known suffixes, no hidden or ignored parts, valid UTF-8."""
     p = F.col("path")
     kept = files.where(p.rlike(r"^[^.][^/]*(/[^.][^/]*)*$") & language(p).isNotNull() & ~ignored(p, ignore) & F.is_valid_utf8(F.col("content").cast("string")))
-    return kept.select("path", F.col("content").cast("string").alias("content"), language(p).alias("language"), "modified").orderBy("path").limit(most)
+    return kept.select("path", F.col("content").cast("string").alias("content"), language(p).alias("language"), "modified")
 
 
-def scan_project(spark: SparkSession, root: str, ignore: list[str] | None = None, most: int = 10_000) -> DataFrame:
-    """project_files of a folder. What is ignored stands in its .gitignore and in ignore."""
+def scan_project(spark: SparkSession, root: str, ignore: list[str] | None = None, most: int | None = 10_000) -> DataFrame:
+    """project_files of a folder, by path; more than ``most`` of them are an error. What is ignored stands in its .gitignore and in ignore."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     rel = F.substring_index(F.regexp_replace(F.col("path"), "^[a-z]+:/+", "/"), root.rstrip("/") + "/", -1)
-    return project_files(files.select(rel.alias("path"), "content", F.col("modificationTime").alias("modified")), [*ignore_lines(spark, root), *(ignore or [])], most)
-
-
-def batch_files(files: DataFrame, suffixes: list[str], excluded: list[str]) -> DataFrame:
-    """files (path, ...) to index, sorted: given suffixes, no excluded folder, no test files."""
-    p = F.col("path")
-    keep = suffix(p).isin(*suffixes) & ~p.rlike("(^|/)(" + "|".join(excluded) + ")/") & ~p.rlike(r"(\.(spec|test)\.[jt]sx?$|(^|/)__tests__/|(^|/)test_[^/]*\.py$)")
+    found = project_files(files.select(rel.alias("path"), "content", F.col("modificationTime").alias("modified")), [*ignore_lines(spark, root), *(ignore or [])])
+    if most is not None and not found.select("path").offset(most).limit(1).isEmpty():
+        raise ValueError(f"more than {most} files; scan subdirectories separately")
+    return found.orderBy("path")
+
+
+# Folders that are never indexed, and parts of the paths of tests.
+EXCLUDED = ["node_modules", ".git", ".svn", ".hg", "__pycache__", "dist", "build", ".next"]
+TESTS = ["__tests__", ".spec.", ".test.", "vitest.config", "vitest.setup"]
+
+
+def batch_files(files: DataFrame, suffixes: list[str], excluded: list[str] | None = None, tests: bool = False) -> DataFrame:
+    """files (path, ...) to index, sorted: given suffixes, no part of the path an excluded name, and unless asked for no tests."""
+    p, parts = F.col("path"), F.array(*map(F.lit, EXCLUDED if excluded is None else excluded)).cast("array<string>")
+    keep = F.lit(False)
+    for s in suffixes:
+        keep = keep | p.endswith(s)
+    keep = keep & ~F.arrays_overlap(F.split(p, "/"), parts)
+    for t in [] if tests else TESTS:
+        keep = keep & ~p.contains(t)
     return files.where(keep).orderBy("path")
 
 
-def scan_batch(spark: SparkSession, root: str, suffixes: list[str], excluded: list[str]) -> DataFrame:
-    return batch_files(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length"), suffixes, excluded)
+def scan_batch(spark: SparkSession, root: str, suffixes: list[str], excluded: list[str] | None = None, tests: bool = False) -> DataFrame:
+    """batch_files of a folder (path below it, length)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    rel = F.substring_index(F.regexp_replace(F.col("path"), "^[a-z]+:/+", "/"), root.rstrip("/") + "/", -1)
+    return batch_files(files.select(rel.alias("path"), "length"), suffixes, excluded, tests)
 
 
 def read_transcripts(spark: SparkSession, root: str, settled_before: str | None = None) -> DataFrame:
