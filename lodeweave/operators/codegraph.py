@@ -97,6 +97,34 @@ def package_hint(target: Column) -> Column:
     return F.when(F.contains(target, F.lit("/")), F.split_part(F.get(parts, F.lit(0)), F.lit("."), F.lit(1)))
 
 
+def _lengths(asked: DataFrame) -> DataFrame:
+    """(symbol, lengths): the different lengths of a symbol's clues, which paths bound, however many clues there are."""
+    return asked.groupBy("symbol").agg(F.collect_set(F.length("clue")).alias("lengths"))
+
+
+def first_below(asked: DataFrame, places: DataFrame) -> DataFrame:
+    """(symbol, clue, dst): of the places (symbol, file, dst) of a symbol whose file starts as a clue (symbol, clue), the smallest dst.
+
+    A file is spelt out by its starts of the lengths that are asked for, so clues and files meet by equality."""
+    starts = places.join(_lengths(asked), "symbol").select("symbol", "dst", F.explode(F.transform(F.filter("lengths", lambda n: n <= F.length("file")), lambda n: F.substring("file", F.lit(1), n))).alias("clue"))
+    return asked.distinct().join(starts.groupBy("symbol", "clue").agg(F.min("dst").alias("dst")), ["symbol", "clue"])
+
+
+#: Clues of a symbol up to which each is held against each of its files.
+FEW_CLUES = 64
+
+
+def first_holding(asked: DataFrame, places: DataFrame, few: int = FEW_CLUES) -> DataFrame:
+    """(symbol, clue, dst): as first_below, for files that hold a clue anywhere. A symbol of many clues has its files spelt out by what stands in them at the lengths that are asked for."""
+    asked = asked.distinct()
+    many = asked.groupBy("symbol").agg(F.count("*").alias("n")).where(F.col("n") > few).select("symbol")
+    tried = asked.join(many, "symbol", "left_anti").join(places, "symbol").where(F.contains("file", "clue")).select("symbol", "clue", "dst")
+    parts = lambda n: F.when(n <= F.length("file"), F.transform(F.sequence(F.lit(1), F.length("file") - n + 1), lambda i: F.substring("file", i, n)))
+    spelt = places.join(_lengths(asked.join(many, "symbol", "left_semi")), "symbol").select("symbol", "dst", F.explode(F.array_distinct(F.flatten(F.array_compact(F.transform("lengths", parts))))).alias("clue"))
+    spelt = asked.join(spelt.groupBy("symbol", "clue").agg(F.min("dst").alias("dst")), ["symbol", "clue"])
+    return tried.unionByName(spelt).groupBy("symbol", "clue").agg(F.min("dst").alias("dst"))
+
+
 def resolve_imports(imports: DataFrame, chunks: DataFrame, internal: tuple[str, ...] = ("../", "./")) -> DataFrame:
     """(src, dst, target) for imports (id, file, target) from inside. chunks: id, file, name, name_path.
 
@@ -107,16 +135,16 @@ def resolve_imports(imports: DataFrame, chunks: DataFrame, internal: tuple[str,
     x = imports.where(inside(F.col("target"), internal) & F.contains(F.col("target"), F.lit("."))).select("id", "target", symbol.alias("symbol"), package_hint(F.col("target")).alias("hint"), F.regexp_replace("file", "/?[^/]*$", "").alias("folder"))
     x = cut(x.where("symbol <> ''"))
 
-    def first_of(keys: DataFrame, clue: str, test: Column) -> DataFrame:
-        """(symbol, clue, n, least, best): matches of a symbol, the first, and the first that passes the test with a clue."""
+    def first_of(keys: DataFrame, clue: str, look) -> DataFrame:
+        """(symbol, clue, n, least, best): matches of a symbol, the first, and the first in a file that a clue finds."""
         places = cut(keys.groupBy("symbol", "file").agg(F.count("*").alias("k"), F.min("dst").alias("dst")))
         whole = places.groupBy("symbol").agg(F.sum("k").alias("n"), F.min("dst").alias("least"))
         asked = x.select("symbol", clue).distinct()
-        told = asked.join(places, "symbol").where(test).groupBy("symbol", clue).agg(F.min("dst").alias("best"))
+        told = look(asked.select("symbol", F.col(clue).alias("clue")).where("clue is not null"), places).withColumnsRenamed({"clue": clue, "dst": "best"})
         return asked.join(whole, "symbol", "left").join(told, ["symbol", clue], "left")
 
-    by_path = first_of(_tails(chunks).select(F.col("key").alias("symbol"), "dst", "file"), "hint", F.contains("file", "hint") & (F.col("hint") != ""))
-    by_name = first_of(chunks.select(F.col("name").alias("symbol"), F.col("id").alias("dst"), "file"), "folder", F.startswith("file", "folder"))
+    by_path = first_of(_tails(chunks).select(F.col("key").alias("symbol"), "dst", "file"), "hint", lambda asked, places: first_holding(asked.where("clue <> ''"), places))
+    by_name = first_of(chunks.select(F.col("name").alias("symbol"), F.col("id").alias("dst"), "file"), "folder", first_below)
     pick = lambda t: F.when(F.col(f"{t}.n") == 1, F.col(f"{t}.least")).otherwise(F.coalesce(f"{t}.best", f"{t}.least"))
     same = lambda t, clue: (F.col("i.symbol") == F.col(f"{t}.symbol")) & F.col(f"i.{clue}").eqNullSafe(F.col(f"{t}.{clue}"))
     out = x.alias("i").join(by_path.alias("p"), same("p", "hint"), "left").join(by_name.alias("m"), same("m", "folder"), "left")
@@ -139,7 +167,8 @@ def reexport_edges(again: DataFrame, chunks: DataFrame) -> DataFrame:
     """(src, dst, symbol) for re-exports (id, file, source, symbol): the first chunk of that name in a file whose path starts as the source's; '*' is left out."""
     x = cut(again.where("symbol <> '*'").select("id", "symbol", joined_path(F.col("file"), F.col("source")).alias("prefix")))
     places = chunks.groupBy(F.col("name").alias("symbol"), "file").agg(F.min("id").alias("dst"))
-    found = x.select("symbol", "prefix").distinct().join(places, "symbol").where(F.startswith("file", "prefix")).groupBy("symbol", "prefix").agg(F.min("dst").alias("dst"))
+    asked = x.select("symbol", F.col("prefix").alias("clue")).where("prefix is not null")
+    found = first_below(asked, places).withColumnRenamed("clue", "prefix")
     return x.join(found, ["symbol", "prefix"]).select(F.col("id").alias("src"), "dst", "symbol")
 
 

@@ -1,7 +1,7 @@
 """Code-graph queries over documents as chunks of code.
 
 A document is a chunk: its file is a path made of its source, language and number, its name its first word, its kind
-follows from its number. It calls its first words, and imports and re-exports from files beside it."""
+follows from its number. It calls its words, and imports and re-exports from files beside it."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ KINDS = ["class", "method", "function", "interface", "barrel", "config_module",
 STEMS = ["main", "index", "vite.config", "missing"]
 _PICK = lambda words, n: f"[{', '.join(map(repr, words))}][{n} % {len(words)} + 1]"
 _WORDS = "regexp_extract_all(text, '[A-Za-z]+')"
-_CALLS = "list_distinct(w[1:12])"
+_CALLS = "list_distinct(w)"
 
 CHUNKS = f"""chunks AS (SELECT doc_id AS id, file, CASE WHEN doc_id % 11 = 0 THEN 'anonymous_' || doc_id WHEN doc_id % 13 = 0 THEN '' ELSE coalesce(w[1], '') END AS name, {_PICK(KINDS, 'doc_id')} AS chunk_type, w, lang, source,
   CASE WHEN doc_id % 17 <> 0 AND len(w) > 0 THEN replace(regexp_replace(file, '\\.[A-Za-z]+$', ''), '/', '.') || '.' || w[1] END AS name_path
@@ -66,7 +66,7 @@ placed AS (SELECT s.id, s.callee, CASE WHEN n > 1 AND m = 1 THEN own WHEN n > 0
 SELECT id AS src, dst, callee FROM placed WHERE dst IN (SELECT id FROM nodes) AND id IN (SELECT id FROM nodes)""")
 def g15(spark, sf):
     c = chunks(spark, sf)
-    calls = c.select("id", "file", F.explode(F.array_distinct(F.slice("w", 1, 12))).alias("callee"))
+    calls = c.select("id", "file", F.explode(F.array_distinct("w")).alias("callee"))
     return between_nodes(C.resolve_calls(calls, c, imports(c)), c).select("src", "dst", "callee")
 
 
@@ -80,12 +80,12 @@ def g16(spark, sf):
     return between_nodes(C.resolve_imports(imports(c), c), c).select("src", "dst", "target")
 
 
-@register("g17_reexport_edges", f"""WITH {CHUNKS}, again AS (SELECT id, file, unnest(list_concat(w[1:6], ['*'])) AS symbol, CASE WHEN id % 2 = 0 THEN './' ELSE '../' || lang || '/main' END AS source, lang FROM chunks WHERE chunk_type = 'barrel'),
+@register("g17_reexport_edges", f"""WITH {CHUNKS}, again AS (SELECT id, file, unnest(list_concat(w, ['*'])) AS symbol, CASE WHEN id % 2 = 0 THEN './' ELSE '../' || lang || '/main' END AS source, lang FROM chunks WHERE chunk_type = 'barrel'),
 pre AS (SELECT DISTINCT id, symbol, CASE WHEN id % 2 = 0 THEN regexp_replace(file, '/[^/]*$', '') ELSE regexp_replace(regexp_replace(file, '/[^/]*$', ''), '/[^/]*$', '') || '/' || lang || '/main' END AS prefix FROM again WHERE symbol <> '*')
 SELECT p.id AS src, min(c.id) AS dst, symbol FROM pre p JOIN chunks c ON c.name = p.symbol AND starts_with(c.file, p.prefix) GROUP BY p.id, symbol""")
 def g17(spark, sf):
     c = chunks(spark, sf)
-    again = c.where("chunk_type = 'barrel'").select("id", "file", F.explode(F.array_distinct(F.concat(F.slice("w", 1, 6), F.array(F.lit("*"))))).alias("symbol"), F.when(F.col("id") % 2 == 0, "./").otherwise(F.concat(F.lit("../"), "lang", F.lit("/main"))).alias("source"))
+    again = c.where("chunk_type = 'barrel'").select("id", "file", F.explode(F.array_distinct(F.concat("w", F.array(F.lit("*"))))).alias("symbol"), F.when(F.col("id") % 2 == 0, "./").otherwise(F.concat(F.lit("../"), "lang", F.lit("/main"))).alias("source"))
     return C.reexport_edges(again, c)
 
 

@@ -565,3 +565,34 @@ def test_admitted_rows_equal_a_loop(spark):
         want |= dict(zip((i for _, i in own), ok, strict=True))
     got = stateful.admitted_rows(spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp"), most=5, seconds=30.0).collect()
     assert {r["event_id"]: r["allowed"] for r in got} == want
+
+
+def test_path_lookups_equal_comparisons_and_make_no_product(spark):
+    import random
+
+    from lodeweave.operators import codegraph as C
+
+    pick = random.Random(2)
+    files = sorted({"/".join(pick.choice(["src", "lib", "a", "ab", "café", "x.y"]) for _ in range(pick.randint(1, 4))) + pick.choice([".ts", ".py", ""]) for _ in range(120)})
+    places = [(pick.choice("st"), f, i) for i, f in enumerate(files)] + [("s", files[0], 999)]
+    clues = sorted({(pick.choice("stu"), f[a : a + n]) for f in files for a, n in ((0, pick.randint(0, 9)), (pick.randint(0, 6), pick.randint(1, 6)))} | {("s", "nowhere"), ("s", "src/" * 30)})
+    df, asked = spark.createDataFrame(places, "symbol string, file string, dst long"), spark.createDataFrame(clues, "symbol string, clue string")
+    for found, test in ((C.first_below(asked, df), str.startswith), (C.first_holding(asked, df, few=3), str.__contains__), (C.first_holding(asked, df, few=10_000), str.__contains__)):
+        want = {}
+        for s, clue in clues:
+            hits = [d for x, f, d in places if x == s and test(f, clue)]
+            if hits and (clue or test is str.startswith):
+                want[s, clue] = min(hits)
+        assert {(r["symbol"], r["clue"]): r["dst"] for r in found.collect() if r["clue"] or test is str.startswith} == want
+
+
+def test_builtins_are_all_there():
+    import builtins
+
+    from lodeweave.operators.codegraph import BUILTINS
+
+    assert len(BUILTINS) == len(set(BUILTINS)) and all(hasattr(builtins, b) for b in BUILTINS)
+    assert {"KeyboardInterrupt", "SystemExit", "AssertionError", "StopIteration", "NotImplementedError", "RuntimeError", "ImportError"} <= set(BUILTINS)
+    # every function that the language gives but those that came after the list was drawn up
+    functions = {b for b in dir(builtins) if b.islower() and not b.startswith("_")}
+    assert functions - set(BUILTINS) <= {"aiter", "anext", "breakpoint", "copyright", "credits", "exit", "license", "quit"}
