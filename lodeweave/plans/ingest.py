@@ -44,38 +44,62 @@ fs AS (SELECT *, min(CASE WHEN k > 0 AND length(trim(regexp_replace(body, '[\\n\
 chunked AS (SELECT a.fk, a.k AS n, a.start_line, coalesce(b.end_line, a.end_line) AS end_line, CASE WHEN b.k IS NULL THEN a.body ELSE a.body || chr(10) || b.body END AS body FROM fs a LEFT JOIN fs b ON b.fk = a.fk AND b.k = b.cut AND a.k = b.k - 1 WHERE a.cut IS NULL OR a.k < a.cut)"""
 
 
-#: Sources made of a document's first words w[1] to w[6], so that what is found in them follows from the words.
+#: Sources made of a document: six words w[1] to w[6] spread over all of its text ('X' where it has none) name what is in them, and the text's length s decides which parts they have, so that there are some dozens of shapes.
 WORDS = 6
-_W = "src AS (SELECT doc_id, w FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS w FROM documents) WHERE len(w) >= 6)"
-PY = "import os\n\nclass C{1}(Base):\n    \"\"\"{2} {3}\"\"\"\n\n    def m_{2}(self, a_{3}: int) -> str:\n        if a_{3} and self:\n            return g_{4}(a_{3})\n        return os.path.join('{1}')\n\n\nasync def f_{5}(x, *, deep=False):\n    for i in range(3):\n        h_{6}(i, deep)\n"
-LONG_PY = "\n\ndef big{1}():\n" + "    x = 1\n" * 300
-TS = "import D{1}, {{ a{2}, b as c{3} }} from './{4}'\nimport * as n from 'lib'\nexport {{ x{2} as y{3}, z }} from './z'\nexport * from './all'\nexport async function go{5}(p: string, q?: number): Promise<void> {{}}\nexport function* gen{6}(a = 1) {{}}\nexport class K{6} {{}}\n"
-BARREL = "// {1}\nexport * from './{2}'\nexport {{ {3}, {4} as d }} from './b'\nexport type {{ {5} }} from './t'\n"
-HOVER = "def f{1}(a{2}: int, b: dict[str, {3}] = {{}}, *c) -> list[tuple[int, {4}]]"
+_W = f"src AS (SELECT doc_id, s, list_transform(range(0, {WORDS}), lambda i: coalesce(v[1 + i * (len(v) - 1) // {WORDS - 1}], 'X')) AS w FROM (SELECT doc_id, coalesce(length(text), 0) AS s, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+') AS v FROM documents))"
+ALWAYS = "true"
+#: (condition, lines): a class with a method, a coroutine, a decorated function with one inside, one that is too long for a chunk, and a line that breaks the source.
+CLASS = ("s % 2 = 0", "class C{1}(Base):\n    \"\"\"{2} {3}\"\"\"\n\n    def m_{2}(self, a_{3}: int) -> str:\n        if a_{3} and self:\n            return g_{4}(a_{3})\n        return os.path.join('{1}')\n\n\n")
+ASYNC = ("s % 3 <> 1", "async def f_{5}(x, *, deep=False):\n    for i in range(3):\n        h_{6}(i, deep)\n\n\n")
+NESTED = ("s % 5 < 3", "@deco.rator\ndef n_{3}(a_{1}, /, *rest, k_{2}=1, **more):\n    def inner_{4}(y):\n        try:\n            return z_{5}(y)\n        except ValueError:\n            return None\n    while inner_{4}(k_{2}):\n        p_{6}.q_{1}(a_{1} if rest else more)\n    return inner_{4}\n\n\n")
+LONG = ("s % 10 = 0", "def big{1}():\n" + "    x = 1\n" * 300 + "\n\n")
+BROKEN = ("s % 7 = 0", "def broken_{2}(:\n")
+PY = [(ALWAYS, "import os\n\n"), CLASS, ASYNC, NESTED, BROKEN]
+PY_LONG = [*PY[:-1], LONG, BROKEN]
+TS_HEAD = "import D{1}, {{ a{2}, b as c{3} }} from './{4}'\nimport * as n from 'lib'\nexport {{ x{2} as y{3}, z }} from './z'\nexport * from './all'\n"
+TS = [
+    (ALWAYS, TS_HEAD), ("s % 2 = 0", "export async function go{5}(p: string, q?: number): Promise<void> {{}}\n"), ("s % 3 <> 1", "export function* gen{6}(a = 1) {{}}\n"),
+    ("s % 5 < 3", "export class K{6} {{}}\n"), ("s % 7 < 4", "interface I{1} {{}}\n"), ("s % 4 = 1", "export default function d{2}(m: Map<string, T{3}>, e{4}: string = 'x'): T{5}[] {{}}\n"),
+]
+BARREL = [(ALWAYS, "// {1}\nexport * from './{2}'\nexport {{ {3}, {4} as d }} from './b'\nexport type {{ {5} }} from './t'\n"), ("s % 3 = 1", "const x = 1\n"), ("s % 3 = 2", "const x = 1\n" * 6)]
+HOVER = [("s % 3 = 0", "def f{1}(a{2}: int, b: dict[str, {3}] = {{}}, *c) -> list[tuple[int, {4}]]"), ("s % 3 = 1", "def go_{2}(self, p_{3}: Callable[[int], {4}], *args: {5}) -> None"), ("s % 3 = 2", "class K{1}")]
 
 
-def made(spark, sf, template: str, **more):
-    """(doc_id, w, source) of documents with enough words; more: templates that are added where a condition on doc_id holds."""
-    d = load(spark, sf, "documents").select("doc_id", F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1)).alias("w")).where(F.size("w") >= WORDS)
+def _pieces(template: str) -> list[int | str]:
+    """A template as its texts and the numbers of its words."""
+    return [int(x) if k % 2 else x.replace("{{", "{").replace("}}", "}") for k, x in enumerate(re.split(r"\{(\d)\}", template))]
 
-    def filled(t: str):
-        parts = re.split(r"\{(\d)\}", t)
-        return F.concat(*[F.get("w", F.lit(int(p) - 1)) if k % 2 else F.lit(p.replace("{{", "{").replace("}}", "}")) for k, p in enumerate(parts)])
 
-    source = filled(template)
-    for condition, t in more.items():
-        source = F.concat(source, F.when(F.expr(MORE_IF[condition]), filled(t)).otherwise(""))
-    return d.select("doc_id", "w", source.alias("source"))
+def made(spark, sf, parts: list[tuple[str, str]]):
+    """(doc_id, source): the parts whose condition holds, filled in."""
+    v = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([A-Za-z]+)"), F.lit(1))
+    d = load(spark, sf, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("s"), v.alias("v"))
+    word = lambda i: F.coalesce(F.get("v", F.floor(F.lit(i - 1) * (F.size("v") - 1) / F.lit(WORDS - 1)).cast("int")), F.lit("X"))
+    d = d.select("doc_id", "s", *[word(i).alias(f"w{i}") for i in range(1, WORDS + 1)])
+    filled = lambda t: F.concat(*[F.col(f"w{x}") if isinstance(x, int) else F.lit(x) for x in _pieces(t)])
+    return d.select("doc_id", F.concat(*[F.when(F.expr(c), filled(t)).otherwise("") for c, t in parts]).alias("source"))
 
 
-#: Where a longer source is made.
-MORE_IF = {"tenth": "doc_id % 10 = 0", "third": "doc_id % 3 <> 0"}
+def _made_sql(parts: list[tuple[str, str]]) -> str:
+    quoted = lambda x: f"w[{x}]" if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
+    return " || ".join(f"CASE WHEN {c} THEN {' || '.join(map(quoted, _pieces(t)))} ELSE '' END" for c, t in parts)
 
 
-@register("i3_barrel", f"WITH {_W} SELECT doc_id, doc_id % 3 = 0 AS barrel FROM src")
+def _offset(parts: list[tuple[str, str]], part: tuple[str, str]) -> str:
+    """How many lines stand before a part."""
+    return " + ".join(f"CASE WHEN {c} THEN {t.count(chr(10))} ELSE 0 END" for c, t in parts[: parts.index(part)])
+
+
+def _told(parts: list[tuple[str, str]], rows: list[tuple[tuple[str, str], str]], sound: bool = True) -> str:
+    """(doc_id, w, s, o, u): a struct u of each row that a part gives, o the lines before the part; broken sources have none."""
+    each = [f"SELECT doc_id, w, s, {_offset(parts, part)} AS o, unnest([{structs}]) AS u FROM src WHERE {part[0]}" + (f" AND NOT ({BROKEN[0]})" if sound else "") for part, structs in rows]
+    return "told AS (" + " UNION ALL ".join(each) + ")"
+
+
+@register("i3_barrel", f"WITH {_W} SELECT doc_id, s % 3 <> 2 AS barrel FROM src")
 def i3(spark, sf):
-    """Files of four re-exported symbols in three lines, two thirds of them with six lines of code besides."""
-    return made(spark, sf, BARREL, third="const x = 1\n" * 6).select("doc_id", I.barrel(F.col("source")).alias("barrel"))
+    """Files of four re-exported symbols in three lines, some with a line of code besides, some with six."""
+    return made(spark, sf, BARREL).select("doc_id", I.barrel(F.col("source")).alias("barrel"))
 
 
 def _python(f, kind: str):
@@ -92,28 +116,58 @@ def _python(f, kind: str):
 UNIT = "name:string,kind:string,start_line:int,end_line:int,signature:string,returns:string,params:array<string>,decorators:array<string>,docstring:string,complexity:int,lines:int,calls:array<string>,uses:array<string>,source:string"
 
 
-@register("i4_python_chunks", f"""WITH {_W}, u AS (SELECT doc_id, w, unnest([{{'name': 'm_' || w[2], 'kind': 'method', 'a': 6, 'b': 9}}, {{'name': 'f_' || w[5], 'kind': 'function', 'a': 12, 'b': 14}}, {{'name': 'C' || w[1], 'kind': 'class', 'a': 3, 'b': 9}}]) AS u FROM src),
-big AS (SELECT doc_id AS id, 'def big' || w[1] || '():' || repeat(chr(10) || '    x = 1', 300) AS text FROM src WHERE doc_id % 10 = 0), {_chunks_sql('big', 'id')}
-SELECT doc_id, u.name, u.kind, u.a AS start_line, u.b AS end_line FROM u UNION ALL SELECT fk, 'chunk_' || n, 'fallback_fixed', start_line::INT, end_line::INT FROM chunked""")
+_NAMED = """{{'name': {0}, 'kind': '{1}', 'a': {2}, 'b': {3}}}"""
+_UNITS = [
+    (CLASS, ", ".join((_NAMED.format("'m_' || w[2]", "method", 4, 7), _NAMED.format("'C' || w[1]", "class", 1, 7)))),
+    (ASYNC, _NAMED.format("'f_' || w[5]", "function", 1, 3)),
+    (NESTED, ", ".join((_NAMED.format("'n_' || w[3]", "function", 2, 10), _NAMED.format("'inner_' || w[4]", "function", 3, 7)))),
+]
+
+
+@register("i4_python_chunks", f"""WITH {_W}, {_told(PY_LONG, _UNITS)},
+big AS (SELECT doc_id AS id, CASE WHEN {BROKEN[0]} THEN {_made_sql(PY_LONG)} ELSE 'def big' || w[1] || '():' || repeat(chr(10) || '    x = 1', 300) END AS text FROM src WHERE {LONG[0]} OR {BROKEN[0]}), {_chunks_sql('big', 'id')}
+SELECT doc_id, u.name, u.kind, (o + u.a)::INT AS start_line, (o + u.b)::INT AS end_line FROM told UNION ALL SELECT fk, 'chunk_' || n, 'fallback_fixed', start_line::INT, end_line::INT FROM chunked""")
 def i4(spark, sf):
-    """Chunks of Python sources by their syntax tree; every tenth has a function that is too long for one."""
+    """Chunks of Python sources by their syntax tree; some have a function that is too long for one, some are broken and cut by lines."""
     units = _python(I.python_chunks, "name:string,kind:string,start_line:int,end_line:int,source:string")
-    x = made(spark, sf, PY, tenth=LONG_PY).select("doc_id", F.explode(units("source")).alias("u"))
+    x = made(spark, sf, PY_LONG).select("doc_id", F.explode(units("source")).alias("u"))
     return x.select("doc_id", "u.name", "u.kind", "u.start_line", "u.end_line")
 
 
-@register("i8_python_metadata", f"""WITH {_W} SELECT doc_id, u.* FROM (SELECT doc_id, unnest([
-{{'name': 'C' || w[1], 'signature': '', 'returns': '', 'params': '', 'docstring': w[2] || ' ' || w[3], 'complexity': 3, 'lines': 7, 'calls': 'join,g_' || w[4], 'uses': 'os'}},
-{{'name': 'm_' || w[2], 'signature': 'm_' || w[2] || '(self, a_' || w[3] || ': int) -> str', 'returns': 'str', 'params': 'self,a_' || w[3], 'docstring': '', 'complexity': 3, 'lines': 4, 'calls': 'join,g_' || w[4], 'uses': 'os'}},
-{{'name': 'f_' || w[5], 'signature': 'f_' || w[5] || '(x, *, deep=False)', 'returns': '', 'params': 'x,deep', 'docstring': '', 'complexity': 2, 'lines': 3, 'calls': 'range,h_' || w[6], 'uses': ''}}]) AS u FROM src)""")
+_META = """{{'name': {0}, 'signature': {1}, 'returns': '{2}', 'params': {3}, 'docstring': {4}, 'complexity': {5}, 'lines': {6}, 'calls': {7}, 'uses': '{8}'}}"""
+_METAS = [
+    (CLASS, ", ".join((
+        _META.format("'C' || w[1]", "''", "", "''", "w[2] || ' ' || w[3]", 3, 7, "'join,g_' || w[4]", "os"),
+        _META.format("'m_' || w[2]", "'m_' || w[2] || '(self, a_' || w[3] || ': int) -> str'", "str", "'self,a_' || w[3]", "''", 3, 4, "'join,g_' || w[4]", "os"),
+    ))),
+    (ASYNC, _META.format("'f_' || w[5]", "'f_' || w[5] || '(x, *, deep=False)'", "", "'x,deep'", "''", 2, 3, "'range,h_' || w[6]", "")),
+    (NESTED, ", ".join((
+        _META.format("'n_' || w[3]", "'n_' || w[3] || '(a_' || w[1] || ', /, *rest, k_' || w[2] || '=1, **more)'", "", "'a_' || w[1] || ',k_' || w[2]", "''", 4, 9, "'inner_' || w[4] || ',q_' || w[1] || ',z_' || w[5]", ""),
+        _META.format("'inner_' || w[4]", "'inner_' || w[4] || '(y)'", "", "'y'", "''", 2, 5, "'z_' || w[5]", ""),
+    ))),
+]
+
+
+@register("i8_python_metadata", f"WITH {_W}, {_told(PY, _METAS)} SELECT doc_id, u.* FROM told")
 def i8(spark, sf):
     x = made(spark, sf, PY).select("doc_id", F.explode(_python(I.python_units, UNIT)("source")).alias("u"))
     listed = lambda c: F.array_join(f"u.{c}", ",").alias(c)
     return x.select("doc_id", "u.name", "u.signature", "u.returns", listed("params"), "u.docstring", "u.complexity", "u.lines", listed("calls"), listed("uses"))
 
 
+def _line(part: tuple[str, str]) -> str:
+    return f"({_offset(TS, part)} + 1)::VARCHAR"
+
+
+_TS_UNITS = ", ".join(f"CASE WHEN {part[0]} THEN {told} END" for part, told in (
+    (TS[1], f"'go' || w[5] || ' function ' || {_line(TS[1])} || ' async p:string,q?:number Promise<void>'"), (TS[2], f"'gen' || w[6] || ' function ' || {_line(TS[2])} || ' generator a?=1 '"),
+    (TS[3], f"'K' || w[6] || ' class ' || {_line(TS[3])} || '  '"), (TS[4], f"'I' || w[1] || ' interface ' || {_line(TS[4])} || '  '"),
+    (TS[5], f"'d' || w[2] || ' function ' || {_line(TS[5])} || ' m:Map<string, T' || w[3] || '>,e' || w[4] || '?:string=''x'' T' || w[5] || '[]'"),
+))
+
+
 @register("i8b_typescript_metadata", f"""WITH {_W} SELECT doc_id, './' || w[4] || '.a' || w[2] || ',./' || w[4] || '.b,./' || w[4] || ',lib' AS imports, 'y' || w[3] || '<x' || w[2] || ' ./z,z ./z,* ./all' AS re_exports,
-'go' || w[5] || ' function 5 async p:string,q?:number Promise<void>;gen' || w[6] || ' function 6 generator a?=1 ;K' || w[6] || ' class 7  ' AS units FROM src""")
+array_to_string(list_filter([{_TS_UNITS}], lambda u: u IS NOT NULL), ';') AS units FROM src""")
 def i8b(spark, sf):
     @F.pandas_udf("imports string, re_exports string, units string")
     def meta(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -129,19 +183,28 @@ def i8b(spark, sf):
     return made(spark, sf, TS).select("doc_id", meta("source").alias("m")).select("doc_id", "m.*")
 
 
-@register("i22_call_contexts", f"""WITH {_W}, told AS (SELECT doc_id, unnest([
-{{'scope_type': 'class', 'scope_name': 'C' || w[1], 'call_name': 'g_' || w[4], 'line': 8, 'is_conditional': true, 'is_loop': false, 'is_try': false, 'arguments': 1}},
-{{'scope_type': 'class', 'scope_name': 'C' || w[1], 'call_name': 'join', 'line': 9, 'is_conditional': false, 'is_loop': false, 'is_try': false, 'arguments': 1}},
-{{'scope_type': 'method', 'scope_name': 'm_' || w[2], 'call_name': 'g_' || w[4], 'line': 8, 'is_conditional': true, 'is_loop': false, 'is_try': false, 'arguments': 1}},
-{{'scope_type': 'method', 'scope_name': 'm_' || w[2], 'call_name': 'join', 'line': 9, 'is_conditional': false, 'is_loop': false, 'is_try': false, 'arguments': 1}},
-{{'scope_type': 'function', 'scope_name': 'f_' || w[5], 'call_name': 'range', 'line': 13, 'is_conditional': false, 'is_loop': true, 'is_try': false, 'arguments': 1}},
-{{'scope_type': 'function', 'scope_name': 'f_' || w[5], 'call_name': 'h_' || w[6], 'line': 14, 'is_conditional': false, 'is_loop': true, 'is_try': false, 'arguments': 2}}]) AS c FROM src) SELECT doc_id, c.* FROM told""")
+_CALL = """{{'scope_type': '{0}', 'scope_name': {1}, 'call_name': {2}, 'line': {3}, 'is_conditional': {4}, 'is_loop': {5}, 'is_try': {6}, 'arguments': {7}}}"""
+_N, _T = "false", "true"
+_CONTEXTS = [
+    (CLASS, ", ".join(_CALL.format(kind, scope, *call) for kind, scope in (("class", "'C' || w[1]"), ("method", "'m_' || w[2]")) for call in (("'g_' || w[4]", 6, _T, _N, _N, 1), ("'join'", 7, _N, _N, _N, 1)))),
+    (ASYNC, ", ".join(_CALL.format("function", "'f_' || w[5]", *call) for call in (("'range'", 2, _N, _T, _N, 1), ("'h_' || w[6]", 3, _N, _T, _N, 2)))),
+    (NESTED, ", ".join((
+        *[_CALL.format("function", "'n_' || w[3]", *call) for call in (("'inner_' || w[4]", 8, _N, _T, _N, 1), ("'q_' || w[1]", 9, _N, _T, _N, 1), ("'z_' || w[5]", 5, _N, _N, _T, 1))],
+        _CALL.format("function", "'inner_' || w[4]", "'z_' || w[5]", 5, _N, _N, _T, 1),
+    ))),
+]
+
+
+@register("i22_call_contexts", f"WITH {_W}, {_told(PY, _CONTEXTS)} SELECT doc_id, u.scope_type, u.scope_name, u.call_name, (o + u.line)::INT AS line, u.is_conditional, u.is_loop, u.is_try, u.arguments FROM told")
 def i22(spark, sf):
     calls = _python(I.call_contexts, "scope_type:string,scope_name:string,call_name:string,line:int,is_conditional:boolean,is_loop:boolean,is_try:boolean,arguments:int")
     return made(spark, sf, PY).select("doc_id", F.explode(calls("source")).alias("c")).select("doc_id", "c.*")
 
 
-@register("i15_hover_types", f"WITH {_W} SELECT doc_id, 'list[tuple[int, ' || w[4] || ']]' AS returns, 'a' || w[2] || '=int;b=dict[str, ' || w[3] || ']' AS params FROM src")
+_RETURNS = "CASE s % 3 WHEN 0 THEN 'list[tuple[int, ' || w[4] || ']]' WHEN 1 THEN 'None' END"
+
+
+@register("i15_hover_types", f"WITH {_W} SELECT doc_id, {_RETURNS} AS returns, CASE s % 3 WHEN 0 THEN 'a' || w[2] || '=int;b=dict[str, ' || w[3] || ']' WHEN 1 THEN 'args=' || w[5] || ';p_' || w[3] || '=Callable[[int], ' || w[4] || ']' ELSE '' END AS params FROM src")
 def i15(spark, sf):
     @F.pandas_udf("returns string, params map<string,string>")
     def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -291,7 +354,7 @@ def i21(spark, sf):
     return x.groupBy(F.coalesce("reject", F.lit("taken")).alias("status")).agg(F.count("*").alias("n"))
 
 
-@register("udf_sql", f"""WITH {_W} SELECT doc_id, 'g_' || w[4] || ',join' AS calls, 'list[tuple[int, ' || w[4] || ']]' AS returns FROM src""")
+@register("udf_sql", f"WITH {_W} SELECT doc_id, CASE WHEN {CLASS[0]} AND NOT ({BROKEN[0]}) THEN 'g_' || w[4] || ',join' ELSE '' END AS calls, {_RETURNS} AS returns FROM src")
 def udf_sql(spark, sf):
     """Registered functions from SQL text."""
     from ..functions.registry import register_functions
