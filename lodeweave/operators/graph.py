@@ -230,3 +230,21 @@ def repository_metrics(metrics: DataFrame, most: int = 10) -> DataFrame:
     one = metrics.agg(F.count("*").alias("total_functions"), F.round(F.avg("complexity"), 2).alias("avg_complexity"), F.max("complexity").alias("max_complexity"), F.min_by("name", F.struct(-F.col("complexity"), F.col("name"))).alias("most_complex"), F.round(F.avg("coupling"), 2).alias("avg_coupling"))
     top = metrics.where("rank is not null").orderBy(F.round("rank", 12).desc(), "name").limit(most).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((-F.round("rank", 12)).alias("r"), "name"))), lambda x: x["name"]), ",").alias("top_pagerank"))
     return one.crossJoin(F.broadcast(top))
+
+
+def calling(edges: DataFrame, nodes: DataFrame, label: str, direction: str = "inbound", depth: int = 3, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page of the callers (inbound) or callees (outbound) of the node of a label (of several the first by id), by label: node, label, depth; nodes: node_id, label."""
+    if not 1 <= depth <= 3:
+        raise ValueError("a depth of 1 to 3")
+    start = nodes.where(F.col("label") == label).agg(F.min("node_id").alias("node")).where("node is not null")
+    found = traverse(edges, start, depth, direction).join(nodes.select(F.col("node_id").alias("node"), "label"), "node")
+    return found.select("node", "label", "depth").orderBy("label", "node").offset(offset).limit(limit)
+
+
+def node_detail(edges: DataFrame, nodes: DataFrame, node: int) -> DataFrame:
+    """Rows (role, node, node_type, label) for a node (role self), those that lead to it (caller) and those it leads to (callee)."""
+    known = nodes.select(F.col("node_id").alias("node"), "node_type", "label")
+    own = known.where(F.col("node") == node).select(F.lit("self").alias("role"), "*")
+    ends = edges.where((F.col("dst") == node) & (F.col("src") != node)).select(F.lit("caller").alias("role"), F.col("src").alias("node"))
+    ends = ends.unionByName(edges.where((F.col("src") == node) & (F.col("dst") != node)).select(F.lit("callee").alias("role"), F.col("dst").alias("node"))).distinct()
+    return own.unionByName(ends.join(known, "node").select("role", "node", "node_type", "label"))

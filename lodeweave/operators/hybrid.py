@@ -57,6 +57,12 @@ def _fused(lists: list[tuple[str, DataFrame, float]], k: int, weighted: bool = T
     return S.fuse([(n, rows, w if weighted else None) for n, rows, w in lists], "id", k)
 
 
+def _held(top: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """top, a few dozen rows, as found, and those of rows that it names: a filter by ids, which reaches the scan below whatever joins rows are made of."""
+    found = top.collect()
+    return top.sparkSession.createDataFrame(found, top.schema), rows.where(F.col("id").isin([r["id"] for r in found]))
+
+
 def _reranked(top: DataFrame, bodies: DataFrame, query: str, pool: int) -> DataFrame:
     """The first ``pool`` places in the order of BM25, the others behind them as they were; place is the new rank."""
     x = top.join(bodies, "id")
@@ -87,7 +93,7 @@ def search_code(chunks: DataFrame, query: str, vector: list[float] | None = None
         lists.append(("lexical", S.ranked(found, [F.col("score").desc(), F.col("id")], pool), w[0]))
     if vector is not None:
         lists.append(("vector", nearest(rows, column, vector, pool), w[1]))
-    top = S.ranked(_fused(lists, k), S.fused_order("id"), max(top_k, rerank))
+    top, rows = _held(S.ranked(_fused(lists, k), S.fused_order("id"), max(top_k, rerank)), rows)
     out = _reranked(top, rows.select("id", F.col("source_code").alias("__body")), query, rerank)
     return out.where(F.col("place") <= top_k).select("id", F.col("place").alias("rank"), "rrf_score", "rerank_score", "sources").join(rows, "id").orderBy("rank")
 
@@ -112,7 +118,7 @@ def search_memories(memories: DataFrame, query: str, now: datetime, vector: list
         lists.append(("entity", S.ranked(rows.where(has).select("id", "created_at"), newest, pool), weights[2]))
     if tags:
         lists.append(("tag", S.ranked(rows.where(D.auto_tag_match(F.col("tags"), F.coalesce("auto_tags", F.lit("")), tags)).select("id", "created_at"), newest, pool), weights[3]))
-    top = S.ranked(_fused(lists, k, weighted), S.fused_order("id"), max(limit + offset, rerank))
+    top, rows = _held(S.ranked(_fused(lists, k, weighted), S.fused_order("id"), max(limit + offset, rerank)), rows)
     out = _reranked(top, rows.select("id", F.concat_ws(" ", "title", "embedding_source").alias("__body")), query, rerank).join(rows, "id")
     age = DE.age_days(F.lit(now).cast("timestamp"), F.col("created_at"))
     factor = DE.decay(age, DE.rate_of_tags(F.col("tags"))) * DE.outcome_factor(F.col("outcome_positive"), F.col("outcome_negative")) if by_tags else DE.decay(age)

@@ -143,14 +143,27 @@ def e13(spark, sf):
     return memories(spark, sf).join(rating, "id", "left").select("id", (F.col("outcome_positive") + zero("up")).alias("pos"), (F.col("outcome_negative") + zero("down")).alias("neg"))
 
 
-@register("e14_snapshot", f"{M}, t AS (SELECT id, created_at, unnest(tags) AS tag FROM memories WHERE deleted_at IS NULL), k AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY created_at DESC, id) AS pos FROM t WHERE tag IN ('sys:pattern', 'x:candidate', 'x:doubt', 'en')) SELECT tag, id, pos FROM k WHERE pos <= CASE tag WHEN 'sys:pattern' THEN 20 WHEN 'en' THEN 5 ELSE 10 END")
+#: Tags that a memory has by its number, for the sections of a snapshot; a source is a project.
+_SYSTEM = {"sys:core": 9, "sys:anchor": 6, "sys:pattern": 4, "sys:pattern:candidate": 3, "sys:extension": 7, "sys:user:profile": 11, "sys:protocol": 5, "sys:trace": 8, "sys:history": 10, "sys:drift": 12, "trace:fresh": 13}
+_SYSTEM_SQL = f"{M}, sm AS (SELECT *, list_concat(list_filter([{', '.join(f'CASE WHEN id % {n} = 0 THEN {t!r} END' for t, n in _SYSTEM.items())}], lambda t: t IS NOT NULL), ['sys:project:' || source]) AS st FROM memories WHERE deleted_at IS NULL)"
+
+
+def system_memories(spark, sf):
+    tags = F.array(*[F.when(F.col("id") % n == 0, t) for t, n in _SYSTEM.items()], F.concat(F.lit("sys:project:"), "source"))
+    return memories(spark, sf).withColumn("tags", F.array_compact(tags))
+
+
+_FIRST = " UNION ALL ".join(f"(SELECT {n} AS n, '{section}' AS section, id, st, row_number() OVER (ORDER BY created_at DESC, id) AS pos FROM sm WHERE list_contains(st, '{tag + 'src1' if tag.endswith(':') else tag}') QUALIFY pos <= {most})" for n, (section, tag, most) in enumerate(R.SNAPSHOT))
+
+
+@register("e14_snapshot", f"{_SYSTEM_SQL}, first AS ({_FIRST}), told AS (SELECT CASE WHEN section = 'patterns' AND list_contains(st, '{R.CANDIDATE}') THEN 'candidates' ELSE section END AS section, id, min(n * 1000 + pos) AS spot FROM first GROUP BY ALL) SELECT section, id, row_number() OVER (PARTITION BY section ORDER BY spot) AS place FROM told QUALIFY section <> 'candidates' OR place <= {R.CANDIDATES}")
 def e14(spark, sf):
-    """Newest memories by tag group, each group with a limit of its own."""
-    limits = {"sys:pattern": 20, "x:candidate": 10, "x:doubt": 10, "en": 5}
-    t = memories(spark, sf).where("deleted_at IS NULL").select("id", "created_at", F.explode("tags").alias("tag")).where(F.col("tag").isin(*limits))
-    most = F.create_map(*[F.lit(x) for p in limits.items() for x in p])
-    pos = F.row_number().over(Window.partitionBy("tag").orderBy(F.col("created_at").desc(), "id")).cast("long")
-    return t.select("tag", "id", pos.alias("pos")).where(F.col("pos") <= F.try_element_at(most, F.col("tag")))
+    return R.snapshot(system_memories(spark, sf), "src1")
+
+
+@register("e14b_snapshot_health", f"{_SYSTEM_SQL}, h AS (SELECT count(*) FILTER (WHERE list_contains(st, 'sys:history')) AS history_count, count(*) FILTER (WHERE list_contains(st, 'sys:drift') AND consumed_at IS NULL) AS fresh_drifts, count(*) FILTER (WHERE list_contains(st, 'trace:fresh') AND consumed_at IS NULL) AS fresh_traces, count(*) FILTER (WHERE list_contains(st, '{R.CANDIDATE}') AND consumed_at IS NULL) AS candidates_pending, count(*) AS total_memories, count(*) FILTER (WHERE list_contains(st, 'sys:protocol')) AS protocol_count, count(*) FILTER (WHERE list_contains(st, 'sys:trace')) AS trace_count FROM sm) SELECT *, history_count > 20 AS needs_consolidation FROM h")
+def e14b(spark, sf):
+    return R.snapshot_health(system_memories(spark, sf))
 
 
 @register("e15_health", f"{M} SELECT count(*) AS total, count(*) FILTER (WHERE deleted_at IS NULL) AS live, count(*) FILTER (WHERE list_contains(tags, 'x:doubt')) AS doubts, round(avg(outcome_positive) FILTER (WHERE outcome_positive > 0), 6) AS mean_up FROM memories")

@@ -159,6 +159,18 @@ def g22(spark, sf):
     return x.select("node", "label", "depth").orderBy("label", "node").offset(5).limit(5)
 
 
+@register("g22b_callees_page", f"{E}, {NODES_SQL}, start AS (SELECT min(node_id) AS id FROM nodes WHERE label = (SELECT label FROM nodes WHERE node_id = 3)), t(node, depth) AS (SELECT id, 0 FROM start UNION SELECT dst, depth + 1 FROM t JOIN edges ON src = node WHERE depth < 3), d AS (SELECT node, min(depth) AS depth FROM t WHERE node <> (SELECT id FROM start) GROUP BY node) SELECT node, label, depth FROM d JOIN nodes ON node_id = node ORDER BY label, node LIMIT 20 OFFSET 10")
+def g22b(spark, sf):
+    n = nodes(spark, sf)
+    label = n.where("node_id = 3").select("label").first()["label"]
+    return G.calling(links(spark, sf), n, label, "outbound", 3, limit=20, offset=10)
+
+
+@register("g22c_node_detail", f"{E}, {NODES_SQL}, ends AS (SELECT DISTINCT 'caller' AS role, src AS node FROM edges WHERE dst = 4 AND src <> 4 UNION SELECT DISTINCT 'callee', dst FROM edges WHERE src = 4 AND dst <> 4) SELECT 'self' AS role, node_id AS node, node_type, label FROM nodes WHERE node_id = 4 UNION ALL SELECT role, node, node_type, label FROM ends JOIN nodes ON node_id = node")
+def g22c(spark, sf):
+    return G.node_detail(links(spark, sf), nodes(spark, sf), 4)
+
+
 @register("g23_memory_graph", f"WITH {MEMORIES_SQL}, rel AS (SELECT id AS a, id + 1 + id % 3 AS b, (id % 10) / 10.0 AS score FROM memories), kept AS (SELECT a, b FROM rel JOIN memories x ON x.id = a JOIN memories y ON y.id = b WHERE score >= 0.3 AND x.deleted_at IS NULL AND y.deleted_at IS NULL) SELECT node, count(*) AS degree FROM (SELECT a AS node FROM kept UNION ALL SELECT b FROM kept) GROUP BY node")
 def g23(spark, sf):
     m = memories(spark, sf)

@@ -6,6 +6,8 @@ words, its source the whole text; the query text is made of words common in one
 of the languages."""
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from ..functions import decay as DE
 from ..functions import documents as D
 from ..functions import text as X
 from ..functions import vector as V
-from ..operators import cells, trigram
+from ..operators import cells, hybrid, trigram
 from ..operators import search as S
 from ..sources.tables import MEMORIES_SQL, load, memories, memory_texts, names
 
@@ -407,3 +409,35 @@ def q38(spark, sf):
 @register("q38b_key_counts", "SELECT key, value, count(*) AS n FROM (SELECT 'k' AS key, json_extract_string(props, '$.k') AS value FROM events) GROUP BY key, value")
 def q38b(spark, sf):
     return load(spark, sf, "events").select(F.explode(F.from_json("props", "map<string,string>"))).groupBy("key", "value").agg(F.count("*").alias("n"))
+
+
+_CODE = f"{QV}, {LEX.replace('lex AS', 'lexical AS', 1)}, {VEC.replace('vec AS', 'vector AS', 1).replace('FROM embeddings, qv', 'FROM embeddings JOIN documents ON doc_id = vec_id, qv')}, {_rrf_sql([('lexical', 0.5), ('vector', 0.5)], 80)}, pool AS (SELECT *, {_FUSED_RANK} AS rank FROM fused QUALIFY rank <= 30), {_bm25_sql('pool', _TOKENS, 'left(text, 1000)')}"
+
+
+def code_chunks(spark, sf) -> DataFrame:
+    """Documents as chunks, with the vectors of their numbers."""
+    d = load(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.array_join(F.slice(F.split("text", " "), 1, 5), " ").alias("name"), F.col("text").alias("source_code"), F.col("lang").alias("language"))
+    return d.join(load(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id", "left")
+
+
+@register("q39_search_code", f"WITH {_CODE} SELECT id, rank, rrf_score, rerank_score, sources FROM (SELECT id, sources, round(rrf_score, 10) AS rrf_score, round(rerank_score, 8) AS rerank_score, row_number() OVER (ORDER BY rerank_score DESC, rank) AS rank FROM scored) WHERE rank <= 10")
+def q39(spark, sf):
+    """The entry point for code: weights and k follow from the query, lexical hits come from the stored index, all embeddings are of documents."""
+    d = load(spark, sf, "documents")
+    fields = {"name": F.array_join(F.slice(F.split("text", " "), 1, 5), " "), "source_code": F.col("text")}
+    index = trigram.TrigramIndex(spark, f"{sf}/documents.parquet", "doc_id", fields).refresh()
+    vector = [float(v) for v in query_vector(spark, sf).first()["query"]]
+    found = hybrid.search_code(code_chunks(spark, sf), QUERY, vector, threshold=0.1, index=index)
+    return found.select(F.col("id").cast(d.schema["doc_id"].dataType).alias("id"), "rank", r("rrf_score", 10).alias("rrf_score"), r("rerank_score").alias("rerank_score"), "sources")
+
+
+@register("q39b_list_memories", f"WITH {MEMORIES_SQL}, m AS (SELECT *, count(*) OVER () AS total FROM memories WHERE deleted_at IS NULL AND list_contains(tags, 'en') AND consumed_at IS NULL) SELECT id, title, total FROM m ORDER BY created_at DESC, id LIMIT 10 OFFSET 5")
+def q39b(spark, sf):
+    return hybrid.list_memories(memories(spark, sf), {"tags": ["en"]}, consumed=False, limit=10, offset=5).select("id", "title", "total")
+
+
+@register("q39c_search_events", "SELECT event_id AS id, ts FROM events WHERE json_extract_string(props, '$.k') = '42' AND ts >= TIMESTAMP '2024-01-01 06:00:00' ORDER BY ts DESC, id LIMIT 15 OFFSET 3")
+def q39c(spark, sf):
+    e = load(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("timestamp"), F.col("props").alias("metadata"))
+    found = hybrid.search_events(e, metadata={"k": 42}, start=datetime(2024, 1, 1, 6), limit=15, offset=3)
+    return found.select("id", F.col("timestamp").alias("ts"))
