@@ -1,13 +1,10 @@
 """Entity, relationship and consolidation queries."""
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..functions import documents as D
-from ..operators import graph as G
 from ..operators import relations as R
 from ..operators.lineage import cut
 from ..sources.tables import ENTITIES_SQL, MEMORIES_SQL, entities, load, memories, names
@@ -85,7 +82,7 @@ def e7(spark, sf):
 
 @register("e8_consolidation_groups")
 def e8(spark, sf):
-    """Greedy groups: the order of pairs matters inside a connected part of the pair graph, so each part is grouped by one function."""
+    """Greedy groups: the order of pairs matters; small parts of the pair graph are grouped by the list rule, large ones by rounds."""
     concepts = memories(spark, sf).select("id", F.array("lang", "source").alias("concepts"))
     total = load(spark, sf, "documents").count()
     e = entities(spark, sf)
@@ -93,14 +90,11 @@ def e8(spark, sf):
     own = concepts.join(e.groupBy("id").agg(F.sort_array(F.collect_set("name")).alias("names")), "id")
     x = pairs.join(own.select(F.col("id").alias("a"), F.col("concepts").alias("ca"), F.col("names").alias("na")), "a")
     x = x.join(own.select(F.col("id").alias("b"), F.col("concepts").alias("cb"), F.col("names").alias("nb")), "b")
-    x = x.join(G.components(pairs).withColumnRenamed("node", "a"), "a")
-    x = x.select("component", "a", "b", "score", F.array_intersect("na", "nb").alias("ents"), F.array_intersect("ca", "cb").alias("cons"))
-
-    def group(p: pd.DataFrame) -> pd.DataFrame:
-        made = R.distinct_groups(R.greedy_groups(zip(p["a"], p["b"], p["score"], p["ents"], p["cons"], strict=True)))
-        return pd.DataFrame([(p["component"].iloc[0], ",".join(map(str, sorted(g.members))), round(float(g.score), 6), R.title_of(g)) for g in made], columns=["component", "members", "score", "title"])
-
-    return x.groupBy("component").applyInPandas(group, "component long, members string, score double, title string")
+    x = x.select("a", "b", "score", F.array_intersect("na", "nb").alias("entities"), F.array_intersect("ca", "cb").alias("concepts"))
+    made = R.grouped_pairs(x)
+    # no group holds a member of another, so none is mostly in a better one
+    title = F.udf(lambda e, c: R.title_of(R.Group([], set(e), set(c), 0.0)), "string")
+    return made.select(F.col("group").alias("component"), F.array_join(F.col("members").cast("array<string>"), ",").alias("members"), r("score").alias("score"), title("entities", "concepts").alias("title"))
 
 
 @register("e9b_backfill", f"WITH {_PAIRS}, sz AS (SELECT id, count(*) AS n FROM ent GROUP BY id) SELECT a, b, round(least(1.0, shared_idf / greatest(1, x.n + y.n - shared)), 6) AS score FROM pairs JOIN sz x ON x.id = a JOIN sz y ON y.id = b")
