@@ -144,7 +144,7 @@ def g21(spark, sf):
     kind = F.when(F.col("p_brand") == "Brand#1", "Module").otherwise("Function")
     score = F.round(G.importance(F.col("p_size"), F.col("p_retailprice"), F.length("p_name"), kind), 8)
     parts = load(spark, sf, "part")
-    return quantiles.best(parts.select("p_partkey", score.alias("score")), "score", "p_partkey", ZOOM)
+    return quantiles.best(parts.select("p_partkey", score.alias("score")), "score", "p_partkey", ZOOM).orderBy(F.col("score").desc(), "p_partkey")
 
 
 @register("g21b_zoom_ancestors", f"{E}, par AS (SELECT dst AS node, max(src) AS parent FROM edges GROUP BY dst), best AS (SELECT p_partkey FROM part ORDER BY round({_IMPORTANCE}, 8) DESC, p_partkey LIMIT (SELECT CAST(ceil(count(*) * {ZOOM} / 100.0) AS BIGINT) FROM part)), t(node) AS (SELECT 1000000::BIGINT + p_partkey FROM best UNION SELECT parent FROM t JOIN par USING (node)) SELECT node FROM t")
