@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .intervals import containing
 
 
 def exchanges(turns: DataFrame, session: str, order: str, role: str = "role", text: str = "text") -> DataFrame:
@@ -126,10 +127,9 @@ def module_path(path: Column, language: str = "python") -> Column:
 
 def name_paths(chunks: DataFrame, language: str = "python") -> DataFrame:
     """chunks (file, name, chunk_type, start_line, end_line) with name_path: module, enclosing classes from the outermost in, name."""
-    c, p = chunks.alias("c"), chunks.where("lower(chunk_type) = 'class'").alias("p")
-    inside = (F.col("p.file") == F.col("c.file")) & (F.col("p.start_line") < F.col("c.start_line")) & (F.col("p.end_line") > F.col("c.end_line"))
     keys = ["file", "name", "start_line", "end_line"]
-    outer = c.join(p, inside).groupBy(*[F.col(f"c.{k}").alias(k) for k in keys]).agg(F.sort_array(F.collect_list(F.struct((F.col("p.start_line") - F.col("p.end_line")).alias("o"), F.col("p.name").alias("n")))).alias("__o"))
+    found = containing(chunks.select(*keys), chunks.where("lower(chunk_type) = 'class'").select(*keys), "file", "start_line", "end_line")
+    outer = found.groupBy("inner").agg(F.sort_array(F.collect_list(F.struct((F.col("outer.start_line") - F.col("outer.end_line")).alias("o"), F.col("outer.name").alias("n")))).alias("__o")).select("inner.*", "__o")
     x = chunks.join(outer, keys, "left")
     middle = F.coalesce(F.transform("__o", lambda o: o["n"]), F.array().cast("array<string>"))
     return x.withColumn("name_path", F.array_join(F.concat(F.array(module_path(F.col("file"), language)), middle, F.array("name")), ".")).drop("__o")

@@ -11,6 +11,7 @@ from ..catalog import register
 from ..functions import documents as D
 from ..functions import text as X
 from ..operators import ingest as I
+from ..operators.intervals import containing
 from ..sources import files as S
 from ..sources.tables import load
 
@@ -275,9 +276,8 @@ def i10b(spark, sf):
     o = load(spark, sf, "orders")
     a = F.col("o_orderkey") % 97
     s = o.select(F.col("o_custkey").alias("f"), F.col("o_orderkey").alias("id"), a.alias("a"), (a + F.col("o_orderkey") % 13).alias("b"), (F.col("o_orderkey") % 3 == 0).alias("cls"))
-    c, p = s.alias("c"), s.where("cls").alias("p")
-    x = c.join(p, (F.col("p.f") == F.col("c.f")) & (F.col("p.a") < F.col("c.a")) & (F.col("p.b") > F.col("c.b")))
-    g = x.groupBy(F.col("c.id").alias("id")).agg(F.sort_array(F.collect_list(F.struct((F.col("p.a") - F.col("p.b")).alias("o"), F.col("p.id").alias("i")))).alias("l"))
+    x = containing(s, s.where("cls"), "f", "a", "b")
+    g = x.groupBy(F.col("inner.id").alias("id")).agg(F.sort_array(F.collect_list(F.struct((F.col("outer.a") - F.col("outer.b")).alias("o"), F.col("outer.id").alias("i")))).alias("l"))
     return g.select("id", F.array_join(F.transform("l", lambda v: v["i"].cast("string")), ".").alias("outer_ids"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import register
 from ..operators import quantiles
+from ..operators.intervals import containing
 from ..sources.tables import load
 
 
@@ -117,8 +118,7 @@ _SPANS = "spans AS (SELECT o_custkey AS f, o_orderkey AS id, o_orderkey % 97 AS
 @register("j16_interval_containment", f"WITH {_SPANS} SELECT c.id AS child, p.id AS parent FROM spans c JOIN spans p ON p.f = c.f AND p.a < c.a AND p.b > c.b")
 def j16(spark, sf):
     s = load(spark, sf, "orders").select(F.col("o_custkey").alias("f"), F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 97).alias("a"), (F.col("o_orderkey") % 97 + F.col("o_orderkey") % 13).alias("b"))
-    c, p = s.alias("c"), s.alias("p")
-    return c.join(p, (F.col("p.f") == F.col("c.f")) & (F.col("p.a") < F.col("c.a")) & (F.col("p.b") > F.col("c.b"))).select(F.col("c.id").alias("child"), F.col("p.id").alias("parent"))
+    return containing(s, s, "f", "a", "b").select(F.col("inner.id").alias("child"), F.col("outer.id").alias("parent"))
 
 
 @register("j17_suffix_join", "WITH names AS (SELECT p_partkey AS id, replace(p_name, ' ', '.') AS path FROM part), q AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS x FROM part) SELECT x, count(*) AS n FROM q JOIN names ON path = x OR path LIKE '%.' || x GROUP BY x")
