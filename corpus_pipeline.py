@@ -1,6 +1,7 @@
 """Training-corpus pipeline: quality, near duplicates, decontamination, mixture, shards.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns
+It belongs to the operators of lodeweave.llm and cannot be imported without
+them. Each stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns
 of documents, the last one with shard and slot besides; run() writes every
 stage's result as Parquet in the shared folder and gives it to the next.
 
