@@ -41,7 +41,10 @@ def prefetch(main: DataFrame, more: DataFrame, key: str, out: str = "related") -
 
 class Table:
     """A stored table of Parquet batches: each insert is a folder ``batch=<id>`` that appears by one rename, so readers see
-    all of its rows or none, and a job that dies halfway leaves only a folder under ``_staging``, which nothing reads."""
+    all of its rows or none, and a job that dies halfway leaves only a folder under ``_staging``, which nothing reads.
+
+    A batch looks for its keys before it is committed, and after that in the batches that have come in the meantime; if one
+    of these has a key of its own, it is withdrawn. Of two writers of one key at once, one or both are refused, never none."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str, key: str = "id", required: tuple[str, ...] = ()):
         """key: the column that tells rows apart; required: columns that may not be null, besides the key."""
@@ -51,12 +54,16 @@ class Table:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def read(self) -> DataFrame:
-        """All committed rows."""
+    def batches(self) -> set[str]:
+        """Folders of committed batches."""
         fs, path = self._files(), self.spark._jvm.org.apache.hadoop.fs.Path
-        found = fs.globStatus(path(f"{self.path}/batch=*")) if fs.exists(path(self.path)) else []
+        return {str(f.getPath()) for f in fs.globStatus(path(f"{self.path}/batch=*"))} if fs.exists(path(self.path)) else set()
+
+    def read(self, batches: set[str] | None = None) -> DataFrame:
+        """All committed rows, or those of some batches."""
+        found = sorted(self.batches() if batches is None else batches)
         empty = self.spark.createDataFrame([], self.schema)
-        return empty if not len(found) else self.spark.read.schema(empty.schema).option("recursiveFileLookup", True).parquet(*[str(f.getPath()) for f in found])
+        return self.spark.read.schema(empty.schema).option("recursiveFileLookup", True).parquet(*found) if found else empty
 
     def faults(self, rows: DataFrame) -> DataFrame:
         """rows with fault: a required column that is null, a key that stands twice among them, or one that is stored already; null where there is none."""
@@ -68,13 +75,18 @@ class Table:
             why = (F.when if why is None else why.when)(F.col(c).isNull(), F.lit(f"{c} is null"))
         return x.withColumn("fault", why.when(F.col("__twice"), "key stands twice").when(F.col("__stored"), "key is stored")).drop("__stored", "__twice")
 
-    def _commit(self, rows: DataFrame) -> DataFrame:
+    def _commit(self, rows: DataFrame, seen: set[str]) -> DataFrame:
+        """seen: the batches in which the rows' keys were looked for."""
         batch = uuid.uuid4().hex
         staged, final = f"{self.path}/_staging/{batch}", f"{self.path}/batch={batch}"
         rows.write.parquet(staged)
         path, fs = self.spark._jvm.org.apache.hadoop.fs.Path, self._files()
         if not fs.rename(path(staged), path(final)):
             raise OSError(f"batch {batch} was not committed")
+        since = {b for b in self.batches() - seen if not b.endswith(f"batch={batch}")}
+        if since and not self.spark.read.schema(rows.schema).parquet(final).join(self.read(since).select(self.key), self.key, "left_semi").isEmpty():
+            fs.delete(path(final), True)
+            raise ValueError("key is stored")
         return self.spark.read.schema(rows.schema).parquet(final)
 
     def insert(self, rows: DataFrame) -> DataFrame:
@@ -82,21 +94,22 @@ class Table:
         columns = self.spark.createDataFrame([], self.schema).columns
         if self.key not in rows.columns:
             rows = rows.withColumn(self.key, F.expr("uuid()"))
-        rows = rows.select(*columns)
+        rows, seen = rows.select(*columns), self.batches()
         bad = self.faults(rows).where("fault is not null").select("fault").limit(1).collect()
         if bad:
             raise ValueError(bad[0]["fault"])
-        return self._commit(rows)
+        return self._commit(rows, seen)
 
     def insert_all(self, rows: DataFrame, one_by_one: bool = False) -> tuple[DataFrame, DataFrame]:
         """(stored, refused with fault): a batch goes in as a whole or, on any fault, not at all; one_by_one then takes the rows without a fault, of a key that stands twice none."""
         columns = self.spark.createDataFrame([], self.schema).columns
+        seen = self.batches()
         told = self.faults(rows.select(*columns))
         bad = told.where("fault is not null")
         if bad.isEmpty():
-            return self._commit(rows.select(*columns)), bad
+            return self._commit(rows.select(*columns), seen), bad
         good = told.where("fault is null").select(*columns)
         if one_by_one and not good.isEmpty():
             refused = cut(bad)  # found against the table as it was
-            return self._commit(good), refused
+            return self._commit(good, seen), refused
         return self.spark.createDataFrame([], self.schema), bad

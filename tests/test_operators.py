@@ -596,3 +596,26 @@ def test_builtins_are_all_there():
     # every function that the language gives but those that came after the list was drawn up
     functions = {b for b in dir(builtins) if b.islower() and not b.startswith("_")}
     assert functions - set(BUILTINS) <= {"aiter", "anext", "breakpoint", "copyright", "credits", "exit", "license", "quit"}
+
+
+def test_two_writers_never_store_a_key_twice(spark, tmp_path):
+    from lodeweave.operators.store import Table
+
+    table, other = (Table(spark, str(tmp_path / "t"), "id long, v string") for _ in "ab")
+    rows = lambda *r: spark.createDataFrame(r, "id long, v string")
+    table.insert(rows((1, "a")))
+    looked = table.faults
+
+    def late(df):
+        """The other writer commits between this one's look and its commit."""
+        told = looked(df).collect()
+        other.insert(rows((2, "theirs")))
+        return spark.createDataFrame(told, "id long, v string, fault string")
+
+    table.faults = late
+    with pytest.raises(ValueError):
+        table.insert(rows((2, "ours"), (3, "ours")))
+    assert sorted((r["id"], r["v"]) for r in other.read().collect()) == [(1, "a"), (2, "theirs")]
+    table.faults = looked
+    table.insert(rows((3, "ours")))
+    assert sorted(r["id"] for r in table.read().collect()) == [1, 2, 3] and len(table.batches()) == 3
