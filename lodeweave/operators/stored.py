@@ -61,30 +61,35 @@ class FileIndex:
     def _held(self, generation: str) -> DataFrame:
         return self.spark.read.schema("file string, generation string").parquet(f"{self.base}/{generation}/files")
 
-    def _first(self, generations: list[str]) -> DataFrame:
-        out = self._held(generations[0])
-        for g in generations[1:]:
-            out = out.unionByName(self._held(g))
-        return out.groupBy("file").agg(F.min("generation").alias("generation"))
+    def _first(self, generations: list[str]) -> dict[str, str]:
+        """The first generation of each file that is held."""
+        out: dict[str, str] = {}
+        for g in generations:
+            for r in self._held(g).collect():
+                out.setdefault(r["file"], g)
+        return out
 
     def refresh(self):
         """Reads what is not indexed yet. Names of files, not rows, pass through the driver."""
-        known, listing = self.generations(), self._listing()
-        new = (listing.join(self._first(known), "file", "left_anti") if known else listing).collect()
+        known, now = self.generations(), {r["file"]: r["path"] for r in self._listing().collect()}
+        held = self._first(known)
+        new = {f: p for f, p in now.items() if f not in held}
         if new:
             name = f"{len(known):06}-{uuid.uuid4().hex[:8]}"
-            rows = self.spark.read.parquet(*[r["path"] for r in new])
+            rows = self.spark.read.parquet(*new.values())
             meta = rows.metadataColumn("_metadata")
             path = F.url_decode(F.replace(meta["file_path"], F.lit("+"), F.lit("%2B")))
             self.build(rows.withColumn("file", F.sha2(F.concat_ws("|", path, meta["file_size"].cast("string"), F.unix_micros(meta["file_modification_time"]).cast("string")), 256)), f"{self.base}/{name}/rows")
-            if not self._rows(name).select("file").distinct().join(self._listing(), "file", "left_anti").isEmpty():
+            if not {r["file"] for r in self._rows(name).select("file").distinct().collect()} <= set(new):
                 raise RuntimeError(f"files of {self.path} have changed while they were read")
-            self.spark.createDataFrame([(r["file"], name) for r in new], "file string, generation string").coalesce(1).write.parquet(f"{self.base}/{name}/files")
+            self.spark.createDataFrame([(f, name) for f in new], "file string, generation string").coalesce(1).write.parquet(f"{self.base}/{name}/files")
             known = self.generations()
+            held = self._first(known)
         self.known = known
         # where every file of every generation is there now, and once, nothing has to be passed over
-        live = self._first(known).join(listing, "file", "left_semi") if known else None
-        self.live = None if not known or live.count() == sum(self._held(g).count() for g in known) else live
+        live = [(f, g) for f, g in held.items() if f in now]
+        whole = len(live) == len(held) and len(known) < 2
+        self.live = None if whole or not known else self.spark.createDataFrame(live, "file string, generation string")
         return self
 
     def _rows(self, generation: str) -> DataFrame:
