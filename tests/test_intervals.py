@@ -19,3 +19,12 @@ def test_containing_equals_all_pairs_and_makes_few(spark):
     # a file of very many units that stand one behind another: no pairs are made
     units = spark.range(60_000).select(F.lit("big").alias("f"), "id", (F.col("id") * 10).alias("a"), (F.col("id") * 10 + 8).alias("b"))
     assert containing(units, units, "f", "a", "b").count() == 0
+
+
+def test_what_is_spelt_out_is_not_sent_to_every_task(spark):
+    df = spark.range(2000).select(F.lit("f").alias("f"), "id", (F.col("id") * 7 % 97).alias("a"), (F.col("id") * 7 % 97 + F.col("id") % 13).alias("b"))
+    found = containing(df, df.where("id % 3 = 0"), "f", "a", "b")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    # neither side is spelt out at levels that no interval here reaches
+    assert found.count() == df.alias("c").join(df.where("id % 3 = 0").alias("p"), F.expr("p.a < c.a AND p.b > c.b")).count()
