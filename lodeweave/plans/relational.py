@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..catalog import register
 from ..operators import quantiles
 from ..operators.intervals import containing
+from ..operators.relations import sharing
 from ..sources.tables import load
 
 
@@ -133,9 +134,7 @@ def j17(spark, sf):
 
 @register("j18_shared_key_pairs", "WITH m AS (SELECT DISTINCT o_custkey AS id, o_orderdate AS k FROM orders) SELECT DISTINCT a.id AS a, b.id AS b FROM m a JOIN m b ON a.k = b.k AND a.id < b.id")
 def j18(spark, sf):
-    m = load(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderdate").alias("k")).distinct()
-    x, y = m.alias("x"), m.alias("y")
-    return x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    return sharing(load(spark, sf, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderdate").alias("k")).distinct())
 
 
 # --- aggregates --------------------------------------------------------------
