@@ -255,6 +255,8 @@ def read(data: bytes, most_pixels: int | None = MOST_PIXELS) -> tuple[int, int,
             if label == 0xF9 and len(body) >= 4:
                 control, delay, index = struct.unpack_from("<BHB", body)
                 disposal, transparent = control >> 2 & 7, index if control & 1 else -1
+            elif label == 0x01:  # plain text is drawn too, so the control before it is its own
+                delay, disposal, transparent = 0, 0, -1
             continue
         if kind != 0x2C or at + 10 > len(data):
             raise BadGif(f"block {kind:#x} at {at}")
@@ -363,12 +365,13 @@ def stored(text: str | None) -> tuple:
     payload = raw.ljust(max(WIDTH, -(-len(raw) // WIDTH) * WIDTH), b"\0")
     media = encode(payload)
     width, height, parts = read(media)
-    back = b"".join(f.indices.tobytes() for f in parts)
-    # gray palette: the histogram over the canvas colours of all frames' own pixels
-    gray = np.zeros(64, dtype=np.int64)
-    for f in parts:
-        level = f.palette[:, 0].astype(int) >> 6
-        gray += np.bincount(level * 21, weights=np.bincount(f.indices.ravel(), minlength=256), minlength=64).astype(np.int64)
+    # the frames as they are shown; the palette is gray, so that a channel of a colour is the sample
+    shown, gray = [], np.zeros(64, dtype=np.int64)
+    for f, (_, canvas) in zip(parts, composed(width, height, parts), strict=True):
+        own = canvas[f.top : f.top + f.height, f.left : f.left + f.width]
+        shown.append(own[..., 0].tobytes())
+        gray += histogram(own)
+    back = b"".join(shown)
     feature = f"{width}x{height};frames={len(parts)};ms={sum(f.delay_cs for f in parts) * 10};hist=" + ",".join(f"{k}:{n}" for k, n in enumerate(gray.tolist()) if n)
     return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature
 

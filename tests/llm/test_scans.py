@@ -320,3 +320,21 @@ def test_string_ids_and_clashing_columns_of_the_index(spark):
     assert rows == [("a", 3, 1), ("b", 0, 0), (None, 3, 1)]
     kept = decontam.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns and [r["doc_id"] for r in kept.collect()] == ["b"]
+
+
+def test_gif_samples_are_read_from_what_is_shown(monkeypatch):
+    text = "some text, " * 9000
+    want = gifmedia.stored(text)
+    made, composed = [], gifmedia.composed
+    monkeypatch.setattr(gifmedia, "composed", lambda *a: made.append(a) or composed(*a))
+    assert gifmedia.stored(text) == want and len(made) == 1 and len(made[0][2]) == 4
+
+
+def test_gif_plain_text_uses_up_its_control():
+    data = gif([(0, 0, 2, 2, [1, 1, 2, 3], 3, 1)])
+    at = data.index(b"\x2c")
+    words = bytes([0x21, 0x01, 12]) + bytes(12) + b"\x02hi\0"
+    (frame,) = gifmedia.read(data[:at] + words + data[at:])[2]
+    assert (frame.delay_cs, frame.disposal, frame.transparent) == (0, 0, -1)
+    (frame,) = gifmedia.read(data[: at - 8] + words + data[at - 8 :])[2]
+    assert (frame.delay_cs, frame.disposal, frame.transparent) == (10, 3, 1)
